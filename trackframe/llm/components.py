@@ -1,0 +1,36 @@
+"""Connected components of a graph of links, by alternating large and small stars.
+
+Both stars are a minimum per node and a join back, so a hub with very many links is summed before it is shuffled and
+the join's hot key is left to skew-join splitting. After each round the links are written to the shared folder. Rounds
+end when the links no longer change; then every link goes from a node to the smallest node of its component.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trackframe.llm.common import cut
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """From links (a long, b long): node, component (its smallest node) for every node that isn't the smallest itself."""
+    links, before = cut(links.filter("a != b").distinct(), "links"), None
+    while True:
+        sign = tuple(links.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 24))).first())
+        if sign == before or sign[0] == 0:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        before = sign
+        links = cut(_small_star(_large_star(links)), "links")
