@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackframe.llm import bpe_count, kd_search, secret_scan, simhash
+from trackframe.llm import bpe_count, kd_search, mixing, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
+
+
 def op9_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = kd_search.quantised(_table(spark, sf_dir, "embeddings"))
     return kd_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
@@ -35,6 +39,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op7_token_counts": op7_token_counts,
+    "op8_mixing": op8_mixing,
     "op9_kd_search": op9_kd_search,
     "op10_simhash": op10_simhash,
 }
