@@ -17,6 +17,13 @@ U64 = np.uint64
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+WORD_KINDS = (~SPACES).astype(np.int8)
+
+#: Letters, digits and all bytes of longer UTF-8 characters are of class 1, other signs of class 2.
+SIGN_KINDS = np.where(SPACES, 0, 2).astype(np.int8)
+SIGN_KINDS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+LETTER_KINDS = (SIGN_KINDS == 1).astype(np.int8)
+
 #: ASCII capitals to small letters, byte by byte, so that UTF-8 stays valid.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -94,18 +101,21 @@ class Chunk:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of each word, and the number of its document in the chunk."""
-        data, n = self.data, len(self.data)
-        inside = ~SPACES[data]
+    def words(self, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each word, and the number of its document in the chunk.
+
+        kinds gives each byte value its class; a word is a maximal run of one class other than 0. Without it, words are
+        runs of all but separators.
+        """
+        n = len(self.data)
+        kind = (WORD_KINDS if kinds is None else kinds)[self.data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[self.offsets] = True
-        before = np.ones(n, dtype=bool)
-        before[1:] = ~inside[:-1]
-        starts = np.flatnonzero(inside & (before | edge[:n]))
-        after = np.ones(n, dtype=bool)
-        after[:-1] = ~inside[1:]
-        ends = np.flatnonzero(inside & (after | edge[1:])) + 1
+        turn = np.ones(n + 1, dtype=bool)
+        turn[1:n] = kind[1:] != kind[:-1]
+        turn |= edge
+        starts = np.flatnonzero(turn[:n] & (kind > 0))
+        ends = np.flatnonzero(turn[1:] & (kind > 0)) + 1
         return starts, ends, np.searchsorted(self.offsets, starts, side="right") - 1
 
 
