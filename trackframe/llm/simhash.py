@@ -1,15 +1,23 @@
 """Operator 10, SimHash near-dedup: vantage-point trees over fingerprints.
 
-Fingerprints are per document, then grouped: a fingerprint is handled once however many documents have it. Two
-fingerprints that differ in at most RADIUS = 3 of 64 bits differ in at most one bit of their upper or of their lower
-half. So two families of vantage-point trees, one for each half, are searched with radius 1, where triangle bounds prune
-well; each pair found is verified on all 64 bits, and no pair can be missed.
-
-The upper levels of both trees are built from a bounded sample (SAMPLE_A_LEAF fingerprints a leaf, at most LEAVES
-leaves); their leaves are the shards. A fingerprint lives in one shard of each family, and goes as a query to every shard
-whose boundary its radius overlaps. Within a shard the tree goes on to leaves of LEAF fingerprints, which are compared
-outright. A shard gives back a spanning forest of the links that it finds, not all pairs, so a group of a thousand
-neighbours gives a thousand rows; connectivity, and so the components, are the same.
+Fingerprints are per document, then grouped: a fingerprint is handled once however many documents have it. A rule (Rule)
+says how many bits a fingerprint has and how many may differ, and cuts the bits into pieces. One family of vantage-point
+trees for each piece is searched with the small radius that the rule gives, where triangle bounds prune well; every pair
+found is verified on all bits.
+
+* CONTRACT: 64 bits, 3-word shingles, at most 3 differing bits. They differ in at most one bit of the upper or of the
+  lower half, so two pieces of 32 bits and radius 1 miss no pair.
+* NEAR_COPIES: 256 bits, 5-word shingles. Texts that share 0.8 of their shingles differ in 15 % of the bits, so 48 are
+  allowed. Unrelated texts differ in 128 bits, with a deviation of 8. 16 pieces of 16 bits, radius 1: exact up to 31
+  differing bits; at a similarity of 0.8 some piece differs in at most one bit with probability 0.995, and nearly surely
+  above it.
+
+The upper levels of the trees are built from a bounded sample (SAMPLE_A_LEAF fingerprints a leaf, at most LEAVES leaves);
+their leaves are the shards. A fingerprint lives in one shard of each family, and goes as a query to every shard whose
+boundary its radius overlaps. Within a shard the tree goes on to leaves of LEAF fingerprints, which are compared outright;
+larger sets that no tree can part are linked through the balls of pivots. A shard gives back a spanning forest of the links
+that it finds, not all pairs, so a group of a thousand neighbours gives a thousand rows; connectivity, and so the
+components, are the same.
 
 Null and empty texts have fingerprint zero, linked like any other. Repeated rows are rows with equal fingerprints. Null
 ids take part; a component's id is its smallest id that isn't null. Other columns are ignored; an empty table gives an
@@ -19,6 +27,7 @@ empty result. Texts are taken whole.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,42 +35,70 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import LOWER, binary, cut
+from trackframe.llm.common import LOWER, binary, cut, mix
 from trackframe.llm.components import components
 
-SHINGLE, SEED, RADIUS = 3, 42, 3
-LEAF, SHARD, SAMPLE_A_LEAF, LEAVES = 64, 8192, 16, 2048
-HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
-
-
-def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED) -> int:
-    """Bits that are set in over half of the hashes of the n-word shingles of a text."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= n:
-        return digest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-n] + 1)).tolist()
-    hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[n - 1 :].tolist(), strict=True)), np.uint64, len(starts))
-    total = np.zeros(64, np.int64)
+SEED, LEAF, SAMPLE_A_LEAF, LEAVES = 42, 64, 16, 2048
+
+
+@dataclass(frozen=True)
+class Rule:
+    """words 64-bit words a fingerprint; at most most differing bits; pieces a word, searched with radius."""
+
+    shingle: int
+    words: int
+    most: int
+    pieces: int
+    radius: int
+    shard: int
+
+    def families(self) -> list[tuple[int, np.uint64]]:
+        """Word number and mask of each piece."""
+        width = 64 // self.pieces
+        return [(w, np.uint64(((1 << width) - 1) << (width * k))) for w in range(self.words) for k in range(self.pieces)]
+
+
+CONTRACT = Rule(shingle=3, words=1, most=3, pieces=2, radius=1, shard=8192)
+NEAR_COPIES = Rule(shingle=5, words=4, most=48, pieces=4, radius=1, shard=32768)
+
+
+def fingerprint(text: bytes, n: int = 3, words: int = 1, seed: int = SEED) -> np.ndarray:
+    """Bits that are set in over half of the hashes of the n-word shingles of a text; the first word is of XXH64 itself."""
+    tokens = text.translate(LOWER).split()
+    if not tokens:
+        return np.zeros(words, np.uint64)
+    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    if len(tokens) <= n:
+        hashes = np.array([digest(joined, seed)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-n] + 1)).tolist()
+        hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[n - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    total = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), 1 << 15):
-        total += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
+        part = hashes[at : at + (1 << 15)]
+        for w in range(words):
+            bits = part if w == 0 else mix(part + np.uint64(w))
+            total[w] += np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, rule: Rule = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, fp (binary, the words in little-endian order)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = binary(b.column(1))
             raw, at = memoryview(data), offsets.tolist()
-            fps = np.fromiter((fingerprint(bytes(raw[s:e]), n) for s, e in zip(at[:-1], at[1:], strict=True)), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(bytes(raw[s:e]), rule.shingle, rule.words).tobytes() for s, e in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+
+
+def matrix(column: pa.Array, words: int) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
 
 
 def _split(points: np.ndarray, mask: np.uint64) -> tuple[np.uint64, int] | None:
@@ -120,79 +157,98 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
         label = new
 
 
-def search(points: np.ndarray, queries: np.ndarray, mask: np.uint64, radius: int, full: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (place in points, place in queries) at most full apart, of those at most radius apart under the mask."""
-    stack = [(np.arange(len(points)), np.arange(len(queries)))]
+def search(fps: np.ndarray, homes: int, piece: tuple[int, np.uint64], rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (row, row) at most rule.most apart that join the first homes rows with all rows, as far as the piece's radius
+    finds them. Pairs within one pivot's ball may be left out: the pivot joins them."""
+    word, mask = piece
+    x = np.ascontiguousarray(fps[:, word])
+    apart = lambda i, j: np.bitwise_count(fps[i] ^ fps[j]).sum(axis=-1, dtype=np.int64)
+    stack = [(np.arange(homes), np.arange(len(fps)))]
     while stack:
         p, q = stack.pop()
         if not len(p) or not len(q):
             continue
-        parted = _split(points[p], mask) if len(p) > LEAF else None
-        if parted is None:
-            step = max(1, (1 << 21) // len(p))
-            for at in range(0, len(q), step):
-                part = q[at : at + step]
-                i, j = np.nonzero(np.bitwise_count(points[p][:, None] ^ queries[part][None, :]) <= full)
-                yield p[i], part[j]
+        parted = _split(x[p], mask) if len(p) > LEAF else None
+        if parted is not None:
+            v, mu = parted
+            dp = np.bitwise_count((x[p] ^ v) & mask)
+            dq = np.bitwise_count((x[q] ^ v) & mask).astype(np.int16)
+            stack.append((p[dp <= mu], q[dq <= mu + rule.radius]))
+            stack.append((p[dp > mu], q[dq > mu - rule.radius]))
             continue
-        v, mu = parted
-        dp = np.bitwise_count((points[p] ^ v) & mask)
-        dq = np.bitwise_count((queries[q] ^ v) & mask).astype(np.int16)
-        stack.append((p[dp <= mu], q[dq <= mu + radius]))
-        stack.append((p[dp > mu], q[dq > mu - radius]))
-
-
-def _links_of_shard(table: pa.Table) -> pa.Table:
-    fps = table.column("fp").to_numpy().view(np.uint64)
+        rest, pivots = p, 0
+        while len(rest) > LEAF and pivots < LEAF:
+            ball = q[apart(rest[:1], q) <= rule.most]
+            yield np.full(len(ball), rest[0]), ball
+            rest, pivots = rest[1:][~np.isin(rest[1:], ball, assume_unique=True)], pivots + 1
+        step = max(1, (1 << 19) // max(1, len(rest)))
+        for at in range(0, len(q), step):
+            part = q[at : at + step]
+            i, j = np.nonzero(np.bitwise_count((x[rest][:, None] ^ x[part][None, :]) & mask) <= rule.radius)
+            i, j = rest[i], part[j]
+            near = np.flatnonzero(apart(i, j) <= rule.most)
+            yield i[near], j[near]
+
+
+def _links_of_shard(table: pa.Table, rule: Rule) -> pa.Table:
     home = table.column("home").to_numpy(zero_copy_only=False)
-    order = np.argsort(~home, kind="stable")
-    fps, n = fps[order], int(home.sum())  # those that live here come first; all are queries
-    mask = HALVES[int(table.column("half")[0].as_py())]
+    order = np.argsort(~home, kind="stable")  # those that live here come first; all are queries
+    fps, key = matrix(table.column("fp"), rule.words)[order], table.column("key").to_numpy()[order]
     kept: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
     size = 0
-    for i, j in search(fps[:n], fps, mask, RADIUS // 2, RADIUS):
+    for i, j in search(fps, int(home.sum()), rule.families()[table.column("family")[0].as_py()], rule):
         other = i != j
         kept.append(np.stack([i[other], j[other]]))
         size += int(other.sum())
         if size > 1 << 20:
-            kept = [np.stack(forest(len(fps), *np.concatenate(kept, axis=1)))]
-            size = 0
+            kept, size = [np.stack(forest(len(fps), *np.concatenate(kept, axis=1)))], 0
     a, b = forest(len(fps), *np.concatenate(kept, axis=1))
-    return pa.table({"a": fps[a].view(np.int64), "b": fps[b].view(np.int64)})
+    return pa.table({"a": key[a], "b": key[b]})
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between fingerprints of a column fp without repeats, that join what is at most RADIUS bits apart."""
+def links(distinct: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """Links (a, b) between the keys of distinct fingerprints (key long, fp binary) that the rule joins."""
     count = distinct.count()
     leaves = 1
-    while leaves < LEAVES and leaves * SHARD < count:
+    while leaves < LEAVES and leaves * rule.shard < count:
         leaves *= 2
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_A_LEAF * leaves).collect()], np.int64).view(np.uint64)
-    trees = [grow(sample, m, leaves) for m in HALVES]
+    families = rule.families()
+    sample = matrix(pa.array([bytes(r[0]) for r in distinct.orderBy(F.xxhash64("key"), "key").limit(SAMPLE_A_LEAF * leaves).select("fp").collect()], pa.binary()), rule.words)
+    trees = [grow(np.ascontiguousarray(sample[:, w]), mask, leaves) if leaves > 1 else 0 for w, mask in families]
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(0).to_numpy().view(np.uint64)
-            for half, tree in enumerate(trees):
-                for leaf, rows, home in route(tree, fps, HALVES[half], RADIUS // 2):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), half, np.int32)), pa.array(np.full(len(rows), leaf, np.int32)), pa.array(fps[rows].view(np.int64)), pa.array(home)], ["half", "leaf", "fp", "home"])
-
-    dealt = distinct.select("fp").mapInArrow(deal, "half int, leaf int, fp long, home boolean")
-    return dealt.groupBy("half", "leaf").applyInArrow(_links_of_shard, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp (long), component_id (smallest doc_id that links lead to)."""
-    prints = cut(fingerprints(docs, n, id_col, text_col), "fingerprints")
-    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    label = components(links(groups.select("fp")))
-    rooted = groups.join(label, groups.fp == label.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+            fps = matrix(b.column(1), rule.words)
+            for k, (w, mask) in enumerate(families):
+                for leaf, rows, home in route(trees[k], np.ascontiguousarray(fps[:, w]), mask, rule.radius):
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(np.full(len(rows), leaf, np.int32)), b.column(0).take(at), b.column(1).take(at), pa.array(home)], ["family", "leaf", "key", "fp", "home"])
+
+    dealt = distinct.select("key", "fp").mapInArrow(deal, "family int, leaf int, key long, fp binary, home boolean")
+    return dealt.groupBy("family", "leaf").applyInArrow(lambda t: _links_of_shard(t, rule), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, rule: Rule = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, fp (binary), component_id (smallest doc_id that links lead to)."""
+    prints = cut(fingerprints(docs, rule, id_col, text_col).withColumn("key", F.xxhash64("fp")), "fingerprints")
+    groups = cut(prints.groupBy("key", "fp").agg(F.min("doc_id").alias("least")), "groups")
+    label = components(links(groups, rule))
+    rooted = groups.join(label, groups.key == label.node, "left").select("key", "least", F.coalesce("component", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = rooted.join(least, "root").select("key", "component_id")
+    return prints.join(final, "key").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    high_first = F.concat(*(F.substring("fp", k, 1) for k in range(8, 0, -1)))
+    return found.select("doc_id", F.lower(F.hex(high_first)).alias("fingerprint"), "component_id")
+
 
+def keep_one(docs: DataFrame, rule: Rule = NEAR_COPIES) -> DataFrame:
+    """The rows of docs whose id is the smallest of its group of near copies; rows without id stay.
 
+    Rows that repeat an id are one document: they stay or go together.
+    """
+    found = near_duplicates(docs, rule).filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    gone = cut(found, "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
