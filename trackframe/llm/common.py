@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -42,11 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a lineage cut that survives lost executors."""
+def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: a lineage cut that survives lost executors.
+
+    free: let go of the shuffle files that only df needed, which Spark else keeps until the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
