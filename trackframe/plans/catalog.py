@@ -1,10 +1,362 @@
-"""The registered queries of the tracking operators, and their SQL."""
+"""The registered queries of the tracking operators, and their SQL on the same tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from trackframe.functions import geometry as G
+from trackframe.functions import tracks as T
+from trackframe.functions.numbers import cosine, gallery_similarity, rounded
+from trackframe.operators import decode, graph, lifecycle, reports, tracker, tracklets
+from trackframe.schemas import SESSION
+from trackframe.sources import adapters, generators
+from trackframe.sources.files import looks_derived
+from trackframe.sources.sessions import flat_tracks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query by its name, with its SQL where there is one."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r(c: str | Column, digits: int = 6) -> Column:
+    return rounded(F.col(c) if isinstance(c, str) else c, digits)
+
+
+def rsql(x: str, digits: int = 6) -> str:
+    p = f"CAST({10**digits} AS DOUBLE)"
+    return f"(CASE WHEN ({x}) < 0 THEN -floor(-({x}) * {p} + 0.5) / {p} ELSE floor(({x}) * {p} + 0.5) / {p} END)"
+
+
+def iou_sql(a: str, b: str) -> str:
+    side = lambda lo, hi: f"greatest(0.0::DOUBLE, least({a}.{hi}, {b}.{hi}) - greatest({a}.{lo}, {b}.{lo}))"
+    area = lambda x: f"(greatest(0.0::DOUBLE, {x}.x2 - {x}.x1) * greatest(0.0::DOUBLE, {x}.y2 - {x}.y1))"
+    shared = f"({side('x1', 'x2')} * {side('y1', 'y2')})"
+    return f"({shared} / greatest({area(a)} + {area(b)} - {shared}, 1e-6::DOUBLE))"
+
+
+DETECTIONS = """boxed AS (
+  SELECT l_orderkey AS frame, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CAST(l_partkey % 3 AS INTEGER) AS class_id,
+    0.05::DOUBLE + CAST(l_partkey % 77 AS DOUBLE) / 80::DOUBLE AS score, CAST(l_suppkey % 12 AS DOUBLE) * 40 AS x1, CAST(l_partkey % 7 AS DOUBLE) * 30 AS y1
+  FROM lineitem
+), detections AS (
+  SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY score, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INTEGER) AS det_idx,
+    x1, y1, x1 + 40 + l_quantity AS x2, y1 + 30 + l_quantity * 0.5::DOUBLE AS y2, score, class_id
+  FROM boxed
+)"""
+
+
+@query(f"WITH {DETECTIONS} SELECT frame, det_idx, class_id, {rsql('score')} AS score, score >= 0.45::DOUBLE AS high FROM detections WHERE score >= 0.12::DOUBLE AND class_id IN (0, 2)")
+def det_conf_filter(spark: SparkSession, d: str) -> DataFrame:
+    named = adapters.detections(spark, d).withColumn("label", T.label_of(F.col("class_id")))
+    return named.filter((F.col("score") >= 0.12) & T.in_classes(F.col("label"), " Person, CAR")).select("frame", "det_idx", "class_id", r("score").alias("score"), (F.col("score") >= 0.45).alias("high"))
+
+
+@query(f"WITH {DETECTIONS} SELECT frame, det_idx, " + ", ".join(f"{rsql(f'greatest(0.0::DOUBLE, least(({c} - {p}) / 0.75::DOUBLE, {n} - 1.0::DOUBLE))')} AS {c}" for c, p, n in (("x1", 8, 480), ("y1", 12, 270), ("x2", 8, 480), ("y2", 12, 270))) + " FROM detections")
+def det_scale_clip(spark: SparkSession, d: str) -> DataFrame:
+    box = G.clip(G.unletterbox(G.Box.of(), F.lit(0.75), F.lit(8.0), F.lit(12.0)), F.lit(480), F.lit(270))
+    return adapters.detections(spark, d).select("frame", "det_idx", *(r(v).alias(c) for v, c in zip(box, G.Box._fields, strict=True)))
+
+
+@query("SELECT l_orderkey AS frame, l_linenumber AS line, CASE l_suppkey % 90 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(T.LABELS)) + " ELSE 'class_' || (l_suppkey % 90) END AS label, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
+def det_label_lookup(spark: SparkSession, d: str) -> DataFrame:
+    rows = adapters.table(spark, d, "lineitem")
+    return rows.groupBy(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("line"), T.label_of(F.col("l_suppkey") % 90).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {DETECTIONS} SELECT a.frame, a.det_idx AS left_idx, b.det_idx AS right_idx, {rsql(iou_sql('a', 'b'))} AS iou FROM detections a JOIN detections b ON a.frame = b.frame AND a.class_id = b.class_id AND a.det_idx < b.det_idx WHERE {iou_sql('a', 'b')} >= 0.45::DOUBLE")
+def det_pair_iou(spark: SparkSession, d: str) -> DataFrame:
+    det = adapters.detections(spark, d)
+    side = lambda p: det.select("frame", "class_id", *(F.col(c).alias(f"{p}{c}") for c in ("det_idx", *G.Box._fields)))
+    both = side("l_").join(side("r_"), ["frame", "class_id"]).filter("l_det_idx < r_det_idx").withColumn("iou", G.iou(G.Box.of("l_"), G.Box.of("r_")))
+    return both.filter("iou >= 0.45").select("frame", F.col("l_det_idx").alias("left_idx"), F.col("r_det_idx").alias("right_idx"), r("iou").alias("iou"))
+
+
+NMS = f"""grouped AS (
+  SELECT frame, class_id, list([{{'score': score, 'det_idx': det_idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY score DESC, det_idx DESC) AS dets
+  FROM detections WHERE score >= 0.25::DOUBLE GROUP BY frame, class_id
+), kept AS (
+  SELECT frame, class_id, len(dets) AS n, list_reduce(dets, lambda acc, d: CASE WHEN len(list_filter(acc, lambda k: {iou_sql("k", "d[1]")} >= 0.45::DOUBLE)) > 0 THEN acc ELSE list_concat(acc, d) END) AS kept FROM grouped
+)"""
+
+
+@query(f"WITH {DETECTIONS}, {NMS} SELECT class_id, CAST(sum(n) AS BIGINT) AS detections, CAST(sum(len(kept)) AS BIGINT) AS kept, CAST(sum(n - len(kept)) AS BIGINT) AS suppressed FROM kept GROUP BY class_id")
+def det_nms(spark: SparkSession, d: str) -> DataFrame:
+    det = adapters.detections(spark, d).filter("score >= 0.25")
+    kept = decode.suppress(det, 0.45).groupBy("class_id").agg(F.count("*").alias("kept"))
+    return det.groupBy("class_id").agg(F.count("*").alias("detections")).join(kept, "class_id").withColumn("suppressed", F.col("detections") - F.col("kept"))
+
+
+@query(f"WITH {DETECTIONS}, {NMS}, each AS (SELECT frame, class_id, unnest(kept) AS k FROM kept) SELECT frame, class_id, k.det_idx AS det_idx, {rsql('k.score')} AS score FROM each")
+def det_nms_rows(spark: SparkSession, d: str) -> DataFrame:
+    det = adapters.detections(spark, d).filter("score >= 0.25")
+    return decode.suppress(det, 0.45).select("frame", "class_id", "det_idx", r("score").alias("score"))
+
+
+@query(f"WITH {DETECTIONS}, clicks AS (SELECT * FROM (VALUES (0, 50.0::DOUBLE, 40.0::DOUBLE), (1, 210.0::DOUBLE, 95.0::DOUBLE), (2, 900.0::DOUBLE, 900.0::DOUBLE)) t(click, x, y)) SELECT frame, click, coalesce(max(CASE WHEN x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 THEN det_idx END), -1) AS hit FROM detections, clicks GROUP BY frame, click")
+def hit_test_topmost(spark: SparkSession, d: str) -> DataFrame:
+    states = adapters.detections(spark, d).withColumnRenamed("det_idx", "track_id")
+    points = F.array(*(F.struct(F.lit(i).alias("click"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, x, y in ((0, 50.0, 40.0), (1, 210.0, 95.0), (2, 900.0, 900.0))))
+    clicks = states.select("video", "frame").distinct().select("video", "frame", F.inline(points))
+    return reports.clicked(states, clicks).select("frame", "click", F.coalesce("hit", F.lit(-1)).alias("hit"))
+
+
+AFFINE = (0.99, -0.05, 25.0, 0.05, 0.99, -8.0)
+
+
+def _affine_sql() -> str:
+    a, b, tx, c, e, ty = (f"({v})::DOUBLE" for v in AFFINE)
+    xs = [f"({a} * {x} + {b} * {y} + {tx})" for x in ("x1", "x2") for y in ("y1", "y2")]
+    ys = [f"({c} * {x} + {e} * {y} + {ty})" for x in ("x1", "x2") for y in ("y1", "y2")]
+    pick = lambda f, v: rsql(f"{f}({', '.join(v)})", 4)
+    return f"WITH {DETECTIONS} SELECT frame, det_idx, {pick('least', xs)} AS x1, {pick('least', ys)} AS y1, {pick('greatest', xs)} AS x2, {pick('greatest', ys)} AS y2 FROM detections"
+
+
+@query(_affine_sql())
+def affine_boxes(spark: SparkSession, d: str) -> DataFrame:
+    box = G.transform(G.Box.of(), F.array(*(F.lit(v) for v in AFFINE)))
+    return adapters.detections(spark, d).select("frame", "det_idx", *(r(v, 4).alias(c) for v, c in zip(box, G.Box._fields, strict=True)))
+
+
+STATES = """one AS (
+  SELECT user_id AS track_id, CAST(floor(event_id / 50) AS BIGINT) AS frame, max(event_id) AS event_id, arg_max(event_type, event_id) AS label, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2
+), states AS (
+  SELECT track_id, frame, label, row_number() OVER w > 2 AS confirmed, CAST(event_id % 4 AS INTEGER) AS missed, CAST(row_number() OVER w AS INTEGER) AS hits, value AS x1, value * 0.5::DOUBLE AS y1, value + 20 AS x2, value * 0.5::DOUBLE + 40 AS y2
+  FROM one WINDOW w AS (PARTITION BY track_id ORDER BY frame)
+)"""
+
+
+@query(f"""WITH {STATES} SELECT track_id, frame, CASE WHEN NOT confirmed THEN 'TENTATIVE' WHEN missed > 0 THEN 'PREDICTED' ELSE 'TRACKED' END AS lifecycle,
+  {rsql("greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, hits / 8.0::DOUBLE) * 0.35::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, x1 / 100.0::DOUBLE)) * 0.65::DOUBLE)) / (1.0::DOUBLE + missed * 0.35::DOUBLE) * CASE WHEN confirmed THEN 1.0::DOUBLE ELSE 0.72::DOUBLE END", 4)} AS quality FROM states""")
+def quality_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    score = F.col("x1") / 100.0
+    q = T.quality(F.col("hits"), F.lit(0.0), score, F.col("missed"), F.col("confirmed"))
+    return adapters.states(spark, d).select("track_id", "frame", T.lifecycle(F.col("confirmed"), F.col("missed")).alias("lifecycle"), r(q, 4).alias("quality"))
+
+
+@query(f"""WITH {DETECTIONS}, c AS (SELECT *, (x1 + x2) * 0.5::DOUBLE AS cx, (y1 + y2) * 0.5::DOUBLE AS cy, degrees(2 * atan(tan(radians(70.0::DOUBLE) / 2) * (720.0::DOUBLE / 1280.0::DOUBLE))) AS vfov FROM detections)
+SELECT frame, det_idx, {rsql("(cx - 640.0::DOUBLE) / 640.0::DOUBLE * 35.0::DOUBLE")} AS yaw, {rsql("-((cy - 360.0::DOUBLE) / 360.0::DOUBLE) * (vfov / 2)")} AS pitch, {rsql("greatest(0.0::DOUBLE, x2 - x1) / 1280.0::DOUBLE * 70.0::DOUBLE")} AS ang_w FROM c""")
+def angular_offsets(spark: SparkSession, d: str) -> DataFrame:
+    w, h, hfov = F.lit(1280.0), F.lit(720.0), F.lit(70.0)
+    vfov, box = T.vfov_of(hfov, w, h), G.Box.of()
+    yaw, pitch = T.angular_offset(*G.center(box), w, h, hfov, vfov)
+    return adapters.detections(spark, d).select("frame", "det_idx", r(yaw).alias("yaw"), r(pitch).alias("pitch"), r(T.angular_size(G.width(box), G.height(box), w, h, hfov, vfov)[0]).alias("ang_w"))
+
+
+@query(f"""SELECT f AS frame, CAST(i AS INTEGER) AS det_idx, CAST(i % 3 AS INTEGER) AS class_id, CASE WHEN f % 47 = 0 THEN 0.28::DOUBLE ELSE 0.86::DOUBLE END AS score,
+  {rsql("1920.0::DOUBLE * (0.1::DOUBLE + 0.8::DOUBLE * ((i + 1) / 33.0::DOUBLE)) + sin(f * 0.031::DOUBLE + i * 0.73::DOUBLE) * 45 - (45 + i % 4 * 12) / 2.0::DOUBLE", 4)} AS x1,
+  {rsql("540.0::DOUBLE + cos(f * 0.027::DOUBLE + i * 0.73::DOUBLE) * 180 - (80 + i % 3 * 18) / 2.0::DOUBLE", 4)} AS y1
+FROM range(3000) a(f), range(32) b(i) WHERE NOT (f % 89 = 0 AND i % 5 = 0)""")
+def synthetic_detections(spark: SparkSession, d: str) -> DataFrame:
+    return generators.synthetic_detections(spark).select("frame", "det_idx", "class_id", "score", r("x1", 4).alias("x1"), r("y1", 4).alias("y1"))
+
+
+COSINE = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))))"
+ITEMS = "items AS (SELECT vec_id, 'v' || (vec_id % 5) AS video, label AS class_id, 'class ' || label AS label, CAST(embedding AS DOUBLE[]) AS v, 'v' || (vec_id % 5) || '#T' || vec_id AS key FROM embeddings)"
+REVIEWED = """turns AS (SELECT key, lead(key) OVER w AS other, row_number() OVER w AS n FROM items WINDOW w AS (PARTITION BY class_id ORDER BY vec_id)),
+reviews AS (SELECT least(key, other) AS lo, greatest(key, other) AS hi, CASE CAST(floor(n / 20) AS BIGINT) % 3 WHEN 0 THEN 'same' WHEN 1 THEN 'different' ELSE 'unsure' END AS decision FROM turns WHERE n % 20 = 1 AND other IS NOT NULL)"""
+PAIRS = f"""pairs AS (SELECT a.key AS l, b.key AS r, a.label, {COSINE} AS sim, w.decision FROM items a JOIN items b ON a.class_id = b.class_id AND (a.video, a.vec_id) < (b.video, b.vec_id)
+  LEFT JOIN reviews w ON w.lo = least(a.key, b.key) AND w.hi = greatest(a.key, b.key) WHERE a.video <> b.video OR w.decision = 'same')"""
+EDGE_COLUMNS = f"l AS \"left\", r AS \"right\", label, {rsql('sim')} AS similarity, CASE WHEN decision IN ('same', 'different') THEN 'manual' WHEN sim >= 0.30::DOUBLE THEN 'strong' ELSE 'review' END AS strength"
+
+
+@query(f"WITH {ITEMS}, reviews AS (SELECT '' AS lo, '' AS hi, '' AS decision WHERE false), {PAIRS} SELECT {EDGE_COLUMNS} FROM pairs WHERE sim >= 0.20::DOUBLE")
+def tracklet_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edges(adapters.tracklets(spark, d), None, 0.20, 0.30, salt=4).select("left", "right", "label", "similarity", "strength")
+
+
+@query(f"WITH {ITEMS}, {REVIEWED}, {PAIRS} SELECT {EDGE_COLUMNS}, decision AS review_decision, 'same_object_candidate' AS relation FROM pairs WHERE decision IS NOT NULL OR sim >= 0.20::DOUBLE")
+def edges_with_review(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edges(adapters.tracklets(spark, d), adapters.reviews(spark, d), 0.20, 0.30).select("left", "right", "label", "similarity", "strength", "review_decision", "relation")
+
+
+@query(f"""WITH {ITEMS}, {REVIEWED}, {PAIRS}, e AS (SELECT {EDGE_COLUMNS}, decision FROM pairs WHERE decision IS NOT NULL OR sim >= 0.20::DOUBLE)
+SELECT row_number() OVER (ORDER BY CASE WHEN decision IN ('same', 'different') THEN 0 ELSE 1 END, similarity DESC NULLS LAST, "left", "right") AS place, "left", "right" FROM e ORDER BY place LIMIT 50""")
+def edge_order_top(spark: SparkSession, d: str) -> DataFrame:
+    """The first 50 edges in the graph's order: a report with a limit."""
+    top = graph.ordered(graph.edges(adapters.tracklets(spark, d), adapters.reviews(spark, d), 0.20, 0.30)).limit(50)
+    manual = F.when(F.col("review_decision").isin("same", "different"), 0).otherwise(1)
+    return top.select(F.row_number().over(Window.orderBy(manual, F.desc_nulls_last("similarity"), "left", "right")).cast("bigint").alias("place"), "left", "right")
+
+
+GALLERIES = "galleries AS (SELECT CAST(floor(vec_id / 5) AS BIGINT) AS g, list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS gallery FROM embeddings GROUP BY 1)"
+
+
+@query(f"""WITH {GALLERIES}, scored AS (SELECT x.g, {COSINE.replace("a.v", "a").replace("b.v", "b")} AS s FROM (SELECT l.g, unnest(l.gallery) AS a, r.gallery AS right_ FROM galleries l JOIN galleries r ON r.g = l.g + 1) x, unnest(x.right_) y(b)),
+ranked AS (SELECT g, s, row_number() OVER (PARTITION BY g ORDER BY s DESC) AS k FROM scored) SELECT g, {rsql("avg(s)")} AS similarity FROM ranked WHERE k <= 3 GROUP BY g""")
+def gallery_topk_similarity(spark: SparkSession, d: str) -> DataFrame:
+    rows = adapters.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("g"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    galleries = rows.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "v"))), lambda x: x["v"]).alias("gallery"))
+    after = galleries.select((F.col("g") - 1).alias("g"), F.col("gallery").alias("next"))
+    return galleries.join(after, "g").select("g", r(gallery_similarity(F.col("gallery"), F.col("next"))).alias("similarity"))
+
+
+@query(f"""WITH g AS (SELECT CAST(floor(vec_id / 10) AS BIGINT) AS g, list([{{'i': vec_id, 'v': CAST(embedding AS DOUBLE[])}}] ORDER BY vec_id) AS items FROM embeddings GROUP BY 1),
+f AS (SELECT g, list_reduce(items, lambda acc, d: CASE WHEN len(acc) >= 6 OR len(list_filter(acc, lambda k: {COSINE.replace("a.v", "k.v").replace("b.v", "d[1].v")} >= 0.1::DOUBLE)) > 0 THEN acc ELSE list_concat(acc, d) END) AS kept FROM g)
+SELECT g, len(kept) AS kept, CAST(list_sum(list_transform(kept, lambda k: k.i)) AS BIGINT) AS ids FROM f""")
+def gallery_select(spark: SparkSession, d: str) -> DataFrame:
+    rows = adapters.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("g"), F.struct("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).alias("o"))
+    grouped = rows.groupBy("g").agg(F.sort_array(F.collect_list("o")).alias("all"))
+    like = lambda kept, o: F.exists(kept, lambda k: F.coalesce(cosine(k["v"], o["v"]), F.lit(0.0)) >= 0.1)
+    step = lambda kept, o: F.when((F.size(kept) >= tracklets.GALLERY) | like(kept, o), kept).otherwise(F.concat(kept, F.array(o)))
+    kept = F.aggregate("all", F.array().cast("array<struct<vec_id:bigint,v:array<double>>>"), step)
+    return grouped.select("g", kept.alias("k")).select("g", F.size("k").cast("bigint").alias("kept"), F.aggregate("k", F.lit(0).cast("bigint"), lambda s, k: s + k["vec_id"]).alias("ids"))
+
+
+@query("""WITH f AS (SELECT vec_id, CASE label % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'hot dog!' ELSE '_a b_' END AS label FROM embeddings),
+p AS (SELECT vec_id, label, CASE WHEN label = 'person' THEN 'PERSON_APPEARANCE' WHEN label = 'hot dog!' THEN 'HOT_DOG' ELSE 'A_B' END AS prefix FROM f)
+SELECT vec_id, prefix || '_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS entity_id, CASE WHEN label = 'person' THEN 'appearance_group_not_identity' ELSE 'tentative_same_object_group' END AS semantics
+FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY vec_id) AS n FROM p)""")
+def entity_prefix_numbering(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("label") % 3 == 0, "person").when(F.col("label") % 3 == 1, "hot dog!").otherwise("_a b_")
+    rows = adapters.table(spark, d, "embeddings").select("vec_id", label.alias("label")).withColumn("prefix", T.entity_prefix(F.col("label")))
+    number = F.row_number().over(Window.partitionBy("prefix").orderBy("vec_id"))
+    return rows.select("vec_id", F.format_string("%s_%03d", "prefix", number).alias("entity_id"), T.entity_semantics(F.col("label")).alias("semantics"))
+
+
+@query(f"""WITH {STATES}, o AS (SELECT *, x1 / 200.0::DOUBLE AS score, y1 / 100.0::DOUBLE AS quality FROM states WHERE confirmed AND missed = 0),
+v AS (SELECT *, score * 0.65::DOUBLE + quality * 0.35::DOUBLE AS value FROM o)
+SELECT track_id AS local_track_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS observations, arg_min(label, frame) AS label, {rsql("avg(score)", 4)} AS mean_score, {rsql("avg(quality)", 4)} AS mean_quality,
+  (list(frame ORDER BY value DESC, frame))[1] AS best_frame FROM v GROUP BY track_id HAVING count(*) >= 3""")
+def tracklet_agg_best_frame(spark: SparkSession, d: str) -> DataFrame:
+    s = adapters.states(spark, d).filter("confirmed AND missed = 0")
+    observed = s.select("video", "track_id", "frame", F.lit(0).alias("class_id"), "label", (F.col("x1") / 200.0).alias("score"), (F.col("y1") / 100.0).alias("quality"), F.array(F.lit(1.0)).alias("descriptor"))
+    return tracklets.summarize(observed).select("local_track_id", "first_frame", "last_frame", "observations", "label", r("mean_score", 4).alias("mean_score"), r("mean_quality", 4).alias("mean_quality"), "best_frame")
+
+
+P95 = "list_sort(list(ms))[1 + CAST(least(count(ms) - 1, round_even((count(ms) - 1) * 0.95::DOUBLE, 0)) AS BIGINT)]"
+
+
+@query(f"SELECT user_id % 100 AS session, event_type AS stage, {rsql('avg(ms)', 3)} AS ms_avg, {rsql(P95, 3)} AS ms_p95, {rsql('max(ms)', 3)} AS ms_max FROM (SELECT user_id, event_type, value AS ms FROM events) GROUP BY 1, 2")
+def stage_timing_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.stage_report(adapters.samples(spark, d).withColumn("session", F.col("session") % 100))
+
+
+@query(f"SELECT user_id AS session, {rsql('coalesce(avg(ms), 0)', 3)} AS fps_avg, {rsql(f'CASE WHEN count(ms) > 0 THEN {P95} ELSE 0 END', 3)} AS fps_p95, {rsql('coalesce(min(ms), 0)', 3)} AS fps_min FROM (SELECT user_id, CASE WHEN value > 20 THEN value END AS ms FROM events) GROUP BY 1".replace("list(ms)", "list(ms) FILTER (WHERE ms IS NOT NULL)"))
+def fps_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.fps_report(adapters.samples(spark, d).select("session", F.when(F.col("ms") > 20, F.col("ms")).otherwise(0.0).alias("fps")))
+
+
+@query(f"""SELECT user_id AS id, arg_max(event_type, event_id) AS label, count(*) AS frames_present, count(*) FILTER (event_id % 4 > 0) AS frames_predicted, {rsql("count(*) FILTER (event_id % 4 > 0) / count(*)", 4)} AS prediction_ratio,
+  {rsql("count(*) FILTER (value > 10) / count(*)", 4)} AS confirmed_ratio, {rsql("avg(value)", 4)} AS avg_quality, CAST(max(event_id % 7) AS BIGINT) AS recoveries FROM events GROUP BY 1""")
+def track_report(spark: SparkSession, d: str) -> DataFrame:
+    e = adapters.table(spark, d, "events")
+    flat = e.select(F.lit(0).alias("session"), F.col("user_id").alias("track_id"), F.col("event_type").alias("label"), F.col("event_id").alias("line"), F.lit(0).alias("place"), (F.col("event_id") % 4).alias("missed"), (F.col("value") > 10).alias("confirmed"), F.col("value").alias("quality"), (F.col("event_id") % 7).alias("recoveries"))
+    return reports.track_report(flat).drop("session")
+
+
+NAMES = ("track_created", "track_confirmed", "track_recovered", "track_ended", "target_lost", "capture_reconnected")
+
+
+@query("SELECT user_id AS session, " + ", ".join(f"count(*) FILTER (event_id % 6 = {i}) AS {n.removeprefix('track_') if n != 'capture_reconnected' else 'reconnect_events'}" for i, n in enumerate(NAMES)) + " FROM events GROUP BY 1")
+def event_counts(spark: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.array(*(F.lit(n) for n in NAMES)), (F.col("event_id") % 6 + 1).cast("int"))
+    return reports.event_counts(adapters.table(spark, d, "events").select(F.col("user_id").alias("session"), name.alias("name")))
+
+
+@query(f"""WITH w AS (SELECT user_id AS session, event_type AS stage, event_id AS seq, value AS latest, avg(value) OVER t AS mean, list(value) OVER t AS held FROM events WINDOW t AS (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN 239 PRECEDING AND CURRENT ROW))
+SELECT session, stage, seq, latest, {rsql("mean", 4)} AS mean, list_sort(held)[1 + CAST(least(len(held) - 1, round_even((len(held) - 1) * 0.95::DOUBLE, 0)) AS BIGINT)] AS p95 FROM w""")
+def rolling_stage_p95(spark: SparkSession, d: str) -> DataFrame:
+    return reports.rolling_stages(adapters.samples(spark, d)).select("session", "stage", "seq", "latest", r("mean", 4).alias("mean"), "p95")
+
+
+@query(f"""WITH {STATES}, t AS (SELECT track_id, frame, list(CAST(trunc((x1 + x2) * 0.5::DOUBLE) AS BIGINT)) OVER w AS xs FROM states WINDOW w AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 63 PRECEDING AND CURRENT ROW))
+SELECT track_id, frame, len(xs) AS points, CAST(list_sum(xs) AS BIGINT) AS sum_x FROM t""")
+def trajectory_tail(spark: SparkSession, d: str) -> DataFrame:
+    rows = lifecycle.trajectory(adapters.states(spark, d))
+    return rows.select("track_id", "frame", F.size("history").cast("bigint").alias("points"), F.aggregate("history", F.lit(0).cast("bigint"), lambda s, p: s + p["x"]).alias("sum_x"))
+
+
+@query(f"""WITH {STATES}, l AS (SELECT *, lag(confirmed) OVER w AS was_confirmed, lag(missed) OVER w AS was_missed, lag(frame) OVER w AS was, lead(frame) OVER w AS nxt, max(frame) OVER () AS last_frame FROM states WINDOW w AS (PARTITION BY track_id ORDER BY frame))
+SELECT track_id, frame, 'track_created' AS name FROM l WHERE was IS NULL UNION ALL SELECT track_id, frame, 'track_confirmed' FROM l WHERE was IS NOT NULL AND NOT was_confirmed AND confirmed
+UNION ALL SELECT track_id, frame, 'track_recovered' FROM l WHERE was_missed > 0 AND missed = 0 UNION ALL SELECT track_id, frame + 1, 'track_ended' FROM l WHERE nxt IS NULL AND frame < last_frame""")
+def lifecycle_events(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.events(adapters.states(spark, d)).select("track_id", "frame", "name")
+
+
+@query(f"WITH {STATES} SELECT c.frame, c.selected_id FROM (SELECT DISTINCT frame, frame % 50 AS selected_id FROM states) c WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.frame = c.frame AND s.track_id = c.selected_id)")
+def target_lost(spark: SparkSession, d: str) -> DataFrame:
+    s = adapters.states(spark, d)
+    return lifecycle.target_lost(s, s.select("video", "frame", (F.col("frame") % 50).alias("selected_id")).distinct()).select("frame", "selected_id")
+
+
+@query("SELECT user_id AS session, count(*) FILTER (event_id % 5 > 0) AS frames, coalesce(arg_max(value, event_id) FILTER (event_id % 5 = 0), arg_max(value * 2, event_id) FILTER (event_id % 5 > 0), 0) AS duration_s FROM events GROUP BY 1")
+def session_first_last(spark: SparkSession, d: str) -> DataFrame:
+    e, foot = adapters.table(spark, d, "events"), F.col("event_id") % 5 == 0
+    rows = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("line"), F.when(foot, "footer").otherwise("frame").alias("type"), F.when(foot, F.col("value")).alias("duration_s"), F.when(~foot, F.col("value") * 2).alias("t"), F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("string").alias("data"), F.lit(None).cast("string").alias("name"))
+    return reports.session_bounds(rows).select("session", "frames", "duration_s")
+
+
+@query(f"""WITH o AS (SELECT user_id, event_id, value FROM events), l AS (SELECT user_id, list({{'i': event_id, 'e': value}} ORDER BY event_id) AS items FROM o GROUP BY 1),
+f AS (SELECT user_id, list_reduce(items, lambda acc, x: {{'i': x.i, 'e': acc.e * 0.88::DOUBLE + x.e * 0.12::DOUBLE}}) AS last FROM l) SELECT user_id AS session, {rsql("last.e", 4)} AS fps FROM f""")
+def fps_ema(spark: SparkSession, d: str) -> DataFrame:
+    smooth = lifecycle.ema(adapters.samples(spark, d), ("session",), "seq", "ms", 0.88)
+    return smooth.groupBy("session").agg(F.max_by("ema", "seq").alias("e")).select("session", r("e", 4).alias("fps"))
+
+
+@query("""WITH p AS (SELECT vec_id, '/in/Clips/' || CASE vec_id % 4 WHEN 0 THEN 'a b_SpectraTrack' WHEN 1 THEN 'Analyzed' WHEN 2 THEN 'clip.1' ELSE 'result_max2' END || CASE WHEN vec_id % 3 = 0 THEN '.MP4' ELSE '.webm' END AS path FROM embeddings)
+SELECT vec_id, vec_id % 4 < 2 AS derived, CASE vec_id % 4 WHEN 0 THEN 'a_b_SpectraTrack' WHEN 1 THEN 'Analyzed' WHEN 2 THEN 'clip_1' ELSE 'result_max2' END || '_T' || CASE WHEN vec_id < 1000 THEN lpad(CAST(vec_id AS VARCHAR), 3, '0') ELSE CAST(vec_id AS VARCHAR) END || '.jpg' AS preview FROM p""")
+def path_rules(spark: SparkSession, d: str) -> DataFrame:
+    names = F.element_at(F.array(*(F.lit(x) for x in ("a b_SpectraTrack", "Analyzed", "clip.1", "result_max2"))), (F.col("vec_id") % 4 + 1).cast("int"))
+    rows = adapters.table(spark, d, "embeddings").select("vec_id", names.alias("stem"), F.concat(F.lit("/in/Clips/"), names, F.when(F.col("vec_id") % 3 == 0, ".MP4").otherwise(".webm")).alias("path"))
+    return rows.select("vec_id", looks_derived(F.col("path")).alias("derived"), T.preview_name(F.col("stem"), F.col("vec_id")).alias("preview"))
+
+
+@query("SELECT conv_id AS session, turn AS frame, coalesce(role, '') AS label, coalesce(CAST(json_extract(to_json({'score': CASE WHEN turn % 2 = 0 THEN turn END}), '$.score') AS DOUBLE), 0.0) AS score, turn % 2 = 0 AS detected FROM conversations")
+def json_defaults_flatten(spark: SparkSession, d: str) -> DataFrame:
+    track = F.struct(F.col("turn").cast("int").alias("id"), F.col("role").alias("label"), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("double")).alias("score"))
+    lines = adapters.table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("line"), F.to_json(F.struct(F.lit("frame").alias("type"), F.col("turn").alias("frame"), F.array(track).alias("tracks"))).alias("json"))
+    rows = lines.select("session", "line", F.from_json("json", SESSION).alias("r")).select("session", "line", "r.*")
+    return flat_tracks(rows).select("session", "frame", "label", "score", (F.col("frame") % 2 == 0).alias("detected"))
+
+
+def _tracked(spark: SparkSession) -> DataFrame:
+    return tracker.run_tracking(generators.synthetic_frames(spark, 300), generators.synthetic_detections(spark, 300), generators.synthetic_motion(spark, 300), tracker.TrackerConfig(min_hits=1))
+
+
+@query()
+def track_states(spark: SparkSession, d: str) -> DataFrame:
+    """Rows only: a stateful fold over frames."""
+    return _tracked(spark).select("frame", "track_id", "class_id", *(r(c, 3).alias(c) for c in G.Box._fields), "age", "hits", "missed", "confirmed", "recoveries")
+
+
+@query()
+def track_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.events(_tracked(spark)).select("frame", "track_id", "name")
+
+
+@query()
+def lite_track_states(spark: SparkSession, d: str) -> DataFrame:
+    out = tracker.run_tracking(generators.synthetic_frames(spark, 200), generators.synthetic_detections(spark, 200), None, tracker.LITE)
+    return out.select("frame", "track_id", "class_id", *(r(c, 3).alias(c) for c in G.Box._fields), "age", "hits", "missed")
+
+
+@query()
+def entities_complete_link(spark: SparkSession, d: str) -> DataFrame:
+    return graph.entities(adapters.tracklets(spark, d), adapters.reviews(spark, d), 0.30)
+
+
+@query()
+def raw_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Rows only: raw model rows (centre, size, three class scores) made from line items."""
+    det = adapters.detections(spark, d)
+    box = G.Box.of()
+    scores = [F.when(F.col("class_id") == k, F.col("score")).otherwise(F.col("score") * 0.3) for k in range(3)]
+    values = F.array(*(v.cast("float") for v in (*G.center(box), G.width(box), G.height(box), *scores)))
+    size = {"input_w": 640, "input_h": 640, "frame_w": 1280, "frame_h": 720}
+    raw = det.select("video", "frame", F.col("det_idx").alias("row_idx"), values.alias("values"), *(F.lit(v).alias(k) for k, v in size.items()), F.lit(0.5).alias("scale"), F.lit(0.0).alias("pad_x"), F.lit(140.0).alias("pad_y"))
+    return decode.decode(raw, 0.25, 0.45).select("frame", "det_idx", "class_id", "label", r("score", 4).alias("score"), *(r(c, 2).alias(c) for c in G.Box._fields))
