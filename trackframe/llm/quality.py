@@ -67,10 +67,17 @@ def fit(grade: np.ndarray, places: np.ndarray, row: np.ndarray) -> tuple[np.ndar
     n = len(grade)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0), np.array([-1.0, 0.0])
-    used, column, often = np.unique(places, return_inverse=True, return_counts=True)
     # Only features whose documents' mean grade is SCREEN standard errors off the mean of all take part.
-    off = np.abs(np.bincount(column, weights=(grade - grade.mean())[row], minlength=len(used))) / np.sqrt(often)
-    good = off > SCREEN * max(grade.std(), 1e-9) * np.sqrt(np.maximum(1 - often / n, 1e-9))
+    centred, often, off = grade - grade.mean(), np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
+    for at in range(0, len(places), 1 << 20):
+        part = places[at : at + (1 << 20)]
+        often += np.bincount(part, minlength=len(often))
+        off += np.bincount(part, weights=centred[row[at : at + (1 << 20)]], minlength=len(off))
+    spread = max(grade.std(), 1e-9) * np.sqrt(often * np.maximum(1 - often / n, 1e-9))
+    good = (often > 0) & (np.abs(off) > SCREEN * spread)
+    held = good[places]
+    column, row = (np.cumsum(good) - 1)[places[held]], row[held]
+    used = np.flatnonzero(good)
     offsets = np.searchsorted(row, np.arange(n + 1))
     cum = np.clip(np.cumsum(np.bincount(grade, minlength=GRADES))[:-1] / n, 0.5 / n, 1 - 0.5 / n)
     cut = np.log(cum / (1 - cum))
@@ -84,8 +91,6 @@ def fit(grade: np.ndarray, places: np.ndarray, row: np.ndarray) -> tuple[np.ndar
             size = offsets[d + 1] - offsets[d]
             local = np.repeat(np.arange(len(d)), size)
             flat = column[np.arange(size.sum()) + np.repeat(offsets[d] - np.cumsum(size) + size, size)]
-            ok = good[flat]
-            local, flat = local[ok], flat[ok]
             s = np.bincount(local, weights=w[flat], minlength=len(d))
             edge = np.concatenate(([-np.inf], cut, [np.inf]))
             upper, lower = logistic(edge[grade[d] + 1] - s), logistic(edge[grade[d]] - s)
@@ -125,8 +130,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         table = table.sort_by([("doc_id", "ascending")]).combine_chunks()
         lists = table.column("places").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        row = np.repeat(np.arange(len(table)), lists.value_lengths().to_numpy())
-        places, w, cut = fit(table.column("grade").to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.int64), row)
+        row = np.repeat(np.arange(len(table), dtype=np.int32), lists.value_lengths().to_numpy())
+        places, w, cut = fit(table.column("grade").to_numpy().astype(np.int64), lists.flatten().to_numpy(), row)
         return pa.table({"place": pa.array([places.tolist()], pa.list_(pa.int64())), "w": pa.array([w.tolist()], pa.list_(pa.float64())), "cut": pa.array([cut.tolist()], pa.list_(pa.float64()))})
 
     found = sample.mapInArrow(read, "doc_id long, grade int, places array<int>").groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: learn(t.select(["doc_id", "grade", "places"])), "place array<long>, w array<double>, cut array<double>").collect()
