@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -51,9 +52,10 @@ def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if free:
+    for _ in range(2 * free):  # what holds on to a shuffle goes in the first round, the shuffle's files in the second
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
 
 
