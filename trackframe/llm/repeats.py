@@ -160,6 +160,8 @@ def _repeated(keys: list[np.ndarray], order: np.ndarray, firsts: bool) -> np.nda
 
 def _spans(which: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring starts as one span each: context number, first unit, end."""
+    if not len(which):
+        return which, start, start
     order = np.lexsort((start, which))
     which, start = which[order], start[order]
     new = np.ones(len(which), bool)
