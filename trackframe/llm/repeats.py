@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from trackframe.llm.common import Chunk, Rolling, chunks, cut
 
-HOT = 50_000
+HOT = 16_384
 NULL_ID = -(1 << 63)
 ANCHOR = "h long, ctx long, did long, at long"
 
@@ -118,44 +118,49 @@ def _contexts(joined: DataFrame, kind: Kind) -> DataFrame:
 
 
 def _windows(units: list[bytes], at: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of some contexts: context number, start in the document, leading units and hash of all units."""
-    joined = np.frombuffer(b"".join(units), kind.dtype)
+    """Of all windows of some contexts: context number, start in the document, leading units and hash of all units.
+
+    Contexts are taken PIECE at a time, so that only these four numbers a window are held for all of them.
+    """
     n, lo = at >> 25 & 255, at >> 33
-    base = np.cumsum(n - 1 + kind.window) - (n - 1 + kind.window)
-    which = np.repeat(np.arange(len(at)), n)
+    which = np.repeat(np.arange(len(at), dtype=np.int32), n)
     step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    place = base[which] + step
-    return which, lo[which] + step, kind.lead(joined, place), Rolling(kind.codes(joined)).of(place, place + kind.window)
-
-
-def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """Order by the first key, ties by the next, and so on; only ties are sorted again (multikey quicksort)."""
-    order = np.argsort(keys[0], kind="stable")
-    for depth, key in enumerate(keys[1:], 1):
-        same = np.ones(len(order), bool)
-        same[:1] = False
-        for k in keys[:depth]:
-            same[1:] &= k[order[1:]] == k[order[:-1]]
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        rows = np.flatnonzero(tied)
-        if not len(rows):
-            break
-        group = np.cumsum(~same)[rows]
-        order[rows] = order[rows][np.lexsort((key[order[rows]], group))]
+    lead, hashed = np.empty(len(which), np.uint64), np.empty(len(which), np.uint64)
+    to = 0
+    for s in range(0, len(at), PIECE):
+        joined, m = np.frombuffer(b"".join(units[s : s + PIECE]), kind.dtype), n[s : s + PIECE]
+        fro, to = to, to + int(m.sum())
+        base = np.cumsum(m - 1 + kind.window) - (m - 1 + kind.window)
+        place = base[which[fro:to] - s] + step[fro:to]
+        lead[fro:to], hashed[fro:to] = kind.lead(joined, place), Rolling(kind.codes(joined)).of(place, place + kind.window)
+    return which, np.repeat(lo, n) + step, lead, hashed
+
+
+def multikey_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Order by the first key; only its ties are sorted by the second (multikey quicksort, keys being eight units wide)."""
+    order = np.argsort(first, kind="stable")
+    key = first[order]
+    same = key[1:] == key[:-1]
+    tied = np.zeros(len(order), bool)
+    tied[1:] |= same
+    tied[:-1] |= same
+    rows = np.flatnonzero(tied)
+    new = np.ones(len(order), np.int64)
+    new[1:] = ~same
+    group = np.cumsum(new)[rows]
+    order[rows] = order[rows][np.lexsort((second[order[rows]], group))]
     return order
 
 
-def _repeated(keys: list[np.ndarray], order: np.ndarray, firsts: bool) -> np.ndarray:
-    """Which windows (in sorted order) are to be removed: all of a run of equal keys, or all but its first."""
-    same = np.ones(len(order), bool)
-    same[:1] = False
-    for k in keys:
-        same[1:] &= k[order[1:]] == k[order[:-1]]
-    out = same.copy()
+def repeated(lead: np.ndarray, hashed: np.ndarray, order: np.ndarray, firsts: bool) -> np.ndarray:
+    """The windows that are to be removed: of each run of equal ones all, or all but its first in the given order."""
+    order = order[multikey_order(lead[order], hashed[order])]
+    same = (lead[order[1:]] == lead[order[:-1]]) & (hashed[order[1:]] == hashed[order[:-1]])
+    out = np.zeros(len(order), bool)
+    out[1:] |= same
     if not firsts:
-        out[:-1] |= same[1:]
-    return out
+        out[:-1] |= same
+    return order[out]
 
 
 def _spans(which: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,12 +182,9 @@ SPAN = "did long, bits long, s long, e long"
 def _resolve(sorted_rows: DataFrame, kind: Kind) -> DataFrame:
     """Buckets: rows of a name stand together; its contexts are compared once all are there."""
 
-    def compare(h: np.ndarray, did: np.ndarray, at: np.ndarray, units: list[bytes]) -> pa.RecordBatch:
+    def compare(did: np.ndarray, at: np.ndarray, units: list[bytes]) -> pa.RecordBatch:
         which, start, lead, hashed = _windows(units, at, kind)
-        keys = [h[which], lead, hashed]
-        order = np.lexsort((start, did[which])) if kind.firsts else np.arange(len(which))
-        order = order[multikey_order([k[order] for k in keys])]
-        gone = order[_repeated(keys, order, kind.firsts)]
+        gone = repeated(lead, hashed, np.lexsort((start, did[which])) if kind.firsts else np.arange(len(which)), kind.firsts)
         w, s, e = _spans(which[gone], start[gone], kind.window)
         return pa.RecordBatch.from_arrays([pa.array(did[w]), pa.array(at[w] & ((1 << 17) - 1)), pa.array(s), pa.array(e)], ["did", "bits", "s", "e"])
 
@@ -195,16 +197,16 @@ def _resolve(sorted_rows: DataFrame, kind: Kind) -> DataFrame:
                 continue
             n = int(np.flatnonzero(h[1:] != h[:-1])[-1]) + 1  # the last name may go on in the next batch
             for s, e in _slices(h[:n]):
-                yield compare(h[s:e], did[s:e], at[s:e], units[s:e])
+                yield compare(did[s:e], at[s:e], units[s:e])
             h, did, at, units = h[n:], did[n:], at[n:], units[n:]
         for s, e in _slices(h):
-            yield compare(h[s:e], did[s:e], at[s:e], units[s:e])
+            yield compare(did[s:e], at[s:e], units[s:e])
 
     return sorted_rows.select("h", "did", "at", "units").mapInArrow(run, SPAN)
 
 
-#: Contexts that are compared at once, as far as names allow.
-ENOUGH = 4096
+#: Contexts that are compared at once, as far as names allow, and whose units are held side by side.
+ENOUGH, PIECE = 2048, 512
 
 
 def _slices(h: np.ndarray) -> Iterator[tuple[int, int]]:
