@@ -183,6 +183,8 @@ def _resolve(sorted_rows: DataFrame, kind: Kind) -> DataFrame:
     """Buckets: rows of a name stand together; its contexts are compared once all are there."""
 
     def compare(did: np.ndarray, at: np.ndarray, units: list[bytes]) -> pa.RecordBatch:
+        _, one = np.unique(np.stack([did, at]), axis=1, return_index=True)  # a repeated row gives the same context again
+        did, at, units = did[one], at[one], [units[i] for i in one]
         which, start, lead, hashed = _windows(units, at, kind)
         gone = repeated(lead, hashed, np.lexsort((start, did[which])) if kind.firsts else np.arange(len(which)), kind.firsts)
         w, s, e = _spans(which[gone], start[gone], kind.window)
@@ -228,7 +230,7 @@ def _resolve_hot(rows: DataFrame, kind: Kind) -> DataFrame:
             which, start, lead, hashed = _windows(b.column(3).to_pylist(), at, kind)
             yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), pa.array(hashed.view(np.int64)), pa.array(did[which]), pa.array(start), pa.array(at[which] & ((1 << 17) - 1))], ["lead", "hashed", "did", "s", "bits"])
 
-    windows = rows.select("h", "did", "at", "units").mapInArrow(explode, "lead long, hashed long, did long, s long, bits long")
+    windows = rows.select("h", "did", "at", "units").dropDuplicates(["did", "at"]).mapInArrow(explode, "lead long, hashed long, did long, s long, bits long")
     seen = windows.groupBy("lead", "hashed").agg(F.count("*").alias("n"), F.min(F.struct("did", "s", "bits")).alias("first")).filter("n > 1")
     gone = windows.join(seen, ["lead", "hashed"])
     if kind.firsts:
@@ -242,7 +244,8 @@ def repeated_spans(docs: DataFrame, kind: Kind, id_col: str, text_col: str) -> D
     text, number = F.col(text_col).cast("string"), F.col(id_col).cast("long")
     texts = docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(NULL_ID)).alias("did"), _text_bits(text).alias("bits"), text.alias("text"))
     anchors = _anchors(texts, kind)
-    often = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # Both sides of the join are then dealt out for it alone, so a hot name can be split.
+    often = cut(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often", free=True)
     shared = cut(anchors.join(often, "h"), "shared", free=True)
     member = F.struct("did", "at")
     classes = shared.groupBy("h", "ctx").agg(F.min(member).alias("first"), F.max(member).alias("last"))
