@@ -5,11 +5,12 @@ too short are dropped after matching. All further runs of MIN_LENGTH or more enc
 one of the ENCODINGS (hexadecimal, base 32, base 36, base 64; the smallest alphabet that holds all characters, with
 letters and digits, and both cases for base 64). The null hypothesis is that a run is uniformly random in its encoding:
 
-* a chi-squared test on eight near-equal bins of the alphabet (Wilson-Hilferty normal form),
+* chi-squared tests on eight near-equal bins of the alphabet (Wilson-Hilferty normal form) and on its kinds of characters
+  (capitals, small letters, others),
 * a runs test on the halves of the alphabet,
 * a lag-1 serial correlation test on the alphabet positions,
 
-joined by Fisher's method (six degrees of freedom, closed form). Over the whole corpus, the Benjamini-Hochberg rule in
+joined by Fisher's method (eight degrees of freedom, closed form). Over the whole corpus, the Benjamini-Hochberg rule in
 each stratum (encoding and length class) decides which runs are not random, at a false-discovery rate of FDR; the others
 are added as kind ``random``. Length classes have levels of their own, so that many short runs, on which the tests are
 weak, don't lend their level to long ones. p-values are binned by 1/GRID of a decade for the rule, so what is gathered
@@ -34,7 +35,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-MIN_LENGTH, FDR, GRID, BINS = 24, 0.05, 50, 800
+MIN_LENGTH, FDR, GRID, BINS = 24, 0.1, 50, 800
 RUN = rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}"
 
 LETTERS, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -85,6 +86,13 @@ def _two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z)))
 
 
+def _kind_shares(alphabet: str) -> list[tuple[str, float]]:
+    """The patterns of the kinds of characters that an alphabet has, and their shares of it."""
+    kinds = (("[A-Z]", sum(c in LETTERS for c in alphabet)), ("[a-z]", sum(c in LETTERS.lower() for c in alphabet)))
+    rest = len(alphabet) - sum(n for _, n in kinds)
+    return [(k, n / len(alphabet)) for k, n in (*kinds, ("[^A-Za-z]", rest)) if n]
+
+
 def _encoding(token: Column) -> Column:
     """The first encoding that fits, with its alphabet dealt to eight bins and two halves; null if none does."""
     out = None
@@ -94,6 +102,7 @@ def _encoding(token: Column) -> Column:
         value = F.struct(
             F.lit(k).alias("k"), F.lit(alphabet).alias("alphabet"), F.lit("".join(map(str, bins))).alias("bins"), F.lit("".join("01"[2 * i >= size] for i in range(size))).alias("halves"),
             F.array(*(F.struct(F.lit(str(b)).alias("bin"), F.lit(bins.count(b) / size).alias("share")) for b in range(8))).alias("shares"),
+            F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(share).alias("share")) for k, share in _kind_shares(alphabet))).alias("kinds"),
         )
         out = F.when(token.rlike(pattern), value) if out is None else out.when(token.rlike(pattern), value)
     return out
@@ -108,6 +117,13 @@ def _chi_squared(binned: Column, shares: Column, n: Column) -> Column:
     return (F.pow(F.aggregate(shares, F.lit(0.0), term) / 7, F.lit(1 / 3)) - (1 - 2 / 63)) / (2 / 63) ** 0.5
 
 
+def _kinds(token: Column, kinds: Column, n: Column) -> Column:
+    """The p-value of the chi-squared test on kinds of characters, with one or two degrees of freedom."""
+    seen = lambda k: n - F.length(F.call_function("regexp_replace", token, k["kind"], F.lit("")))
+    chi = F.aggregate(kinds, F.lit(0.0), lambda s, k: s + F.pow(seen(k) - n * k["share"], F.lit(2.0)) / (n * k["share"]))
+    return _let(chi, lambda x: F.when(F.size(kinds) > 2, F.exp(-x / 2)).otherwise(_two_sided(F.sqrt(x))))
+
+
 def _runs(half: Column, n: Column) -> Column:
     z = lambda mean: _let((mean - 1) * (mean - 2) / (n - 1), lambda var: F.when(var > 0, (F.length(F.regexp_replace(half, "0+|1+", "x")) - mean) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(F.lit(9.0)))
     return _let(_without(half, F.lit("0")), lambda n1: _let(2 * n1 * (n - n1) / n + 1, z))
@@ -135,8 +151,8 @@ def _battery(token: Column, e: Column) -> Column:
     minus_log = lambda p: -F.log(F.greatest(p, F.lit(1e-15)))
 
     def fisher(n: Column) -> Column:
-        half_sum = minus_log(_upper_tail(_chi_squared(mapped("bins"), e["shares"], n))) + minus_log(_two_sided(_runs(mapped("halves"), n))) + minus_log(_two_sided(_serial(token, e["alphabet"], n)))
-        return _let(half_sum, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+        p = (_upper_tail(_chi_squared(mapped("bins"), e["shares"], n)), _kinds(token, e["kinds"], n), _two_sided(_runs(mapped("halves"), n)), _two_sided(_serial(token, e["alphabet"], n)))
+        return _let(sum(map(minus_log, p), F.lit(0.0)), lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))
 
     return _let(F.length(token).cast("double"), fisher)
 
