@@ -27,10 +27,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine within 0 and 1; null for null, empty, unequally long or zero vectors."""
-    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm(a) > 1e-12) & (norm(b) > 1e-12)
-    return F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / (norm(a) * norm(b)))))
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine within 0 and 1; null for null, empty, unequally long or zero vectors. Norms that are at hand save work."""
+    na, nb = norm(a) if norm_a is None else norm_a, norm(b) if norm_b is None else norm_b
+    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (na > 1e-12) & (nb > 1e-12)
+    return F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / (na * nb))))
 
 
 def unit(a: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.functions import tracks as T
-from trackframe.functions.numbers import cosine, gallery_similarity, rounded, tracklet_similarity
+from trackframe.functions.numbers import cosine, gallery_similarity, norm, rounded, tracklet_similarity
 from trackframe.operators.tracklets import public
 
 DECISIONS = ("same", "different", "unsure")
@@ -34,7 +34,7 @@ def pairs(tracklets: DataFrame, reviews: DataFrame | None = None, salt: int = 1)
     Pairs within a video count only if a review says same. salt deals the left side of a class to so many tasks, for
     classes that hold most tracklets; the right side is copied to each.
     """
-    rows = items(tracklets).select("key", "video", "class_id", "label", "place", "descriptor", F.coalesce("gallery", F.array().cast("array<array<double>>")).alias("gallery"))
+    rows = items(tracklets).select("key", "video", "class_id", "label", "place", "descriptor", norm(F.col("descriptor")).alias("norm"), F.coalesce("gallery", F.array().cast("array<array<double>>")).alias("gallery"))
     left = rows.select(*(F.col(c).alias(f"l_{c}") for c in rows.columns), F.pmod(F.xxhash64("key"), F.lit(salt)).alias("salt"))
     right = rows.select(*(F.col(c).alias(f"r_{c}") for c in rows.columns), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))).alias("salt"))
     both = left.join(right, (F.col("l_class_id") == F.col("r_class_id")) & (left.salt == right.salt) & (F.col("l_place") < F.col("r_place"))).drop("salt")
@@ -44,8 +44,9 @@ def pairs(tracklets: DataFrame, reviews: DataFrame | None = None, salt: int = 1)
         known = reviews.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "decision")
         both = both.withColumns({"lo": F.least("l_key", "r_key"), "hi": F.greatest("l_key", "r_key")}).join(known, ["lo", "hi"], "left").drop("lo", "hi")
     open_ = both.filter((F.col("l_video") != F.col("r_video")) | F.col("decision").eqNullSafe("same"))
-    base = cosine(F.col("l_descriptor"), F.col("r_descriptor"))
-    return open_.withColumn("similarity", tracklet_similarity(base, gallery_similarity(F.col("l_gallery"), F.col("r_gallery"))))
+    base = cosine(F.col("l_descriptor"), F.col("r_descriptor"), F.col("l_norm"), F.col("r_norm"))
+    scored = open_.withColumns({"base": base, "from_galleries": gallery_similarity(F.col("l_gallery"), F.col("r_gallery"))})
+    return scored.withColumn("similarity", tracklet_similarity(F.col("base"), F.col("from_galleries"))).drop("base", "from_galleries")
 
 
 def edges(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE, strong: float = STRONG, salt: int = 1) -> DataFrame:

@@ -238,11 +238,11 @@ class Tracks:
         }
         affine = None if row["affine"] is None else [float(x) for x in row["affine"]]
         self.step(found, (float(row["dx"]), float(row["dy"])), affine, bool(row["should_detect"]))
-        out = pd.DataFrame(self.table, columns=list(NUMBERS))
+        out = pd.DataFrame(self.table.copy(), columns=list(NUMBERS))  # later steps change the table in place
         for c in ("track_id", "class_id", "age", "hits", "missed", "recoveries"):
             out[c] = out[c].astype("int32")
         out["confirmed"] = out["confirmed"] > 0
-        out["label"], out["appearance"] = self.labels, self.looks
+        out["label"], out["appearance"] = list(self.labels), list(self.looks)
         out["video"], out["epoch"], out["frame"] = row["video"], self.epoch, self.last_frame
         return out
 
