@@ -70,6 +70,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_recompression": """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i AS start, array_to_string(words[i : i + 19], ' ') AS seq FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w)
+), later AS (
+  SELECT doc_id, start FROM windows QUALIFY row_number() OVER (PARTITION BY seq ORDER BY doc_id, start) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS i FROM later
+), each AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM w
+), kept AS (
+  SELECT e.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY e.i) AS rest
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+""",
     "op9_kd_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
