@@ -241,3 +241,71 @@ def test_appearance():
     red, blue = appearance(image, (0, 0, 40, 40)), appearance(image, (40, 0, 80, 40))
     assert len(red) == 48 and np.dot(red, blue) < 0.01 and np.dot(red, red) == pytest.approx(1)
     assert appearance(image, (0, 0, 2, 2)) is None
+
+
+def test_graph_descriptor():
+    import numpy as np
+
+    from trackframe.operators.pixels import graph_descriptor
+
+    rng = np.random.default_rng(0)
+    image = rng.integers(0, 255, (120, 160, 3)).astype(np.uint8)
+    plain = np.full((120, 160, 3), 90, np.uint8)
+    a, b, c = graph_descriptor(image, (10, 10, 110, 110)), graph_descriptor(np.clip(image.astype(int) + 1, 0, 255).astype(np.uint8), (10, 10, 110, 110)), graph_descriptor(plain, (10, 10, 110, 110))
+    assert len(a) == 152 and np.dot(a, a) == pytest.approx(1) and np.dot(a, b) > 0.99 and np.dot(a, c) < 0.9
+    assert graph_descriptor(image, (0, 0, 5, 5)) is None
+
+
+def test_target_lock(spark):
+    from trackframe.operators.selection import refined_boxes, selected_tracks
+
+    box = "x1 double, y1 double, x2 double, y2 double"
+    states = spark.createDataFrame([("v", f, t, 0.0, 0.0, 10.0, 10.0) for f, t in ((1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 1))], f"video string, frame bigint, track_id int, {box}")
+    frames = spark.createDataFrame([("v", f) for f in range(1, 6)], "video string, frame bigint")
+    clicks = spark.createDataFrame([("v", 1, 1, 5.0, 5.0), ("v", 4, 1, 5.0, 5.0), ("v", 4, 2, 5.0, 5.0)], "video string, frame bigint, seq bigint, x double, y double")
+    got = [tuple(r)[1:] for r in selected_tracks(states, frames, clicks).orderBy("frame").collect()]
+    assert got == [(1, 2, "target_lock"), (2, 2, None), (3, None, "target_lost"), (4, None, "target_lock"), (5, None, None)]
+    chosen = spark.createDataFrame([("v", 1, 1, 0.0, 0.0, 10.0, 10.0, False), ("v", 2, 1, 0.0, 0.0, 10.0, 10.0, True)], f"video string, frame bigint, track_id int, {box}, fresh boolean")
+    moves = spark.createDataFrame([("v", f, 5.0, 0.0, 1.0, 0.0, 20, 0.9) for f in (1, 2)], "video string, frame bigint, dx double, dy double, scale double, rotation_rad double, inliers int, ratio double")
+    assert [(r.x1, r.refined) for r in refined_boxes(chosen, moves).orderBy("frame").collect()] == [(5.0, True), (0.0, False)]
+
+
+class Fake:
+    """A detector that sees one box in every image; tensors lie on their side."""
+
+    def __call__(self, image):
+        import numpy as np
+
+        rows = np.zeros((20, 7), np.float32)
+        rows[3] = [320.25, 320, 100, 80, 0.1, 0.9, 0.2]
+        return rows.T[None]
+
+
+def test_frames_to_graph(spark, tmp_path):
+    import numpy as np
+
+    from trackframe.operators.detect import oriented, predict
+    from trackframe.operators.tracker import TrackerConfig
+    from trackframe.plans.analyze import analyze
+    from trackframe.sources.frames import Capture, FrameSource
+
+    for v in ("a", "b"):
+        (tmp_path / v).mkdir()
+        for n in range(6):
+            (tmp_path / v / f"{n:03d}.rgb").write_bytes(np.full((48, 64, 3), 40 * n, np.uint8).tobytes())
+    spark.dataSource.register(FrameSource)
+    frames = spark.read.format("frames").option("path", str(tmp_path)).option("max_frames", 5).load().cache()
+    assert frames.count() == 10
+    found = decode.decode(predict(frames, Fake), 0.25, 0.5, ["a", "b", "c"]).withColumn("appearance", F.array(F.lit(1.0), F.lit(0.0)))
+    result = analyze(frames, found, config=TrackerConfig(min_hits=1))
+    assert [(r.video, r.observations, r.label) for r in result.tracklets.orderBy("video").collect()] == [("a", 5, "b"), ("b", 5, "b")]
+    assert result.edges.first().strength == "strong" and result.entities.count() == 2
+    summary = reports.run_summary(frames.select("video", F.lit(False).alias("failed")).distinct(), result.tracklets, result.entities, result.edges).first()
+    assert (summary.videos_seen, summary.tracklets, summary.entities, summary.edges) == (2, 2, 1, 1)
+    with pytest.raises(ValueError):
+        oriented(np.zeros((3, 3)))
+    with pytest.raises(ValueError):
+        analyze(frames, found, min_observations=0)
+    feed = iter([b"1", None, b"2", None, None, b"3"])
+    camera = Capture(lambda: next(feed, None), camera=True, attempts=2)
+    assert list(camera.frames()) == [(b"1", False), (b"2", True)] and camera.stats() == {"open_count": 3, "read_failures": 3, "reconnects": 2}

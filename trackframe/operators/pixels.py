@@ -36,6 +36,55 @@ def appearance(image: np.ndarray, box: tuple[float, float, float, float]) -> lis
     return (table / np.linalg.norm(table)).ravel().tolist()
 
 
+CELLS, GRAYS, DIRECTIONS, SIDE, GRAPH_MARGIN, GRAPH_SMALLEST = 2, 16, 8, 96, 0.08, 8
+
+
+def area_resize(image: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """Each pixel of the result is the mean of the area that it covers, by weights along rows and columns."""
+
+    def weights(n: int) -> np.ndarray:
+        edge = np.arange(side + 1) * n / side
+        low, high = np.maximum(edge[:-1, None], np.arange(n)[None, :]), np.minimum(edge[1:, None], np.arange(1, n + 1)[None, :])
+        w = np.maximum(0, high - low)
+        return w / w.sum(axis=1, keepdims=True)
+
+    return np.einsum("ah,hwc,bw->abc", weights(image.shape[0]), image.astype(float), weights(image.shape[1]), optimize=True)
+
+
+def at_unit(x: np.ndarray) -> np.ndarray:
+    return x / max(float(np.linalg.norm(x)), 1e-12)
+
+
+def graph_descriptor(image: np.ndarray, box: tuple[float, float, float, float]) -> list[float] | None:
+    """The descriptor of similarity graphs: colour by quarters, brightness, and directions of edges; 152 numbers at length 1.
+
+    It is generic: no face, identity or biometric model is behind it. None for boxes under 8 pixels.
+    """
+    h, w = image.shape[:2]
+    x1, y1 = (max(0, min(n - 1, round(v))) for v, n in ((box[0], w), (box[1], h)))
+    x2, y2 = (max(a + 1, min(n, round(v))) for a, v, n in ((x1, box[2], w), (y1, box[3], h)))
+    crop = image[y1:y2, x1:x2]
+    if min(crop.shape[:2]) < GRAPH_SMALLEST:
+        return None
+    my, mx = (max(1, int(n * GRAPH_MARGIN)) for n in crop.shape[:2])
+    if min(crop.shape[0] - 2 * my, crop.shape[1] - 2 * mx) >= GRAPH_SMALLEST:
+        crop = crop[my : crop.shape[0] - my, mx : crop.shape[1] - mx]
+    small = np.floor(area_resize(crop) + 0.5).astype(np.uint8)
+    hue, saturation = hue_saturation(small)
+    half = SIDE // CELLS
+    quarters = [np.histogram2d(hue[r : r + half, c : c + half].ravel(), saturation[r : r + half, c : c + half].ravel(), bins=(8, 4), range=((0, 180), (0, 256)))[0] for r in (0, half) for c in (0, half)]
+    gray = np.floor(small @ np.array([0.114, 0.587, 0.299]) + 0.5)
+    padded = np.pad(gray, 1, mode="reflect")
+    smooth = lambda a, axis: a.take(range(SIDE), axis) + 2 * a.take(range(1, SIDE + 1), axis) + a.take(range(2, SIDE + 2), axis)
+    slope = lambda a, axis: a.take(range(2, SIDE + 2), axis) - a.take(range(SIDE), axis)
+    gx, gy = slope(smooth(padded, 0), 1), slope(smooth(padded, 1), 0)
+    direction = np.floor(np.degrees(np.arctan2(gy, gx)) % 360 / 45).astype(int) % DIRECTIONS
+    edges = np.bincount(direction.ravel(), weights=np.hypot(gx, gy).ravel(), minlength=DIRECTIONS)
+    parts = [*(at_unit(q.ravel()) for q in quarters), at_unit(np.histogram(gray, bins=GRAYS, range=(0, 256))[0].astype(float)), at_unit(edges)]
+    whole = np.concatenate(parts)
+    return at_unit(whole).tolist() if np.linalg.norm(whole) > 1e-12 else None
+
+
 def _appearance(pixels: pd.Series, width: pd.Series, height: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
     images = (np.frombuffer(p, np.uint8).reshape(h, w, 3) for p, w, h in zip(pixels, width, height, strict=True))
     return pd.Series([appearance(i, b) for i, b in zip(images, zip(x1, y1, x2, y2, strict=True), strict=True)])
