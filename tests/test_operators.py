@@ -30,6 +30,7 @@ def test_geometry(spark):
     lb = G.letterbox(F.lit(1280), F.lit(720), F.lit(640), F.lit(640))
     assert one(spark, lb["scale"], lb["new_h"], lb["pad_y"])[:] == (0.5, 360, 140)
     assert list(one(spark, *G.crop_bounds(box, 0.1, F.lit(100), F.lit(100)))) == [0, 0, 11, 22]
+    assert one(spark, *G.crop_bounds(G.Box(*(F.lit(float(v)) for v in (200, 0, 210, 10))), 0.1, F.lit(100), F.lit(100)))[0] is None
 
 
 def test_numbers(spark):
@@ -225,6 +226,7 @@ def test_config(tmp_path):
     for bad in ({"nope": 1}, {"conf": True}, {"cpu": 1}, {"profile": "x"}, {"detect_every": -1}, []):
         with pytest.raises(ValueError):
             config.check_config(bad)
+    assert all(config.check_config(p) for p in config.PRESETS.values())
     assert config.parse_source("0") == 0 and config.parse_source("a.mp4") == "a.mp4"
     cal = config.Calibration(1000, 500, 60.0)
     cal.save(str(tmp_path / "c.json"))
@@ -265,9 +267,9 @@ def test_target_lock(spark):
     clicks = spark.createDataFrame([("v", 1, 1, 5.0, 5.0), ("v", 4, 1, 5.0, 5.0), ("v", 4, 2, 5.0, 5.0)], "video string, frame bigint, seq bigint, x double, y double")
     got = [tuple(r)[1:] for r in selected_tracks(states, frames, clicks).orderBy("frame").collect()]
     assert got == [(1, 2, "target_lock"), (2, 2, None), (3, None, "target_lost"), (4, None, "target_lock"), (5, None, None)]
-    chosen = spark.createDataFrame([("v", 1, 1, 0.0, 0.0, 10.0, 10.0, False), ("v", 2, 1, 0.0, 0.0, 10.0, 10.0, True)], f"video string, frame bigint, track_id int, {box}, fresh boolean")
-    moves = spark.createDataFrame([("v", f, 5.0, 0.0, 1.0, 0.0, 20, 0.9) for f in (1, 2)], "video string, frame bigint, dx double, dy double, scale double, rotation_rad double, inliers int, ratio double")
-    assert [(r.x1, r.refined) for r in refined_boxes(chosen, moves).orderBy("frame").collect()] == [(5.0, True), (0.0, False)]
+    chosen = spark.createDataFrame([("v", f, t, 0.0, 0.0, 10.0, 10.0, f == 1) for f, t in ((1, 1), (2, 1), (3, 1), (4, 1), (5, 2))], f"video string, frame bigint, track_id int, {box}, fresh boolean")
+    moves = spark.createDataFrame([("v", f, [1.0, 0.0, 5.0, 0.0, 1.0, 0.0], 20, 0.4 if f == 4 else 0.9) for f in range(1, 6)], "video string, frame bigint, affine array<double>, inliers int, ratio double")
+    assert [(r.x1, r.refined) for r in refined_boxes(chosen, moves).orderBy("frame").collect()] == [(0.0, False), (5.0, True), (10.0, True), (0.0, False), (0.0, False)]
 
 
 class Fake:

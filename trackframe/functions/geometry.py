@@ -85,11 +85,12 @@ def contains(b: Box, x: Column, y: Column) -> Column:
 
 
 def crop_bounds(b: Box, margin: float, frame_w: Column, frame_h: Column) -> Box:
-    """Whole-pixel bounds of the box with a margin, within the frame and not empty."""
-    mx, my = width(b) * margin, height(b) * margin
-    whole = lambda v: F.bround(v).cast("int")
-    x1, y1 = F.greatest(F.lit(0), F.least(frame_w - 1, whole(b.x1 - mx))), F.greatest(F.lit(0), F.least(frame_h - 1, whole(b.y1 - my)))
-    return Box(x1, y1, F.greatest(x1 + 1, F.least(frame_w, whole(b.x2 + mx))), F.greatest(y1 + 1, F.least(frame_h, whole(b.y2 + my))))
+    """Whole-pixel bounds (cut off, not rounded) of the box with a margin, within the frame; null where nothing is left."""
+    mx, my = (b.x2 - b.x1) * margin, (b.y2 - b.y1) * margin
+    x1, y1 = (F.greatest(F.lit(0.0), v).cast("int") for v in (b.x1 - mx, b.y1 - my))
+    x2, y2 = (F.least(n.cast("double"), v).cast("int") for n, v in ((frame_w, b.x2 + mx), (frame_h, b.y2 + my)))
+    some = (x2 > x1) & (y2 > y1)
+    return Box(*(F.when(some, v) for v in (x1, y1, x2, y2)))
 
 
 def fit_center(view_w: Column, view_h: Column, source_w: Column, source_h: Column) -> Box:

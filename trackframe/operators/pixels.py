@@ -95,6 +95,6 @@ def appearance_column(pixels: str = "pixels", width: str = "width", height: str
     return F.pandas_udf(_appearance, "array<double>")(pixels, width, height, "x1", "y1", "x2", "y2")
 
 
-def low_light(gamma: float = 0.6) -> np.ndarray:
+def low_light(gamma: float = 0.58) -> np.ndarray:
     """The look-up table of the low-light view."""
-    return np.clip(np.round((np.arange(256) / 255) ** gamma * 255), 0, 255).astype(np.uint8)
+    return np.clip((np.arange(256) / 255) ** gamma * 255, 0, 255).astype(np.uint8)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackframe.functions import geometry as G
 from trackframe.functions.tracks import refine_valid
 from trackframe.operators import reports
 
@@ -37,14 +38,25 @@ def selected_tracks(states: DataFrame, frames: DataFrame, clicks: DataFrame) ->
 
 
 def refined_boxes(selected: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Boxes of selected tracks on frames without a fresh detection, moved by that frame's estimate where it passes the gate.
+    """video, frame, track_id, box, refined: a selected track's box between detections.
 
-    selected: video, frame, track_id, x1 to y2, fresh. estimates: video, frame, dx, dy, scale, rotation_rad, inliers, ratio.
+    selected: video, frame, track_id, x1 to y2, fresh (the detector has just seen it). estimates: video, frame, affine, inliers,
+    ratio. On frames that aren't fresh an estimate that passes the gate moves the box of the frame before; else, and when the
+    selection changes, the track's own box starts anew.
     """
-    e = estimates.withColumn("valid", refine_valid(F.col("inliers"), F.col("ratio"), F.col("scale"), F.col("rotation_rad")))
-    rows = selected.join(e.select("video", "frame", "dx", "dy", "scale", "valid"), ["video", "frame"], "left")
-    use = ~F.col("fresh") & F.coalesce("valid", F.lit(False))
-    cx, cy = (F.col("x1") + F.col("x2")) / 2 + F.col("dx"), (F.col("y1") + F.col("y2")) / 2 + F.col("dy")
-    w, h = (F.col("x2") - F.col("x1")) / 2 * F.col("scale"), (F.col("y2") - F.col("y1")) / 2 * F.col("scale")
-    moved = {"x1": cx - w, "y1": cy - h, "x2": cx + w, "y2": cy + h}
-    return rows.select("video", "frame", "track_id", *(F.when(use, v).otherwise(F.col(c)).alias(c) for c, v in moved.items()), use.alias("refined"))
+    scale, turn = F.hypot(F.col("affine")[0], F.col("affine")[3]), F.atan2(F.col("affine")[3], F.col("affine")[0])
+    known = estimates.select("video", "frame", "affine", refine_valid(F.col("inliers"), F.col("ratio"), scale, turn).alias("valid"))
+    box = F.struct(*G.Box._fields)
+    row = F.struct("frame", "track_id", box.alias("box"), (~F.col("fresh") & F.coalesce("valid", F.lit(False))).alias("use"), "affine")
+    out = "array<struct<frame:bigint,track_id:int,box:struct<x1:double,y1:double,x2:double,y2:double>,refined:boolean>>"
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        use = r["use"] & F.coalesce(last["track_id"] == r["track_id"], F.lit(False))
+        hull = F.struct(*G.transform(G.Box(*(last["box"][c] for c in G.Box._fields)), r["affine"]).columns())
+        item = F.struct(r["frame"].cast("bigint").alias("frame"), r["track_id"].cast("int").alias("track_id"), F.when(use, hull).otherwise(r["box"]).alias("box"), use.alias("refined"))
+        return F.concat(done, F.array(item))
+
+    rows = selected.join(known, ["video", "frame"], "left").groupBy("video").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    folded = rows.select("video", F.inline(F.aggregate("rows", F.array().cast(out), step)))
+    return folded.select("video", "frame", "track_id", "box.*", "refined")

@@ -18,9 +18,12 @@ KEYS = {
 }
 WORDS = {"camera_backend": "auto dshow msmf", "profile": "quality balanced speed", "view": "normal clarity lowlight edges pseudo-thermal"}
 NOT_NEGATIVE = ("detect_every", "reconnect_attempts", "reconnect_delay_ms")
+#: What the presets have in common, and each one's own.
+COMMON = {"camera_fps": 30, "camera_backend": "dshow", "enhance": False, "view": "normal", "stabilize": False, "no_cmc": False, "no_appearance": False}
 PRESETS = {
-    "amd-balanced": {"camera_width": 1920, "camera_height": 1080, "camera_fps": 30, "profile": "balanced"},
-    "cpu-safe": {"camera_width": 1280, "camera_height": 720, "camera_fps": 30, "profile": "speed", "cpu": True},
+    "amd-balanced": COMMON | {"camera_width": 1920, "camera_height": 1080, "reconnect_attempts": 4, "reconnect_delay_ms": 250, "profile": "balanced", "detect_every": 2},
+    "amd-quality": COMMON | {"camera_width": 1920, "camera_height": 1080, "reconnect_attempts": 4, "reconnect_delay_ms": 250, "profile": "quality", "detect_every": 1},
+    "cpu-safe": COMMON | {"camera_width": 1280, "camera_height": 720, "reconnect_attempts": 3, "reconnect_delay_ms": 350, "profile": "speed", "detect_every": 3, "cpu": True},
 }
 
 
