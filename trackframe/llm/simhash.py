@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from trackframe.llm.common import LOWER, binary, cut, mix
 from trackframe.llm.components import components
 
-SEED, LEAF, SAMPLE_A_LEAF, LEAVES = 42, 64, 16, 2048
+SEED, LEAF, SAMPLE_A_LEAF, LEAVES = 42, 64, 16, 32768
 
 
 @dataclass(frozen=True)
