@@ -11,7 +11,6 @@ id, then the higher det_idx. Resets start a new epoch, whose ids begin at 1 agai
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -220,8 +219,8 @@ class Tracks:
         self.labels += [found["labels"][i] for i in dets]
         self.looks += [found["looks"][i] for i in dets]
 
-    def advance(self, row: dict) -> pd.DataFrame | None:
-        """One row of the spine (see spine()); None for a frame that isn't after the last one."""
+    def advance(self, row: dict) -> tuple | None:
+        """One row of the spine (see spine()) to a row of pages(); None for a frame that isn't after the last one."""
         if row["frame"] <= self.last_frame:
             return None
         self.last_frame = int(row["frame"])
@@ -230,7 +229,7 @@ class Tracks:
             self.epoch += 1
         dets = row["dets"] if row["dets"] is not None else []
         found = {
-            "boxes": np.array([[d["x1"], d["y1"], d["x2"], d["y2"]] for d in dets], float).reshape(-1, 4),
+            "boxes": np.array([(d["x1"], d["y1"], d["x2"], d["y2"]) for d in dets], float).reshape(-1, 4),
             "scores": np.array([d["score"] for d in dets], float),
             "classes": np.array([d["class_id"] for d in dets], float),
             "labels": [d["label"] for d in dets],
@@ -238,28 +237,40 @@ class Tracks:
         }
         affine = None if row["affine"] is None else [float(x) for x in row["affine"]]
         self.step(found, (float(row["dx"]), float(row["dy"])), affine, bool(row["should_detect"]))
-        out = pd.DataFrame(self.table.copy(), columns=list(NUMBERS))  # later steps change the table in place
-        for c in ("track_id", "class_id", "age", "hits", "missed", "recoveries"):
-            out[c] = out[c].astype("int32")
-        out["confirmed"] = out["confirmed"] > 0
-        out["label"], out["appearance"] = list(self.labels), list(self.looks)
-        out["video"], out["epoch"], out["frame"] = row["video"], self.epoch, self.last_frame
-        return out
+        return row["video"], self.epoch, self.last_frame, self.table.copy(), list(self.labels), list(self.looks)  # later steps change the table
+
+
+def page_of(rows: list[tuple]) -> pd.DataFrame:
+    """TRACK_STATES of what advance() gave, in one go: building a frame per step would cost more than the step."""
+    rows = [r for r in rows if len(r[3])]
+    if not rows:
+        return pd.DataFrame(columns=COLUMNS)
+    sizes = [len(r[3]) for r in rows]
+    out = pd.DataFrame(np.concatenate([r[3] for r in rows]), columns=list(NUMBERS))
+    for c in ("track_id", "class_id", "age", "hits", "missed", "recoveries"):
+        out[c] = out[c].astype("int32")
+    out["confirmed"] = out["confirmed"] > 0
+    for k, c in enumerate(("video", "epoch", "frame")):
+        out[c] = np.repeat(np.array([r[k] for r in rows], object if c == "video" else None), sizes)
+    out["label"] = [x for r in rows for x in r[4]]
+    out["appearance"] = [x for r in rows for x in r[5]]
+    return out[COLUMNS]
 
 
 COLUMNS = [f.split()[0] for f in TRACK_STATES.split(", ")]
 
 
-def spine(frames: DataFrame, detections: DataFrame, motion: DataFrame | None = None, labels: str = "") -> DataFrame:
+def spine(frames: DataFrame, detections: DataFrame, motion: DataFrame | None = None, labels: str = "", stabilized: bool = False) -> DataFrame:
     """One row per frame, with its detections as an array in order of det_idx, its motion and its flags.
 
-    Frames without detections stay: their tracks coast. Motion that isn't valid counts as none.
+    Frames without detections stay: their tracks coast. Motion that isn't valid counts as none, and so does all motion of
+    frames that are stabilized already.
     """
     item = F.struct("det_idx", "x1", "y1", "x2", "y2", "score", "class_id", "label", "appearance")
     grouped = detections.filter(in_classes(F.col("label"), labels)).groupBy("video", "frame").agg(F.sort_array(F.collect_list(item)).alias("dets"))
     out = frames.select("video", "frame", F.coalesce("should_detect", F.lit(True)).alias("should_detect"), F.coalesce("reset", F.lit(False)).alias("reset"))
     out = out.join(grouped, ["video", "frame"], "left")
-    if motion is None:
+    if motion is None or stabilized:
         return out.select("*", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(None).cast("array<double>").alias("affine"))
     used = motion.filter("valid").select("video", "frame", "dx", "dy", "affine")
     return out.join(used, ["video", "frame"], "left").withColumns({"dx": F.coalesce("dx", F.lit(0.0)), "dy": F.coalesce("dy", F.lit(0.0))})
@@ -268,16 +279,9 @@ def spine(frames: DataFrame, detections: DataFrame, motion: DataFrame | None = N
 def run_tracking(frames: DataFrame, detections: DataFrame, motion: DataFrame | None = None, config: TrackerConfig = TrackerConfig(), labels: str = "") -> DataFrame:  # noqa: B008
     """TRACK_STATES: one row per frame and track that lives after it. Parallel by video; a video is one task."""
 
-    def fold(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tracks = Tracks(config)
-        for page in pages:
-            rows = [r for row in page.sort_values("frame").to_dict("records") if (r := tracks.advance(row)) is not None and len(r)]
-            if rows:
-                yield pd.concat(rows, ignore_index=True)[COLUMNS]
-
     def whole(page: pd.DataFrame) -> pd.DataFrame:
-        out = list(fold(iter([page])))
-        return out[0] if out else pd.DataFrame(columns=COLUMNS)
+        tracks = Tracks(config)
+        return page_of([r for row in page.sort_values("frame").to_dict("records") if (r := tracks.advance(row)) is not None])
 
     return spine(frames, detections, motion, labels).groupBy("video").applyInPandas(whole, TRACK_STATES)
 

@@ -26,7 +26,14 @@ def write_flat_csv(flat: DataFrame, path: str) -> int:
     return flat.count()
 
 
-def write_graph(document: dict, path: str) -> None:
+def report_json(report: DataFrame) -> DataFrame:
+    """session and its report as JSON, one row each."""
+    return report.select("session", F.to_json(F.struct(*(c for c in report.columns if c != "session"))).alias("report"))
+
+
+def write_graph(document: dict, path: str, run: dict | None = None) -> None:
+    """The graph document, with what is known of the run (inputs, configuration, counts)."""
+    document = document | ({"run": run} if run else {})
     Path(path).write_text(json.dumps(document, indent=2, ensure_ascii=False), encoding="utf-8")
 
 
@@ -45,10 +52,13 @@ def graph_html(document: dict) -> str:
     return f"<!doctype html><meta charset=utf-8><title>Similarity graph</title><p>Links between people mean similar visible appearance in this batch only, not identity.</p><button onclick=exportReview()>Export review</button><h2>Entities</h2>{entities}<h2>Edges</h2>{edges}<script>{script}</script>"
 
 
-def snapshot_sidecar(image: Column, image_sha256: Column, model_sha256: Column, source: Column, frame: Column, view: Column, classification: Column, track: Column) -> Column:
-    """The JSON beside a snapshot; track is a struct id, label, class_id, score, bbox, center, lifecycle, quality, recoveries."""
+def snapshot_sidecar(image: Column, image_sha256: Column, model_sha256: Column, source: Column, frame: Column, view: Column, classification: Column, track: Column, **more: Column) -> Column:
+    """The JSON beside a snapshot; track is a struct id, label, class_id, score, bbox, center, lifecycle, quality, recoveries.
+
+    more: calibration (name, width, height, hfov_deg, vfov_deg) and derived_from (image, image_sha256) as structs, where there are any.
+    """
     shown = F.struct(
         track["id"].alias("id"), track["label"].alias("label"), track["class_id"].alias("class_id"), rounded(track["score"], 6).alias("score"), F.transform(track["bbox"], lambda v: rounded(v, 3)).alias("bbox"),
         F.transform(track["center"], lambda v: rounded(v, 3)).alias("center"), track["lifecycle"].alias("lifecycle"), rounded(track["quality"], 4).alias("quality"), track["recoveries"].alias("recoveries"),
     )
-    return F.to_json(F.struct(F.lit(1).alias("schema"), classification.alias("classification"), image.alias("image"), image_sha256.alias("image_sha256"), model_sha256.alias("model_sha256"), source.alias("source"), frame.alias("frame"), view.alias("view_mode"), shown.alias("track")))
+    return F.to_json(F.struct(F.lit(1).alias("schema"), classification.alias("classification"), image.alias("image"), image_sha256.alias("image_sha256"), model_sha256.alias("model_sha256"), source.alias("source"), frame.alias("frame"), view.alias("view_mode"), shown.alias("track"), *(v.alias(k) for k, v in more.items())))

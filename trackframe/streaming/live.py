@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trackframe.operators.tracker import COLUMNS, TrackerConfig, Tracks
+from trackframe.operators.tracker import TrackerConfig, Tracks, page_of
 from trackframe.schemas import TRACK_STATES
 
 #: The columns of a stream of frames: a spine row with its detections, motion and flags.
@@ -30,9 +30,9 @@ def track_stream(spine: DataFrame, config: TrackerConfig = TrackerConfig()) -> D
     def fold(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracks = Tracks.from_json(state.get[0], config) if state.exists else Tracks(config)
         rows = pd.concat(list(pages), ignore_index=True).sort_values("frame").to_dict("records")
-        out = [r for row in rows if (r := tracks.advance(row)) is not None and len(r)]
+        out = page_of([r for row in rows if (r := tracks.advance(row)) is not None])
         state.update((tracks.to_json(),))
-        yield pd.concat(out, ignore_index=True)[COLUMNS] if out else pd.DataFrame(columns=COLUMNS)
+        yield out
 
     return spine.groupBy("video").applyInPandasWithState(fold, TRACK_STATES, "tracks string", "append", GroupStateTimeout.NoTimeout)
 
@@ -51,3 +51,8 @@ def write_sessions(stream: DataFrame, path: str, checkpoint: str):
         rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_frames(frames: DataFrame) -> DataFrame:
+    """Of a micro-batch (in foreachBatch) the newest frame of each video: what a consumer that is late would show."""
+    return frames.groupBy("video").agg(F.max_by(F.struct(*(c for c in frames.columns if c != "video")), "frame").alias("f")).select("video", "f.*")
