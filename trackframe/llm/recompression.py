@@ -27,7 +27,7 @@ from trackframe.llm.common import BYTE_CODES, Chunk, Rolling, binary, mix, sha25
 from trackframe.llm.repeats import Kind, covered, repeated_spans
 
 WINDOW, ROUNDS, GRAM = 20, 2, 3
-_PLACE = np.uint64((1 << 24) - 1)
+_PLACE = np.uint64((1 << 30) - 1)
 
 
 def units(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +61,7 @@ def name_pairs(symbols: np.ndarray, fresh: np.ndarray, level: int) -> tuple[np.n
 
 
 def smallest(names: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The place of the smallest name (by its upper 40 bits; the first of equals) in each range low to high, exclusive."""
+    """The place of the smallest name (by its upper 34 bits; the first of equals) in each range low to high, exclusive."""
     tagged = names & ~_PLACE | np.arange(len(names), dtype=np.uint64)
     tables, width = [tagged], 1
     while width * 2 <= int((high - low).max(initial=1)):
