@@ -39,7 +39,7 @@ BITS = np.uint64(40)
 MASK = np.uint64((1 << 40) - 1)
 #: Hashes of the end token and the begin mark, above all hashes of words.
 END, BEGIN = np.uint64(1 << 40), np.uint64((1 << 40) + 1)
-PART_BYTES = 16 << 20
+PART_BYTES = 12 << 20
 
 
 def tokens(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,11 +110,20 @@ def local(path: str) -> str:
     return path
 
 
-def save(folder: str, name: str, array: np.ndarray) -> None:
+def save(folder: str, name: str, array: np.ndarray | bytes) -> None:
+    """An array, or a packed block, that appears whole or not at all."""
     path = f"{folder}/{name}"
     with open(f"{path}.{uuid.uuid4().hex}", "wb") as f:
-        np.save(f, array)
-    os.replace(f.name, f"{path}.npy")
+        f.write(array) if isinstance(array, bytes) else np.save(f, array)
+    os.replace(f.name, path if isinstance(array, bytes) else f"{path}.npy")
+
+
+def packed(path: str, columns: int) -> list[np.ndarray]:
+    """The columns of a packed block that save() has written; empty ones where no pair went to that part."""
+    if not os.path.exists(path):
+        return [np.zeros(0, np.uint64)] * columns
+    with open(path, "rb") as f:
+        return unpack(f.read())
 
 
 @lru_cache(maxsize=4096)
@@ -185,7 +194,7 @@ def train(docs: DataFrame) -> Model:
                 word, before, _ = tokens(c)
                 held.append(summed(np.stack([before, word]), np.ones((1, len(word)), np.int64)))
                 some += held[-1][0].shape[1]
-                if some > 1 << 21:
+                if some > 1 << 20:
                     yield emit(held)
                     held, some = [], 0
         if held:
@@ -199,7 +208,7 @@ def train(docs: DataFrame) -> Model:
         # By word: of it as a context the pair count, N1, N2 and N3+; of it as a word the number of contexts; its count.
         (before, word), (c,) = _merge(2)(x.as_py() for b in found for x in b.column("block"))
         p = key[0].as_py()
-        save(folder, f"raw-{p}", np.stack([before, word, c.astype(np.uint64)]))
+        save(folder, f"raw-{p}", pack([before, word, c]))
         zero = np.zeros_like(c)
         as_context = np.stack([c, c == 1, c == 2, c > 2, zero, zero]).astype(np.int64)
         as_word = np.stack([zero, zero, zero, zero, zero + 1, c]).astype(np.int64)
@@ -213,14 +222,14 @@ def train(docs: DataFrame) -> Model:
     def words(key: tuple, found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, v = _merge(1)(x.as_py() for b in found for x in b.column("block"))
         p = key[0].as_py()
-        save(folder, f"word-{p}", np.concatenate([k, v.astype(np.uint64)]))
+        save(folder, f"word-{p}", pack([*k, *v]))
         n = v[4]
         of = [*((n == i).sum() for i in (1, 2, 3, 4)), n.sum(), (n > 0).sum(), v[5].sum()]
         yield pa.RecordBatch.from_arrays([pa.array([np.array(of, np.int64).tobytes()])], ["counts"])
 
 
     paired = docs.select("text").mapInArrow(count, "part int, block binary")
-    first = cut(paired.groupBy("part").applyInArrow(stats, "part int, block binary, counts binary"), "pair-stats")
+    first = cut(paired.groupBy("part").applyInArrow(stats, "part int, block binary, counts binary"), "pair-stats", free=True)
     second = cut(first.filter("part >= 0").select("part", "block").groupBy("part").applyInArrow(words, "counts binary"), "word-stats")
     pairs_of = sum((np.frombuffer(r[0], np.int64) for r in first.filter("part < 0").select("counts").toLocalIterator()), np.zeros(4, np.int64))
     words_of = sum((np.frombuffer(r[0], np.int64) for r in second.toLocalIterator()), np.zeros(7, np.int64))
@@ -235,24 +244,27 @@ def train(docs: DataFrame) -> Model:
     def finish_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in b.column(0).to_pylist():
-                if not os.path.exists(f"{folder}/word-{p}.npy"):
-                    save(folder, f"word-{p}", np.zeros((7, 0), np.uint64))
-                a = np.load(f"{folder}/word-{p}.npy")
-                k, v = a[0], a[1:].astype(np.int64)
+                raw, done = f"{folder}/word-{p}", f"{folder}/words-{p}-values.npy"
+                if os.path.exists(done) and not os.path.exists(raw):
+                    continue  # an earlier attempt has ended
+                k, *v = packed(raw, 7)
+                v = np.array(v).astype(np.int64)
                 mass = (d2[1] * v[1] + d2[2] * v[2] + d2[3] * v[3]) / np.maximum(v[0], 1)
                 low = np.where(v[4] > 0, (v[4] - d1[np.minimum(v[4], 3)]) / max(types, 1) + freed * uniform, freed * uniform)
                 save(folder, f"words-{p}-keys", k)
                 save(folder, f"words-{p}-values", np.stack([np.where(v[0] > 0, mass, 1.0), low, v[5].astype(float), v[0].astype(float)]))
+                if os.path.exists(raw):
+                    os.remove(raw)
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64())], ["id"])
 
     def finish_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in b.column(0).to_pylist():
-                raw, done = f"{folder}/raw-{p}.npy", f"{folder}/pairs-{p}-values.npy"
+                raw, done = f"{folder}/raw-{p}", f"{folder}/pairs-{p}-values.npy"
                 if os.path.exists(done) and not os.path.exists(raw):
-                    continue  # an earlier attempt has ended
-                a = np.load(raw) if os.path.exists(raw) else np.zeros((3, 0), np.uint64)
-                before, word, c = a[0], a[1], a[2].astype(np.int64)
+                    continue
+                before, word, c = packed(raw, 3)
+                c = c.astype(np.int64)
                 context, back = np.unique(before, return_inverse=True)
                 of = look_up(folder, "words", (context % step).astype(np.int64), context, parts, 4)[3]
                 keys = pair_hash(before, word)
@@ -287,7 +299,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for c in chunks(b.column(1), limit=4 << 20, lower=True):
+            for c in chunks(b.column(1), limit=2 << 20, lower=True):
                 word, before, doc = tokens(c)
                 both, place = np.unique(np.concatenate([word, before]), return_inverse=True)
                 mass, low, count, _ = look_up(folder, "words", (both % step).astype(np.int64), both, parts, 4)
