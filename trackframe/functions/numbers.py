@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +21,10 @@ def nearest_rank(values: Column, q: float = 0.95) -> Column:
     return F.when(n > 0, F.element_at(F.sort_array(values), place + 1)).otherwise(F.lit(0.0))
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column, dims: int = 0) -> Column:
+    """Inner product. With dims, the length that both have, it is written out and compiled; the sum is the same."""
+    if dims:
+        return reduce(lambda s, i: s + F.get(a, F.lit(i)) * F.get(b, F.lit(i)), range(dims), F.lit(0.0))
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
@@ -27,11 +32,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Cosine within 0 and 1; null for null, empty, unequally long or zero vectors. Norms that are at hand save work."""
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None, dims: int = 0) -> Column:
+    """Cosine within 0 and 1; null for null, empty, unequally long or zero vectors. Norms that are at hand save work; so does
+    dims, the length that most vectors have."""
     na, nb = norm(a) if norm_a is None else norm_a, norm(b) if norm_b is None else norm_b
     usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (na > 1e-12) & (nb > 1e-12)
-    return F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / (na * nb))))
+    inner = F.when(F.size(a) == dims, dot(a, b, dims)).otherwise(dot(a, b)) if dims else dot(a, b)
+    return F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), inner / (na * nb))))
 
 
 def unit(a: Column) -> Column:

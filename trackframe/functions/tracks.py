@@ -94,7 +94,7 @@ def refine_valid(inliers: Column, ratio: Column, scale: Column, rotation_rad: Co
 
 def hfov_of(object_px: Column, frame_px: Column, distance: Column, size: Column) -> Column:
     """Horizontal field of view in degrees from an object of known size and distance; null unless all are above 0."""
-    focal = object_px * distance / size
+    focal = object_px * distance / F.nullif(size, F.lit(0.0))
     return F.when((object_px > 0) & (frame_px > 0) & (distance > 0) & (size > 0), F.degrees(2 * F.atan(frame_px / (2 * focal))))
 
 

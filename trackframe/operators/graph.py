@@ -28,11 +28,11 @@ def items(tracklets: DataFrame) -> DataFrame:
     return tracklets.filter("descriptor IS NOT NULL").withColumns({"key": T.tracklet_key(F.col("video"), F.col("local_track_id")), "place": place})
 
 
-def pairs(tracklets: DataFrame, reviews: DataFrame | None = None, salt: int = 1) -> DataFrame:
+def pairs(tracklets: DataFrame, reviews: DataFrame | None = None, salt: int = 1, dims: int = 0) -> DataFrame:
     """Each pair of one class once, in the graph's order, with its similarity (null if there is none) and its review.
 
     Pairs within a video count only if a review says same. salt deals the left side of a class to so many tasks, for
-    classes that hold most tracklets; the right side is copied to each.
+    classes that hold most tracklets; the right side is copied to each. dims is the length of most descriptors, if it is known.
     """
     rows = items(tracklets).select("key", "video", "class_id", "label", "place", "descriptor", norm(F.col("descriptor")).alias("norm"), F.coalesce("gallery", F.array().cast("array<array<double>>")).alias("gallery"))
     left = rows.select(*(F.col(c).alias(f"l_{c}") for c in rows.columns), F.pmod(F.xxhash64("key"), F.lit(salt)).alias("salt"))
@@ -44,15 +44,15 @@ def pairs(tracklets: DataFrame, reviews: DataFrame | None = None, salt: int = 1)
         known = reviews.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "decision")
         both = both.withColumns({"lo": F.least("l_key", "r_key"), "hi": F.greatest("l_key", "r_key")}).join(known, ["lo", "hi"], "left").drop("lo", "hi")
     open_ = both.filter((F.col("l_video") != F.col("r_video")) | F.col("decision").eqNullSafe("same"))
-    base = cosine(F.col("l_descriptor"), F.col("r_descriptor"), F.col("l_norm"), F.col("r_norm"))
+    base = cosine(F.col("l_descriptor"), F.col("r_descriptor"), F.col("l_norm"), F.col("r_norm"), dims)
     scored = open_.withColumns({"base": base, "from_galleries": gallery_similarity(F.col("l_gallery"), F.col("r_gallery"))})
     return scored.withColumn("similarity", tracklet_similarity(F.col("base"), F.col("from_galleries"))).drop("base", "from_galleries")
 
 
-def edges(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE, strong: float = STRONG, salt: int = 1) -> DataFrame:
+def edges(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE, strong: float = STRONG, salt: int = 1, dims: int = 0) -> DataFrame:
     """left, right, label, similarity (6 digits), strength, relation, review_decision; in no order, see ordered()."""
     check_thresholds(candidate, strong)
-    shown = pairs(tracklets, reviews, salt).filter(F.col("decision").isNotNull() | (F.col("similarity") >= candidate))
+    shown = pairs(tracklets, reviews, salt, dims).filter(F.col("decision").isNotNull() | (F.col("similarity") >= candidate))
     strength = F.when(F.col("decision").isin("same", "different"), "manual").when(F.col("similarity") >= strong, "strong").otherwise("review")
     return shown.select(F.col("l_key").alias("left"), F.col("r_key").alias("right"), F.col("l_label").alias("label"), rounded(F.col("similarity"), 6).alias("similarity"), strength.alias("strength"), T.relation(F.col("l_label")).alias("relation"), F.col("decision").alias("review_decision"))
 
@@ -71,7 +71,7 @@ def with_endpoints(found: DataFrame, tracklets: DataFrame) -> DataFrame:
     return found
 
 
-def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: float = STRONG) -> DataFrame:
+def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: float = STRONG, dims: int = 0) -> DataFrame:
     """entity_id, label, semantics, member (key), position in the entity.
 
     Complete linkage in the graph's order, one task per class: a tracklet joins the entity whose least similar member is
@@ -79,7 +79,7 @@ def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: flo
     same video unless reviewed as same. Only strong or reviewed pairs reach the fold.
     """
     members = items(tracklets).select("class_id", "key", "video", "label", "place", F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("decision"))
-    linked = pairs(tracklets, reviews).filter((F.col("similarity") >= strong) | F.col("decision").isNotNull())
+    linked = pairs(tracklets, reviews, dims=dims).filter((F.col("similarity") >= strong) | F.col("decision").isNotNull())
     links = linked.select(F.col("r_class_id").alias("class_id"), F.col("r_key").alias("key"), F.col("r_video").alias("video"), F.col("r_label").alias("label"), F.col("r_place").alias("place"), F.col("l_key").alias("other"), "similarity", "decision")
     rows = members.unionByName(links).select("class_id", "key", "video", "label", F.col("place.label").alias("p0"), F.col("place.video").alias("p1"), F.col("place.local_track_id").alias("p2"), "other", "similarity", "decision")
 

@@ -14,7 +14,7 @@ from trackframe.operators import decode, graph, lifecycle, reports, tracker, tra
 from trackframe.schemas import SESSION
 from trackframe.sources import adapters, generators
 from trackframe.sources.files import looks_derived
-from trackframe.sources.sessions import flat_tracks
+from trackframe.sources.sessions import flat_tracks, overlay_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,19 +176,19 @@ EDGE_COLUMNS = f"l AS \"left\", r AS \"right\", label, {rsql('sim')} AS similari
 
 @query(f"WITH {ITEMS}, reviews AS (SELECT '' AS lo, '' AS hi, '' AS decision WHERE false), {PAIRS} SELECT {EDGE_COLUMNS} FROM pairs WHERE sim >= 0.20::DOUBLE")
 def tracklet_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.edges(adapters.tracklets(spark, d), None, 0.20, 0.30, salt=4).select("left", "right", "label", "similarity", "strength")
+    return graph.edges(adapters.tracklets(spark, d), None, 0.20, 0.30, salt=4, dims=64).select("left", "right", "label", "similarity", "strength")
 
 
 @query(f"WITH {ITEMS}, {REVIEWED}, {PAIRS} SELECT {EDGE_COLUMNS}, decision AS review_decision, 'same_object_candidate' AS relation FROM pairs WHERE decision IS NOT NULL OR sim >= 0.20::DOUBLE")
 def edges_with_review(spark: SparkSession, d: str) -> DataFrame:
-    return graph.edges(adapters.tracklets(spark, d), adapters.reviews(spark, d), 0.20, 0.30).select("left", "right", "label", "similarity", "strength", "review_decision", "relation")
+    return graph.edges(adapters.tracklets(spark, d), adapters.reviews(spark, d), 0.20, 0.30, dims=64).select("left", "right", "label", "similarity", "strength", "review_decision", "relation")
 
 
 @query(f"""WITH {ITEMS}, {REVIEWED}, {PAIRS}, e AS (SELECT {EDGE_COLUMNS}, decision FROM pairs WHERE decision IS NOT NULL OR sim >= 0.20::DOUBLE)
 SELECT row_number() OVER (ORDER BY CASE WHEN decision IN ('same', 'different') THEN 0 ELSE 1 END, similarity DESC NULLS LAST, "left", "right") AS place, "left", "right" FROM e ORDER BY place LIMIT 50""")
 def edge_order_top(spark: SparkSession, d: str) -> DataFrame:
     """The first 50 edges in the graph's order: a report with a limit."""
-    top = graph.ordered(graph.edges(adapters.tracklets(spark, d), adapters.reviews(spark, d), 0.20, 0.30)).limit(50)
+    top = graph.ordered(graph.edges(adapters.tracklets(spark, d), adapters.reviews(spark, d), 0.20, 0.30, dims=64)).limit(50)
     manual = F.when(F.col("review_decision").isin("same", "different"), 0).otherwise(1)
     return top.select(F.row_number().over(Window.orderBy(manual, F.desc_nulls_last("similarity"), "left", "right")).cast("bigint").alias("place"), "left", "right")
 
@@ -347,7 +347,7 @@ def lite_track_states(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def entities_complete_link(spark: SparkSession, d: str) -> DataFrame:
-    return graph.entities(adapters.tracklets(spark, d), adapters.reviews(spark, d), 0.30)
+    return graph.entities(adapters.tracklets(spark, d), adapters.reviews(spark, d), 0.30, dims=64)
 
 
 @query()
@@ -360,3 +360,84 @@ def raw_decode(spark: SparkSession, d: str) -> DataFrame:
     size = {"input_w": 640, "input_h": 640, "frame_w": 1280, "frame_h": 720}
     raw = det.select("video", "frame", F.col("det_idx").alias("row_idx"), values.alias("values"), *(F.lit(v).alias(k) for k, v in size.items()), F.lit(0.5).alias("scale"), F.lit(0.0).alias("pad_x"), F.lit(140.0).alias("pad_y"))
     return decode.decode(raw, 0.25, 0.45).select("frame", "det_idx", "class_id", "label", r("score", 4).alias("score"), *(r(c, 2).alias(c) for c in G.Box._fields))
+
+
+@query("SELECT l_orderkey AS frame, (l_orderkey - 1) % 2 = 0 AS balanced, (l_orderkey - 1) % 3 = 0 AS speed, (l_orderkey - 1) % 5 = 0 AS every_fifth, count(*) AS n FROM lineitem GROUP BY ALL")
+def detector_cadence(spark: SparkSession, d: str) -> DataFrame:
+    frame = F.col("frame")
+    flags = [T.should_detect(frame).alias("balanced"), T.should_detect(frame, profile="speed").alias("speed"), T.should_detect(frame, every=5, profile="quality").alias("every_fifth")]
+    return adapters.detections(spark, d).select("frame", *flags).groupBy("frame", "balanced", "speed", "every_fifth").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT *, l_quantity AS inliers, l_discount * 10 AS ratio, l_extendedprice / 50.0::DOUBLE AS tx, l_quantity * 9 AS ty, 0.7::DOUBLE + l_tax * 10 AS scale, l_discount * 8 AS rot FROM lineitem)
+SELECT l_linenumber AS line, count(*) FILTER (inliers >= 6 AND ratio >= 0.35::DOUBLE AND abs(tx) <= 1280 * 0.75::DOUBLE AND abs(ty) <= 720 * 0.75::DOUBLE AND scale BETWEEN 0.78::DOUBLE AND 1.28::DOUBLE AND abs(rot) <= radians(35.0::DOUBLE)) AS motion,
+  count(*) FILTER (inliers >= 6 AND ratio >= 0.45::DOUBLE AND scale BETWEEN 0.85::DOUBLE AND 1.18::DOUBLE AND abs(rot) <= radians(20.0::DOUBLE)) AS refine FROM m GROUP BY 1""")
+def estimate_gates(spark: SparkSession, d: str) -> DataFrame:
+    q, ratio, scale, turn = F.col("l_quantity"), F.col("l_discount") * 10, 0.7 + F.col("l_tax") * 10, F.col("l_discount") * 8
+    motion = T.motion_valid(q, ratio, F.col("l_extendedprice") / 50.0, q * 9, scale, turn, F.lit(1280), F.lit(720))
+    return adapters.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("line")).agg(F.count_if(motion).alias("motion"), F.count_if(T.refine_valid(q, ratio, scale, turn)).alias("refine"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, 320 + p_partkey % 1600 AS w, 240 + p_partkey % 900 AS h FROM part), s AS (SELECT *, least(640.0::DOUBLE / w, 640.0::DOUBLE / h) AS scale FROM p),
+n AS (SELECT *, CAST(round_even(w * scale, 0) AS INTEGER) AS new_w, CAST(round_even(h * scale, 0) AS INTEGER) AS new_h FROM s)
+SELECT p_partkey AS id, {rsql("scale")} AS scale, new_w, new_h, CAST(round_even((640 - new_w) / 2.0::DOUBLE - 0.1::DOUBLE, 0) AS INTEGER) AS pad_x, CAST(round_even((640 - new_h) / 2.0::DOUBLE - 0.1::DOUBLE, 0) AS INTEGER) AS pad_y FROM n""")
+def letterbox_sizes(spark: SparkSession, d: str) -> DataFrame:
+    w, h = 320 + F.col("p_partkey") % 1600, 240 + F.col("p_partkey") % 900
+    box = G.letterbox(w, h, F.lit(640.0), F.lit(640.0))
+    return adapters.table(spark, d, "part").select(F.col("p_partkey").alias("id"), r(box["scale"]).alias("scale"), *(box[c].alias(c) for c in ("new_w", "new_h", "pad_x", "pad_y")))
+
+
+@query(f"""WITH {DETECTIONS}, b AS (SELECT frame, det_idx, CAST(trunc(greatest(0.0::DOUBLE, x1 - (x2 - x1) * 0.12::DOUBLE)) AS INTEGER) AS x1, CAST(trunc(greatest(0.0::DOUBLE, y1 - (y2 - y1) * 0.12::DOUBLE)) AS INTEGER) AS y1,
+  CAST(trunc(least(400.0::DOUBLE, x2 + (x2 - x1) * 0.12::DOUBLE)) AS INTEGER) AS x2, CAST(trunc(least(200.0::DOUBLE, y2 + (y2 - y1) * 0.12::DOUBLE)) AS INTEGER) AS y2 FROM detections)
+SELECT frame, det_idx, x1, y1, x2, y2 FROM b WHERE x2 > x1 AND y2 > y1""")
+def crop_rectangles(spark: SparkSession, d: str) -> DataFrame:
+    box = G.crop_bounds(G.Box.of(), 0.12, F.lit(400), F.lit(200))
+    return adapters.detections(spark, d).select("frame", "det_idx", *box.columns()).filter("x1 IS NOT NULL")
+
+
+@query(f"""SELECT vec_id AS local_track_id, 'v' || (vec_id % 5) || '#T' || vec_id AS key, {rsql("1 / 30.0::DOUBLE", 3)} AS start_s, {rsql("(vec_id + 1) / 30.0::DOUBLE", 3)} AS end_s FROM embeddings""")
+def tracklet_public(spark: SparkSession, d: str) -> DataFrame:
+    return tracklets.public(adapters.tracklets(spark, d)).select("local_track_id", "key", "start_s", "end_s")
+
+
+@query(f"WITH {ITEMS}, reviews AS (SELECT '' AS lo, '' AS hi, '' AS decision WHERE false), {PAIRS} SELECT l AS \"left\", r AS \"right\", a.vec_id + 1 AS left_last_frame, b.vec_id + 1 AS right_last_frame, a.video AS left_video FROM pairs JOIN items a ON a.key = l JOIN items b ON b.key = r WHERE sim >= 0.20::DOUBLE")
+def edge_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    t = adapters.tracklets(spark, d)
+    return graph.with_endpoints(graph.edges(t, None, 0.20, 0.30, dims=64), t).select("left", "right", "left_last_frame", "right_last_frame", "left_video")
+
+
+@query(f"WITH {STATES} SELECT frame, count(*) FILTER (confirmed) AS confirmed, count(*) AS tracks FROM states GROUP BY frame")
+def confirmed_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.confirmed_count(adapters.states(spark, d)).select("frame", "confirmed", "tracks")
+
+
+@query(f"WITH {STATES}, spine AS (SELECT unnest(range(0, 1 + (SELECT max(frame) FROM states) + 5)) AS frame) SELECT spine.frame, track_id AS id FROM spine LEFT JOIN (SELECT frame, track_id FROM states WHERE frame % 3 > 0) s ON s.frame = spine.frame".replace("track_id AS id FROM", "coalesce(track_id, -1) AS id FROM"))
+def overlay_join(spark: SparkSession, d: str) -> DataFrame:
+    s = adapters.states(spark, d)
+    top = s.agg(F.max("frame")).first()[0]
+    track = F.struct(F.col("track_id").cast("int").alias("id"), "label")
+    logged = s.filter("frame % 3 > 0").groupBy("frame").agg(F.collect_list(track).alias("tracks"))
+    rows = logged.select(F.lit("s").alias("session"), F.col("frame").alias("line"), F.lit("frame").alias("type"), "frame", F.lit(0.0).alias("t"), F.lit(0.0).alias("fps"), "tracks")
+    spine = spark.range(top + 6).select(F.lit("s").alias("session"), F.col("id").alias("frame"))
+    return overlay_rows(spine, rows).select("frame", F.coalesce("id", F.lit(-1)).cast("bigint").alias("id"))
+
+
+@query(f"""WITH m AS (SELECT user_id AS video, event_id, sum(value - 50) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM events), l AS (SELECT video, list({{'t': total, 's': 0.18::DOUBLE * total}} ORDER BY event_id) AS items FROM m GROUP BY 1),
+f AS (SELECT video, list_reduce(items, lambda acc, x: {{'t': x.t, 's': 0.82::DOUBLE * acc.s + 0.18::DOUBLE * x.t}}) AS last FROM l) SELECT 'u' || video AS video, {rsql("last.s - last.t", 3)} AS corr_dx FROM f""")
+def stabilizer_last(spark: SparkSession, d: str) -> DataFrame:
+    e = adapters.table(spark, d, "events")
+    motion = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video"), F.col("event_id").alias("frame"), (F.col("value") - 50).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("da"))
+    return lifecycle.stabilizer(motion).groupBy("video").agg(F.max_by("corr_dx", "frame").alias("x")).select("video", r("x", 3).alias("corr_dx"))
+
+
+@query(f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 7 > 0 THEN {rsql("degrees(2 * atan(1280.0::DOUBLE / (2 * ((40.0::DOUBLE + p_partkey % 300) * 2.5::DOUBLE / (p_partkey % 7)))))")} ELSE -1.0::DOUBLE END AS hfov FROM part""")
+def calibrated_hfov(spark: SparkSession, d: str) -> DataFrame:
+    hfov = T.hfov_of(F.lit(40.0) + F.col("p_partkey") % 300, F.lit(1280.0), F.lit(2.5), (F.col("p_partkey") % 7).cast("double"))
+    return adapters.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.coalesce(r(hfov), F.lit(-1.0)).alias("hfov"))
+
+
+@query(f"WITH {ITEMS}, reviews AS (SELECT '' AS lo, '' AS hi, '' AS decision WHERE false), {PAIRS} SELECT 5::BIGINT AS videos_seen, 1::BIGINT AS videos_failed, (SELECT count(*) FROM items) AS tracklets, (SELECT count(*) FROM pairs WHERE sim >= 0.20::DOUBLE) AS edges")
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    t = adapters.tracklets(spark, d)
+    videos = t.select("video").distinct().select("video", (F.col("video") == "v3").alias("failed"))
+    return reports.run_summary(videos, t, graph.entities(t, None, 0.30, dims=64), graph.edges(t, None, 0.20, 0.30, dims=64)).drop("entities")
