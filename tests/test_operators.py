@@ -208,12 +208,12 @@ def test_rolling_and_ema(spark):
 
 
 def test_files(spark, tmp_path):
-    for name in ("B.MP4", "a.webm", "a_spectratrack.mp4", "analyzed.mov", "x.txt", "sub/c.avi"):
+    for name in ("B.MP4", "a.webm", "a_trackframe.mp4", "analyzed.mov", "x.txt", "sub/c.avi"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"abc")
     names = lambda **k: [r.video for r in files.discover_videos(spark, str(tmp_path), **k).collect()]
     assert names() == ["a.webm", "B.MP4"]
-    assert names(recursive=True, include_derived=True) == ["a.webm", "a_spectratrack.mp4", "analyzed.mov", "B.MP4", "sub/c.avi"]
+    assert names(recursive=True, include_derived=True) == ["a.webm", "a_trackframe.mp4", "analyzed.mov", "B.MP4", "sub/c.avi"]
     with pytest.raises(FileNotFoundError):
         files.discover_videos(spark, str(tmp_path / "none"))
     sha = files.sha256_files(spark, str(tmp_path / "x.txt")).first().sha256

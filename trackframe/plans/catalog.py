@@ -308,10 +308,10 @@ def fps_ema(spark: SparkSession, d: str) -> DataFrame:
     return smooth.groupBy("session").agg(F.max_by("ema", "seq").alias("e")).select("session", r("e", 4).alias("fps"))
 
 
-@query("""WITH p AS (SELECT vec_id, '/in/Clips/' || CASE vec_id % 4 WHEN 0 THEN 'a b_SpectraTrack' WHEN 1 THEN 'Analyzed' WHEN 2 THEN 'clip.1' ELSE 'result_max2' END || CASE WHEN vec_id % 3 = 0 THEN '.MP4' ELSE '.webm' END AS path FROM embeddings)
-SELECT vec_id, vec_id % 4 < 2 AS derived, CASE vec_id % 4 WHEN 0 THEN 'a_b_SpectraTrack' WHEN 1 THEN 'Analyzed' WHEN 2 THEN 'clip_1' ELSE 'result_max2' END || '_T' || CASE WHEN vec_id < 1000 THEN lpad(CAST(vec_id AS VARCHAR), 3, '0') ELSE CAST(vec_id AS VARCHAR) END || '.jpg' AS preview FROM p""")
+@query("""WITH p AS (SELECT vec_id, '/in/Clips/' || CASE vec_id % 4 WHEN 0 THEN 'a b_TrackFrame' WHEN 1 THEN 'Analyzed' WHEN 2 THEN 'clip.1' ELSE 'result_max2' END || CASE WHEN vec_id % 3 = 0 THEN '.MP4' ELSE '.webm' END AS path FROM embeddings)
+SELECT vec_id, vec_id % 4 < 2 AS derived, CASE vec_id % 4 WHEN 0 THEN 'a_b_TrackFrame' WHEN 1 THEN 'Analyzed' WHEN 2 THEN 'clip_1' ELSE 'result_max2' END || '_T' || CASE WHEN vec_id < 1000 THEN lpad(CAST(vec_id AS VARCHAR), 3, '0') ELSE CAST(vec_id AS VARCHAR) END || '.jpg' AS preview FROM p""")
 def path_rules(spark: SparkSession, d: str) -> DataFrame:
-    names = F.element_at(F.array(*(F.lit(x) for x in ("a b_SpectraTrack", "Analyzed", "clip.1", "result_max2"))), (F.col("vec_id") % 4 + 1).cast("int"))
+    names = F.element_at(F.array(*(F.lit(x) for x in ("a b_TrackFrame", "Analyzed", "clip.1", "result_max2"))), (F.col("vec_id") % 4 + 1).cast("int"))
     rows = adapters.table(spark, d, "embeddings").select("vec_id", names.alias("stem"), F.concat(F.lit("/in/Clips/"), names, F.when(F.col("vec_id") % 3 == 0, ".MP4").otherwise(".webm")).alias("path"))
     return rows.select("vec_id", looks_derived(F.col("path")).alias("derived"), T.preview_name(F.col("stem"), F.col("vec_id")).alias("preview"))
 

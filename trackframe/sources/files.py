@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = (".mp4", ".mov", ".mkv", ".avi", ".m4v", ".webm")
-DERIVED_STEMS, DERIVED_SUFFIX = ("result_max", "result_stabilized", "analyzed"), "_spectratrack"
+DERIVED_STEMS, DERIVED_SUFFIX = ("result_max", "result_stabilized", "analyzed"), "_trackframe"
 
 
 def stem(path: Column) -> Column:
