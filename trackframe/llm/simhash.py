@@ -233,8 +233,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = CONTRACT, id_col: str = "doc_i
     prints = cut(fingerprints(docs, rule, id_col, text_col).withColumn("key", F.xxhash64("fp")), "fingerprints")
     groups = cut(prints.groupBy("key", "fp").agg(F.min("doc_id").alias("least")), "groups")
     label = components(links(groups, rule))
-    rooted = groups.join(label, groups.key == label.node, "left").select("key", "least", F.coalesce("component", "key").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = cut(groups.join(label, groups.key == label.node, "left").select("key", "least", F.coalesce("component", "key").alias("root")), "rooted")
+    # Cut, so that both sides of the join are dealt out for it alone and a large component can be split.
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     final = rooted.join(least, "root").select("key", "component_id")
     return prints.join(final, "key").select("doc_id", "fp", "component_id")
 
