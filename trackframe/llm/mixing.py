@@ -9,7 +9,8 @@ probability. The cube method moves these probabilities within the null space of
 of documents, until all but a few are 0 or 1. Sources are parted by id hash into blocks of about BLOCK documents, so a
 hot source is many tasks; what a block can't settle (two documents at most) goes on to flights over the leftovers of
 FAN blocks at a time, round by round, and the last two or fewer of a source are the landing problem, solved by trying all
-outcomes; the words that these still miss are made up by a few flips of settled documents at hand. Chance comes from hashes of the source and block, so reruns agree.
+outcomes; the words that these still miss are made up by a few flips of settled documents at hand, for which each block
+passes on SPARE settled documents of all sizes. Chance comes from hashes of the source and block, so reruns agree.
 
 Null and empty texts have size 0. Documents of size 0 and sources without words take 0 words. Repeated rows are documents
 each; null ids take part. Other columns are ignored; an empty table gives an empty result. Texts are counted whole.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from trackframe.llm.common import binary, cut
 
-WEIGHTS, CAP, BLOCK, FAN, FLIPS = (5, 2, 1), 3.0, 8192, 1024, 8
+WEIGHTS, CAP, BLOCK, FAN, FLIPS, SPARE = (5, 2, 1), 3.0, 8192, 1024, 8, 16
 EPS = 1e-9
 
 
@@ -115,7 +116,10 @@ def _fly(last: bool):
         p, sizes = table.column("p").to_numpy().copy(), table.column("size").to_numpy()
         rng = np.random.default_rng([zlib.crc32(repr(source).encode()), block, last])
         p = flight(p, sizes, rng)
-        return table.set_column(table.column_names.index("p"), "p", pa.array(landing(p, sizes) if last else p))
+        open_ = (p > EPS) & (p < 1 - EPS)
+        open_[np.argsort(sizes, kind="stable")[np.linspace(0, len(p) - 1, SPARE).astype(int)]] = True
+        table = table.set_column(table.column_names.index("p"), "p", pa.array(landing(p, sizes) if last else p))
+        return table.set_column(table.column_names.index("open"), "open", pa.array(open_))
 
     return run
 
@@ -124,12 +128,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Per row: doc_id, source, size, source_size, target, copies (how often the mix takes it), taken (copies * size)."""
     rows = cut(sized(docs, id_col, text_col, source_col), "sized")
     goal = cut(targets(rows), "targets")
-    schema = "doc_id long, source string, size long, source_size long, target double, base long, p double, n long, block int"
+    schema = "doc_id long, source string, size long, source_size long, target double, base long, p double, n long, block int, open boolean"
     blocks = lambda n, per: F.greatest(F.lit(1), F.ceil(n / F.lit(per))).cast("int")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     known = rows.join(F.broadcast(goal) if goal.count() < 10_000 else goal, rows.source.eqNullSafe(goal.source)).drop(goal.source)
     known = known.withColumns({"due": due, "block": F.pmod(F.xxhash64("doc_id", "size"), blocks(F.col("n"), BLOCK)).cast("int")})
-    start = known.select("doc_id", "source", "size", "source_size", "target", F.floor("due").alias("base"), (F.col("due") - F.floor("due")).alias("p"), "n", "block")
+    start = known.select("doc_id", "source", "size", "source_size", "target", F.floor("due").alias("base"), (F.col("due") - F.floor("due")).alias("p"), "n", "block", F.lit(True).alias("open"))
     most = goal.agg(F.max("n")).first()[0] or 0
     done, wide = [], -(-most // BLOCK)
     while True:  # at most log_FAN(blocks of the largest source) + 1 rounds
@@ -138,10 +142,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         if last:
             done.append(state)
             break
-        inside = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
-        done.append(state.filter(~inside))
+        done.append(state.filter("NOT open"))
         wide = -(-wide // FAN)
-        start = state.filter(inside).withColumn("block", F.floor(F.col("block") / FAN).cast("int"))
+        start = state.filter("open").withColumn("block", F.floor(F.col("block") / FAN).cast("int"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
