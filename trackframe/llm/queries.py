@@ -86,6 +86,28 @@ WITH w AS (
   FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id
 )
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+""",
+    "op6_suffix_dedup": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 400)) AS seq FROM (SELECT doc_id, hx, unnest(range(0, len(hx) // 2 - 199)) AS i FROM d)
+), twice AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY seq) > 1
+), runs AS (
+  SELECT doc_id, i, sum(CASE WHEN i - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM twice)
+), spans AS (
+  SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM runs GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM spans
+  UNION ALL SELECT doc_id, max(e) AS a, NULL AS b FROM spans GROUP BY doc_id
+  UNION ALL SELECT doc_id, 0 AS a, NULL AS b FROM d WHERE doc_id NOT IN (SELECT doc_id FROM spans)
+), rest AS (
+  SELECT d.doc_id, string_agg(substr(hx, 2 * a + 1, 2 * (coalesce(b, len(hx) // 2) - a)), '' ORDER BY a) AS hx FROM kept JOIN d ON d.doc_id = kept.doc_id GROUP BY d.doc_id
+)
+SELECT d.doc_id, len(d.hx) // 2 AS n_bytes, (len(d.hx) - len(rest.hx)) // 2 AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(rest.hx)) AS kept_sha256
+FROM d JOIN rest ON rest.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id) c ON c.doc_id = d.doc_id
 """,
     "op9_kd_search": """
 WITH v AS (
