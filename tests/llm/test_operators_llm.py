@@ -496,6 +496,26 @@ def test_links_of_clusters(spark, many):
     assert label(a, b) == label(i, j)
 
 
+@pytest.mark.parametrize("kind", ["chain", "cloud"])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_links_within_a_shared_half(kind, seed):
+    """Many fingerprints that no piece parts: chains far longer than a ball, and loose clouds with queries from elsewhere."""
+    rng = np.random.default_rng(seed)
+    if kind == "chain":  # three bits a step, on from a random walk that doesn't return
+        steps = [sum(1 << int(b) for b in rng.choice(32, 3, replace=False)) for _ in range(400)]
+        low = np.bitwise_xor.accumulate(np.array(steps, np.uint64))
+    else:
+        low = np.array([sum(1 << int(b) for b in rng.choice(32, rng.integers(1, 8), replace=False)) for _ in range(1000)], np.uint64)
+    fps = rng.permutation(np.unique(low | np.uint64(rng.integers(1, 2**31) << 32)))[:, None]
+    homes = len(fps) * 3 // 4
+    found = [np.zeros((2, 0), np.int64), *(np.stack(x) for x in simhash.search(fps, homes, simhash.CONTRACT.families()[1], simhash.CONTRACT))]
+    i, j = np.concatenate(found, axis=1)
+    apart = np.bitwise_count(fps[:, None, 0] ^ fps[None, :, 0])
+    assert (apart[i, j] <= 3).all()
+    a, b = np.nonzero(apart[:homes] <= 3)
+    assert np.array_equal(*(np.stack(simhash.forest(len(fps), *x)) for x in ((i, j), (a, b))))
+
+
 def test_near_copies_of_the_pipeline(spark, docs, empty):
     rng = random.Random(8)
     text = [f"w{rng.randrange(5000)}" for _ in range(400)]

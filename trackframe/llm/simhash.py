@@ -15,9 +15,9 @@ found is verified on all bits.
 The upper levels of the trees are built from a bounded sample (SAMPLE_A_LEAF fingerprints a leaf, at most LEAVES leaves);
 their leaves are the shards. A fingerprint lives in one shard of each family, and goes as a query to every shard whose
 boundary its radius overlaps. Within a shard the tree goes on to leaves of LEAF fingerprints, which are compared outright;
-larger sets that no tree can part are linked through the balls of pivots. A shard gives back a spanning forest of the links
-that it finds, not all pairs, so a group of a thousand neighbours gives a thousand rows; connectivity, and so the
-components, are the same.
+larger sets that are equal on the piece are searched by the distance on all bits, pairs left out only where other links join
+them. A shard gives back a spanning forest of the links that it finds, not all pairs, so a group of a thousand neighbours
+gives a thousand rows; connectivity, and so the components, are the same.
 
 Null and empty texts have fingerprint zero, linked like any other. Repeated rows are rows with equal fingerprints. Null
 ids take part; a component's id is its smallest id that isn't null. Other columns are ignored; an empty table gives an
@@ -157,12 +157,58 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
         label = new
 
 
+def _apart(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps[i] ^ fps[j]).sum(axis=-1, dtype=np.int64)
+
+
+def _reached(fps: np.ndarray, ball: np.ndarray, shell: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A link from the ball to each row of the shell that any row of the ball is linked to; the ball is one component."""
+    at = 0
+    while at < len(ball) and len(shell):
+        part = ball[at : at + max(1, (1 << 19) // len(shell))]
+        at += len(part)
+        near = np.bitwise_count(fps[part][:, None, :] ^ fps[shell][None, :, :]).sum(axis=-1, dtype=np.int64) <= most
+        hit = near.any(axis=0)
+        yield part[near.argmax(axis=0)[hit]], shell[hit]
+        shell = shell[~hit]
+
+
+def _clump(fps: np.ndarray, p: np.ndarray, q: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join p with q (which holds p) where no piece parts p: by the distance on all bits and the full radius.
+
+    A pivot whose ball holds much of p is linked to the ball. What else is linked to a row of the ball is at most twice
+    the radius from the pivot, and one link joins it. Else the pivot parts p as a vantage point.
+    """
+    stack = [(p, q)]
+    while stack:
+        p, q = stack.pop()
+        if not len(p) or not len(q):
+            continue
+        if len(p) <= LEAF:
+            step = max(1, (1 << 19) // len(p))
+            for at in range(0, len(q), step):
+                part = q[at : at + step]
+                i, j = np.nonzero(np.bitwise_count(fps[p][:, None, :] ^ fps[part][None, :, :]).sum(axis=-1, dtype=np.int64) <= most)
+                yield p[i], part[j]
+            continue
+        dp, dq = _apart(fps, p[:1], p), _apart(fps, p[:1], q)
+        inside = dp <= most
+        if 4 * int(inside.sum()) >= len(p):
+            ball = q[dq <= most]
+            yield np.full(len(ball), p[0]), ball
+            yield from _reached(fps, p[inside], q[(dq > most) & (dq <= 2 * most)], most)
+            stack.append((p[~inside], q[~np.isin(q, p[inside], assume_unique=True)]))
+            continue
+        mu = min(int(np.median(dp)), int(dp.max()) - 1)
+        stack.append((p[dp <= mu], q[dq <= mu + most]))
+        stack.append((p[dp > mu], q[dq > mu - most]))
+
+
 def search(fps: np.ndarray, homes: int, piece: tuple[int, np.uint64], rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (row, row) at most rule.most apart that join the first homes rows with all rows, as far as the piece's radius
-    finds them. Pairs within one pivot's ball may be left out: the pivot joins them."""
+    finds them. Pairs that other links join already may be left out."""
     word, mask = piece
     x = np.ascontiguousarray(fps[:, word])
-    apart = lambda i, j: np.bitwise_count(fps[i] ^ fps[j]).sum(axis=-1, dtype=np.int64)
     stack = [(np.arange(homes), np.arange(len(fps)))]
     while stack:
         p, q = stack.pop()
@@ -176,17 +222,15 @@ def search(fps: np.ndarray, homes: int, piece: tuple[int, np.uint64], rule: Rule
             stack.append((p[dp <= mu], q[dq <= mu + rule.radius]))
             stack.append((p[dp > mu], q[dq > mu - rule.radius]))
             continue
-        rest, pivots = p, 0
-        while len(rest) > LEAF and pivots < LEAF:
-            ball = q[apart(rest[:1], q) <= rule.most]
-            yield np.full(len(ball), rest[0]), ball
-            rest, pivots = rest[1:][~np.isin(rest[1:], ball, assume_unique=True)], pivots + 1
-        step = max(1, (1 << 19) // max(1, len(rest)))
+        if len(p) > LEAF:
+            yield from _clump(fps, p, q[np.bitwise_count((x[q] ^ x[p[0]]) & mask) <= rule.radius], rule.most)
+            continue
+        step = max(1, (1 << 19) // len(p))
         for at in range(0, len(q), step):
             part = q[at : at + step]
-            i, j = np.nonzero(np.bitwise_count((x[rest][:, None] ^ x[part][None, :]) & mask) <= rule.radius)
-            i, j = rest[i], part[j]
-            near = np.flatnonzero(apart(i, j) <= rule.most)
+            i, j = np.nonzero(np.bitwise_count((x[p][:, None] ^ x[part][None, :]) & mask) <= rule.radius)
+            i, j = p[i], part[j]
+            near = np.flatnonzero(_apart(fps, i, j) <= rule.most)
             yield i[near], j[near]
 
 
