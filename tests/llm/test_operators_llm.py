@@ -181,6 +181,24 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch, hot):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+@pytest.mark.parametrize("module", [recompression, suffix_dedup])
+def test_thousands_of_documents_without_id(spark, monkeypatch, module, hot):
+    """Each two share a passage, at different places; of thousands those stay that share 17 bits of their hash with another."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(6)
+    word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    twos = []
+    for k in range(2500):
+        passage = word(35)
+        twos.append((f"{word(1 + k % 5)} {passage} {word(2)}", f"{word(10 + k % 40)} {passage} {word(k % 7)} x"))
+    often = Counter(repeats_bits(t) for two in twos for t in two)
+    rows = [(None, t, None) for two in twos if max(often[repeats_bits(t)] for t in two) > 1 for t in two]
+    assert len(rows) > 100
+    columns, left = (("n_words", "n_removed"), words_left) if module is recompression else (("n_bytes", "n_removed", "n_spans"), bytes_left)
+    assert bag(module.digest(module.dedup(frame(spark, rows))), "doc_id", *columns, "kept_sha256") == left(rows)
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(0)
     for alphabet in (1, 2, 3, 50):

@@ -5,8 +5,8 @@ chosen from the window's content alone, so equal windows have equal anchors at e
 share one; a row stands for an anchor and the windows around it:
 
     h    name of the anchor          did  document id (null: the smallest long)
-    ctx  hash of all units of        at   first window << 33 | windows << 25 | anchor's offset << 17 | 17 bits of
-         its windows, and offset          the text's hash, which tells rows that repeat an id apart
+    ctx  hash of all units of        at   first window << 16 | windows << 8 | anchor's offset
+         its windows, and offset     bits 64-bit hash of the text, which tells rows that repeat an id apart
 
 1. Names that occur once are dropped: a count with partial sums, then a join. No window of theirs can occur twice.
 2. Rows with equal name and ctx are one class: all their windows are equal one by one. Classes are summed before they are
@@ -34,7 +34,7 @@ from trackframe.llm.common import Chunk, Rolling, chunks, cut
 
 HOT = 16_384
 NULL_ID = -(1 << 63)
-ANCHOR = "h long, ctx long, did long, at long"
+ANCHOR = "h long, ctx long, did long, at long, bits long"
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,9 @@ def _rows(kind: Kind, units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
 
 
 def _text_bits(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << 17) - 1))
+    """All 64 bits of the text's hash, so turned that the lowest 17 decide the order first."""
+    h = F.xxhash64(F.coalesce(text, F.lit("")))
+    return F.shiftleft(h, 47).bitwiseOR(F.shiftrightunsigned(h, 17)).bitwiseXOR(F.lit(NULL_ID))
 
 
 def _anchors(texts: DataFrame, kind: Kind) -> DataFrame:
@@ -83,8 +85,8 @@ def _anchors(texts: DataFrame, kind: Kind) -> DataFrame:
                 if len(c.data) >= 1 << 30:
                     raise ValueError("a text has 2**30 bytes or more")
                 h, ctx, doc, lo, n, off = _rows(kind, *kind.units(c))
-                at = lo << 33 | n << 25 | off << 17 | bits[c.first + doc]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), pa.array(did[c.first + doc]), pa.array(at)], ["h", "ctx", "did", "at"])
+                at = lo << 16 | n << 8 | off
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), pa.array(did[c.first + doc]), pa.array(at), pa.array(bits[c.first + doc])], ["h", "ctx", "did", "at", "bits"])
 
     return texts.select("did", "bits", "text").mapInArrow(run, ANCHOR)
 
@@ -94,15 +96,16 @@ def _contexts(joined: DataFrame, kind: Kind) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            did, wanted = b.column(0), b.column(2)
-            out: dict[str, list] = {c: [] for c in ("h", "did", "at", "hot", "units")}
+            did, bits, wanted = b.column(0), b.column(3), b.column(2)
+            out: dict[str, list] = {c: [] for c in ("h", "did", "at", "bits", "hot", "units")}
             for c in chunks(b.column(1)):
                 units, first = kind.units(c)
                 for d in range(len(c)):
                     for w in wanted[c.first + d].as_py():
-                        lo, n = w["at"] >> 33, w["at"] >> 25 & 255
+                        lo, n = w["at"] >> 16, w["at"] >> 8 & 255
                         out["units"].append(units[first[d] + lo : first[d] + lo + n - 1 + kind.window].tobytes())
                         out["did"].append(did[c.first + d].as_py())
+                        out["bits"].append(bits[c.first + d].as_py())
                         for k in ("h", "at", "hot"):
                             out[k].append(w[k])
                 if sum(map(len, out["units"])) > 1 << 23:
@@ -111,10 +114,10 @@ def _contexts(joined: DataFrame, kind: Kind) -> DataFrame:
             yield emit(out)
 
     def emit(out: dict[str, list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
-    return joined.mapInArrow(run, "h long, did long, at long, hot boolean, units binary")
+    return joined.mapInArrow(run, "h long, did long, at long, bits long, hot boolean, units binary")
 
 
 def _windows(units: list[bytes], at: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +125,7 @@ def _windows(units: list[bytes], at: np.ndarray, kind: Kind) -> tuple[np.ndarray
 
     Contexts are taken PIECE at a time, so that only these four numbers a window are held for all of them.
     """
-    n, lo = at >> 25 & 255, at >> 33
+    n, lo = at >> 8 & 255, at >> 16
     which = np.repeat(np.arange(len(at), dtype=np.int32), n)
     step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     lead, hashed = np.empty(len(which), np.uint64), np.empty(len(which), np.uint64)
@@ -182,29 +185,29 @@ SPAN = "did long, bits long, s long, e long"
 def _resolve(sorted_rows: DataFrame, kind: Kind) -> DataFrame:
     """Buckets: rows of a name stand together; its contexts are compared once all are there."""
 
-    def compare(did: np.ndarray, at: np.ndarray, units: list[bytes]) -> pa.RecordBatch:
-        _, one = np.unique(np.stack([did, at]), axis=1, return_index=True)  # a repeated row gives the same context again
-        did, at, units = did[one], at[one], [units[i] for i in one]
+    def compare(did: np.ndarray, at: np.ndarray, bits: np.ndarray, units: list[bytes]) -> pa.RecordBatch:
+        _, one = np.unique(np.stack([did, at, bits]), axis=1, return_index=True)  # a repeated row gives the same context again
+        did, at, bits, units = did[one], at[one], bits[one], [units[i] for i in one]
         which, start, lead, hashed = _windows(units, at, kind)
         gone = repeated(lead, hashed, np.lexsort((start, did[which])) if kind.firsts else np.arange(len(which)), kind.firsts)
         w, s, e = _spans(which[gone], start[gone], kind.window)
-        return pa.RecordBatch.from_arrays([pa.array(did[w]), pa.array(at[w] & ((1 << 17) - 1)), pa.array(s), pa.array(e)], ["did", "bits", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(did[w]), pa.array(bits[w]), pa.array(s), pa.array(e)], ["did", "bits", "s", "e"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, did, at, units = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        h, did, at, bits, units = *(np.zeros(0, np.int64) for _ in range(4)), []
         for b in batches:
-            h, did, at = (np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate((h, did, at)))
-            units += b.column(3).to_pylist()
+            h, did, at, bits = (np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate((h, did, at, bits)))
+            units += b.column(4).to_pylist()
             if len(h) < ENOUGH or h[0] == h[-1]:
                 continue
             n = int(np.flatnonzero(h[1:] != h[:-1])[-1]) + 1  # the last name may go on in the next batch
             for s, e in _slices(h[:n]):
-                yield compare(did[s:e], at[s:e], units[s:e])
-            h, did, at, units = h[n:], did[n:], at[n:], units[n:]
+                yield compare(did[s:e], at[s:e], bits[s:e], units[s:e])
+            h, did, at, bits, units = h[n:], did[n:], at[n:], bits[n:], units[n:]
         for s, e in _slices(h):
-            yield compare(did[s:e], at[s:e], units[s:e])
+            yield compare(did[s:e], at[s:e], bits[s:e], units[s:e])
 
-    return sorted_rows.select("h", "did", "at", "units").mapInArrow(run, SPAN)
+    return sorted_rows.select("h", "did", "at", "bits", "units").mapInArrow(run, SPAN)
 
 
 #: Contexts that are compared at once, as far as names allow, and whose units are held side by side.
@@ -226,11 +229,11 @@ def _resolve_hot(rows: DataFrame, kind: Kind) -> DataFrame:
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            did, at = b.column(1).to_numpy(), b.column(2).to_numpy()
-            which, start, lead, hashed = _windows(b.column(3).to_pylist(), at, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), pa.array(hashed.view(np.int64)), pa.array(did[which]), pa.array(start), pa.array(at[which] & ((1 << 17) - 1))], ["lead", "hashed", "did", "s", "bits"])
+            did, at, bits = (b.column(k).to_numpy() for k in (1, 2, 3))
+            which, start, lead, hashed = _windows(b.column(4).to_pylist(), at, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), pa.array(hashed.view(np.int64)), pa.array(did[which]), pa.array(start), pa.array(bits[which])], ["lead", "hashed", "did", "s", "bits"])
 
-    windows = rows.select("h", "did", "at", "units").dropDuplicates(["did", "at"]).mapInArrow(explode, "lead long, hashed long, did long, s long, bits long")
+    windows = rows.select("h", "did", "at", "bits", "units").dropDuplicates(["did", "at", "bits"]).mapInArrow(explode, "lead long, hashed long, did long, s long, bits long")
     seen = windows.groupBy("lead", "hashed").agg(F.count("*").alias("n"), F.min(F.struct("did", "s", "bits")).alias("first")).filter("n > 1")
     gone = windows.join(seen, ["lead", "hashed"])
     if kind.firsts:
@@ -247,21 +250,21 @@ def repeated_spans(docs: DataFrame, kind: Kind, id_col: str, text_col: str) -> D
     # Both sides of the join are then dealt out for it alone, so a hot name can be split.
     often = cut(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often", free=True)
     shared = cut(anchors.join(often, "h"), "shared", free=True)
-    member = F.struct("did", "at")
+    member = F.struct("did", "at", "bits")
     classes = shared.groupBy("h", "ctx").agg(F.min(member).alias("first"), F.max(member).alias("last"))
     classes = cut(classes.select("h", "ctx", "first", (F.col("first") != F.col("last")).alias("many")), "classes", free=True)
     direct = shared.join(classes.filter("many").select("h", "ctx", "first"), ["h", "ctx"])
     if kind.firsts:
         direct = direct.filter(member != F.col("first"))
-    bits, lo, n = F.col("at").bitwiseAND(F.lit((1 << 17) - 1)).alias("bits"), F.shiftright("at", 33), F.shiftright("at", 25).bitwiseAND(F.lit(255))
-    direct = direct.select("did", bits, lo.alias("s"), (lo + n - 1 + kind.window).alias("e"))
+    lo, n = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255))
+    direct = direct.select("did", "bits", lo.alias("s"), (lo + n - 1 + kind.window).alias("e"))
 
     names = classes.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1")
-    wanted = classes.join(names, "h").select("h", "first.did", "first.at", (F.col("classes") > HOT).alias("hot"))
-    wanted = wanted.select("*", bits).groupBy("did", "bits").agg(F.collect_list(F.struct("h", "at", "hot")).alias("wanted"))
-    some = texts.join(wanted.hint("shuffle_hash"), ["did", "bits"]).select("did", "text", "wanted")
+    wanted = classes.join(names, "h").select("h", "first.did", "first.at", "first.bits", (F.col("classes") > HOT).alias("hot"))
+    wanted = wanted.groupBy("did", "bits").agg(F.collect_list(F.struct("h", "at", "hot")).alias("wanted"))
+    some = texts.join(wanted.hint("shuffle_hash"), ["did", "bits"]).select("did", "text", "wanted", "bits")
     contexts = cut(_contexts(some, kind), "contexts", free=True)
-    lead = F.expr(f"substring(units, cast((shiftright(at, 17) & 255) * {np.dtype(kind.dtype).itemsize} + 1 as int), 16)")
+    lead = F.expr(f"substring(units, cast((at & 255) * {np.dtype(kind.dtype).itemsize} + 1 as int), 16)")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = contexts.filter("NOT hot").withColumn("lead", lead).repartitionByRange(parts, "lead", "h").sortWithinPartitions("lead", "h")
     found = direct.unionByName(_resolve(buckets, kind)).unionByName(_resolve_hot(contexts.filter("hot"), kind))
