@@ -306,6 +306,14 @@ def test_kneser_ney(docs, rows, monkeypatch, part):
     assert np.allclose([r[5:] for r in got], [r[5:] for r in expected], rtol=1e-6)
 
 
+def test_kneser_ney_tells_words_apart(spark):
+    """These words share 40 bits of their hashes."""
+    held = [n for n in range(60) if zlib.crc32(str(n).encode()) % 5 == 1]
+    rows = [(n, "odgicaa jpccfaa" if n in held else "oafvdaa rpgqcaa", None) for n in range(60)]
+    found = ngram_lm.score_documents(frame(spark, rows)).collect()
+    assert held and all(r.n_known == (1 if r.held_out else 3) for r in found)
+
+
 def test_kneser_ney_without_training(spark, empty):
     only = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
     got = ngram_lm.score_documents(frame(spark, [(i, "a b", None) for i in only])).collect()

@@ -1,6 +1,6 @@
 """Operator 4, LM scoring: an interpolated modified Kneser-Ney bigram model.
 
-Counting. Words become 40-bit hashes (W below). Every map task packs its distinct (previous, word) pairs with their
+Counting. Words become 64-bit hashes. Every map task packs its distinct (previous, word) pairs with their
 counts, sorted, into one compressed block for each of PARTS model parts; pairs go to a part by their hash, so a frequent
 word is spread over all parts. One task a part merges the blocks to its pair counts. These give, again as packed blocks
 by word, the totals N1, N2 and N3+ of each context and the number of distinct contexts of each word, and the counts of
@@ -35,17 +35,15 @@ from pyspark.sql import functions as F
 
 from trackframe.llm.common import BYTE_CODES, Rolling, chunks, cut, mix, shared_dir
 
-BITS = np.uint64(40)
-MASK = np.uint64((1 << 40) - 1)
-#: Hashes of the end token and the begin mark, above all hashes of words.
-END, BEGIN = np.uint64(1 << 40), np.uint64((1 << 40) + 1)
+#: Hashes of the end token and the begin mark, above all hashes of words, which are at most LAST.
+LAST, END, BEGIN = (np.uint64((1 << 64) - k) for k in (3, 2, 1))
 PART_BYTES = 12 << 20
 
 
 def tokens(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of a chunk with an end token after each document: hashes, hashes of the token before, document numbers."""
     starts, ends, doc = chunk.words()
-    words = Rolling(BYTE_CODES[chunk.data]).of(starts, ends) & MASK
+    words = np.minimum(Rolling(BYTE_CODES[chunk.data]).of(starts, ends), LAST)
     n = np.bincount(doc, minlength=len(chunk)) + 1
     stop = np.cumsum(n) - 1
     out = np.empty(int(n.sum()), np.uint64)
