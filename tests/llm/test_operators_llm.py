@@ -120,22 +120,18 @@ def test_redaction(spark, empty):
 # ---- operators 2 and 6
 
 
-def documents(rows):
-    """Repeated rows are one document; a null id comes first."""
-    return sorted({(i, t or "") for i, t, _ in rows}, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
-
-
 def words_left(rows):
-    whole = documents(rows)
+    """Rows that repeat an id and a text are one document; a null id comes first."""
+    whole = sorted({(i, t or "") for i, t, _ in rows}, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
     where = defaultdict(list)
     split = {d: d[1].encode().split() for d in whole}
     order = {d: (d[0] is not None, d[0] or 0) for d in whole}
     for d in whole:
         for k in range(len(split[d]) - 19):
-            where[tuple(split[d][k : k + 20])].append((*order[d], k, repeats_bits(d[1]), d))
+            where[tuple(split[d][k : k + 20])].append((*order[d], k, d))
     gone = {d: np.zeros(len(split[d]), bool) for d in whole}
     for places in where.values():
-        for *_, k, _, d in sorted(places, key=lambda x: x[:4])[1:]:
+        for *_, k, d in sorted(places, key=lambda x: x[:3])[1:]:
             gone[d][k : k + 20] = True
     out = []
     for i, t, _ in rows:
@@ -145,58 +141,72 @@ def words_left(rows):
     return sorted(out, key=repr)
 
 
-def repeats_bits(text):
-    return xxhash.xxh64_intdigest(text.encode(), 42) & ((1 << 17) - 1)
-
-
 def bytes_left(rows):
-    whole = documents(rows)
-    raw = {d: d[1].encode() for d in whole}
-    count = Counter(raw[d][k : k + 200] for d in whole for k in range(len(raw[d]) - 199))
+    """Every row is a document of its own."""
+    raw = [(i, (t or "").encode()) for i, t, _ in rows]
+    count = Counter(t[k : k + 200] for _, t in raw for k in range(len(t) - 199))
     out = []
-    for i, t, _ in rows:
-        d = (i, t or "")
-        gone = np.zeros(len(raw[d]), bool)
-        for k in range(len(raw[d]) - 199):
-            if count[raw[d][k : k + 200]] > 1:
+    for i, t in raw:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 199):
+            if count[t[k : k + 200]] > 1:
                 gone[k : k + 200] = True
         runs = sum(1 for on, _ in itertools.groupby(gone.tolist()) if on)
-        out.append((i, len(gone), int(gone.sum()), runs, hashlib.sha256(bytes(b for b, g in zip(raw[d], gone, strict=True) if not g)).hexdigest()))
+        out.append((i, len(gone), int(gone.sum()), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 1])
-def test_recompression(docs, rows, empty, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
-    assert bag(recompression.digest(recompression.dedup(docs)), "doc_id", "n_words", "n_removed", "kept_sha256") == words_left(rows)
-    assert recompression.dedup(empty).count() == 0
+LEFT = {recompression: (("n_words", "n_removed"), words_left), suffix_dedup: (("n_bytes", "n_removed", "n_spans"), bytes_left)}
+#: As it is; all names hot, so that windows themselves are range-partitioned; long texts in many pieces.
+WAYS = {"plain": {}, "hot": {"HOT": 1}, "pieces": {"PIECE": 5000, "STRIDE": 700, "ENOUGH": 3}}
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 1])
-def test_suffix_dedup(docs, rows, empty, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
-    short = [(i, (t or "")[:6000] if t is not None else None, s) for i, t, s in rows]
-    cut = docs.withColumn("text", F.substring("text", 1, 6000))
-    assert bag(suffix_dedup.digest(suffix_dedup.dedup(cut)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_left(short)
-    assert suffix_dedup.dedup(empty).count() == 0
+def left(module, df, rows):
+    columns, brute = LEFT[module]
+    assert bag(module.digest(df), "doc_id", *columns, "kept_sha256") == brute(rows)
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 1])
-@pytest.mark.parametrize("module", [recompression, suffix_dedup])
-def test_thousands_of_documents_without_id(spark, monkeypatch, module, hot):
-    """Each two share a passage, at different places; of thousands those stay that share 17 bits of their hash with another."""
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("way", WAYS)
+@pytest.mark.parametrize("module", LEFT)
+def test_repeats(docs, rows, empty, monkeypatch, module, way):
+    for name, value in WAYS[way].items():
+        monkeypatch.setattr(repeats, name, value)
+    monkeypatch.setattr(recompression, "PIECE", repeats.PIECE)
+    left(module, docs, rows)
+    assert module.dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("module", LEFT)
+def test_what_stays_is_what_was_hashed(docs, module):
+    for r in module.dedup(docs).collect():
+        assert hashlib.sha256(r.kept.encode() if isinstance(r.kept, str) else r.kept).hexdigest() == r.kept_sha256
+
+
+@pytest.mark.parametrize("way", ["plain", "hot"])
+@pytest.mark.parametrize("module", LEFT)
+def test_thousands_of_documents_without_id(spark, monkeypatch, module, way):
+    """Each two share a passage, at different places; the smallest id there is counts as an id of its own."""
+    for name, value in WAYS[way].items():
+        monkeypatch.setattr(repeats, name, value)
     rng = random.Random(6)
     word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
     twos = []
-    for k in range(2500):
+    for k in range(1000):
         passage = word(35)
         twos.append((f"{word(1 + k % 5)} {passage} {word(2)}", f"{word(10 + k % 40)} {passage} {word(k % 7)} x"))
-    often = Counter(repeats_bits(t) for two in twos for t in two)
-    rows = [(None, t, None) for two in twos if max(often[repeats_bits(t)] for t in two) > 1 for t in two]
-    assert len(rows) > 100
-    columns, left = (("n_words", "n_removed"), words_left) if module is recompression else (("n_bytes", "n_removed", "n_spans"), bytes_left)
-    assert bag(module.digest(module.dedup(frame(spark, rows))), "doc_id", *columns, "kept_sha256") == left(rows)
+    rows = [(None, t, None) for two in twos for t in two]
+    same = word(60)
+    rows += [(-(1 << 63), same, None), (None, f"{word(3)} {same}", None), (-(1 << 63), word(60), None)]
+    left(module, frame(spark, rows), rows)
+
+
+@pytest.mark.parametrize("module", LEFT)
+def test_runs_of_equal_windows_cross_buckets(spark, monkeypatch, module):
+    monkeypatch.setattr(repeats, "HOT", 1)
+    rng = random.Random(9)
+    passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))
+    rows = [(i, f"{rng.random()} {passage} {rng.random()}", None) for i in range(120)]
+    left(module, frame(spark, rows).repartition(3), rows)
 
 
 def test_equal_windows_have_equal_anchors():
@@ -213,10 +223,17 @@ def test_equal_windows_have_equal_anchors():
         assert all(len(v) == 1 for v in by.values())
 
 
-def test_multikey_order():
+def test_suffix_order():
     rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 5, 500).astype(np.uint64), rng.integers(0, 5, 500).astype(np.uint64)
-    assert np.array_equal(repeats.multikey_order(a, b), np.lexsort((b, a)))
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    data[1000:1400] = data[200:600]
+    place = rng.permutation(2700)[:900]
+    keys = suffix_dedup.big_endian(data)
+    order, new = repeats.suffix_order(lambda d, w: keys[place[w] + 8 * d], 25, np.arange(900))
+    texts = [bytes(data[p : p + 200]) for p in place]
+    assert [texts[i] for i in order] == sorted(texts)
+    assert [i for i in order] == sorted(range(900), key=lambda i: (texts[i], i))
+    assert new.tolist() == [k == 0 or texts[order[k]] != texts[order[k - 1]] for k in range(900)]
 
 
 # ---- operator 3

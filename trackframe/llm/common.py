@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import hashlib
+import re
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,29 +34,61 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="trackframe-checkpoint-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+#: Held while a table is written: small Arrow batches bound what a Python worker and its buffers hold, and shuffle files go
+#: as soon as the write that needed them has ended.
+WHILE_WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside, and are put back after."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cut(df: DataFrame, name: str, drop: Iterable[DataFrame] = ()) -> DataFrame:
     """Write df to the shared folder and read it back: a lineage cut that survives lost executors.
 
-    free: let go of the shuffle files that only df needed, which Spark else keeps until the driver collects its garbage.
+    drop: tables of earlier cuts that only df needed; they are deleted. What the result of an operator still reads stays.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for _ in range(2 * free):  # what holds on to a shuffle goes in the first round, the shuffle's files in the second
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, WHILE_WRITING):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    discard(*drop)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() has written."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

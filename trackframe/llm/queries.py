@@ -18,7 +18,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recompression.digest(recompression.dedup(_table(spark, sf_dir, "documents")))
+    return recompression.digest(_table(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.dedup(_table(spark, sf_dir, "documents")))
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

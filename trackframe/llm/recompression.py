@@ -6,25 +6,27 @@ of a left symbol and a right one. A name is a hash of what it stands for, so all
 names without a shuffle: naming is global. What happens to a symbol hangs on its neighbours alone, so equal windows have
 equal symbols inside, but for a few at either end that what stands outside could have merged with. From these inner
 symbols the GRAM neighbours with the smallest name are the window's anchor: a high-level symbol that all its copies
-share. Windows with too few inner symbols fall back on the symbols of a level below. Names that occur once are dropped,
-and the windows around the rest are verified by class and by sorting, see repeats.
+share. Windows with too few inner symbols fall back on the symbols of a level below. Names are counted over the whole
+corpus; those that occur once are dropped, and the windows around the rest are verified: copies with equal words all
+around a name are summed up, the others are put in order word by word and compared with their neighbours, see repeats.
 
 The first occurrence stays (by doc_id, then start; a null id comes first); all other occurrences' words go. Windows are
-judged on the input. Null and empty texts have no words. Rows that repeat an id and a text are one document; rows that
-repeat an id with another text are documents of their own. Other columns are ignored; an empty table gives an empty
-result. Texts are taken whole.
+judged on the input. Null and empty texts have no words. Rows that repeat an id and a text are one document (neither has
+the smaller id); rows that repeat an id with another text are documents of their own. Other columns are ignored; an empty
+table gives an empty result. Texts are taken whole, long ones piece by piece; texts of 2**30 bytes or more are refused.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trackframe.llm.common import BYTE_CODES, Chunk, Rolling, binary, mix, sha256
-from trackframe.llm.repeats import Kind, covered, repeated_spans
+from trackframe.llm.common import BYTE_CODES, SPACES, Chunk, Rolling, binary, mix
+from trackframe.llm.repeats import PIECE, Kind, finished, gaps, merged, repeated_spans
 
 WINDOW, ROUNDS, GRAM = 20, 2, 3
 _PLACE = np.uint64((1 << 30) - 1)
@@ -120,29 +122,67 @@ def anchors(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, name, place
 
 
-KIND = Kind(window=WINDOW, dtype=np.uint64, units=units, codes=lambda words: words, lead=lambda words, place: words[place], anchors=anchors, firsts=True)
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+def next_separator(data: np.ndarray, at: int) -> int:
+    """The first place from at on that no word crosses."""
+    while at < len(data):
+        part = np.flatnonzero(SPACES[data[at : at + (1 << 16)]])
+        if len(part):
+            return at + int(part[0])
+        at += 1 << 16
+    return len(data)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space)."""
+KIND = Kind(
+    window=WINDOW, dtype=np.uint64, units=units, split=next_separator, codes=lambda words: words, keys=lambda words: words, step=1, anchors=anchors, firsts=True
+)
+DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+
+
+def word_pieces(text: np.ndarray) -> Iterator[list[bytes]]:
+    """The words of a text, some megabytes at a time."""
+    at = 0
+    while at < len(text):
+        to = next_separator(text, min(len(text), at + PIECE))
+        yield bytes(text[at:to]).split()
+        at = to
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256 and, unless texts is False, kept (the words that stay, joined by one space)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = binary(b.column(1))
-            raw, spans = memoryview(data), b.column(2)
-            for at in range(0, len(b), 512):
-                rows = []
-                for i in range(at, min(at + 512, len(b))):
-                    words, found = bytes(raw[offsets[i] : offsets[i + 1]]).split(), spans[i].as_py()
-                    gone = covered(len(words), found) if found else np.zeros(len(words), bool)
-                    rows.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])))
-                n, removed, kept = zip(*rows, strict=True)
-                columns = [b.column(0).slice(at, 512), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([sha256(k) for k in kept]), pa.array([k.decode() for k in kept])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return repeated_spans(docs, KIND, id_col, text_col).mapInArrow(run, SCHEMA)
-
-
-def digest(found: DataFrame) -> DataFrame:
-    return found.drop("kept")
+            spans = b.column(2)
+            rows, hashes, kept, held, since = [], [], [], 0, 0
+            for i in range(len(b)):
+                gone = merged(spans[i].as_py())
+                whole, digest, n, left = [], hashlib.sha256(), 0, 0
+                for words in word_pieces(data[offsets[i] : offsets[i + 1]]):
+                    here = [(max(s - n, 0), min(e - n, len(words))) for s, e in gone if s < n + len(words) and e > n]
+                    stay = [w for s, e in gaps(len(words), here) for w in words[s:e]]
+                    if stay:
+                        part = b" " * (left > 0) + b" ".join(stay)
+                        digest.update(part)
+                        whole += [part] if texts else []
+                    n, left = n + len(words), left + len(stay)
+                rows.append((n, n - left))
+                hashes.append(digest.hexdigest())
+                if texts:
+                    kept.append(b"".join(whole).decode())
+                    held += len(kept[-1])
+                if held > 1 << 21 or i == len(b) - 1:
+                    words_in, removed = zip(*rows, strict=True)
+                    columns = [b.column(0).slice(since, len(rows)), pa.array(words_in, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes)]
+                    yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if texts else [])], names)
+                    rows, hashes, kept, held, since = [], [], [], 0, i + 1
+
+    names = [c.split()[0] for c in DIGEST.split(", ")] + ["kept"] * texts
+    found, tables = repeated_spans(docs, KIND, id_col, text_col)
+    out = found.mapInArrow(run, DIGEST + ", kept string" * texts)
+    return out if texts else finished(out, tables, "kept")
+
+
+def digest(docs: DataFrame) -> DataFrame:
+    """The contract's columns; the words that stay don't leave the worker that hashes them."""
+    return dedup(docs, texts=False)
