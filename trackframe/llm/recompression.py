@@ -10,7 +10,7 @@ share. Windows with too few inner symbols fall back on the symbols of a level be
 corpus; those that occur once are dropped, and the windows around the rest are verified: copies with equal words all
 around a name are summed up, the others are put in order word by word and compared with their neighbours, see repeats.
 
-The first occurrence stays (by doc_id, then start; a null id comes first); all other occurrences' words go. Windows are
+The first occurrence stays (by doc_id, then start; a null id counts as the smallest number); all other occurrences' words go. Windows are
 judged on the input. Null and empty texts have no words. Rows that repeat an id and a text are one document (neither has
 the smaller id); rows that repeat an id with another text are documents of their own. Other columns are ignored; an empty
 table gives an empty result. Texts are taken whole, long ones piece by piece; texts of 2**30 bytes or more are refused.

@@ -289,7 +289,7 @@ def _resolve_hot(rows: DataFrame, kind: Kind, parts: int) -> tuple[DataFrame, Da
         for b in batches:
             if not len(b):
                 continue
-            w = np.frombuffer(b"".join(b.column(0).to_pylist()), ">u8").reshape(-1, 4)
+            w = np.frombuffer(b"".join(b.column(0).to_pylist()), ">u8").astype(np.uint64).reshape(-1, 4)
             cols = [b.column(k).to_numpy() for k in (1, 2, 3)]
             if last is not None:
                 w, cols = np.concatenate([last[0], w]), [np.concatenate(x) for x in zip(last[1], cols, strict=True)]
