@@ -46,9 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-#: Held while a table is written: small Arrow batches bound what a Python worker and its buffers hold, and shuffle files go
-#: as soon as the write that needed them has ended.
+#: Held while a table is written: small batches bound what the scan, a Python worker and the buffers between them hold, and
+#: shuffle files go as soon as the write that needed them has ended.
 WHILE_WRITING = {
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
