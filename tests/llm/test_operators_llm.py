@@ -19,7 +19,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trackframe.llm import bpe_count, common, decontaminate, kd_search, mixing, ngram_lm, quality, recompression, repeats, secret_scan, simhash, suffix_dedup
+from trackframe.llm import bpe_count, common, components, decontaminate, kd_search, mixing, ngram_lm, quality, recompression, repeats, secret_scan, simhash, suffix_dedup
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -558,6 +558,48 @@ def test_links_within_a_shared_half(kind, seed):
     assert np.array_equal(*(np.stack(simhash.forest(len(fps), *x)) for x in ((i, j), (a, b))))
 
 
+def test_shards_that_are_full_are_searched_in_blocks(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(simhash, "FULL", 2)
+    test_simhash(docs, rows, frame(spark, []), 8)
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST_HUB", 5)
+    rng = random.Random(2)
+    links = [(0, k) for k in range(1, 40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(45)] + [(7, 7), (0, 1), (500, 499)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    ids = sorted({x for link in links for x in link})
+    roots = grouped(ids, ids, lambda a, b: (a, b) in links or (b, a) in links)
+    assert got == {i: r for i, r in zip(ids, roots, strict=True) if i != r}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("leaders,size", [(32, 8 << 20), (2, 4000)])
+def test_near_copies_go_by_their_shingles(spark, monkeypatch, leaders, size):
+    """A chain of ever more edits: documents go in order of id if one that stays before them is similar."""
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    monkeypatch.setattr(simhash, "TASK_BYTES", size)
+    rng = random.Random(12)
+    table = []
+    for c in range(6):
+        text = [f"w{rng.randrange(9000)}" for _ in range(150)]
+        for k in range(14):
+            table.append((rng.randrange(10**6) * 100 + c * 14 + k, " ".join(text), None))
+            for _ in range(2):
+                text[rng.randrange(150)] = f"new{rng.randrange(9000)}"
+    table += [(table[3][0], table[40][1], None), (None, table[0][1], None), (10**9, table[0][1].upper(), None)]
+    shingles = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)}
+    sets = sorted(((i, shingles(t)) for i, t, _ in table if i is not None), key=lambda x: x[0])
+    stays, out = [], set()
+    for i, s in sets:
+        if any(len(s & o) / len(s | o) >= 0.8 for _, o in stays):
+            out.add(i)
+        else:
+            stays.append((i, s))
+    got = {r.doc_id for r in simhash.keep_one(frame(spark, table).repartition(3)).collect()}
+    assert got == ({i for i, _, _ in table} - out)
+
+
 def test_near_copies_of_the_pipeline(spark, docs, empty):
     rng = random.Random(8)
     text = [f"w{rng.randrange(5000)}" for _ in range(400)]

@@ -48,12 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Held while a table is written: small batches bound what the scan, a Python worker and the buffers between them hold, and
 #: shuffle files go as soon as the write that needed them has ended.
-WHILE_WRITING = {
+SMALL_BATCHES = {
     "spark.sql.parquet.columnarReaderBatchSize": "512",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
+WHILE_WRITING = SMALL_BATCHES | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 @contextlib.contextmanager
@@ -69,6 +69,12 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def configure(spark: SparkSession) -> None:
+    """Small batches from now on, for results that are computed as the caller reads them."""
+    for k, v in SMALL_BATCHES.items():
+        spark.conf.set(k, v)
+
+
 def cut(df: DataFrame, name: str, drop: Iterable[DataFrame] = ()) -> DataFrame:
     """Write df to the shared folder and read it back: a lineage cut that survives lost executors.
 

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trackframe.llm import bpe_count, decontaminate, kd_search, mixing, ngram_lm, quality, recompression, secret_scan, simhash, suffix_dedup
+from trackframe.llm.common import configure
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

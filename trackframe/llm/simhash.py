@@ -7,17 +7,19 @@ found is verified on all bits.
 
 * CONTRACT: 64 bits, 3-word shingles, at most 3 differing bits. They differ in at most one bit of the upper or of the
   lower half, so two pieces of 32 bits and radius 1 miss no pair.
-* NEAR_COPIES: 256 bits, 5-word shingles. Texts that share 0.8 of their shingles differ in 15 % of the bits, so 48 are
-  allowed. Unrelated texts differ in 128 bits, with a deviation of 8. 16 pieces of 16 bits, radius 1: exact up to 31
-  differing bits; at a similarity of 0.8 some piece differs in at most one bit with probability 0.995, and nearly surely
-  above it. The cut at 48 bits loses about 5 % of the pairs at 0.8, and pairs below 0.8 within it are taken.
+* NEAR_COPIES: 256 bits, 5-word shingles, for texts that share 0.8 of their shingles (Jaccard). Those differ in 15 % of the
+  bits, 39 with a deviation of 6; at most 56 link. 16 pieces of 16 bits, radius 1: exact up to 31 differing bits; at a
+  similarity of 0.8 some piece differs in at most one bit with probability 0.994. Links are candidates only: keep_one()
+  compares the shingle sets themselves.
 
 The upper levels of the trees are built from a bounded sample (SAMPLE_A_LEAF fingerprints a leaf, at most LEAVES leaves);
 their leaves are the shards. A fingerprint lives in one shard of each family, and goes as a query to every shard whose
-boundary its radius overlaps. Within a shard the tree goes on to leaves of LEAF fingerprints, which are compared outright;
-larger sets that are equal on the piece are searched by the distance on all bits, pairs left out only where other links join
-them. A shard gives back a spanning forest of the links that it finds, not all pairs, so a group of a thousand neighbours
-gives a thousand rows; connectivity, and so the components, are the same.
+boundary its radius overlaps. A shard of over FULL times its intended size (a clump that its piece doesn't part, or more
+fingerprints than LEAVES shards hold) is searched as pairs of blocks, each a task of its own. Within a shard the tree goes
+on to leaves of LEAF fingerprints, which are compared outright; larger sets that are equal on the piece are searched by the
+distance on all bits, pairs left out only where other links join them. A shard gives back a spanning forest of the links
+that it finds, not all pairs, so a group of a thousand neighbours gives a thousand rows; connectivity, and so the
+components, are the same.
 
 Null and empty texts have fingerprint zero, linked like any other. Repeated rows are rows with equal fingerprints. Null
 ids take part; a component's id is its smallest id that isn't null. Other columns are ignored; an empty table gives an
@@ -26,19 +28,20 @@ empty result. Texts are taken whole.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.llm.common import LOWER, binary, cut, mix
 from trackframe.llm.components import components
 
-SEED, LEAF, SAMPLE_A_LEAF, LEAVES = 42, 64, 16, 32768
+SEED, LEAF, SAMPLE_A_LEAF, LEAVES, FULL = 42, 64, 16, 32768, 8
 
 
 @dataclass(frozen=True)
@@ -59,21 +62,24 @@ class Rule:
 
 
 CONTRACT = Rule(shingle=3, words=1, most=3, pieces=2, radius=1, shard=8192)
-NEAR_COPIES = Rule(shingle=5, words=4, most=48, pieces=4, radius=1, shard=32768)
+NEAR_COPIES = Rule(shingle=5, words=4, most=56, pieces=4, radius=1, shard=32768)
 
 
-def fingerprint(text: bytes, n: int = 3, words: int = 1, seed: int = SEED) -> np.ndarray:
-    """Bits that are set in over half of the hashes of the n-word shingles of a text; the first word is of XXH64 itself."""
+def shingle_hashes(text: bytes, n: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each n-word shingle of a text, repeats included; of the whole sequence if that is shorter; none for no words."""
     tokens = text.translate(LOWER).split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     if len(tokens) <= n:
-        hashes = np.array([digest(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-n] + 1)).tolist()
-        hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[n - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-n] + 1)).tolist()
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[n - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """Bits that are set in over half of the hashes; the first word is of the hashes themselves, further ones of mixes of them."""
     total = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
@@ -84,16 +90,21 @@ def fingerprint(text: bytes, n: int = 3, words: int = 1, seed: int = SEED) -> np
 
 
 def fingerprints(docs: DataFrame, rule: Rule = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp (binary, the words in little-endian order)."""
+    """Per row: doc_id, fp (binary, the words in little-endian order), same (128-bit hash of the set of shingles)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = binary(b.column(1))
             raw, at = memoryview(data), offsets.tolist()
-            fps = [fingerprint(bytes(raw[s:e]), rule.shingle, rule.words).tobytes() for s, e in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            fps, sets = [], []
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                hashes = shingle_hashes(bytes(raw[s:e]), rule.shingle)
+                fps.append(fingerprint(hashes, rule.words).tobytes())
+                sets.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "fp", "same"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp binary, same binary")
 
 
 def matrix(column: pa.Array, words: int) -> np.ndarray:
@@ -257,30 +268,62 @@ def links(distinct: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     while leaves < LEAVES and leaves * rule.shard < count:
         leaves *= 2
     families = rule.families()
-    sample = matrix(pa.array([bytes(r[0]) for r in distinct.orderBy(F.xxhash64("key"), "key").limit(SAMPLE_A_LEAF * leaves).select("fp").collect()], pa.binary()), rule.words)
+    chosen = distinct.orderBy(F.xxhash64("key"), "key").limit(SAMPLE_A_LEAF * leaves).select("fp").collect()
+    sample = matrix(pa.array([bytes(r[0]) for r in chosen], pa.binary()), rule.words)
     trees = [grow(np.ascontiguousarray(sample[:, w]), mask, leaves) if leaves > 1 else 0 for w, mask in families]
 
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = matrix(b.column(1), rule.words)
-            for k, (w, mask) in enumerate(families):
-                for leaf, rows, home in route(trees[k], np.ascontiguousarray(fps[:, w]), mask, rule.radius):
-                    at = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(np.full(len(rows), leaf, np.int32)), b.column(0).take(at), b.column(1).take(at), pa.array(home)], ["family", "leaf", "key", "fp", "home"])
+    def routed(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        fps = matrix(b.column(1), rule.words)
+        for k, (w, mask) in enumerate(families):
+            for leaf, rows, home in route(trees[k], np.ascontiguousarray(fps[:, w]), mask, rule.radius):
+                yield k, leaf, rows, home
 
-    dealt = distinct.select("key", "fp").mapInArrow(deal, "family int, leaf int, key long, fp binary, home boolean")
-    return dealt.groupBy("family", "leaf").applyInArrow(lambda t: _links_of_shard(t, rule), "a long, b long")
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for b in batches:
+            for k, leaf, rows, _ in routed(b):
+                held[k, leaf] += len(rows)
+        columns = [pa.array([x[0] for x in held], pa.int32()), pa.array([x[1] for x in held], pa.int32()), pa.array(list(held.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["family", "leaf", "n"])
 
+    most = FULL * rule.shard
+    sizes = distinct.select("key", "fp").mapInArrow(tally, "family int, leaf int, n long").groupBy("family", "leaf").agg(F.sum("n").alias("n"))
+    blocks = {(r.family, r.leaf): -(-r.n // most) for r in sizes.filter(F.col("n") > most).collect()}  # one in `most` rows at most
 
-def near_duplicates(docs: DataFrame, rule: Rule = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp (binary), component_id (smallest doc_id that links lead to)."""
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = b.column(0).to_numpy().view(np.uint64)
+            for k, leaf, rows, home in routed(b):
+                n = blocks.get((k, leaf), 1)
+                mine = (part[rows] % np.uint64(n)).astype(np.int64)
+                for i in range(n):  # block i of those that live here, with block j of all
+                    for j in range(n):
+                        lives, asks = home & (mine == i), mine == j
+                        some = np.flatnonzero(lives | asks)
+                        if len(some):
+                            at = pa.array(rows[some])
+                            fixed = [pa.array(np.full(len(some), x, np.int32)) for x in (k, leaf, i * n + j)]
+                            yield pa.RecordBatch.from_arrays([*fixed, b.column(0).take(at), b.column(1).take(at), pa.array(lives[some])], ["family", "leaf", "pair", "key", "fp", "home"])
+
+    dealt = distinct.select("key", "fp").mapInArrow(deal, "family int, leaf int, pair int, key long, fp binary, home boolean")
+    return dealt.groupBy("family", "leaf", "pair").applyInArrow(lambda t: _links_of_shard(t, rule), "a long, b long")
+
+
+def grouped(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Tables: of each row doc_id, fp, same and the fingerprint's key; of each key the least id and the component's root."""
     prints = cut(fingerprints(docs, rule, id_col, text_col).withColumn("key", F.xxhash64("fp")), "fingerprints")
     groups = cut(prints.groupBy("key", "fp").agg(F.min("doc_id").alias("least")), "groups")
     label = components(links(groups, rule))
-    rooted = cut(groups.join(label, groups.key == label.node, "left").select("key", "least", F.coalesce("component", "key").alias("root")), "rooted")
-    # Cut, so that both sides of the join are dealt out for it alone and a large component can be split.
+    rooted = groups.join(label, groups.key == label.node, "left").select("key", "least", F.coalesce("component", "key").alias("root"))
+    return prints, cut(rooted, "rooted", drop=[groups, label])
+
+
+def near_duplicates(docs: DataFrame, rule: Rule = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, fp (binary), component_id (smallest doc_id that links lead to)."""
+    prints, rooted = grouped(docs, rule, id_col, text_col)
+    # Tables, so that both sides of a join are dealt out for it alone and a large component can be split.
     least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    final = rooted.join(least, "root").select("key", "component_id")
+    final = cut(rooted.join(least, "root").select("key", "component_id"), "final", drop=[least, rooted])
     return prints.join(final, "key").select("doc_id", "fp", "component_id")
 
 
@@ -289,11 +332,121 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex(high_first)).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, rule: Rule = NEAR_COPIES) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group of near copies; rows without id stay.
+#: The first documents of a component that are compared with all others at once (twice as many each round), and bytes of
+#: shingle hashes in one task.
+LEADERS, TASK_BYTES = 32, 8 << 20
+
 
-    Rows that repeat an id are one document: they stay or go together.
+def _shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, same, hashes (the sorted distinct shingle hashes as bytes)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = binary(b.column(1))
+            raw, at = memoryview(data), offsets.tolist()
+            for fro in range(0, len(b), 256):
+                to = min(fro + 256, len(b))
+                sets = [np.unique(shingle_hashes(bytes(raw[at[i] : at[i + 1]]), rule.shingle)).tobytes() for i in range(fro, to)]
+                names = [xxhash.xxh3_128_digest(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(fro, to - fro), pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "same", "hashes"])
+
+    return docs.mapInArrow(run, "doc_id long, same binary, hashes binary")
+
+
+def similarities(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of each left set with each right one; sets are sorted arrays of distinct numbers."""
+    owner = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    every = np.concatenate(right) if right else np.zeros(0, np.uint64)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    out = np.zeros((len(left), len(right)))
+    size = np.array([len(x) for x in right])
+    for i, x in enumerate(left):
+        lo, hi = np.searchsorted(every, x), np.searchsorted(every, x, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(right))
+        out[i] = shared / np.maximum(len(x) + size - shared, 1)
+    return out
+
+
+def _led(least: float):
+    """Of some components (members; their first documents as leads) which member stays (1), goes (2) or is still open (0)."""
+
+    def run(members: pa.Table, leads: pa.Table) -> pa.Table:
+        sets = lambda t: [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        roots, names, mine = members.column("root").to_numpy(), members.column("same").to_pylist(), sets(members)
+        lead_root, lead_id = leads.column("root").to_numpy(), leads.column("doc_id").to_numpy()
+        lead_name, theirs = leads.column("same").to_pylist(), sets(leads)
+        state = np.zeros(len(roots), np.int32)
+        for root in np.unique(lead_root):
+            at = sorted(np.flatnonzero(lead_root == root).tolist(), key=lambda i: (lead_id[i], lead_name[i]))
+            alike = similarities([theirs[i] for i in at], [theirs[i] for i in at])
+            stays: list[int] = []
+            for k in range(len(at)):
+                if not any(alike[k, j] >= least for j in stays):
+                    stays.append(k)
+            first, kept = {lead_name[i] for i in at}, {lead_name[at[k]] for k in stays}
+            m = np.flatnonzero(roots == root)
+            near = (similarities([mine[i] for i in m], [theirs[at[k]] for k in stays]) >= least).any(axis=1)
+            state[m] = [1 if names[i] in kept else 2 if names[i] in first or n else 0 for i, n in zip(m, near, strict=True)]
+        return pa.table({"root": members.column("root"), "same": members.column("same"), "state": pa.array(state)})
+
+    return run
+
+
+def _first_of_their_kind(open_: DataFrame, least: float) -> tuple[DataFrame, list[DataFrame]]:
+    """root and same of those of open_ (root, doc_id, same, hashes) that no earlier one that stays is similar to; and its tables.
+
+    In order of doc_id: a set of shingles stays unless one that stays before it in its component is similar. A round compares
+    all sets of a component with its first ones; what is still open goes on to a round with twice as many. Small components
+    share tasks, large ones are dealt to several.
+    """
+    leaders, tables = LEADERS, []
+    open_ = cut(open_, "open")
+    stay = open_.limit(0).select("root", "same")
+    while True:
+        sizes = cut(open_.groupBy("root").agg(F.sum(F.octet_length("hashes") + 64).alias("bytes")), "sizes")
+        whole = sizes.agg(F.sum("bytes")).first()[0]
+        if not whole:
+            return stay, [*tables, open_, sizes]
+        shares, large = max(1, -(-int(whole) // TASK_BYTES)), F.col("bytes") > TASK_BYTES
+        task = F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(shares)))
+        parts = F.when(large, F.ceil(F.col("bytes") / TASK_BYTES)).otherwise(1).cast("int")
+        tasks = sizes.select("root", task.alias("task"), parts.alias("parts"))
+        first = F.row_number().over(Window.partitionBy("root").orderBy("doc_id", "same"))
+        leads = open_.select("root", "doc_id", "same").withColumn("n", first).filter(F.col("n") <= leaders).select("root", "same")
+        leads = cut(open_.join(leads, ["root", "same"]), "leads")
+        members = open_.join(tasks, "root").withColumn("part", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int"))
+        asked = leads.join(tasks, "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        keys, columns = ("task", "parts", "part"), ("task", "parts", "part", "root", "doc_id", "same", "hashes")
+        judged = members.select(*columns).groupBy(*keys).cogroup(asked.select(*columns).groupBy(*keys))
+        state = cut(judged.applyInArrow(_led(least), "root long, same binary, state int"), "state", drop=[leads, sizes])
+        tables.append(state)
+        stay = stay.unionByName(state.filter("state = 1").select("root", "same")) if len(tables) > 1 else state.filter("state = 1").select("root", "same")
+        open_ = cut(open_.join(state.filter("state = 0").select("root", "same"), ["root", "same"]), "open", drop=[open_])
+        leaders *= 2
+
+
+def keep_one(docs: DataFrame, rule: Rule = NEAR_COPIES, least: float = 0.8) -> DataFrame:
+    """The rows of docs without near copies: of texts whose sets of shingles have a similarity of least or more.
+
+    Fingerprints give the components of candidates; in each, in order of doc_id, a document goes if it is similar to one
+    that stays. So each that goes has a similar one that stays, and of those that stay no two candidates are similar.
+    Rows that repeat an id are one document: they stay or go together. Rows without id stay.
     """
-    found = near_duplicates(docs, rule).filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    gone = cut(found, "near-copies")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints, rooted = grouped(slim, rule, "doc_id", "text")
+    members = prints.join(rooted.select("key", "root"), "key").filter("doc_id IS NOT NULL").select("doc_id", "root", "same")
+    members = cut(members, "members", drop=[prints, rooted])
+    kinds = cut(members.groupBy("root", "same").agg(F.min("doc_id").alias("stays")), "kinds")  # one of each set of shingles
+    several = cut(kinds.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "several")
+    rivals = cut(kinds.join(several, "root").select("root", "same", F.col("stays").alias("doc_id")), "rivals")
+    texts = slim.join(rivals.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = _shingle_sets(texts, rule).join(rivals, ["doc_id", "same"]).select("root", "doc_id", "same", "hashes").dropDuplicates(["root", "same"])
+    stay, tables = _first_of_their_kind(sets, least)
+    alone = kinds.join(several, "root", "left_anti").select("root", "same")
+    kept = cut(kinds.join(alone.unionByName(stay), ["root", "same"]), "kept", drop=[several, rivals, *tables])
+    found = members.join(kept, ["root", "same"], "left").filter(~F.col("stays").eqNullSafe(F.col("doc_id")))
+    gone = cut(found.select("doc_id").distinct(), "near-copies", drop=[members, kinds, kept])
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
