@@ -420,7 +420,8 @@ def _first_of_their_kind(open_: DataFrame, least: float) -> tuple[DataFrame, lis
         members = open_.join(tasks, "root").withColumn("part", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int"))
         asked = leads.join(tasks, "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         keys, columns = ("task", "parts", "part"), ("task", "parts", "part", "root", "doc_id", "same", "hashes")
-        judged = members.select(*columns).groupBy(*keys).cogroup(asked.select(*columns).groupBy(*keys))
+        renamed = [df.select(*columns).toDF(*columns) for df in (members, asked)]  # both read the same tables
+        judged = renamed[0].groupBy(*keys).cogroup(renamed[1].groupBy(*keys))
         state = cut(judged.applyInArrow(_led(least), "root long, same binary, state int"), "state", drop=[leads, sizes])
         tables.append(state)
         stay = stay.unionByName(state.filter("state = 1").select("root", "same")) if len(tables) > 1 else state.filter("state = 1").select("root", "same")
@@ -433,7 +434,7 @@ def keep_one(docs: DataFrame, rule: Rule = NEAR_COPIES, least: float = 0.8) -> D
 
     Fingerprints give the components of candidates; in each, in order of doc_id, a document goes if it is similar to one
     that stays. So each that goes has a similar one that stays, and of those that stay no two candidates are similar.
-    Rows that repeat an id are one document: they stay or go together. Rows without id stay.
+    Rows that repeat an id go together, if all of them do. Rows without id stay.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints, rooted = grouped(slim, rule, "doc_id", "text")
@@ -447,6 +448,6 @@ def keep_one(docs: DataFrame, rule: Rule = NEAR_COPIES, least: float = 0.8) -> D
     stay, tables = _first_of_their_kind(sets, least)
     alone = kinds.join(several, "root", "left_anti").select("root", "same")
     kept = cut(kinds.join(alone.unionByName(stay), ["root", "same"]), "kept", drop=[several, rivals, *tables])
-    found = members.join(kept, ["root", "same"], "left").filter(~F.col("stays").eqNullSafe(F.col("doc_id")))
-    gone = cut(found.select("doc_id").distinct(), "near-copies", drop=[members, kinds, kept])
+    found = members.join(kept, ["root", "same"], "left").groupBy("doc_id").agg(F.bool_or(F.col("stays").eqNullSafe(F.col("doc_id"))).alias("stays"))
+    gone = cut(found.filter("NOT stays").select("doc_id"), "near-copies", drop=[members, kinds, kept])
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
