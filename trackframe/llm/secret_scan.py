@@ -3,17 +3,22 @@
 Patterns (``assign``, ``access``, ``hex``) are matched leftmost and without overlap, each on its own; matches that are
 too short are dropped after matching. All further runs of MIN_LENGTH or more encoding characters are inferred to be in
 one of the ENCODINGS (hexadecimal, base 32, base 36, base 64; the smallest alphabet that holds all characters, with
-letters and digits, and both cases for base 64). The null hypothesis is that a run is uniformly random in its encoding:
+letters and digits, and both cases for base 64); of runs that fit none, the parts between / - and _ are judged. The
+battery measures how far a run is from uniformly random characters of its encoding:
 
 * chi-squared tests on eight near-equal bins of the alphabet (Wilson-Hilferty normal form) and on its kinds of characters
   (capitals, small letters, others),
 * a runs test on the halves of the alphabet,
 * a lag-1 serial correlation test on the alphabet positions,
 
-joined by Fisher's method (eight degrees of freedom, closed form). Over the whole corpus, the Benjamini-Hochberg rule in
-each stratum (encoding and length class) decides which runs are not random, at a false-discovery rate of FDR; the others
-are added as kind ``random``. Length classes have levels of their own, so that many short runs, on which the tests are
-weak, don't lend their level to long ones. p-values are binned by 1/GRID of a decade for the rule, so what is gathered
+joined by Fisher's method (eight degrees of freedom, closed form). A discovery is a run that is too random to be ordinary.
+What the battery gives for ordinary text is learnt from the corpus: every document gives decoys, some of its words from a
+place chosen by hash, written in an encoding and cut to each length class, with a number behind them. In each stratum
+(encoding and length class), a run's p-value is the share of decoys that look at least as random, (1 + those) / (1 + all),
+and the Benjamini-Hochberg rule at FDR decides which runs are reported as kind ``random``. So the share of ordinary runs
+among the reported ones is bounded, as far as ordinary runs are like decoys. Length classes have levels of their own: short
+runs, on which the battery is weak, have decoys that look as random as secrets do, and are then not reported. A stratum
+without decoys reports nothing. Results of the battery are binned by 1/GRID of a decade for the rule, so what is gathered
 is at most BINS rows a stratum, however large the corpus.
 
 Null and empty texts have no spans. Repeated rows and null ids are scanned row by row. Offsets are code points, ends
@@ -24,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.llm.common import cut
@@ -36,7 +41,9 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_LENGTH, FDR, GRID, BINS = 24, 0.1, 50, 800
-RUN = rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}"
+RUN, PART = rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}", rf"[A-Za-z0-9+]{{{MIN_LENGTH},}}"
+#: Length classes: the least length of each and the number of lengths that decoys of it have; characters that decoys are taken from.
+CLASSES, STRETCH = ((24, 8), (32, 16), (48, 32), (80, 80)), 400
 
 LETTERS, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Name, alphabet, and the pattern of runs in it; the first that fits is taken.
@@ -146,7 +153,7 @@ def _serial(token: Column, alphabet: Column, n: Column) -> Column:
 
 
 def _battery(token: Column, e: Column) -> Column:
-    """The combined p-value of the three tests for a token in its encoding."""
+    """The combined p-value of the tests for a token in its encoding, were it uniformly random."""
     mapped = lambda to: F.call_function("translate", token, e["alphabet"], e[to])
     minus_log = lambda p: -F.log(F.greatest(p, F.lit(1e-15)))
 
@@ -158,7 +165,52 @@ def _battery(token: Column, e: Column) -> Column:
 
 
 def _length_class(n: Column) -> Column:
-    return F.when(n < 32, 0).when(n < 48, 1).when(n < 80, 2).otherwise(3)
+    return F.when(n < CLASSES[1][0], 0).when(n < CLASSES[2][0], 1).when(n < CLASSES[3][0], 2).otherwise(3)
+
+
+def _judged(part: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body of the stratum and the battery's bin of a run (null and null if it is in no encoding)."""
+    log_bin = lambda e: F.least(F.lit(BINS - 1), F.floor(-F.log10(F.greatest(_battery(part, e), F.lit(1e-15))) * GRID)).cast("int")
+    stratum = lambda e: 4 * e["k"] + _length_class(F.length(part))
+    return _let(_encoding(part), lambda e: body(stratum(e), F.when(e.isNotNull(), log_bin(e))))
+
+
+def _mixed(part: Column) -> Column:
+    return part.rlike("[0-9]") & part.rlike("[A-Za-z]")
+
+
+def _parts(run: Column) -> Column:
+    """A run that is in an encoding, or else its parts between / - and _ that may be."""
+    fits = _encoding(run["part"]).isNotNull()
+    shifted = lambda y: F.struct((run["start"] + y["start"]).alias("start"), (run["start"] + y["end"]).alias("end"), y["part"].alias("part"))
+    inner = F.filter(_found(run["part"], PART, F.lit(True)), lambda y: _mixed(y["part"]))
+    return F.when(fits, F.array(run)).otherwise(F.transform(inner, shifted))
+
+
+def _decoys(text: Column, number: Column) -> Column:
+    """Ordinary runs: words of a stretch of the text in base 64 and in one more encoding, in all length classes; stratum and bin."""
+    start = 1 + F.pmod(number, F.greatest(F.lit(1), F.length(text) - STRETCH))
+    words = F.regexp_extract_all(F.substr(text, start.cast("int"), F.lit(STRETCH)), F.lit("[A-Za-z]{2,}"), F.lit(0))
+    digits = F.pmod(F.shiftright(number, 7), F.lit(10_000)).cast("string")
+    few = F.translate(digits, "0189", "2367")
+
+    def written(words: Column) -> Column:
+        camel = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
+        plain = F.lower(F.array_join(words, ""))
+        hexed = F.translate(plain, LETTERS.lower(), "0123456789abcdef0123456789")
+        forms = (  # in the order of ENCODINGS: the text, what stands behind it
+            (hexed, digits), (F.upper(hexed), digits), (F.upper(plain), few), (plain, digits), (F.upper(plain), digits),
+            (F.array_join(camel, ""), digits), (F.array_join(camel, "_"), digits),
+        )
+        chosen = F.get(F.array(*(F.struct(t.alias("body"), d.alias("tail")) for t, d in forms)), F.pmod(F.shiftright(number, 23), F.lit(len(forms))).cast("int"))
+        base64 = F.struct(forms[5][0].alias("body"), forms[5][1].alias("tail"))
+        sizes = [(F.lit(least) + F.pmod(F.shiftright(number, 31), F.lit(some))).cast("int") for least, some in CLASSES]
+        cut_to = lambda f, n: F.when(F.length(f["body"]) >= n, F.concat(F.substr(f["body"], F.lit(1), n - F.length(f["tail"])), f["tail"]))
+        return F.flatten(F.transform(F.array(base64, chosen), lambda f: F.array(*(cut_to(f, n) for n in sizes))))
+
+    runs = F.filter(_let(words, written), lambda x: x.isNotNull())
+    found = F.transform(runs, lambda x: _judged(x, lambda stratum, bin_: F.struct(stratum.alias("stratum"), bin_.alias("bin"))))
+    return F.filter(found, lambda x: x["stratum"].isNotNull())
 
 
 def _overlaps(x: Column, spans: Column) -> Column:
@@ -174,30 +226,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_t
         "assign": F.filter(_found(t, ASSIGN, t.rlike("(?i:passw|secret|token|api_?key)"), 2), lambda x: F.length(x["part"]) >= 6),
         "access": F.filter(_found(t, ACCESS, t.contains("AKIA")), lambda x: x["end"] - x["start"] >= 20),
         "hex": F.filter(_found(t, HEX, t.rlike(HEX)), lambda x: x["end"] - x["start"] >= 24),
-        "run": F.filter(_found(t, RUN, t.rlike(RUN)), lambda x: x["part"].rlike("[0-9]") & x["part"].rlike("[A-Za-z]")),
+        "run": F.filter(_found(t, RUN, t.rlike(RUN)), lambda x: _mixed(x["part"])),
     })
+    rows = rows.withColumn("run", F.flatten(F.transform("run", _parts)))
     rows = rows.withColumn("run", F.filter("run", lambda x: ~_overlaps(x, F.col("assign")) & ~_overlaps(x, F.col("access")) & ~_overlaps(x, F.col("hex"))))
-
-    def judged(x: Column) -> Column:
-        log_bin = lambda e: F.least(F.lit(BINS - 1), F.floor(-F.log10(F.greatest(_battery(x["part"], e), F.lit(1e-15))) * GRID)).cast("int")
-        of = lambda e: F.struct(x["start"].alias("start"), x["end"].alias("end"), (4 * e["k"] + _length_class(x["end"] - x["start"])).alias("stratum"), F.when(e.isNotNull(), log_bin(e)).alias("bin"))
-        return _let(_encoding(x["part"]), of)
-
-    rows = rows.withColumn("run", F.filter(F.transform("run", judged), lambda x: x["stratum"].isNotNull()))
+    placed = lambda x: _judged(x["part"], lambda stratum, bin_: F.struct(x["start"].alias("start"), x["end"].alias("end"), stratum.alias("stratum"), bin_.alias("bin")))
+    rows = rows.withColumn("run", F.filter(F.transform("run", placed), lambda x: x["stratum"].isNotNull()))
     pairs = lambda kind: F.transform(kind, lambda x: F.struct(x["start"], F.lit(KINDS.index(kind)).alias("kind"), x["end"]))
-    kept = cut(rows.select(*(["row"] if keep_text else ["doc_id"]), F.concat(pairs("assign"), pairs("access"), pairs("hex")).alias("base"), "run"), "secrets")
-
-    # Benjamini-Hochberg: the largest binned p-value that is at most FDR * rank / m, in each stratum; at most 28 rows come back.
-    counts = kept.select(F.explode("run").alias("x")).groupBy("x.stratum", "x.bin").count()
-    sizes = counts.groupBy("stratum").agg(F.sum("count").alias("m"), F.collect_list(F.struct("bin", "count")).alias("bins"))
-    ranked = F.transform("bins", lambda b: F.struct(b["bin"], F.aggregate(F.filter("bins", lambda o: o["bin"] >= b["bin"]), F.lit(0).cast("long"), lambda s, o: s + o["count"]).alias("rank")))
-    passed = F.filter(ranked, lambda b: F.pow(F.lit(10.0), -b["bin"] / GRID) <= FDR * b["rank"] / F.col("m"))
-    least = {r["stratum"]: r["least"] for r in sizes.select("stratum", F.array_min(F.transform(passed, lambda b: b["bin"])).alias("least")).collect()}
-    limit = lambda x: F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in least.items() for v in (kv[0], BINS if kv[1] is None else kv[1]))), x["stratum"]), F.lit(BINS)) if least else F.lit(BINS)
-    random = F.transform(F.filter("run", lambda x: x["bin"] < limit(x)), lambda x: F.struct(x["start"], F.lit(3).alias("kind"), x["end"]))
+    base = F.concat(pairs("assign"), pairs("access"), pairs("hex")).alias("base")
+    kept = cut(rows.select(*(["row"] if keep_text else ["doc_id"]), base, "run", _decoys(t, F.xxhash64(t)).alias("decoys")), "secrets")
+    limits = _limits(kept)
+    limit = lambda x: F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in limits.items() for v in kv)), x["stratum"]), F.lit(-1)) if limits else F.lit(-1)
+    random = F.transform(F.filter("run", lambda x: x["bin"] <= limit(x)), lambda x: F.struct(x["start"], F.lit(3).alias("kind"), x["end"]))
     return kept.select(*(["row"] if keep_text else ["doc_id"]), F.array_sort("base").alias("base"), F.array_sort(F.concat("base", random)).alias("spans"))
 
 
+def _limits(kept: DataFrame) -> dict[int, int]:
+    """By stratum the last bin that is reported: Benjamini-Hochberg on p-values against decoys. At most 28 rows come back."""
+    one = lambda kind: kept.select(F.explode(kind).alias("x")).groupBy("x.stratum", "x.bin").agg(F.count("*").alias(kind))
+    counts = one("run").join(one("decoys"), ["stratum", "bin"], "full").fillna(0, ["run", "decoys"])  # at most 28 * BINS rows
+    whole, so_far = Window.partitionBy("stratum"), Window.partitionBy("stratum").orderBy("bin")
+    ranked = counts.withColumns({"m": F.sum("run").over(whole), "all": F.sum("decoys").over(whole), "rank": F.sum("run").over(so_far), "above": F.sum("decoys").over(so_far)})
+    passed = ranked.filter((F.col("m") > 0) & ((1 + F.col("above")) * F.col("m") <= FDR * F.col("rank") * (1 + F.col("all"))))
+    return {r.stratum: r.limit for r in passed.groupBy("stratum").agg(F.max("bin").alias("limit")).collect()}
+
+
 def _listed(spans: Column) -> Column:
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])))
