@@ -467,28 +467,42 @@ def test_flight_keeps_both_totals():
 # ---- operator 9
 
 
-def test_top_k(spark):
+def nearest(vectors, k=5):
+    """Of every usable row whose id is divisible by 50 the k best rows of another id, in Python integers."""
+    usable = [(i, [math.floor(x * 256) if abs(x) < 1e300 else int(x) * 256 for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, qv in usable:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, v in usable if i != q)[:k]
+            out += [(q, n, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard,block,few", [(kd_search.SHARD, kd_search.BLOCK, 1024), (60, 3, 40)])
+def test_top_k(spark, monkeypatch, shard, block, few):
+    for name, value in (("SHARD", shard), ("BLOCK", block), ("PILOT", few), ("SAMPLE_A_SHARD", 4)):
+        monkeypatch.setattr(kd_search, name, value)
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(400)]
-    vectors += [(400 + i, vectors[7][1]) for i in range(30)]  # ties
-    vectors += [(500, None), (550, [1.0, float("nan")]), (600, [1.0, None]), (650, [float("inf")]), (None, [1.0] * 8), (700, []), (750, [1.0]), (7, vectors[7][1]), (50, vectors[50][1])]
-    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").select("*", F.lit("clash").alias("shard"), F.lit("clash").alias("block"))
-    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    expected = set()
-    for q, qv in {(i, tuple(v)) for i, v in usable if i % 50 == 0}:
-        scored = sorted((-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, v in usable if i != q)[:5]
-        expected |= {(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)}
-    for shard, block in ((kd_search.SHARD, kd_search.BLOCK), (60, 3)):
-        with pytest.MonkeyPatch.context() as m:
-            m.setattr(kd_search, "SHARD", shard)
-            m.setattr(kd_search, "BLOCK", block)
-            every = kd_search.quantised(table)
-            got = {tuple(r) for r in kd_search.top_k(every, every.filter("vec_id % 50 = 0"), 5).collect()}
-        assert got == expected
-    none = kd_search.quantised(table.limit(0))
-    assert kd_search.top_k(none, none, 5).count() == 0
-    few = kd_search.quantised(table.filter("vec_id IN (0, 1, 2)"))
-    assert [r.vec_id for r in kd_search.top_k(few, few.filter("vec_id = 0"), 5).collect()].sort() == [1, 2].sort()
+    vectors += [(400 + i, vectors[7][1]) for i in range(150)]  # ties, more than a shard holds
+    vectors += [(600, None), (650, [1.0, float("nan")]), (700, [1.0, None]), (750, [float("inf")]), (None, [1.0] * 8), (800, []), (850, [1.0]), (7, vectors[7][1]), (50, vectors[50][1]), (50, [0.5] * 8)]
+    table = lambda rows: kd_search.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit("clash").alias("leaf"), F.lit("clash").alias("q")))
+    got = lambda rows: bag(kd_search.top_k(table(rows), table(rows).filter("vec_id % 50 = 0"), 5), "query_id", "rank", "vec_id", "score")
+    assert got(vectors) == sorted(nearest(vectors), key=repr)
+    assert got(vectors[:3]) == sorted(nearest(vectors[:3]), key=repr) and len(got(vectors[:3])) == 2
+    assert got([]) == []
+
+
+def test_top_k_of_large_components(spark, monkeypatch):
+    """Up to 10**15 scores still fit or are ranked by their true value; beyond, Python integers rank them."""
+    monkeypatch.setattr(kd_search, "SHARD", 40)
+    rng = np.random.default_rng(8)
+    vectors = [(i, [float(x) for x in rng.normal(0, 1, 4) * 10.0 ** rng.integers(-2, 16)]) for i in range(200)]
+    vectors += [(200, [3e5, 0.0]), (250, [1e15, -1e15, 1e15, 1.0]), (300, [2.0**40] * 4), (301, [2.0**40, 2.0**40, 2.0**40, 2.0**40 + 1 / 256])]
+    table = kd_search.usable(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    found = kd_search.top_k(table, table.filter("vec_id % 50 = 0"), 5)
+    assert bag(found, "query_id", "rank", "vec_id", "score") == sorted(nearest(vectors), key=repr)
+    assert kd_search.integers(np.array([[1e307, -0.001]]), 256.0) == [[int(1e307) * 256, -1]]
 
 
 def test_bounds_hold():

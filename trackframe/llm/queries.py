@@ -50,7 +50,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = kd_search.quantised(_table(spark, sf_dir, "embeddings"))
+    vectors = kd_search.usable(_table(spark, sf_dir, "embeddings"))
     return kd_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
