@@ -71,7 +71,8 @@ class Counter:
         self.rank = {tuple(m): i for i, m in reversed([*enumerate(model["merges"])])}
         self.end = model["end_of_word_suffix"] or ""
         self.letters = byte_letters()
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"]))))
+        names = sorted((t["content"] for t in spec["added_tokens"] if t["content"]), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.pieces = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
         self.known: dict[str, int] = {}
@@ -95,7 +96,7 @@ class Counter:
 
     def count(self, text: str) -> int:
         """Special strings count one token each; what stands between them is split and merged."""
-        if "<" not in text:
+        if self.special is None or not self.special.search(text):
             return self.segment(text)
         parts = self.special.split(text)
         return len(parts) - 1 + sum(map(self.segment, parts))

@@ -7,7 +7,7 @@ two along that diagonal is scored by Smith-Waterman (match 2, mismatch -1, gap -
 around it. Its score over twice the item's number of words, 1 for an exact copy, must reach LEAST; items below SEED words
 are looked for as one n-gram of their own length.
 
-Seeds of at most BLOCK items at a time are sent to the tasks (their size is bounded by BLOCK_WORDS too); more items take
+Seeds of at most BLOCK items and BLOCK_CHARACTERS characters at a time (some 40 MB) are broadcast to the tasks; more items take
 more passes over the corpus. Results: doc_id, item_id, score and the words of the best alignment, one row per pair that
 reaches LEAST. A document's regions are found and scored in the document's own task; nothing is collected.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from trackframe.llm.common import BYTE_CODES, LETTER_KINDS, Chunk, Rolling, chunks, cut
 
 SEED, RARE, LEAST, BAND = 3, 0.75, 0.5, 12
-BLOCK, BLOCK_WORDS = 20_000, 2_000_000
+BLOCK, BLOCK_CHARACTERS = 20_000, 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -109,8 +109,11 @@ def _block(docs: DataFrame, ids: list, texts: list[bytes]) -> DataFrame:
     words, first = word_hashes(every)
     seeds = Seeds([words[s:e] for s, e in zip(first[:-1], first[1:], strict=True)])
     known = {n: seeds.distinct(n) for n in seeds.lengths}
+    context = docs.sparkSession.sparkContext
+    sent_known = context.broadcast(known)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent_known.value
         total = {n: np.zeros(len(k), np.int64) for n, k in known.items()}
         for b in batches:
             for c in chunks(b.column(1), lower=True):
@@ -121,21 +124,22 @@ def _block(docs: DataFrame, ids: list, texts: list[bytes]) -> DataFrame:
             some = np.flatnonzero(total[n])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(k[some].view(np.int64)), pa.array(total[n][some])], ["n", "gram", "times"])
 
-    # At most BLOCK_WORDS n-grams come back.
+    # At most BLOCK_CHARACTERS n-grams come back.
     found = docs.mapInArrow(count, "n int, gram long, times long").groupBy("n", "gram").agg(F.sum("times").alias("times")).toArrow()
     counts = {}
     for n, k in known.items():
         times, mine = np.zeros(len(k), np.int64), found.filter(pc.equal(found.column("n"), n))
         times[np.searchsorted(k, mine.column("gram").to_numpy().view(np.uint64))] = mine.column("times").to_numpy()
         counts[n] = (k, times)
-    rare, items = seeds.rare(counts), seeds.items
+    sent = context.broadcast((seeds.rare(counts), seeds.items, ids))
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, items, ids = sent.value
         for b in batches:
             rows: list[tuple] = []
             for c in chunks(b.column(1), lower=True):
                 w, f = word_hashes(c)
-                regions: set[tuple[int, int, int]] = set()
+                regions = [np.zeros((0, 3), np.int64)]
                 for n, (keys, item, place) in rare.items():
                     distinct = np.unique(keys)
                     p, at = _hits(w, f, n, distinct)
@@ -145,9 +149,9 @@ def _block(docs: DataFrame, ids: list, texts: list[bytes]) -> DataFrame:
                     where = np.repeat(p, many)
                     doc = np.searchsorted(f, where, side="right") - 1
                     band = (where - place[entry]) // BAND
-                    regions.update(zip(doc.tolist(), item[entry].tolist(), band.tolist(), strict=True))
+                    regions.append(np.unique(np.stack([doc, item[entry], band], axis=1), axis=0))
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for d, i, band in sorted(regions):
+                for d, i, band in np.unique(np.concatenate(regions), axis=0).tolist():
                     lo, hi = max(int(f[d]), band * BAND - BAND), min(int(f[d + 1]), (band + 1) * BAND + len(items[i]) + BAND)
                     score, end = align(items[i], w[lo:hi])
                     ratio = score / (MATCH * len(items[i]))
@@ -167,7 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out, ids, texts, size = None, [], [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        if ids and (len(ids) >= BLOCK or size + len(r[1]) > BLOCK_WORDS):
+        if ids and (len(ids) >= BLOCK or size + len(r[1]) > BLOCK_CHARACTERS):
             part = _block(rows, ids, texts)
             out, ids, texts, size = part if out is None else out.unionByName(part), [], [], 0
         ids.append(r[0])

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import BYTE_CODES, Rolling, chunks, cut, mix, shared_dir
+from trackframe.llm.common import BYTE_CODES, Rolling, chunks, cut, discard, mix, shared_dir
 
 #: Hashes of the end token and the begin mark, above all hashes of words, which are at most LAST.
 LAST, END, BEGIN = (np.uint64((1 << 64) - k) for k in (3, 2, 1))
@@ -87,11 +87,17 @@ def unpack(block: bytes) -> list[np.ndarray]:
     return out
 
 
-def blocks(keys: np.ndarray, values: np.ndarray, part: np.ndarray, parts: int) -> pa.RecordBatch:
+def of_parts(part: np.ndarray, keys: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs, with its rows in order of keys; what it costs doesn't grow with the number of parts there are."""
+    order = np.argsort(part, kind="stable") if keys is None else np.lexsort((keys, part))
+    found, at = np.unique(part[order], return_index=True)
+    for p, rows in zip(found.tolist(), np.split(order, at[1:]) if len(found) else [], strict=True):
+        yield p, rows
+
+
+def blocks(keys: np.ndarray, values: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
     """One packed block for each part that has rows."""
-    order = np.argsort(part, kind="stable")
-    at = np.searchsorted(part[order], np.arange(parts + 1))
-    rows = [(p, pack([*keys[:, o], *values[:, o]])) for p in range(parts) if len(o := order[at[p] : at[p + 1]])]
+    rows = [(p, pack([*keys[:, o], *values[:, o]])) for p, o in of_parts(part)]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "block"])
 
 
@@ -116,9 +122,10 @@ def save(folder: str, name: str, array: np.ndarray | bytes) -> None:
     os.replace(f.name, path if isinstance(array, bytes) else f"{path}.npy")
 
 
-def packed(path: str, columns: int) -> list[np.ndarray]:
-    """The columns of a packed block that save() has written; empty ones where no pair went to that part."""
-    if not os.path.exists(path):
+def packed(path: str, columns: int, written: bool) -> list[np.ndarray]:
+    """The columns of a packed block that save() has written; empty ones for a part that nothing went to. A file that was
+    written and isn't there is an error: the folder isn't the same on all machines."""
+    if not written:
         return [np.zeros(0, np.uint64)] * columns
     with open(path, "rb") as f:
         return unpack(f.read())
@@ -129,20 +136,16 @@ def mapped(folder: str, name: str) -> np.ndarray:
     return np.load(f"{folder}/{name}.npy", mmap_mode="r")
 
 
-def look_up(folder: str, kind: str, part: np.ndarray, keys: np.ndarray, parts: int, columns: int) -> np.ndarray:
+def look_up(folder: str, kind: str, part: np.ndarray, keys: np.ndarray, columns: int) -> np.ndarray:
     """The values (0 where absent) of distinct keys in the arrays of a kind; keys are sorted within their part."""
     out = np.zeros((columns, len(keys)))
-    order = np.lexsort((keys, part))
-    at = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        o = order[at[p] : at[p + 1]]
-        if len(o):
-            have, values = mapped(folder, f"{kind}-{p}-keys"), mapped(folder, f"{kind}-{p}-values")
-            if len(have):
-                i = np.searchsorted(have, keys[o])
-                i[i == len(have)] = 0
-                hit = have[i] == keys[o]
-                out[:, o[hit]] = values[:, i[hit]]
+    for p, o in of_parts(part, keys):
+        have, values = mapped(folder, f"{kind}-{p}-keys"), mapped(folder, f"{kind}-{p}-values")
+        if len(have):
+            i = np.searchsorted(have, keys[o])
+            i[i == len(have)] = 0
+            hit = have[i] == keys[o]
+            out[:, o[hit]] = values[:, i[hit]]
     return out
 
 
@@ -200,7 +203,7 @@ def train(docs: DataFrame) -> Model:
 
     def emit(held: list) -> pa.RecordBatch:
         k, v = summed(np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held], axis=1))
-        return blocks(k, v, (pair_hash(k[0], k[1]) % step).astype(np.int64), parts)
+        return blocks(k, v, (pair_hash(k[0], k[1]) % step).astype(np.int64))
 
     def stats(key: tuple, found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # By word: of it as a context the pair count, N1, N2 and N3+; of it as a word the number of contexts; its count.
@@ -211,11 +214,12 @@ def train(docs: DataFrame) -> Model:
         as_context = np.stack([c, c == 1, c == 2, c > 2, zero, zero]).astype(np.int64)
         as_word = np.stack([zero, zero, zero, zero, zero + 1, c]).astype(np.int64)
         k, v = summed(np.concatenate([before, word])[None, :], np.concatenate([as_context, as_word], axis=1))
-        out = blocks(k, v, (k[0] % step).astype(np.int64), parts)
+        out = blocks(k, v, (k[0] % step).astype(np.int64))
         of = np.array([(c == i).sum() for i in (1, 2, 3, 4)], np.int64)
-        none = pa.array([None] * out.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), none], ["part", "block", "counts"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([of.tobytes()])], ["part", "block", "counts"])
+        nothing = [pa.array([None] * out.num_rows, t) for t in (pa.binary(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), *nothing], ["part", "block", "counts", "done"])
+        mine = [pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([of.tobytes()]), pa.array([p], pa.int32())]
+        yield pa.RecordBatch.from_arrays(mine, ["part", "block", "counts", "done"])
 
     def words(key: tuple, found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, v = _merge(1)(x.as_py() for b in found for x in b.column("block"))
@@ -223,14 +227,13 @@ def train(docs: DataFrame) -> Model:
         save(folder, f"word-{p}", pack([*k, *v]))
         n = v[4]
         of = [*((n == i).sum() for i in (1, 2, 3, 4)), n.sum(), (n > 0).sum(), v[5].sum()]
-        yield pa.RecordBatch.from_arrays([pa.array([np.array(of, np.int64).tobytes()])], ["counts"])
-
+        yield pa.RecordBatch.from_arrays([pa.array([np.array(of, np.int64).tobytes()]), pa.array([p], pa.int32())], ["counts", "done"])
 
     paired = docs.select("text").mapInArrow(count, "part int, block binary")
-    first = cut(paired.groupBy("part").applyInArrow(stats, "part int, block binary, counts binary"), "pair-stats")
-    second = cut(first.filter("part >= 0").select("part", "block").groupBy("part").applyInArrow(words, "counts binary"), "word-stats")
+    first = cut(paired.groupBy("part").applyInArrow(stats, "part int, block binary, counts binary, done int"), "pair-stats")
+    second = cut(first.filter("part >= 0").select("part", "block").groupBy("part").applyInArrow(words, "counts binary, done int"), "word-stats")
     pairs_of = sum((np.frombuffer(r[0], np.int64) for r in first.filter("part < 0").select("counts").toLocalIterator()), np.zeros(4, np.int64))
-    words_of = sum((np.frombuffer(r[0], np.int64) for r in second.toLocalIterator()), np.zeros(7, np.int64))
+    words_of = sum((np.frombuffer(r[0], np.int64) for r in second.select("counts").toLocalIterator()), np.zeros(7, np.int64))
     d2, d1 = discounts(pairs_of), discounts(words_of[:4])
     types, distinct, total = (int(x) for x in words_of[4:])
     uniform = 1.0 / (distinct + 1)
@@ -241,11 +244,11 @@ def train(docs: DataFrame) -> Model:
 
     def finish_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in b.column(0).to_pylist():
+            for p, written in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw, done = f"{folder}/word-{p}", f"{folder}/words-{p}-values.npy"
                 if os.path.exists(done) and not os.path.exists(raw):
                     continue  # an earlier attempt has ended
-                k, *v = packed(raw, 7)
+                k, *v = packed(raw, 7, written)
                 v = np.array(v).astype(np.int64)
                 mass = (d2[1] * v[1] + d2[2] * v[2] + d2[3] * v[3]) / np.maximum(v[0], 1)
                 low = np.where(v[4] > 0, (v[4] - d1[np.minimum(v[4], 3)]) / max(types, 1) + freed * uniform, freed * uniform)
@@ -257,14 +260,14 @@ def train(docs: DataFrame) -> Model:
 
     def finish_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in b.column(0).to_pylist():
+            for p, written in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw, done = f"{folder}/raw-{p}", f"{folder}/pairs-{p}-values.npy"
                 if os.path.exists(done) and not os.path.exists(raw):
                     continue
-                before, word, c = packed(raw, 3)
+                before, word, c = packed(raw, 3, written)
                 c = c.astype(np.int64)
                 context, back = np.unique(before, return_inverse=True)
-                of = look_up(folder, "words", (context % step).astype(np.int64), context, parts, 4)[3]
+                of = look_up(folder, "words", (context % step).astype(np.int64), context, 4)[3]
                 keys = pair_hash(before, word)
                 order = np.argsort(keys)
                 save(folder, f"pairs-{p}-keys", keys[order])
@@ -273,8 +276,11 @@ def train(docs: DataFrame) -> Model:
                     os.remove(raw)
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64())], ["id"])
 
-    for finish in (finish_words, finish_pairs):
-        spark.range(0, parts, 1, min(parts, 4096)).mapInArrow(finish, "id long").count()
+    for finish, stats_of in ((finish_words, second), (finish_pairs, first)):
+        written = stats_of.filter("done IS NOT NULL").select(F.col("done").cast("long").alias("id"), F.lit(True).alias("written"))
+        every = spark.range(0, parts, 1, min(parts, 4096)).join(written, "id", "left")
+        every.select("id", F.coalesce("written", F.lit(False)).alias("written")).mapInArrow(finish, "id long").count()
+    discard(first, second)
     return Model(folder, parts, total, distinct, freed * uniform)
 
 
@@ -300,12 +306,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for c in chunks(b.column(1), limit=2 << 20, lower=True):
                 word, before, doc = tokens(c)
                 both, place = np.unique(np.concatenate([word, before]), return_inverse=True)
-                mass, low, count, _ = look_up(folder, "words", (both % step).astype(np.int64), both, parts, 4)
+                mass, low, count, _ = look_up(folder, "words", (both % step).astype(np.int64), both, 4)
                 w, v = place[: len(word)], place[len(word) :]
                 mass[mass == 0] = 1.0  # an unseen context leaves all to the word level
                 low[low == 0] = model.uniform
                 h, back = np.unique(pair_hash(before, word), return_inverse=True)
-                high = look_up(folder, "pairs", (h % step).astype(np.int64), h, parts, 1)[0][back]
+                high = look_up(folder, "pairs", (h % step).astype(np.int64), h, 1)[0][back]
                 p = np.log10(high + mass[v] * low[w])
                 per = lambda x: np.bincount(doc, weights=x, minlength=len(c))  # noqa: B023, E731
                 for o, x in zip(out, (np.bincount(doc, minlength=len(c)), per(count[w] > 0), per(np.log10(count[w] + 0.5) - base_log), per(p)), strict=True):
@@ -325,5 +331,3 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Trains on the documents that aren't held out, and scores all."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     return score(rows, train(rows.filter(~F.col("held_out"))))
-
-
