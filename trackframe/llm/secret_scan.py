@@ -28,6 +28,7 @@ exclusive. Other columns are ignored. An empty table gives an empty result. Text
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -188,7 +189,7 @@ def _parts(run: Column) -> Column:
 
 
 def _decoys(text: Column, number: Column) -> Column:
-    """Ordinary runs: words of a stretch of the text in base 64 and in one more encoding, in all length classes; stratum and bin."""
+    """Two ordinary runs: words of a stretch of the text, in base 64 or (every other text) any encoding, in two length classes; stratum and bin."""
     start = 1 + F.pmod(number, F.greatest(F.lit(1), F.length(text) - STRETCH))
     words = F.regexp_extract_all(F.substr(text, start.cast("int"), F.lit(STRETCH)), F.lit("[A-Za-z]{2,}"), F.lit(0))
     digits = F.pmod(F.shiftright(number, 7), F.lit(10_000)).cast("string")
@@ -202,11 +203,14 @@ def _decoys(text: Column, number: Column) -> Column:
             (hexed, digits), (F.upper(hexed), digits), (F.upper(plain), few), (plain, digits), (F.upper(plain), digits),
             (F.array_join(camel, ""), digits), (F.array_join(camel, "_"), digits),
         )
-        chosen = F.get(F.array(*(F.struct(t.alias("body"), d.alias("tail")) for t, d in forms)), F.pmod(F.shiftright(number, 23), F.lit(len(forms))).cast("int"))
-        base64 = F.struct(forms[5][0].alias("body"), forms[5][1].alias("tail"))
-        sizes = [(F.lit(least) + F.pmod(F.shiftright(number, 31), F.lit(some))).cast("int") for least, some in CLASSES]
-        cut_to = lambda f, n: F.when(F.length(f["body"]) >= n, F.concat(F.substr(f["body"], F.lit(1), n - F.length(f["tail"])), f["tail"]))
-        return F.flatten(F.transform(F.array(base64, chosen), lambda f: F.array(*(cut_to(f, n) for n in sizes))))
+        turn = lambda bits, n: F.pmod(F.shiftright(number, bits), F.lit(n)).cast("int")
+        which = F.when(turn(17, 2) == 0, F.lit(5)).otherwise(turn(23, len(forms)))
+        form = lambda part: reduce(lambda c, k: c.when(which == k, forms[k][part]), range(1, len(forms)), F.when(which == 0, forms[0][part]))
+        least = F.array(*(F.lit(n) for n, _ in CLASSES))
+        some = F.array(*(F.lit(n) for _, n in CLASSES))
+        sizes = F.transform(F.array(turn(29, 4), F.pmod(turn(29, 4) + 2, F.lit(4))), lambda c: F.get(least, c) + F.pmod(F.shiftright(number, 31), F.get(some, c)).cast("int"))
+        cut_to = lambda body, tail, n: F.when(F.length(body) >= n, F.concat(F.substr(body, F.lit(1), n - F.length(tail)), tail))
+        return _let(form(0), lambda body: F.transform(sizes, lambda n: cut_to(body, form(1), n)))
 
     runs = F.filter(_let(words, written), lambda x: x.isNotNull())
     found = F.transform(runs, lambda x: _judged(x, lambda stratum, bin_: F.struct(stratum.alias("stratum"), bin_.alias("bin"))))
