@@ -174,7 +174,7 @@ def test_session_round(spark, tmp_path):
     track = report.tracks[0]
     assert (track.prediction_ratio, track.avg_quality, track.recoveries, track.frames_present) == (0.5, 0.8, 1, 2)
     assert sinks.write_flat_csv(flat, str(tmp_path / "out")) == 2
-    assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == sessions.FLAT
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == list(sessions.FLAT)
     spine = spark.createDataFrame([(r[0], f) for r in rows.select("session").distinct().collect() for f in (1, 2, 3)], "session string, frame bigint")
     assert [(r.frame, r.id) for r in sessions.overlay_rows(spine, rows).orderBy("frame").collect()] == [(1, 1), (2, 1), (3, None)]
 

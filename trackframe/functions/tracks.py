@@ -116,4 +116,8 @@ def calibrated_lines(cx: Column, cy: Column, box_w: Column, box_h: Column, frame
     sx, sy = cal_w / F.greatest(frame_w, F.lit(1)), cal_h / F.greatest(frame_h, F.lit(1))
     yaw, pitch = angular_offset(cx * sx, cy * sy, cal_w, cal_h, hfov, vfov)
     aw, ah = angular_size(box_w * sx, box_h * sy, cal_w, cal_h, hfov, vfov)
-    return F.array(F.format_string("YAW      %+6.2f deg EST", yaw), F.format_string("PITCH    %+6.2f deg EST", pitch), F.format_string("ANG SIZE %5.2fx%5.2f deg", aw, ah))
+    # Of values that lie exactly between two the even one is shown; those are odd multiples of 1/8.
+    shown = lambda v: F.when(F.pmod(v * 8, F.lit(2.0)) == 1, F.bround(v, 2)).otherwise(v)
+    return F.array(
+        F.format_string("YAW      %+6.2f deg EST", shown(yaw)), F.format_string("PITCH    %+6.2f deg EST", shown(pitch)), F.format_string("ANG SIZE %5.2fx%5.2f deg", shown(aw), shown(ah))
+    )

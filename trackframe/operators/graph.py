@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from trackframe.functions import tracks as T
 from trackframe.functions.numbers import cosine, gallery_similarity, norm, rounded, tracklet_similarity
+from trackframe.operators.components import components
 from trackframe.operators.tracklets import public
+from trackframe.sources.shared import cut
 
 DECISIONS = ("same", "different", "unsure")
 CANDIDATE, STRONG = 0.86, 0.94
@@ -71,17 +73,29 @@ def with_endpoints(found: DataFrame, tracklets: DataFrame) -> DataFrame:
     return found
 
 
-def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: float = STRONG, dims: int = 0) -> DataFrame:
+#: Tracklets and links up to which a class is folded whole; beyond, the fold goes by connected components of links.
+FEW = 200_000
+
+
+def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: float = STRONG, dims: int = 0, salt: int = 1) -> DataFrame:
     """entity_id, label, semantics, member (key), position in the entity.
 
-    Complete linkage in the graph's order, one task per class: a tracklet joins the entity whose least similar member is
-    nearest to it, if all members are strong matches or reviewed as same, none is reviewed as different, and none is of the
-    same video unless reviewed as same. Only strong or reviewed pairs reach the fold.
+    Complete linkage in the graph's order: a tracklet joins the entity whose least similar member is nearest to it, if all
+    members are strong matches or reviewed as same, none is reviewed as different, and none is of the same video unless
+    reviewed as same. Only strong or reviewed pairs reach the fold. All members of an entity are linked to each other, so
+    where there are many, tracklets are parted by connected components first and each component is one task's.
     """
     members = items(tracklets).select("class_id", "key", "video", "label", "place", F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("decision"))
-    linked = pairs(tracklets, reviews, dims=dims).filter((F.col("similarity") >= strong) | F.col("decision").isNotNull())
+    linked = pairs(tracklets, reviews, salt, dims).filter((F.col("similarity") >= strong) | F.col("decision").isNotNull())
     links = linked.select(F.col("r_class_id").alias("class_id"), F.col("r_key").alias("key"), F.col("r_video").alias("video"), F.col("r_label").alias("label"), F.col("r_place").alias("place"), F.col("l_key").alias("other"), "similarity", "decision")
     rows = members.unionByName(links).select("class_id", "key", "video", "label", F.col("place.label").alias("p0"), F.col("place.video").alias("p1"), F.col("place.local_track_id").alias("p2"), "other", "similarity", "decision")
+    rows = cut(rows, "entity-rows")
+    if rows.count() <= FEW:
+        rows = rows.withColumn("component", F.lit(0).cast("long"))
+    else:
+        joins = rows.filter(F.col("other").isNotNull() & ((F.col("decision") == "same") | (~F.col("decision").eqNullSafe("different") & (F.col("similarity") >= strong))))
+        known = components(joins.select(F.xxhash64("key").alias("a"), F.xxhash64("other").alias("b")))
+        rows = rows.withColumn("node", F.xxhash64("key")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, dict[str, float | None]] = {}
@@ -94,6 +108,9 @@ def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: flo
         reviewed_same = {(r.key, r.other) for r in page[page.decision == "same"].itertuples()}
         for r in whole.itertuples():
             mine, best, home = near.get(r.key, {}), -1.0, None
+            if not any(v is not None for v in mine.values()):
+                groups.append([r])
+                continue
             for group in groups:
                 scores = [None if (m.video == r.video and (r.key, m.key) not in reviewed_same) else mine.get(m.key) for m in group]
                 if None not in scores and min(scores) > best:
@@ -105,7 +122,8 @@ def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: flo
         out = [(r.key, r.label, g[0].key, g[0].label, i) for g in groups for i, r in enumerate(g)]
         return pd.DataFrame(out, columns=["member", "member_label", "head", "label", "position"])
 
-    folded = rows.groupBy("class_id").applyInPandas(fold, "member string, member_label string, head string, label string, position int")
+    folded = rows.groupBy("class_id", "component").applyInPandas(fold, "member string, member_label string, head string, label string, position int")
+    folded = cut(folded, "entities")
     heads = folded.filter("position = 0").join(items(tracklets).select(F.col("key").alias("head"), "place"), "head")
     number = F.row_number().over(Window.partitionBy("prefix").orderBy("place"))
     named = heads.withColumn("prefix", T.entity_prefix(F.col("label"))).select("head", F.format_string("%s_%03d", "prefix", number).alias("entity_id"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.functions.numbers import rounded
@@ -20,7 +22,7 @@ def events(states: DataFrame, last_frames: DataFrame | None = None, key: tuple[s
     before = {c: F.lag(c).over(order) for c in ("confirmed", "missed", "frame")}
     group = [key[0]]
     ends = last_frames.select(*group, F.col("frame").alias("last_frame")) if last_frames is not None else states.groupBy(*group).agg(F.max("frame").alias("last_frame"))
-    rows = states.withColumns({"was_confirmed": before["confirmed"], "was_missed": before["missed"], "was": before["frame"], "next": F.lead("frame").over(order)}).join(F.broadcast(ends) if last_frames is None else ends, group)
+    rows = states.withColumns({"was_confirmed": before["confirmed"], "was_missed": before["missed"], "was": before["frame"], "next": F.lead("frame").over(order)}).join(ends, group)
     happened = F.array(
         F.when(F.col("was").isNull(), F.struct("frame", F.lit("track_created").alias("name"))),
         F.when(F.col("was").isNotNull() & ~F.col("was_confirmed") & F.col("confirmed"), F.struct("frame", F.lit("track_confirmed").alias("name"))),
@@ -44,30 +46,43 @@ def trajectory(states: DataFrame, length: int = 64, key: tuple[str, ...] = KEY)
     return states.withColumn("history", F.collect_list(point).over(tail))
 
 
+def _smoothed(values: np.ndarray, keep: float, seed_first: bool) -> np.ndarray:
+    """keep * last + (1 - keep) * value, row by row; the first row is taken as it is, or zeros precede it."""
+    out = np.empty_like(values)
+    last = np.zeros(values.shape[1])
+    for i, v in enumerate(values):
+        last = v if seed_first and i == 0 else last * keep + v * (1 - keep)
+        out[i] = last
+    return out
+
+
 def ema(values: DataFrame, key: tuple[str, ...], order: str, value: str, keep: float, seed_first: bool = True) -> DataFrame:
-    """key, order, ema: keep * last + (1 - keep) * value along each key; the first value is taken as it is, or 0 precedes it."""
+    """key, order, ema: keep * last + (1 - keep) * value along each key; the first value is taken as it is, or 0 precedes it.
+
+    One pass over each key's values in order; a key's values are one task's.
+    """
+    rows = values.select(*key, order, F.col(value).cast("double").alias("ema"))
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.when(F.size(acc) > 0, F.element_at(acc, -1)["ema"]).otherwise(F.lit(0.0))
-        smooth = last * keep + s[value].cast("double") * (1 - keep)
-        item = F.struct(s[order].alias(order), (F.when(F.size(acc) == 0, s[value].cast("double")).otherwise(smooth) if seed_first else smooth).alias("ema"))
-        return F.concat(acc, F.array(item))
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        smooth = _smoothed(table.column("ema").to_numpy()[:, None], keep, seed_first)[:, 0]
+        return table.set_column(table.column_names.index("ema"), "ema", pa.array(smooth))
 
-    rows = F.sort_array(F.collect_list(F.struct(order, value)))
-    kind = f"array<struct<{order}:{values.schema[order].dataType.simpleString()},ema:double>>"
-    folded = values.groupBy(*key).agg(F.aggregate(rows, F.array().cast(kind), step).alias("out"))
-    return folded.select(*key, F.explode("out").alias("o")).select(*key, f"o.{order}", "o.ema")
+    return rows.groupBy(*key).applyInArrow(fold, rows.schema)
 
 
 def stabilizer(motion: DataFrame, keep: float = 0.82) -> DataFrame:
     """video, frame, corr_dx, corr_dy, corr_da: what smoothing the summed camera motion would correct."""
-    order = Window.partitionBy("video").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    total = motion.select("video", "frame", *(F.sum(c).over(order).alias(c) for c in ("dx", "dy", "da")))
-    out = total
-    for c in ("dx", "dy", "da"):
-        smooth = ema(total, ("video",), "frame", c, keep, seed_first=False).withColumnRenamed("ema", f"smooth_{c}")
-        out = out.join(smooth, ["video", "frame"])
-    return out.select("video", "frame", *((F.col(f"smooth_{c}") - F.col(c)).alias(f"corr_{c}") for c in ("dx", "dy", "da")))
+    parts = ("dx", "dy", "da")
+    rows = motion.select("video", "frame", *(F.col(c).cast("double").alias(f"corr_{c}") for c in parts))
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame")
+        total = np.cumsum(np.stack([table.column(f"corr_{c}").to_numpy() for c in parts], axis=1), axis=0)
+        corrections = _smoothed(total, keep, seed_first=False) - total
+        return pa.table([table.column("video"), table.column("frame"), *(pa.array(corrections[:, k]) for k in range(3))], names=table.column_names)
+
+    return rows.groupBy("video").applyInArrow(fold, rows.schema)
 
 
 def rounded_columns(df: DataFrame, digits: dict[str, int]) -> DataFrame:

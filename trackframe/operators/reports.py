@@ -10,18 +10,31 @@ from trackframe.functions.numbers import nearest_rank, rounded
 EVENTS = ("created", "confirmed", "recovered", "ended")
 
 
+def ranked(rows: DataFrame, key: tuple[str, ...], value: str, name: str, q: float = 0.95) -> DataFrame:
+    """key and name: the value at place min(n-1, round((n-1)*q)) in order, rounding half to even, of the values that aren't null.
+
+    Values are numbered in a window, which spills, and are never gathered in an array.
+    """
+    whole = Window.partitionBy(*key)
+    last = F.count("*").over(whole) - 1
+    place = F.least(last, F.bround(last * F.lit(q), 0).cast("bigint"))
+    numbered = rows.filter(F.col(value).isNotNull()).withColumns({"_place": place, "_number": F.row_number().over(whole.orderBy(value)) - 1})
+    return numbered.filter("_number = _place").select(*key, F.col(value).alias(name))
+
+
 def fps_report(frames: DataFrame, key: tuple[str, ...] = ("session",)) -> DataFrame:
     """avg, p95 and min of the frame rates above 0; 0.0 for a session without any."""
-    fps = F.when(F.col("fps") > 0, F.col("fps"))
-    grouped = frames.groupBy(*key).agg(F.avg(fps).alias("a"), F.collect_list(fps).alias("all"), F.min(fps).alias("m"))
+    rows = frames.select(*key, F.when(F.col("fps") > 0, F.col("fps")).alias("fps"))
+    grouped = rows.groupBy(*key).agg(F.avg("fps").alias("a"), F.min("fps").alias("m")).join(ranked(rows, key, "fps", "p"), list(key), "left")
     r = lambda c: rounded(F.coalesce(c, F.lit(0.0)), 3)
-    return grouped.select(*key, r(F.col("a")).alias("fps_avg"), r(nearest_rank(F.col("all"))).alias("fps_p95"), r(F.col("m")).alias("fps_min"))
+    return grouped.select(*key, *(r(c).alias(n) for c, n in (("a", "fps_avg"), ("p", "fps_p95"), ("m", "fps_min"))))
 
 
 def stage_report(samples: DataFrame, key: tuple[str, ...] = ("session",)) -> DataFrame:
     """avg, p95 and max of each stage's milliseconds, from rows (key, stage, ms)."""
-    grouped = samples.groupBy(*key, "stage").agg(F.avg("ms").alias("a"), F.collect_list("ms").alias("all"), F.max("ms").alias("m"))
-    return grouped.select(*key, "stage", rounded(F.col("a"), 3).alias("ms_avg"), rounded(nearest_rank(F.col("all")), 3).alias("ms_p95"), rounded(F.col("m"), 3).alias("ms_max"))
+    full = (*key, "stage")
+    grouped = samples.groupBy(*full).agg(F.avg("ms").alias("a"), F.max("ms").alias("m")).join(ranked(samples, full, "ms", "p"), list(full), "left")
+    return grouped.select(*full, rounded(F.col("a"), 3).alias("ms_avg"), rounded(F.coalesce("p", F.lit(0.0)), 3).alias("ms_p95"), rounded(F.col("m"), 3).alias("ms_max"))
 
 
 def stage_samples(frames: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as G
 from trackframe.functions.tracks import refine_valid
 from trackframe.operators import reports
+from trackframe.operators.tracker import moved
 
 
 def selected_tracks(states: DataFrame, frames: DataFrame, clicks: DataFrame) -> DataFrame:
@@ -17,24 +20,22 @@ def selected_tracks(states: DataFrame, frames: DataFrame, clicks: DataFrame) ->
     frame's tracks gives target_lost and is let go; a click gives target_lock. A video is one row of the fold.
     """
     hits = reports.clicked(states, clicks).select("video", "frame", F.struct("seq", F.coalesce("hit", F.lit(-1)).alias("hit")).alias("click"))
-    clicked = hits.groupBy("video", "frame").agg(F.sort_array(F.collect_list("click")).alias("clicks"))
+    clicked = hits.groupBy("video", "frame").agg(F.transform(F.sort_array(F.collect_list("click")), lambda c: c["hit"]).alias("clicks"))
     alive = states.groupBy("video", "frame").agg(F.collect_set("track_id").alias("alive"))
     spine = frames.select("video", "frame").join(clicked, ["video", "frame"], "left").join(alive, ["video", "frame"], "left")
-    none = F.array().cast("array<int>")
-    row = F.struct("frame", F.coalesce("clicks", F.array().cast("array<struct<seq:bigint,hit:int>>")).alias("clicks"), F.coalesce(F.col("alive").cast("array<int>"), none).alias("alive"))
-    kind = "struct<selected:int,out:array<struct<frame:bigint,selected_id:int,event:string>>>"
 
-    def step(acc: Column, f: Column) -> Column:
-        lost = (acc["selected"] >= 0) & ~F.array_contains(f["alive"], acc["selected"])
-        held = F.when(lost, F.lit(-1)).otherwise(acc["selected"])
-        now = F.aggregate(f["clicks"], held, lambda s, c: F.when(c["hit"] == s, F.lit(-1)).otherwise(c["hit"]))
-        event = F.when(F.size(f["clicks"]) > 0, "target_lock").when(lost, "target_lost")
-        item = F.struct(f["frame"].cast("bigint").alias("frame"), F.nullif(now, F.lit(-1)).alias("selected_id"), event.alias("event"))
-        return F.struct(now.alias("selected"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        held, out = -1, []
+        for r in page.sort_values("frame").itertuples():
+            lost = held >= 0 and (r.alive is None or held not in r.alive)
+            held = -1 if lost else held
+            for hit in () if r.clicks is None else r.clicks:
+                held = -1 if hit == held else int(hit)
+            event = "target_lock" if r.clicks is not None and len(r.clicks) else "target_lost" if lost else None
+            out.append((r.video, r.frame, None if held < 0 else held, event))
+        return pd.DataFrame(out, columns=["video", "frame", "selected_id", "event"]).astype({"selected_id": "Int32"})
 
-    start = F.struct(F.lit(-1).alias("selected"), F.array().cast("array<struct<frame:bigint,selected_id:int,event:string>>").alias("out")).cast(kind)
-    folded = spine.groupBy("video").agg(F.aggregate(F.sort_array(F.collect_list(row)), start, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select("video", F.inline("out"))
+    return spine.groupBy("video").applyInPandas(fold, "video string, frame bigint, selected_id int, event string")
 
 
 def refined_boxes(selected: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -46,17 +47,16 @@ def refined_boxes(selected: DataFrame, estimates: DataFrame) -> DataFrame:
     """
     scale, turn = F.hypot(F.col("affine")[0], F.col("affine")[3]), F.atan2(F.col("affine")[3], F.col("affine")[0])
     known = estimates.select("video", "frame", "affine", refine_valid(F.col("inliers"), F.col("ratio"), scale, turn).alias("valid"))
-    box = F.struct(*G.Box._fields)
-    row = F.struct("frame", "track_id", box.alias("box"), (~F.col("fresh") & F.coalesce("valid", F.lit(False))).alias("use"), "affine")
-    out = "array<struct<frame:bigint,track_id:int,box:struct<x1:double,y1:double,x2:double,y2:double>,refined:boolean>>"
-
-    def step(done: Column, r: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        use = r["use"] & F.coalesce(last["track_id"] == r["track_id"], F.lit(False))
-        hull = F.struct(*G.transform(G.Box(*(last["box"][c] for c in G.Box._fields)), r["affine"]).columns())
-        item = F.struct(r["frame"].cast("bigint").alias("frame"), r["track_id"].cast("int").alias("track_id"), F.when(use, hull).otherwise(r["box"]).alias("box"), use.alias("refined"))
-        return F.concat(done, F.array(item))
-
-    rows = selected.join(known, ["video", "frame"], "left").groupBy("video").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    folded = rows.select("video", F.inline(F.aggregate("rows", F.array().cast(out), step)))
-    return folded.select("video", "frame", "track_id", "box.*", "refined")
+    rows = selected.join(known, ["video", "frame"], "left").select("video", "frame", "track_id", *G.Box._fields, "fresh", F.coalesce("valid", F.lit(False)).alias("valid"), "affine")
+    schema = "video string, frame bigint, track_id int, x1 double, y1 double, x2 double, y2 double, refined boolean"
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        track, box, out = None, None, []
+        for r in page.sort_values("frame").itertuples():
+            use = not r.fresh and r.valid and track == r.track_id
+            box = moved(box, (0.0, 0.0), r.affine) if use else np.array([[r.x1, r.y1, r.x2, r.y2]], float)
+            track = r.track_id
+            out.append((r.video, r.frame, track, *box[0].tolist(), use))
+        return pd.DataFrame(out, columns=["video", "frame", "track_id", *G.Box._fields, "refined"])
+
+    return rows.groupBy("video").applyInPandas(fold, schema)

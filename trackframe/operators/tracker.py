@@ -74,20 +74,24 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return shared / np.maximum(area(a)[:, None] + area(b)[None, :] - shared, 1e-6)
 
 
+def length(x: np.ndarray) -> float:
+    return float(np.sqrt(np.add.reduce(x * x)))
+
+
 def alike(a: list[float] | None, b: list[float] | None) -> float | None:
     """Cosine within 0 and 1; None where there is none."""
     if a is None or b is None or len(a) != len(b) or not len(a):
         return None
     x, y = np.asarray(a, float), np.asarray(b, float)
-    size = float(np.linalg.norm(x) * np.linalg.norm(y))
-    return min(1.0, max(0.0, float(x @ y) / size)) if np.linalg.norm(x) > 1e-12 and np.linalg.norm(y) > 1e-12 else None
+    nx, ny = length(x), length(y)
+    return min(1.0, max(0.0, float(np.add.reduce(x * y)) / (nx * ny))) if nx > 1e-12 and ny > 1e-12 else None
 
 
 def blended(old: list[float] | None, new: list[float] | None) -> list[float] | None:
     if new is None or old is None or len(old) != len(new):
         return old if new is None else new
     x = np.asarray(old, float) * (1 - APPEARANCE_BLEND) + np.asarray(new, float) * APPEARANCE_BLEND
-    size = float(np.linalg.norm(x))
+    size = length(x)
     return (x / size).tolist() if size > 1e-12 else new
 
 
@@ -130,9 +134,10 @@ class Tracks:
             return []
         min_iou, reach = c.min_iou * (LOOSE_IOU if loose else 1.0), c.max_center_ratio * (LOOSE_CENTER if loose else 1.0)
         now = self.table[rows][:, BOX]
-        diagonal = np.maximum(np.hypot(np.maximum(0, now[:, 2] - now[:, 0]), np.maximum(0, now[:, 3] - now[:, 1])), SHORTEST_DIAGONAL)
+        size = np.maximum(0, now[:, 2:] - now[:, :2])
+        diagonal = np.maximum(np.sqrt(size[:, 0] * size[:, 0] + size[:, 1] * size[:, 1]), SHORTEST_DIAGONAL)
         gap = middle(found["boxes"][dets])[None, :, :] - middle(boxes[rows])[:, None, :]
-        far = np.hypot(gap[..., 0], gap[..., 1]) / diagonal[:, None]
+        far = np.sqrt(gap[..., 0] * gap[..., 0] + gap[..., 1] * gap[..., 1]) / diagonal[:, None]
         iou = overlap(boxes[rows], found["boxes"][dets])
         score = iou * c.iou_weight + np.maximum(0.0, 1.0 - far / reach) + found["scores"][dets][None, :] * c.score_weight
         open_ = (self.column("class_id")[rows][:, None] == found["classes"][dets][None, :]) & ((iou >= min_iou) | (far <= reach))

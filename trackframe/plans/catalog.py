@@ -2,64 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as G
 from trackframe.functions import tracks as T
-from trackframe.functions.numbers import cosine, gallery_similarity, rounded
-from trackframe.operators import decode, graph, lifecycle, reports, tracker, tracklets
+from trackframe.functions.numbers import gallery_similarity
+from trackframe.operators import decode, graph, lifecycle, reports, tracklets
+from trackframe.plans.registry import COSINE, DETECTIONS, EDGE_COLUMNS, ITEMS, NMS, ORACLES, PAIRS, QUERIES, REVIEWED, STATES, iou_sql, query, r, rsql
 from trackframe.schemas import SESSION
 from trackframe.sources import adapters, generators
 from trackframe.sources.files import looks_derived
 from trackframe.sources.sessions import flat_tracks, overlay_rows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query by its name, with its SQL where there is one."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r(c: str | Column, digits: int = 6) -> Column:
-    return rounded(F.col(c) if isinstance(c, str) else c, digits)
-
-
-def rsql(x: str, digits: int = 6) -> str:
-    p = f"CAST({10**digits} AS DOUBLE)"
-    return f"(CASE WHEN ({x}) < 0 THEN -floor(-({x}) * {p} + 0.5) / {p} ELSE floor(({x}) * {p} + 0.5) / {p} END)"
-
-
-def iou_sql(a: str, b: str) -> str:
-    side = lambda lo, hi: f"greatest(0.0::DOUBLE, least({a}.{hi}, {b}.{hi}) - greatest({a}.{lo}, {b}.{lo}))"
-    area = lambda x: f"(greatest(0.0::DOUBLE, {x}.x2 - {x}.x1) * greatest(0.0::DOUBLE, {x}.y2 - {x}.y1))"
-    shared = f"({side('x1', 'x2')} * {side('y1', 'y2')})"
-    return f"({shared} / greatest({area(a)} + {area(b)} - {shared}, 1e-6::DOUBLE))"
-
-
-DETECTIONS = """boxed AS (
-  SELECT l_orderkey AS frame, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CAST(l_partkey % 3 AS INTEGER) AS class_id,
-    0.05::DOUBLE + CAST(l_partkey % 77 AS DOUBLE) / 80::DOUBLE AS score, CAST(l_suppkey % 12 AS DOUBLE) * 40 AS x1, CAST(l_partkey % 7 AS DOUBLE) * 30 AS y1
-  FROM lineitem
-), detections AS (
-  SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY score, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INTEGER) AS det_idx,
-    x1, y1, x1 + 40 + l_quantity AS x2, y1 + 30 + l_quantity * 0.5::DOUBLE AS y2, score, class_id
-  FROM boxed
-)"""
-
-
 @query(f"WITH {DETECTIONS} SELECT frame, det_idx, class_id, {rsql('score')} AS score, score >= 0.45::DOUBLE AS high FROM detections WHERE score >= 0.12::DOUBLE AND class_id IN (0, 2)")
 def det_conf_filter(spark: SparkSession, d: str) -> DataFrame:
     named = adapters.detections(spark, d).withColumn("label", T.label_of(F.col("class_id")))
@@ -86,14 +41,6 @@ def det_pair_iou(spark: SparkSession, d: str) -> DataFrame:
     return both.filter("iou >= 0.45").select("frame", F.col("l_det_idx").alias("left_idx"), F.col("r_det_idx").alias("right_idx"), r("iou").alias("iou"))
 
 
-NMS = f"""grouped AS (
-  SELECT frame, class_id, list([{{'score': score, 'det_idx': det_idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY score DESC, det_idx DESC) AS dets
-  FROM detections WHERE score >= 0.25::DOUBLE GROUP BY frame, class_id
-), kept AS (
-  SELECT frame, class_id, len(dets) AS n, list_reduce(dets, lambda acc, d: CASE WHEN len(list_filter(acc, lambda k: {iou_sql("k", "d[1]")} >= 0.45::DOUBLE)) > 0 THEN acc ELSE list_concat(acc, d) END) AS kept FROM grouped
-)"""
-
-
 @query(f"WITH {DETECTIONS}, {NMS} SELECT class_id, CAST(sum(n) AS BIGINT) AS detections, CAST(sum(len(kept)) AS BIGINT) AS kept, CAST(sum(n - len(kept)) AS BIGINT) AS suppressed FROM kept GROUP BY class_id")
 def det_nms(spark: SparkSession, d: str) -> DataFrame:
     det = adapters.detections(spark, d).filter("score >= 0.25")
@@ -132,14 +79,6 @@ def affine_boxes(spark: SparkSession, d: str) -> DataFrame:
     return adapters.detections(spark, d).select("frame", "det_idx", *(r(v, 4).alias(c) for v, c in zip(box, G.Box._fields, strict=True)))
 
 
-STATES = """one AS (
-  SELECT user_id AS track_id, CAST(floor(event_id / 50) AS BIGINT) AS frame, max(event_id) AS event_id, arg_max(event_type, event_id) AS label, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2
-), states AS (
-  SELECT track_id, frame, label, row_number() OVER w > 2 AS confirmed, CAST(event_id % 4 AS INTEGER) AS missed, CAST(row_number() OVER w AS INTEGER) AS hits, value AS x1, value * 0.5::DOUBLE AS y1, value + 20 AS x2, value * 0.5::DOUBLE + 40 AS y2
-  FROM one WINDOW w AS (PARTITION BY track_id ORDER BY frame)
-)"""
-
-
 @query(f"""WITH {STATES} SELECT track_id, frame, CASE WHEN NOT confirmed THEN 'TENTATIVE' WHEN missed > 0 THEN 'PREDICTED' ELSE 'TRACKED' END AS lifecycle,
   {rsql("greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, hits / 8.0::DOUBLE) * 0.35::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, x1 / 100.0::DOUBLE)) * 0.65::DOUBLE)) / (1.0::DOUBLE + missed * 0.35::DOUBLE) * CASE WHEN confirmed THEN 1.0::DOUBLE ELSE 0.72::DOUBLE END", 4)} AS quality FROM states""")
 def quality_lifecycle(spark: SparkSession, d: str) -> DataFrame:
@@ -165,15 +104,6 @@ def synthetic_detections(spark: SparkSession, d: str) -> DataFrame:
     return generators.synthetic_detections(spark).select("frame", "det_idx", "class_id", "score", r("x1", 4).alias("x1"), r("y1", 4).alias("y1"))
 
 
-COSINE = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))))"
-ITEMS = "items AS (SELECT vec_id, 'v' || (vec_id % 5) AS video, label AS class_id, 'class ' || label AS label, CAST(embedding AS DOUBLE[]) AS v, 'v' || (vec_id % 5) || '#T' || vec_id AS key FROM embeddings)"
-REVIEWED = """turns AS (SELECT key, lead(key) OVER w AS other, row_number() OVER w AS n FROM items WINDOW w AS (PARTITION BY class_id ORDER BY vec_id)),
-reviews AS (SELECT least(key, other) AS lo, greatest(key, other) AS hi, CASE CAST(floor(n / 20) AS BIGINT) % 3 WHEN 0 THEN 'same' WHEN 1 THEN 'different' ELSE 'unsure' END AS decision FROM turns WHERE n % 20 = 1 AND other IS NOT NULL)"""
-PAIRS = f"""pairs AS (SELECT a.key AS l, b.key AS r, a.label, {COSINE} AS sim, w.decision FROM items a JOIN items b ON a.class_id = b.class_id AND (a.video, a.vec_id) < (b.video, b.vec_id)
-  LEFT JOIN reviews w ON w.lo = least(a.key, b.key) AND w.hi = greatest(a.key, b.key) WHERE a.video <> b.video OR w.decision = 'same')"""
-EDGE_COLUMNS = f"l AS \"left\", r AS \"right\", label, {rsql('sim')} AS similarity, CASE WHEN decision IN ('same', 'different') THEN 'manual' WHEN sim >= 0.30::DOUBLE THEN 'strong' ELSE 'review' END AS strength"
-
-
 @query(f"WITH {ITEMS}, reviews AS (SELECT '' AS lo, '' AS hi, '' AS decision WHERE false), {PAIRS} SELECT {EDGE_COLUMNS} FROM pairs WHERE sim >= 0.20::DOUBLE")
 def tracklet_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.edges(adapters.tracklets(spark, d), None, 0.20, 0.30, salt=4, dims=64).select("left", "right", "label", "similarity", "strength")
@@ -205,29 +135,6 @@ def gallery_topk_similarity(spark: SparkSession, d: str) -> DataFrame:
     return galleries.join(after, "g").select("g", r(gallery_similarity(F.col("gallery"), F.col("next"))).alias("similarity"))
 
 
-@query(f"""WITH g AS (SELECT CAST(floor(vec_id / 10) AS BIGINT) AS g, list([{{'i': vec_id, 'v': CAST(embedding AS DOUBLE[])}}] ORDER BY vec_id) AS items FROM embeddings GROUP BY 1),
-f AS (SELECT g, list_reduce(items, lambda acc, d: CASE WHEN len(acc) >= 6 OR len(list_filter(acc, lambda k: {COSINE.replace("a.v", "k.v").replace("b.v", "d[1].v")} >= 0.1::DOUBLE)) > 0 THEN acc ELSE list_concat(acc, d) END) AS kept FROM g)
-SELECT g, len(kept) AS kept, CAST(list_sum(list_transform(kept, lambda k: k.i)) AS BIGINT) AS ids FROM f""")
-def gallery_select(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("g"), F.struct("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).alias("o"))
-    grouped = rows.groupBy("g").agg(F.sort_array(F.collect_list("o")).alias("all"))
-    like = lambda kept, o: F.exists(kept, lambda k: F.coalesce(cosine(k["v"], o["v"]), F.lit(0.0)) >= 0.1)
-    step = lambda kept, o: F.when((F.size(kept) >= tracklets.GALLERY) | like(kept, o), kept).otherwise(F.concat(kept, F.array(o)))
-    kept = F.aggregate("all", F.array().cast("array<struct<vec_id:bigint,v:array<double>>>"), step)
-    return grouped.select("g", kept.alias("k")).select("g", F.size("k").cast("bigint").alias("kept"), F.aggregate("k", F.lit(0).cast("bigint"), lambda s, k: s + k["vec_id"]).alias("ids"))
-
-
-@query("""WITH f AS (SELECT vec_id, CASE label % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'hot dog!' ELSE '_a b_' END AS label FROM embeddings),
-p AS (SELECT vec_id, label, CASE WHEN label = 'person' THEN 'PERSON_APPEARANCE' WHEN label = 'hot dog!' THEN 'HOT_DOG' ELSE 'A_B' END AS prefix FROM f)
-SELECT vec_id, prefix || '_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS entity_id, CASE WHEN label = 'person' THEN 'appearance_group_not_identity' ELSE 'tentative_same_object_group' END AS semantics
-FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY vec_id) AS n FROM p)""")
-def entity_prefix_numbering(spark: SparkSession, d: str) -> DataFrame:
-    label = F.when(F.col("label") % 3 == 0, "person").when(F.col("label") % 3 == 1, "hot dog!").otherwise("_a b_")
-    rows = adapters.table(spark, d, "embeddings").select("vec_id", label.alias("label")).withColumn("prefix", T.entity_prefix(F.col("label")))
-    number = F.row_number().over(Window.partitionBy("prefix").orderBy("vec_id"))
-    return rows.select("vec_id", F.format_string("%s_%03d", "prefix", number).alias("entity_id"), T.entity_semantics(F.col("label")).alias("semantics"))
-
-
 @query(f"""WITH {STATES}, o AS (SELECT *, x1 / 200.0::DOUBLE AS score, y1 / 100.0::DOUBLE AS quality FROM states WHERE confirmed AND missed = 0),
 v AS (SELECT *, score * 0.65::DOUBLE + quality * 0.35::DOUBLE AS value FROM o)
 SELECT track_id AS local_track_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS observations, arg_min(label, frame) AS label, {rsql("avg(score)", 4)} AS mean_score, {rsql("avg(quality)", 4)} AS mean_quality,
@@ -324,44 +231,6 @@ def json_defaults_flatten(spark: SparkSession, d: str) -> DataFrame:
     return flat_tracks(rows).select("session", "frame", "label", "score", (F.col("frame") % 2 == 0).alias("detected"))
 
 
-def _tracked(spark: SparkSession) -> DataFrame:
-    return tracker.run_tracking(generators.synthetic_frames(spark, 300), generators.synthetic_detections(spark, 300), generators.synthetic_motion(spark, 300), tracker.TrackerConfig(min_hits=1))
-
-
-@query()
-def track_states(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: a stateful fold over frames."""
-    return _tracked(spark).select("frame", "track_id", "class_id", *(r(c, 3).alias(c) for c in G.Box._fields), "age", "hits", "missed", "confirmed", "recoveries")
-
-
-@query()
-def track_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.events(_tracked(spark)).select("frame", "track_id", "name")
-
-
-@query()
-def lite_track_states(spark: SparkSession, d: str) -> DataFrame:
-    out = tracker.run_tracking(generators.synthetic_frames(spark, 200), generators.synthetic_detections(spark, 200), None, tracker.LITE)
-    return out.select("frame", "track_id", "class_id", *(r(c, 3).alias(c) for c in G.Box._fields), "age", "hits", "missed")
-
-
-@query()
-def entities_complete_link(spark: SparkSession, d: str) -> DataFrame:
-    return graph.entities(adapters.tracklets(spark, d), adapters.reviews(spark, d), 0.30, dims=64)
-
-
-@query()
-def raw_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: raw model rows (centre, size, three class scores) made from line items."""
-    det = adapters.detections(spark, d)
-    box = G.Box.of()
-    scores = [F.when(F.col("class_id") == k, F.col("score")).otherwise(F.col("score") * 0.3) for k in range(3)]
-    values = F.array(*(v.cast("float") for v in (*G.center(box), G.width(box), G.height(box), *scores)))
-    size = {"input_w": 640, "input_h": 640, "frame_w": 1280, "frame_h": 720}
-    raw = det.select("video", "frame", F.col("det_idx").alias("row_idx"), values.alias("values"), *(F.lit(v).alias(k) for k, v in size.items()), F.lit(0.5).alias("scale"), F.lit(0.0).alias("pad_x"), F.lit(140.0).alias("pad_y"))
-    return decode.decode(raw, 0.25, 0.45).select("frame", "det_idx", "class_id", "label", r("score", 4).alias("score"), *(r(c, 2).alias(c) for c in G.Box._fields))
-
-
 @query("SELECT l_orderkey AS frame, (l_orderkey - 1) % 2 = 0 AS balanced, (l_orderkey - 1) % 3 = 0 AS speed, (l_orderkey - 1) % 5 = 0 AS every_fifth, count(*) AS n FROM lineitem GROUP BY ALL")
 def detector_cadence(spark: SparkSession, d: str) -> DataFrame:
     frame = F.col("frame")
@@ -436,8 +305,6 @@ def calibrated_hfov(spark: SparkSession, d: str) -> DataFrame:
     return adapters.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.coalesce(r(hfov), F.lit(-1.0)).alias("hfov"))
 
 
-@query(f"WITH {ITEMS}, reviews AS (SELECT '' AS lo, '' AS hi, '' AS decision WHERE false), {PAIRS} SELECT 5::BIGINT AS videos_seen, 1::BIGINT AS videos_failed, (SELECT count(*) FROM items) AS tracklets, (SELECT count(*) FROM pairs WHERE sim >= 0.20::DOUBLE) AS edges")
-def run_summary(spark: SparkSession, d: str) -> DataFrame:
-    t = adapters.tracklets(spark, d)
-    videos = t.select("video").distinct().select("video", (F.col("video") == "v3").alias("failed"))
-    return reports.run_summary(videos, t, graph.entities(t, None, 0.30, dims=64), graph.edges(t, None, 0.20, 0.30, dims=64)).drop("entities")
+from trackframe.plans import decoding, graphs, records, tracking  # noqa: E402  (they register more queries)
+
+__all__ = ["ORACLES", "QUERIES", "decoding", "graphs", "records", "tracking"]

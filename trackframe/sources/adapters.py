@@ -58,3 +58,25 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("events").alias("video"), F.lit(0).alias("epoch"), "track_id", "frame", "label", (number > 2).alias("confirmed"), (F.col("event_id") % 4).cast("int").alias("missed"), number.cast("int").alias("hits"),
         F.lit(0).alias("recoveries"), F.col("value").alias("x1"), (F.col("value") * 0.5).alias("y1"), (F.col("value") + 20).alias("x2"), (F.col("value") * 0.5 + 40).alias("y2"),
     )
+
+
+#: Orders of a video, by their key.
+FRAMES_A_VIDEO = 300
+
+
+def tracking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames, detections and motion: an order is a frame, FRAMES_A_VIDEO keys a video. Some frames have no detections, no
+    detector pass, a reset, a shift or an affine motion (valid or not), by their number; some detections have no appearance."""
+    every = detections(spark, sf_dir).withColumn("video", F.concat(F.lit("o"), F.floor(F.col("frame") / FRAMES_A_VIDEO).cast("string")))
+    look = F.array(F.col("score"), F.col("x1") / 480, F.col("y1") / 210, F.col("class_id") + F.lit(1.0))
+    name = F.concat(F.lit("class "), F.col("class_id").cast("string"))
+    found = every.filter("frame % 11 <> 5").withColumns({"label": name, "appearance": F.when(F.col("det_idx") % 5 != 4, look)})
+    frame = F.col("frame")
+    frames = every.select("video", "frame").distinct().withColumns({"fps": F.lit(30.0), "should_detect": frame % 6 != 0, "reset": frame % 151 == 0})
+    shift, turn = frame % 3 == 1, frame % 3 == 2
+    affine = F.array(F.lit(1.0), F.lit(0.01), (frame % 4).cast("double"), F.lit(-0.01), F.lit(1.0), F.lit(1.0))
+    motion = frames.filter(shift | turn).select(
+        "video", "frame", F.when(shift, (frame % 7 - 3).cast("double")).otherwise(0.0).alias("dx"), F.when(shift, (frame % 5 - 2).cast("double")).otherwise(0.0).alias("dy"),
+        F.when(turn, affine).alias("affine"), (shift | (frame % 2 == 0)).alias("valid"),
+    )
+    return frames, found, motion

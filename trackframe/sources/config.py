@@ -9,21 +9,87 @@ from dataclasses import asdict, dataclass
 from pathlib import Path
 from typing import Any
 
-#: The known keys by type, and the words that are allowed.
+#: The known keys and their types.
 KEYS = {
-    int: "camera_width camera_height reconnect_attempts reconnect_delay_ms input_size detect_every max_frames",
-    float: "camera_fps conf iou",
-    str: "camera_backend classes profile view calibration session_log record",
-    bool: "cpu enhance stabilize no_cmc no_appearance headless",
+    "camera_width": int,
+    "camera_height": int,
+    "camera_fps": float,
+    "camera_backend": str,
+    "reconnect_attempts": int,
+    "reconnect_delay_ms": int,
+    "input_size": int,
+    "conf": float,
+    "iou": float,
+    "classes": str,
+    "profile": str,
+    "detect_every": int,
+    "cpu": bool,
+    "enhance": bool,
+    "view": str,
+    "stabilize": bool,
+    "no_cmc": bool,
+    "no_appearance": bool,
+    "calibration": str,
+    "session_log": str,
+    "record": str,
+    "headless": bool,
+    "max_frames": int,
 }
-WORDS = {"camera_backend": "auto dshow msmf", "profile": "quality balanced speed", "view": "normal clarity lowlight edges pseudo-thermal"}
-NOT_NEGATIVE = ("detect_every", "reconnect_attempts", "reconnect_delay_ms")
-#: What the presets have in common, and each one's own.
-COMMON = {"camera_fps": 30, "camera_backend": "dshow", "enhance": False, "view": "normal", "stabilize": False, "no_cmc": False, "no_appearance": False}
+#: The words that some keys allow, and the keys that aren't negative.
+WORDS = {
+    "camera_backend": {"auto", "dshow", "msmf"},
+    "profile": {"quality", "balanced", "speed"},
+    "view": {"normal", "clarity", "lowlight", "edges", "pseudo-thermal"},
+}
+NOT_NEGATIVE = {"detect_every", "reconnect_attempts", "reconnect_delay_ms"}
+#: The presets.
 PRESETS = {
-    "amd-balanced": COMMON | {"camera_width": 1920, "camera_height": 1080, "reconnect_attempts": 4, "reconnect_delay_ms": 250, "profile": "balanced", "detect_every": 2},
-    "amd-quality": COMMON | {"camera_width": 1920, "camera_height": 1080, "reconnect_attempts": 4, "reconnect_delay_ms": 250, "profile": "quality", "detect_every": 1},
-    "cpu-safe": COMMON | {"camera_width": 1280, "camera_height": 720, "reconnect_attempts": 3, "reconnect_delay_ms": 350, "profile": "speed", "detect_every": 3, "cpu": True},
+    "amd-balanced": {
+        "camera_width": 1920,
+        "camera_height": 1080,
+        "camera_fps": 30,
+        "camera_backend": "dshow",
+        "reconnect_attempts": 4,
+        "reconnect_delay_ms": 250,
+        "profile": "balanced",
+        "detect_every": 2,
+        "enhance": False,
+        "view": "normal",
+        "stabilize": False,
+        "no_cmc": False,
+        "no_appearance": False,
+    },
+    "amd-quality": {
+        "camera_width": 1920,
+        "camera_height": 1080,
+        "camera_fps": 30,
+        "camera_backend": "dshow",
+        "reconnect_attempts": 4,
+        "reconnect_delay_ms": 250,
+        "profile": "quality",
+        "detect_every": 1,
+        "enhance": False,
+        "view": "normal",
+        "stabilize": False,
+        "no_cmc": False,
+        "no_appearance": False,
+    },
+    "cpu-safe": {
+        "camera_width": 1280,
+        "camera_height": 720,
+        "camera_fps": 30,
+        "camera_backend": "dshow",
+        "reconnect_attempts": 3,
+        "reconnect_delay_ms": 350,
+        "profile": "speed",
+        "detect_every": 3,
+        "cpu": True,
+        "enhance": False,
+        "view": "normal",
+        "stabilize": False,
+        "no_cmc": False,
+        "no_appearance": False,
+    },
 }
 
 
@@ -31,15 +97,14 @@ def check_config(data: Any) -> dict[str, Any]:
     """The configuration itself, if all keys are known and all values of their type and range; else ValueError."""
     if not isinstance(data, dict):
         raise ValueError("a configuration is a JSON object")
-    kinds = {k: t for t, names in KEYS.items() for k in names.split()}
-    if unknown := sorted(set(data) - set(kinds)):
+    if unknown := sorted(set(data) - set(KEYS)):
         raise ValueError(f"unknown keys: {', '.join(unknown)}")
     for key, value in data.items():
-        wanted = (int, float) if kinds[key] is float else kinds[key]
-        if isinstance(value, bool) is not (kinds[key] is bool) or not isinstance(value, wanted):
+        wanted = (int, float) if KEYS[key] is float else KEYS[key]
+        if isinstance(value, bool) is not (KEYS[key] is bool) or not isinstance(value, wanted):
             raise ValueError(f"{key} has the wrong type: {type(value).__name__}")
-        if key in WORDS and value not in WORDS[key].split():
-            raise ValueError(f"{key} is none of: {WORDS[key]}")
+        if key in WORDS and value not in WORDS[key]:
+            raise ValueError(f"{key} is none of: {', '.join(sorted(WORDS[key]))}")
         if key in NOT_NEGATIVE and value < 0:
             raise ValueError(f"{key} is negative")
     return dict(data)

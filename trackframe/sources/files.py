@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = (".mp4", ".mov", ".mkv", ".avi", ".m4v", ".webm")
+PIECE = 1 << 20
 DERIVED_STEMS, DERIVED_SUFFIX = ("result_max", "result_stabilized", "analyzed"), "_trackframe"
 
 
@@ -42,8 +49,22 @@ def video_identifier(path: Column, root: str) -> Column:
 
 
 def sha256_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path and sha256 of whole files of up to 2 GB."""
-    return spark.read.format("binaryFile").load(folder).select("path", F.sha2("content", 256).alias("sha256"))
+    """path and sha256 of whole files, of any size: they are read by pieces, where the files are listed to be."""
+
+    def hashed(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for page in pages:
+            out = []
+            for path in page.path:
+                files, name = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                digest = hashlib.sha256()
+                with files.open_input_stream(name) as f:
+                    while piece := f.read(PIECE):
+                        digest.update(piece)
+                out.append((path, digest.hexdigest()))
+            yield pd.DataFrame(out, columns=["path", "sha256"])
+
+    listed = spark.read.format("binaryFile").load(folder).select("path")
+    return listed.mapInPandas(hashed, "path string, sha256 string")
 
 
 def sha256_matches(actual: Column, expected: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Synthetic inputs as plain ranges, for benchmarks and demonstrations."""
+"""Synthetic inputs as plain ranges, for benchmarks and demonstrations. The numbers in the formulas are fixed values."""
 
 from __future__ import annotations
 

@@ -9,17 +9,43 @@ from trackframe.functions import tracks as T
 from trackframe.functions.numbers import rounded
 from trackframe.schemas import SESSION
 
-#: The columns of the flat export, in order.
+#: The columns of the flat export, in order.
 FLAT = (
-    "frame t fps selected_id track_id label class_id score x1 y1 x2 y2 cx cy vx vy age hits missed confirmed lifecycle quality recoveries"
-).split()
+    "frame",
+    "t",
+    "fps",
+    "selected_id",
+    "track_id",
+    "label",
+    "class_id",
+    "score",
+    "x1",
+    "y1",
+    "x2",
+    "y2",
+    "cx",
+    "cy",
+    "vx",
+    "vy",
+    "age",
+    "hits",
+    "missed",
+    "confirmed",
+    "lifecycle",
+    "quality",
+    "recoveries",
+)
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of all sessions, with the file (session) and the number of the line: which header is first is a matter of lines."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("session"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "json"))
-    rows = texts.filter(F.btrim("json") != "").select("session", "line", F.from_json("json", SESSION).alias("r"))
-    return rows.select("session", "line", "r.*")
+    """All rows of all sessions, with the file (session) and the number of the line: which header is first is a matter of lines.
+
+    Files are split as any text is; lines are numbered by where their split begins and their order in it. Blank lines don't count.
+    """
+    lines = spark.read.text(path).filter(F.btrim("value") != "")
+    placed = lines.select(F.col("_metadata.file_path").alias("session"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    line = F.row_number().over(Window.partitionBy("session").orderBy("block", "place")) - 1
+    return placed.select("session", line.alias("line"), F.from_json("value", SESSION).alias("r")).select("session", "line", "r.*")
 
 
 def frames(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import html
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trackframe.functions.numbers import rounded
@@ -14,16 +14,31 @@ from trackframe.sources.sessions import FLAT
 
 
 def write_session(header: DataFrame, body: DataFrame, footer: DataFrame, path: str) -> None:
-    """Rows as JSON lines, by kind and then by the column ordinal, in one file per session that reads from top to bottom."""
-    parts = [d.withColumn("kind", F.lit(k)) for k, d in enumerate((header, body, footer))]
-    lines = [d.select("kind", F.coalesce("ordinal", F.lit(0).cast("long")).alias("ordinal"), F.to_json(F.struct(*(c for c in d.columns if c not in ("kind", "ordinal")))).alias("value")) for d in parts]
-    lines[0].unionByName(lines[1]).unionByName(lines[2]).coalesce(1).sortWithinPartitions("kind", "ordinal").select("value").write.text(path)
+    """Rows as JSON lines, by kind and then by the column ordinal, in one file per session that reads from top to bottom.
+
+    With a column session there is a folder session=... for each, and sessions are written side by side; a session's file is
+    one task's. Without it all rows are one session.
+    """
+    many = "session" in header.columns
+    parts = []
+    for kind, d in enumerate((header, body, footer)):
+        value = F.to_json(F.struct(*(c for c in d.columns if c not in ("ordinal", "session"))))
+        ordinal = F.col("ordinal").cast("long") if "ordinal" in d.columns else F.lit(0).cast("long")
+        parts.append(d.select(*(["session"] if many else []), F.lit(kind).alias("kind"), F.coalesce(ordinal, F.lit(0)).alias("ordinal"), value.alias("value")))
+    lines = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if many:
+        dealt = lines.repartition("session").sortWithinPartitions("session", "kind", "ordinal")
+        dealt.select("session", "value").write.partitionBy("session").text(path)
+    else:
+        lines.coalesce(1).sortWithinPartitions("kind", "ordinal").select("value").write.text(path)
 
 
 def write_flat_csv(flat: DataFrame, path: str) -> int:
-    """The flat columns in their fixed order, with a header; returns the number of rows."""
-    flat.orderBy("session", "line", "place").select(*FLAT).write.option("header", True).csv(path)
-    return flat.count()
+    """The flat columns in their fixed order, with a header; returns the number of rows that were written."""
+    seen = Observation()
+    ordered = flat.orderBy("session", "line", "place").select(*FLAT)
+    ordered.observe(seen, F.count("*").alias("n")).write.option("header", True).csv(path)
+    return seen.get["n"]
 
 
 def report_json(report: DataFrame) -> DataFrame:
