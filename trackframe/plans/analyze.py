@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +13,17 @@ from trackframe.operators import graph, tracklets
 from trackframe.operators.tracker import TrackerConfig, run_tracking
 
 
-@dataclass(frozen=True)
+@dataclass
 class Analysis:
     states: DataFrame
     tracklets: DataFrame
     edges: DataFrame
-    entities: DataFrame
+    reviews: DataFrame | None
+    strong: float
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return graph.entities(self.tracklets, self.reviews, self.strong)
 
 
 def observations(states: DataFrame, frames: DataFrame, descriptors: DataFrame | None = None) -> DataFrame:
@@ -33,7 +39,7 @@ def analyze(
     frames: DataFrame, detections: DataFrame, motion: DataFrame | None = None, reviews: DataFrame | None = None, descriptors: DataFrame | None = None, config: TrackerConfig = TrackerConfig(),  # noqa: B008
     classes: str = "", min_observations: int = 3, candidate: float = graph.CANDIDATE, strong: float = graph.STRONG, max_frames: int = 0,
 ) -> Analysis:
-    """Every step is lazy. max_frames bounds each video's frames (0: all), as a filter that reaches the scan."""
+    """Every step is lazy; entities are found when they are asked for. max_frames bounds each video's frames (0: all), as a filter that reaches the scan."""
     graph.check_thresholds(candidate, strong)
     if min_observations < 1 or max_frames < 0:
         raise ValueError("min_observations is at least 1 and max_frames at least 0")
@@ -42,4 +48,4 @@ def analyze(
     states = run_tracking(frames, detections, motion, config, classes)
     fps = frames.groupBy("video").agg(F.max("fps").alias("fps"))
     found = tracklets.summarize(observations(states, frames, descriptors), fps, min_observations)
-    return Analysis(states, found, graph.edges(found, reviews, candidate, strong), graph.entities(found, reviews, strong))
+    return Analysis(states, found, graph.edges(found, reviews, candidate, strong), reviews, strong)

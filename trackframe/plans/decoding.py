@@ -58,7 +58,11 @@ def _shown(found: DataFrame) -> DataFrame:
     return found.select("frame", "det_idx", "class_id", "label", r("score", 4).alias("score"), *(r(c, 2).alias(c) for c in BOX))
 
 
-@query(f"""WITH {DETECTIONS}, {CENTRES}, scored AS (SELECT * FROM best WHERE score >= 0.25{D}), {_kept("score DESC, det_idx DESC")},
+#: Frames whose rows pass for corners, score and class: their boxes have no area then, and all go.
+CORNERS = f"SELECT frame FROM raw GROUP BY frame HAVING bool_and(abs(a - round(a)) < 1e-3{D} AND abs(s2 - round(s2)) < 1e-3{D} AND s1 BETWEEN -1e-4{D} AND 1.0001{D})"
+
+
+@query(f"""WITH {DETECTIONS}, {CENTRES}, scored AS (SELECT * FROM best WHERE score >= 0.25{D} AND frame NOT IN ({CORNERS})), {_kept("score DESC, det_idx DESC")},
 placed AS (SELECT frame, class_id, rank, k.score AS score, {_placed("k.")} FROM kept)
 SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY class_id, rank) - 1 AS INTEGER) AS det_idx, class_id, {LABEL}, {SHOWN} FROM placed""")
 def raw_decode(spark: SparkSession, d: str) -> DataFrame:
