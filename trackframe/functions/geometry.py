@@ -41,6 +41,16 @@ def iou(a: Box, b: Box) -> Column:
     return shared / F.greatest(width(a) * height(a) + width(b) * height(b) - shared, F.lit(1e-6))
 
 
+def iou32(a: Box, b: Box) -> Column:
+    """iou() in single precision throughout, as the mobile profile has it."""
+    single = lambda v: F.lit(v).cast("float") if isinstance(v, float) else v.cast("float")
+    a, b = (Box(*(single(v) for v in box)) for box in (a, b))
+    extent = lambda lo, hi: F.greatest(single(0.0), hi - lo)
+    shared = extent(F.greatest(a.x1, b.x1), F.least(a.x2, b.x2)) * extent(F.greatest(a.y1, b.y1), F.least(a.y2, b.y2))
+    area = lambda x: extent(x.x1, x.x2) * extent(x.y1, x.y2)
+    return (shared / F.greatest(area(a) + area(b) - shared, single(1e-6))).cast("float")
+
+
 def shift(b: Box, dx: Column, dy: Column) -> Box:
     return Box(b.x1 + dx, b.y1 + dy, b.x2 + dx, b.y2 + dy)
 

@@ -82,6 +82,10 @@ def preview_name(stem: Column, track_id: Column) -> Column:
     return F.format_string("%s_T%03d.jpg", safe_stem(stem), track_id)
 
 
+def snapshot_name(track_id: Column, ts: Column) -> Column:
+    return F.format_string("T%03d-%s.png", track_id, F.date_format(ts, "yyyyMMdd-HHmmss"))
+
+
 def motion_valid(inliers: Column, ratio: Column, tx: Column, ty: Column, scale: Column, rotation_rad: Column, w: Column, h: Column) -> Column:
     """The gate of a global motion estimate."""
     return (inliers >= 6) & (ratio >= 0.35) & (F.abs(tx) <= w * 0.75) & (F.abs(ty) <= h * 0.75) & scale.between(0.78, 1.28) & (F.abs(rotation_rad) <= F.radians(F.lit(35.0)))

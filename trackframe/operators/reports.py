@@ -102,6 +102,21 @@ def run_summary(videos: DataFrame, tracklets: DataFrame, entities: DataFrame, ed
     return seen
 
 
+def failure_message(videos: DataFrame, shown: int = 3) -> DataFrame:
+    """One row, message: if all videos have failed the first failures (by place) in words, else null. videos: place, video, error."""
+    first = F.sort_array(F.collect_list(F.struct("place", F.concat_ws(": ", "video", "error").alias("text"))))
+    whole = videos.filter("error IS NOT NULL").orderBy("place").limit(shown)
+    every = videos.agg(F.bool_and(F.col("error").isNotNull()).alias("all"))
+    text = whole.agg(F.concat_ws("; ", F.transform(first, lambda x: x["text"])).alias("text"))
+    return every.crossJoin(text).select(F.when(F.col("all"), F.concat(F.lit("all input videos failed: "), F.col("text"))).alias("message"))
+
+
+def capture_summary(frames: DataFrame) -> DataFrame:
+    """Per video: frames, how often its source was opened, and reconnects, from frames with reconnected."""
+    again = F.count_if(F.coalesce("reconnected", F.lit(False)))
+    return frames.groupBy("video").agg(F.count("*").alias("frames"), (again + 1).alias("open_count"), again.alias("reconnects"))
+
+
 def confirmed_count(states: DataFrame) -> DataFrame:
     return states.groupBy("video", "frame").agg(F.count_if("confirmed").alias("confirmed"), F.count("*").alias("tracks"))
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as G
-from trackframe.functions.tracks import refine_valid
+from trackframe.functions.tracks import refine_valid, snapshot_name
 from trackframe.operators import reports
 from trackframe.operators.tracker import moved
 
@@ -38,6 +38,40 @@ def selected_tracks(states: DataFrame, frames: DataFrame, clicks: DataFrame) ->
     return spine.groupBy("video").applyInPandas(fold, "video string, frame bigint, selected_id int, event string")
 
 
+#: The display modes, in the order in which the key goes through them.
+MODES = ("normal", "clarity", "lowlight", "edges", "pseudo-thermal")
+
+
+def check_mode(mode: str) -> str:
+    """The mode in small letters, if there is such a one; else ValueError."""
+    if mode.lower() not in MODES:
+        raise ValueError(f"unknown display mode: {mode}")
+    return mode.lower()
+
+
+def control_events(keys: DataFrame, upscaler: bool = False) -> DataFrame:
+    """video, frame, seq, name, data (JSON): the session events of an operator's keys.
+
+    keys: video, frame, seq, key, selected_id and ts. e and z turn enhancement and stabilization on and off, m goes to the
+    next display mode, r resets the tracker; s saves a snapshot of the selected track if there is one, and so does u, which
+    also upscales it if an upscaler is at hand. What is on after a key is a matter of how often it has been pressed.
+    """
+    times = F.count("*").over(Window.partitionBy("video", "key").orderBy("frame", "seq"))
+    rows = keys.withColumn("times", times)
+    on, selected = F.col("times") % 2 == 1, F.col("selected_id").isNotNull()
+    path = snapshot_name(F.col("selected_id"), F.col("ts"))
+    event = lambda name, **data: F.struct(F.lit(name).alias("name"), F.to_json(F.struct(*(v.alias(k) for k, v in data.items()))).alias("data") if data else F.lit("{}").alias("data"))
+    none = F.lit(None).cast("struct<name:string,data:string>")
+    mode = F.element_at(F.array(*(F.lit(m) for m in MODES)), (F.col("times") % len(MODES) + 1).cast("int"))
+    saved = F.when(F.col("key").isin("s", "u") & selected, event("snapshot", track_id=F.col("selected_id"), path=path))
+    larger = F.regexp_replace(path, r"\.png$", "-x4.png")
+    happened = F.array(
+        F.when(F.col("key") == "e", event("enhance", enabled=on)), F.when(F.col("key") == "m", event("view_mode", mode=mode)), F.when(F.col("key") == "z", event("stabilize", enabled=on)), F.when(F.col("key") == "r", event("tracker_reset")),
+        saved, F.when((F.col("key") == "u") & selected, event("ai_upscale", track_id=F.col("selected_id"), path=larger)) if upscaler else none,
+    )
+    return rows.select("video", "frame", "seq", F.inline(F.filter(happened, lambda x: x.isNotNull())))
+
+
 def refined_boxes(selected: DataFrame, estimates: DataFrame) -> DataFrame:
     """video, frame, track_id, box, refined: a selected track's box between detections.
 

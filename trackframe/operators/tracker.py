@@ -281,14 +281,14 @@ def spine(frames: DataFrame, detections: DataFrame, motion: DataFrame | None = N
     return out.join(used, ["video", "frame"], "left").withColumns({"dx": F.coalesce("dx", F.lit(0.0)), "dy": F.coalesce("dy", F.lit(0.0))})
 
 
-def run_tracking(frames: DataFrame, detections: DataFrame, motion: DataFrame | None = None, config: TrackerConfig = TrackerConfig(), labels: str = "") -> DataFrame:  # noqa: B008
+def run_tracking(frames: DataFrame, detections: DataFrame, motion: DataFrame | None = None, config: TrackerConfig = TrackerConfig(), labels: str = "", stabilized: bool = False) -> DataFrame:  # noqa: B008
     """TRACK_STATES: one row per frame and track that lives after it. Parallel by video; a video is one task."""
 
     def whole(page: pd.DataFrame) -> pd.DataFrame:
         tracks = Tracks(config)
         return page_of([r for row in page.sort_values("frame").to_dict("records") if (r := tracks.advance(row)) is not None])
 
-    return spine(frames, detections, motion, labels).groupBy("video").applyInPandas(whole, TRACK_STATES)
+    return spine(frames, detections, motion, labels, stabilized).groupBy("video").applyInPandas(whole, TRACK_STATES)
 
 
 __all__ = ["LITE", "TrackerConfig", "Tracks", "run_tracking", "spine"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as G
 from trackframe.functions import tracks as T
-from trackframe.operators import lifecycle, selection, tracker, tracklets
+from trackframe.operators import lifecycle, reports, selection, tracker, tracklets
 from trackframe.plans.analyze import observations
 from trackframe.plans.registry import DETECTIONS, query, r, rsql
 from trackframe.sources import adapters, generators
@@ -153,6 +153,12 @@ def lite_track_states(spark: SparkSession, d: str) -> DataFrame:
     return _shown(tracker.run_tracking(frames, found, None, tracker.LITE))
 
 
+@query(f"WITH RECURSIVE {tracker_sql(tracker.TrackerConfig(), motion=False)} {SHOWN}")
+def stabilized_track_states(spark: SparkSession, d: str) -> DataFrame:
+    """On stabilized frames motion isn't used."""
+    return _shown(tracker.run_tracking(*adapters.tracking(spark, d), stabilized=True))
+
+
 @query(f"WITH RECURSIVE {FULL} {SHOWN}")
 def stream_track_states(spark: SparkSession, d: str) -> DataFrame:
     """The same states from a stream: the spine in files, one a micro-batch, state by video."""
@@ -300,3 +306,71 @@ def calibrated_overlay(spark: SparkSession, d: str) -> DataFrame:
     return adapters.detections(spark, d).select("frame", "det_idx", lines.alias("l")).select("frame", "det_idx", *(F.col("l")[i].alias(c) for i, c in enumerate(("yaw", "pitch", "size"))))
 
 
+
+
+SINGLE = "::FLOAT"
+
+
+def _extent(lo: str, hi: str) -> str:
+    return f"greatest(0.0{SINGLE}, {hi} - {lo})"
+
+
+def _area(v: str) -> str:
+    return f"({_extent(f'{v}.x1', f'{v}.x2')} * {_extent(f'{v}.y1', f'{v}.y2')})"
+
+
+SHARED = f"({_extent('greatest(a.x1, b.x1)', 'least(a.x2, b.x2)')} * {_extent('greatest(a.y1, b.y1)', 'least(a.y2, b.y2)')})"
+
+
+@query(f"""WITH {DETECTIONS}, f AS (SELECT frame, det_idx, {", ".join(f"CAST({v} / 3 AS FLOAT) AS {v}" for v in BOX)} FROM detections)
+SELECT a.frame, a.det_idx, {rsql(f"CAST({SHARED} / greatest({_area('a')} + {_area('b')} - {SHARED}, 1e-6{SINGLE}) AS DOUBLE)", 5)} AS iou FROM f a JOIN f b ON b.frame = a.frame AND b.det_idx = a.det_idx + 1""")
+def single_precision_iou(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap of neighbouring detections, in single precision."""
+    rows = adapters.detections(spark, d).select("frame", "det_idx", *((F.col(v) / 3).cast("float").alias(v) for v in BOX))
+    after = rows.select("frame", (F.col("det_idx") - 1).alias("det_idx"), *(F.col(v).alias(f"n_{v}") for v in BOX))
+    return rows.join(after, ["frame", "det_idx"]).select("frame", "det_idx", r(G.iou32(G.Box.of(), G.Box.of("n_")).cast("double"), 5).alias("iou"))
+
+
+@query(f"""WITH k AS (SELECT 'u' || user_id AS video, event_id AS frame, ts, ['e', 'm', 'z', 'r', 's', 'u'][1 + event_id % 6] AS key, CASE WHEN event_id % 4 > 0 THEN CAST(event_id % 50 AS INTEGER) END AS selected_id FROM events),
+t AS (SELECT *, count(*) OVER (PARTITION BY video, key ORDER BY frame) AS times, printf('T%03d-', selected_id) || strftime(ts, '%Y%m%d-%H%M%S') AS stem FROM k), on_ AS (SELECT *, CASE WHEN times % 2 = 1 THEN 'true' ELSE 'false' END AS flag FROM t)
+SELECT video, frame, 'enhance' AS name, '{{"enabled":' || flag || '}}' AS data FROM on_ WHERE key = 'e' UNION ALL SELECT video, frame, 'stabilize', '{{"enabled":' || flag || '}}' FROM on_ WHERE key = 'z'
+UNION ALL SELECT video, frame, 'view_mode', '{{"mode":"' || ['normal', 'clarity', 'lowlight', 'edges', 'pseudo-thermal'][1 + times % 5] || '"}}' FROM t WHERE key = 'm' UNION ALL SELECT video, frame, 'tracker_reset', '{{}}' FROM t WHERE key = 'r'
+UNION ALL SELECT video, frame, 'snapshot', '{{"track_id":' || selected_id || ',"path":"' || stem || '.png"}}' FROM t WHERE key IN ('s', 'u') AND selected_id IS NOT NULL
+UNION ALL SELECT video, frame, 'ai_upscale', '{{"track_id":' || selected_id || ',"path":"' || stem || '-x4.png"}}' FROM t WHERE key = 'u' AND selected_id IS NOT NULL""")
+def control_events(spark: SparkSession, d: str) -> DataFrame:
+    """An event is a key: what an operator turns on and off, resets and saves, as session events."""
+    e, n = adapters.table(spark, d, "events"), F.col("event_id")
+    key = F.element_at(F.array(*(F.lit(x) for x in "emzrsu")), (n % 6 + 1).cast("int"))
+    keys = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video"), n.alias("frame"), F.lit(0).alias("seq"), "ts", key.alias("key"), F.when(n % 4 > 0, (n % 50).cast("int")).alias("selected_id"))
+    return selection.control_events(keys, upscaler=True).drop("seq")
+
+
+@query("SELECT 'u' || user_id AS video, count(*) AS frames, count(*) FILTER (event_id % 13 = 7) + 1 AS open_count, count(*) FILTER (event_id % 13 = 7) AS reconnects FROM events GROUP BY 1")
+def capture_summary(spark: SparkSession, d: str) -> DataFrame:
+    e = adapters.table(spark, d, "events")
+    return reports.capture_summary(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video"), (F.col("event_id") % 13 == 7).alias("reconnected")))
+
+
+@query("""WITH f AS (SELECT 'a' AS run, r_regionkey AS place, r_name AS video, 'no frames' AS error FROM region UNION ALL SELECT 'b', r_regionkey, r_name, CASE WHEN r_regionkey > 0 THEN 'no frames' END FROM region)
+SELECT run, CASE WHEN bool_and(error IS NOT NULL) THEN 'all input videos failed: ' || string_agg(video || ': ' || error, '; ' ORDER BY place) FILTER (place < 3) ELSE '' END AS message FROM f GROUP BY run""")
+def failure_messages(spark: SparkSession, d: str) -> DataFrame:
+    """If all videos fail, the first three failures make the message."""
+    rows = adapters.table(spark, d, "region").select(F.col("r_regionkey").alias("place"), F.col("r_name").alias("video"))
+    runs = {"a": F.lit("no frames"), "b": F.when(F.col("place") > 0, "no frames")}
+    found = [reports.failure_message(rows.withColumn("error", e)).select(F.lit(k).alias("run"), F.coalesce("message", F.lit("")).alias("message")) for k, e in runs.items()]
+    return found[0].unionByName(found[1])
+
+
+@query("SELECT n_nationkey AS id, ['NORMAL', 'thermal', 'Edges', '', 'pseudo-thermal'][1 + n_nationkey % 5] AS mode, n_nationkey % 5 IN (0, 2, 4) AS accepted FROM nation")
+def checked_modes(spark: SparkSession, d: str) -> DataFrame:
+    names = ("NORMAL", "thermal", "Edges", "", "pseudo-thermal")
+    known = {}
+    for m in names:
+        try:
+            known[m] = bool(selection.check_mode(m))
+        except ValueError:
+            known[m] = False
+    n = F.col("n_nationkey")
+    mode = F.element_at(F.array(*(F.lit(m) for m in names)), (n % 5 + 1).cast("int"))
+    good = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
+    return adapters.table(spark, d, "nation").select(n.alias("id"), mode.alias("mode")).withColumn("accepted", good[F.col("mode")])
