@@ -19,7 +19,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trackframe.llm import bpe_count, common, components, decontaminate, kd_search, mixing, ngram_lm, quality, recompression, repeats, secret_scan, simhash, suffix_dedup
+from trackframe.llm import bpe_count, common, decontaminate, kd_search, mixing, ngram_lm, quality, recompression, repeats, secret_scan, simhash, suffix_dedup
+from trackframe.operators import components
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -290,6 +291,33 @@ def test_leaks(spark, docs, rows, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(table, bench.limit(0)).count() == 0
 
 
+def test_leaks_against_all_pairs(spark, rows):
+    """Every document with every item, aligned whole: what is found is right, and what holds six tenths of an item is found."""
+    rng = random.Random(11)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    words_of = lambda t: re.findall(r"[^\W_]+", "".join(c.lower() if c < "\x80" else c for c in t))
+    table = [(i, t, None) for i, t, _ in rows if i is not None and t and len(t) < 3000][:120]
+    for k, i in enumerate(sorted(items)[:20]):
+        words = items[i].split()
+        for _ in range(k):  # ever more edits
+            words[rng.randrange(len(words))] = f"other{rng.randrange(99)}"
+        table.append((50_000 + k, f"some words before {' '.join(words)} and after", None))
+    number: dict[str, int] = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.uint64)
+    ids, every = list(items), [code(t) for t in items.values()]
+    best = {}
+    for d, t, _ in table:
+        mine = code(t)
+        for i, item in zip(ids, every, strict=True):
+            if len(item) and len(np.intersect1d(item, mine)) >= 0.4 * len(set(item.tolist())):
+                best[d, i] = max(best.get((d, i), 0), decontaminate.align(item, mine)[0] / (2 * len(item)))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(frame(spark, table), bench).collect()}
+    assert got and all(best.get(k, 0) >= s - 1e-9 and s >= decontaminate.LEAST for k, s in got.items())
+    sure = {k for k, s in best.items() if s >= 0.6}
+    assert len(sure & set(got)) >= 0.97 * len(sure) and len(sure) >= 10
+
+
 def test_blocks_of_items_agree(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     whole = bag(decontaminate.leaks(docs, bench), "doc_id", "item_id", "score")
@@ -387,6 +415,83 @@ def test_quality_awkward(spark, docs, rows, empty):
     assert quality.classify(empty.select("doc_id", "text"), labels).count() == 0
 
 
+def plain_features(text):
+    """The places of a text's features, word by word."""
+    raw = (text or "").encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    places = set()
+    hashed = lambda w: common.Rolling(common.BYTE_CODES[np.frombuffer(w, np.uint8)]).of(np.array([0]), np.array([len(w)]))
+    top = np.uint64(64 - quality.HASH_BITS)
+    found = re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff \t\n\x0b\x0c\r]+", low)
+    for w in found:
+        places.add(int((hashed(w) >> top)[0]))
+        for k in quality.PREFIXES:
+            if len(w) > k:
+                places.add(int((common.mix(hashed(w[:k]) + np.uint64(k)) >> top)[0]))
+    n, distinct = len(found), len({int((hashed(w) >> top)[0]) for w in found})
+    capitals = min(9, 10 * sum(a != b for a, b in zip(raw, low, strict=True)) // max(len(raw), 1))
+    shape = (100 + capitals, 1000 + 32 * int(math.log2(max(n, 1))) + min(31, int(4 * math.log2(max(n, 1) / max(distinct, 1)))))
+    return places | {int((common.mix(np.array([x], np.uint64)) >> top)[0]) for x in shape}
+
+
+def test_quality_against_plain_scores(spark, docs, rows):
+    rng = np.random.default_rng(2)
+    weights, cut = np.where(rng.random(1 << quality.HASH_BITS) < 0.3, rng.normal(0, 0.2, 1 << quality.HASH_BITS), 0).astype(np.float32), np.array([-0.7, 0.4])
+    logistic = lambda x: 1 / (1 + math.exp(-max(-40, min(40, x))))
+    expected = []
+    for i, t, _ in rows:
+        s = sum(float(weights[p]) for p in plain_features(t))
+        above = [1 - logistic(c - s) for c in cut]
+        expected.append((i, round(sum(above), 6), round(above[-1], 6), above[-1] >= quality.KEEP))
+    got = [(r.doc_id, round(r.expected_grade, 6), round(r.tail, 6), r.keep) for r in quality.score(docs, weights, cut).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+def test_quality_fit_against_plain_steps():
+    """The same AdaGrad steps with an L1 step, one feature after the other."""
+    rng = np.random.default_rng(5)
+    n = 90
+    x = rng.random((n, 6)) < 0.4
+    grade = np.clip((x[:, 0] * 2.0 - x[:, 1] * 2.0 + rng.logistic(0, 0.3, n) + 0.7).round(), 0, 2).astype(int)
+    used, w, cut = quality.fit(grade, np.nonzero(x)[1], np.nonzero(x)[0])
+    f = lambda v: 1 / (1 + math.exp(-v))
+    mean, spread = grade.mean(), grade.std()
+    held = [k for k in range(6) if abs(sum(grade[i] - mean for i in range(n) if x[i, k])) > quality.SCREEN * spread * math.sqrt(x[:, k].sum() * (1 - x[:, k].sum() / n))]
+    below = [min(max(sum(g <= k for g in grade) / n, 0.5 / n), 1 - 0.5 / n) for k in range(2)]
+    edges = [math.log(p / (1 - p)) for p in below]
+    edges[1] = max(edges[1], edges[0] + 1e-3)
+    weight, seen, edge_seen, order = dict.fromkeys(held, 0.0), dict.fromkeys(held, 1e-8), [1e-8, 1e-8], np.random.default_rng(quality.SEED)
+    for epoch in range(quality.EPOCHS):
+        rate, turn = quality.RATE / (1 + epoch / 4), order.permutation(n)
+        for at in range(0, n, quality.BATCH):
+            batch = turn[at : at + quality.BATCH]
+            pull, push = dict.fromkeys(held, 0.0), [0.0, 0.0]
+            for i in batch:
+                s = sum(weight[k] for k in held if x[i, k])
+                upper = 1.0 if grade[i] == 2 else f(edges[grade[i]] - s)
+                lower = 0.0 if grade[i] == 0 else f(edges[grade[i] - 1] - s)
+                p = max(upper - lower, 1e-9)
+                for k in held:
+                    pull[k] += (1 - upper - lower) * x[i, k]
+                if grade[i] < 2:
+                    push[grade[i]] -= upper * (1 - upper) / p
+                if grade[i] > 0:
+                    push[grade[i] - 1] += lower * (1 - lower) / p
+            for k in held:
+                g = pull[k] / len(batch)
+                seen[k] += g * g
+                pace = rate / math.sqrt(seen[k])
+                moved = weight[k] - pace * g
+                weight[k] = math.copysign(max(abs(moved) - pace * quality.L1, 0), moved)
+            for k in (0, 1):
+                g = push[k] / len(batch)
+                edge_seen[k] += g * g
+                edges[k] -= rate * g / math.sqrt(edge_seen[k])
+            edges[1] = max(edges[1], edges[0] + 1e-3)
+    assert held and used.tolist() == [k for k in held if weight[k]]
+    assert np.allclose(w, [weight[k] for k in used.tolist()], atol=1e-9) and np.allclose(cut, edges, atol=1e-9)
+
+
 def test_cumulative_link_gradient_fits():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3)) < 0.5

@@ -1,17 +1,15 @@
-"""Shared pieces: the shared folder, lineage cuts and vectorised text handling for Arrow batches."""
+"""Shared pieces: vectorised text handling for Arrow batches; tables in the shared folder are trackframe.sources.shared."""
 
 from __future__ import annotations
 
-import contextlib
-import hashlib
-import re
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from trackframe.sources.shared import configure, cut, discard, shared_dir
+
+__all__ = ["configure", "cut", "discard", "shared_dir"]
 
 U64 = np.uint64
 
@@ -33,71 +31,6 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="trackframe-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-#: Held while a table is written: small batches bound what the scan, a Python worker and the buffers between them hold, and
-#: shuffle files go as soon as the write that needed them has ended.
-SMALL_BATCHES = {
-    "spark.sql.parquet.columnarReaderBatchSize": "512",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
-}
-WHILE_WRITING = SMALL_BATCHES | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-
-
-@contextlib.contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings that hold inside, and are put back after."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def configure(spark: SparkSession) -> None:
-    """Small batches from now on, for results that are computed as the caller reads them."""
-    for k, v in SMALL_BATCHES.items():
-        spark.conf.set(k, v)
-
-
-def cut(df: DataFrame, name: str, drop: Iterable[DataFrame] = ()) -> DataFrame:
-    """Write df to the shared folder and read it back: a lineage cut that survives lost executors.
-
-    drop: tables of earlier cuts that only df needed; they are deleted. What the result of an operator still reads stays.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with settings(spark, WHILE_WRITING):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    discard(*drop)
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that cut() has written."""
-    for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t.cut_path)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (shift-xor-multiply), so that structure in the input doesn't survive."""
     x = x ^ (x >> U64(30))
@@ -188,7 +121,3 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES, lower: bool = False) -> I
         part = data[offsets[at] : offsets[to]]
         yield Chunk(at, table[part] if lower else part, offsets[at : to + 1] - offsets[at])
         at = to
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
