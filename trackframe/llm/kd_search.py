@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import cut
+from trackframe.llm.common import cut, discard
 
 SHARD, BLOCK, PILOT, LEAF, SAMPLE_A_SHARD, SHARDS = 16384, 65536, 1024, 64, 16, 4096
 LARGEST = 10**38 - 1
@@ -313,11 +313,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     asks = cut(asked.select("vec_id", "v", "q").mapInArrow(first, asking), "asks")
     found = cut(answers(asks), "found")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    score = F.col("score").cast("double")
-    kth = found.withColumn("rank", rank).filter(F.col("rank") == k).select("q", (score - 1 - F.abs(score) * 1e-12).alias("kth"))  # as lowered()
-    left = asks.join(kth, "q", "left").select("vec_id", "v", "q", F.greatest("least", "kth").alias("least"), "leaf", "share")
-    more = cut(left.mapInArrow(rest, asking), "asks")
-    every = cut(found.unionByName(answers(more)), "found", drop=[found, asks, more])
+    every = found
+    if shares.sum() > 1:  # else all rows have been asked
+        score = F.col("score").cast("double")
+        kth = found.withColumn("rank", rank).filter(F.col("rank") == k).select("q", (score - 1 - F.abs(score) * 1e-12).alias("kth"))  # as lowered()
+        left = asks.join(kth, "q", "left").select("vec_id", "v", "q", F.greatest("least", "kth").alias("least"), "leaf", "share")
+        more = cut(left.mapInArrow(rest, asking), "asks")
+        every = cut(found.unionByName(answers(more)), "found", drop=[found, more])
+    discard(asks, asked, placed)
     long = F.greatest(F.lit(-(1 << 63)), F.least(F.lit((1 << 63) - 1), F.col("score"))).cast("long")
     best_ = every.withColumn("rank", rank).filter(F.col("rank") <= k)
     return best_.select(F.col("own").alias("query_id"), "rank", "vec_id", long.alias("score"))
