@@ -5,13 +5,19 @@ Links between people mean similar visible appearance in this batch only, never i
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from trackframe.functions import tracks as T
-from trackframe.functions.numbers import cosine, gallery_similarity, norm, rounded, tracklet_similarity
+from trackframe.functions.numbers import rounded
 from trackframe.operators.components import components
+from trackframe.operators.pairwise import similar
 from trackframe.operators.tracklets import public
 from trackframe.sources.shared import cut
 
@@ -30,31 +36,56 @@ def items(tracklets: DataFrame) -> DataFrame:
     return tracklets.filter("descriptor IS NOT NULL").withColumns({"key": T.tracklet_key(F.col("video"), F.col("local_track_id")), "place": place})
 
 
-def pairs(tracklets: DataFrame, reviews: DataFrame | None = None, salt: int = 1, dims: int = 0) -> DataFrame:
-    """Each pair of one class once, in the graph's order, with its similarity (null if there is none) and its review.
+#: Tracklets of a class that are compared with as many others in one task.
+BLOCK = 4096
 
-    Pairs within a video count only if a review says same. salt deals the left side of a class to so many tasks, for
-    classes that hold most tracklets; the right side is copied to each. dims is the length of most descriptors, if it is known.
-    """
-    rows = items(tracklets).select("key", "video", "class_id", "label", "place", "descriptor", norm(F.col("descriptor")).alias("norm"), F.coalesce("gallery", F.array().cast("array<array<double>>")).alias("gallery"))
-    left = rows.select(*(F.col(c).alias(f"l_{c}") for c in rows.columns), F.pmod(F.xxhash64("key"), F.lit(salt)).alias("salt"))
-    right = rows.select(*(F.col(c).alias(f"r_{c}") for c in rows.columns), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))).alias("salt"))
-    both = left.join(right, (F.col("l_class_id") == F.col("r_class_id")) & (left.salt == right.salt) & (F.col("l_place") < F.col("r_place"))).drop("salt")
-    if reviews is None:
-        both = both.withColumn("decision", F.lit(None).cast("string"))
-    else:
-        known = reviews.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "decision")
-        both = both.withColumns({"lo": F.least("l_key", "r_key"), "hi": F.greatest("l_key", "r_key")}).join(known, ["lo", "hi"], "left").drop("lo", "hi")
-    open_ = both.filter((F.col("l_video") != F.col("r_video")) | F.col("decision").eqNullSafe("same"))
-    base = cosine(F.col("l_descriptor"), F.col("r_descriptor"), F.col("l_norm"), F.col("r_norm"), dims)
-    scored = open_.withColumns({"base": base, "from_galleries": gallery_similarity(F.col("l_gallery"), F.col("r_gallery"))})
-    return scored.withColumn("similarity", tracklet_similarity(F.col("base"), F.col("from_galleries"))).drop("base", "from_galleries")
 
+def pairs(tracklets: DataFrame, reviews: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """Each pair of one class once, in the graph's order, that is reviewed or has a similarity of least or more.
 
-def edges(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE, strong: float = STRONG, salt: int = 1, dims: int = 0) -> DataFrame:
+    class_id, l_key, r_key, l_label, p0 to p2 (the right one's place), similarity (null if there is none) and decision. Pairs
+    within a video count only if a review says same. A class is dealt to blocks by hash, and each pair of blocks is one
+    task's: it compares all pairs in numpy, see operators.pairwise. So a tracklet moves once for each block of its class, and
+    no pair moves that isn't part of the result. Reviews are joined with the keys of both ends, never with pairs.
+    """
+    rows = items(tracklets).filter("class_id IS NOT NULL").select(
+        "class_id", "key", "video", "label", F.col("place.label").alias("p0"), F.col("place.video").alias("p1"), F.col("place.local_track_id").alias("p2"),
+        F.col("descriptor").cast("array<double>").alias("descriptor"), F.coalesce("gallery", F.array()).cast("array<array<double>>").alias("gallery"),
+    )
+    large = rows.groupBy("class_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1")  # at most 1/BLOCK of the rows
+    rows = rows.join(F.broadcast(large), "class_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with"), "first": F.col("block") <= F.col("with")}).drop("blocks", "block", "with")
+    if reviews is not None:
+        ends = rows.select("class_id", "key", "block").distinct()
+        known = reviews.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "decision")
+        known = known.join(ends.select(F.col("key").alias("lo"), "class_id", F.col("block").alias("a")), "lo").join(ends.select(F.col("key").alias("hi"), "class_id", F.col("block").alias("b")), ["hi", "class_id"])
+        dealt = dealt.unionByName(known.select("class_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "lo", "hi", "decision"), allowMissingColumns=True)
+    else:
+        dealt = dealt.withColumns({c: F.lit(None).cast("string") for c in ("lo", "hi", "decision")})
+
+    def compare(table: pa.Table) -> pa.Table:
+        told = table.column("first").is_null()
+        mine = table.filter(pc.invert(told))
+        if not len(mine):
+            return shape.empty_table()
+        inner = mine.column("i")[0].as_py() == mine.column("j")[0].as_py()
+        left, right, values, decisions = similar(mine, table.filter(told), inner, least)
+        take = lambda c, at: mine.column(c).take(pa.array(at))
+        columns = [take("class_id", left), take("key", left), take("key", right), take("label", left), *(take(c, right) for c in ("p0", "p1", "p2")), pa.array(values, from_pandas=True), pa.array(decisions, pa.string())]
+        return pa.table(columns, names=shape.names)
+
+    kind = dict(rows.dtypes)
+    schema = f"class_id {kind['class_id']}, l_key string, r_key string, l_label string, p0 string, p1 string, p2 {kind['p2']}, similarity double, decision string"
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    return dealt.groupBy("class_id", "i", "j").applyInArrow(compare, schema)
+
+
+def edges(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE, strong: float = STRONG) -> DataFrame:
     """left, right, label, similarity (6 digits), strength, relation, review_decision; in no order, see ordered()."""
     check_thresholds(candidate, strong)
-    shown = pairs(tracklets, reviews, salt, dims).filter(F.col("decision").isNotNull() | (F.col("similarity") >= candidate))
+    shown = pairs(tracklets, reviews, candidate)
     strength = F.when(F.col("decision").isin("same", "different"), "manual").when(F.col("similarity") >= strong, "strong").otherwise("review")
     return shown.select(F.col("l_key").alias("left"), F.col("r_key").alias("right"), F.col("l_label").alias("label"), rounded(F.col("similarity"), 6).alias("similarity"), strength.alias("strength"), T.relation(F.col("l_label")).alias("relation"), F.col("decision").alias("review_decision"))
 
@@ -77,52 +108,77 @@ def with_endpoints(found: DataFrame, tracklets: DataFrame) -> DataFrame:
 FEW = 200_000
 
 
-def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: float = STRONG, dims: int = 0, salt: int = 1) -> DataFrame:
+def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: float = STRONG) -> DataFrame:
     """entity_id, label, semantics, member (key), position in the entity.
 
     Complete linkage in the graph's order: a tracklet joins the entity whose least similar member is nearest to it, if all
     members are strong matches or reviewed as same, none is reviewed as different, and none is of the same video unless
     reviewed as same. Only strong or reviewed pairs reach the fold. All members of an entity are linked to each other, so
-    where there are many, tracklets are parted by connected components first and each component is one task's.
+    where there are many, tracklets are parted by connected components first and each component is one task's. It reads the
+    component in the graph's order, holds its tracklets and the links of one of them, and looks only at entities that a link
+    leads to: the work grows with the links, not with the square of the tracklets.
     """
-    members = items(tracklets).select("class_id", "key", "video", "label", "place", F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("decision"))
-    linked = pairs(tracklets, reviews, salt, dims).filter((F.col("similarity") >= strong) | F.col("decision").isNotNull())
-    links = linked.select(F.col("r_class_id").alias("class_id"), F.col("r_key").alias("key"), F.col("r_video").alias("video"), F.col("r_label").alias("label"), F.col("r_place").alias("place"), F.col("l_key").alias("other"), "similarity", "decision")
-    rows = members.unionByName(links).select("class_id", "key", "video", "label", F.col("place.label").alias("p0"), F.col("place.video").alias("p1"), F.col("place.local_track_id").alias("p2"), "other", "similarity", "decision")
-    rows = cut(rows, "entity-rows")
+    place = (F.col("place.label").alias("p0"), F.col("place.video").alias("p1"), F.col("place.local_track_id").alias("p2"))
+    members = items(tracklets).select("class_id", *place, "key", "label", F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("passes"))
+    passes = F.when(F.col("decision") == "different", -1.0).when(F.col("decision") == "same", 1.0).when(F.col("similarity") >= strong, F.col("similarity"))
+    links = pairs(tracklets, reviews, strong).select("class_id", "p0", "p1", "p2", F.col("r_key").alias("key"), F.lit(None).cast("string").alias("label"), F.col("l_key").alias("other"), passes.alias("passes"))
+    rows = cut(members.unionByName(links.filter("passes IS NOT NULL")), "entity-rows")
     if rows.count() <= FEW:
         rows = rows.withColumn("component", F.lit(0).cast("long"))
     else:
-        joins = rows.filter(F.col("other").isNotNull() & ((F.col("decision") == "same") | (~F.col("decision").eqNullSafe("different") & (F.col("similarity") >= strong))))
+        joins = rows.filter("passes >= 0")
         known = components(joins.select(F.xxhash64("key").alias("a"), F.xxhash64("other").alias("b")))
         rows = rows.withColumn("node", F.xxhash64("key")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, dict[str, float | None]] = {}
-        for r in page[page.other.notna()].itertuples():
-            reviewed = r.decision if isinstance(r.decision, str) else None
-            passes = None if reviewed == "different" else 1.0 if reviewed == "same" else (r.similarity if r.similarity >= strong else None)
-            near.setdefault(r.key, {})[r.other] = passes
-        groups: list[list] = []
-        whole = page[page.other.isna()].sort_values(["p0", "p1", "p2"])
-        reviewed_same = {(r.key, r.other) for r in page[page.decision == "same"].itertuples()}
-        for r in whole.itertuples():
-            mine, best, home = near.get(r.key, {}), -1.0, None
-            if not any(v is not None for v in mine.values()):
-                groups.append([r])
-                continue
-            for group in groups:
-                scores = [None if (m.video == r.video and (r.key, m.key) not in reviewed_same) else mine.get(m.key) for m in group]
-                if None not in scores and min(scores) > best:
-                    best, home = min(scores), group
-            if home is None:
-                groups.append([r])
-            else:
-                home.append(r)
-        out = [(r.key, r.label, g[0].key, g[0].label, i) for g in groups for i, r in enumerate(g)]
-        return pd.DataFrame(out, columns=["member", "member_label", "head", "label", "position"])
-
-    folded = rows.groupBy("class_id", "component").applyInPandas(fold, "member string, member_label string, head string, label string, position int")
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, near = None, None, {}
+        waiting, heads, sizes, homes = [], [], [], {}
+
+        def settle() -> Iterator[tuple]:
+            """The tracklet whose links have all been read (all of them, if a key is repeated) finds its entity."""
+            for key, label in waiting:
+                met: dict[int, list[float]] = {}
+                for other, passes in near.items():
+                    for g in homes.get(other, ()) if passes >= 0 else ():
+                        met.setdefault(g, []).append(passes)
+                whole = [(-min(s), g) for g, s in met.items() if len(s) == sizes[g]]
+                home = min(whole)[1] if whole else len(heads)
+                if not whole:
+                    heads.append((key, label))
+                    sizes.append(0)
+                placed.append((key, home))
+                yield (key, label, *heads[home], sizes[home])
+                sizes[home] += 1
+            for key, home in placed:
+                homes.setdefault(key, []).append(home)
+            waiting.clear()
+            placed.clear()
+            near.clear()
+
+        placed: list[tuple] = []
+        for b in batches:
+            out = []
+            for class_id, component, p0, p1, p2, key, label, other, passes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (class_id, component, p0, p1, p2, key) != now:
+                    out += settle()
+                    now = (class_id, component, p0, p1, p2, key)
+                    if now[:2] != part:
+                        part = now[:2]
+                        for held in (heads, sizes, homes):
+                            held.clear()
+                if other is None:
+                    waiting.append((key, label))
+                else:
+                    before = near.get(other, passes)
+                    near[other] = min(before, passes) if min(before, passes) < 0 else max(before, passes)
+            yield table(out)
+        yield table(list(settle()))
+
+    names = ("member", "member_label", "head", "label", "position")
+    table = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string() if k < 4 else pa.int32()) for k in range(5)], names)
+    order = ["class_id", "component", "p0", "p1", "p2", "key", F.col("other").asc_nulls_first()]
+    dealt = rows.repartition("class_id", "component").sortWithinPartitions(*order).select("class_id", "component", "p0", "p1", "p2", "key", "label", "other", "passes")
+    folded = dealt.mapInArrow(fold, "member string, member_label string, head string, label string, position int")
     folded = cut(folded, "entities")
     heads = folded.filter("position = 0").join(items(tracklets).select(F.col("key").alias("head"), "place"), "head")
     number = F.row_number().over(Window.partitionBy("prefix").orderBy("place"))
