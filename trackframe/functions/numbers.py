@@ -46,11 +46,14 @@ def unit(a: Column) -> Column:
     return F.when((F.size(a) > 0) & (norm(a) > 1e-12), F.transform(a, lambda x: x.cast("double") / norm(a)))
 
 
-def gallery_similarity(left: Column, right: Column) -> Column:
-    """Mean of the best min(3, sizes, pairs) cosines between two arrays of vectors; null if there is none."""
+def gallery_similarity(left: Column, right: Column, by_size: bool = True) -> Column:
+    """Mean of the best min(3, sizes, pairs) cosines between two arrays of vectors; null if there is none.
+
+    Without by_size of the best min(3, pairs): two small galleries then count as many cosines as two large ones.
+    """
     pairs = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: cosine(a, b))))
     scored = F.sort_array(F.filter(pairs, lambda s: s.isNotNull()), asc=False)
-    k = F.least(F.lit(3), F.size(left), F.size(right), F.size(scored))
+    k = F.least(F.lit(3), *([F.size(left), F.size(right)] if by_size else []), F.size(scored))
     return F.when(F.size(scored) > 0, F.aggregate(F.slice(scored, F.lit(1), k), F.lit(0.0), lambda s, x: s + x) / k)
 
 
