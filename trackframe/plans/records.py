@@ -265,15 +265,31 @@ h AS (SELECT *, CASE WHEN high = low THEN 0.0::DOUBLE WHEN high = r THEN CAST(g
 hs AS (SELECT *, floor((turn - 180 * floor(turn / 180)) + 0.5::DOUBLE) % 180 AS hue, floor(CASE WHEN high > 0 THEN CAST(high - low AS DOUBLE) / high * 255 ELSE 0 END + 0.5::DOUBLE) AS saturation, floor(b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE + 0.5::DOUBLE) AS gray FROM h)"""
 
 
+#: Descriptors that a task keeps.
+KEPT = 4096
+
+
 def _painted(spark: SparkSession, d: str, f: Callable[[np.ndarray, tuple], list[float]]) -> DataFrame:
-    """Images whose left half is of a part's colour and whose right half is black: places and value of the left half's descriptor."""
+    """Images whose left half is of a part's colour and whose right half is black: places and value of the left half's descriptor.
 
-    def one(p: int) -> tuple[int, list[int], float]:
+    A task describes an image once, however many parts have its colour; of more than KEPT colours it begins anew.
+    """
+    known: dict[tuple[int, ...], tuple[list[int], float]] = {}
+
+    def described(colour: tuple[int, ...]) -> tuple[list[int], float]:
         image = np.zeros((24, 48, 3), np.uint8)
-        image[:, :24] = [p * 37 % 256, p * 91 % 256, p * 53 % 256]
+        image[:, :24] = colour
         found = np.array(f(image, (0, 0, 24, 24)))
         some = np.flatnonzero(found > 1e-6)
-        return p, some.tolist(), float(found[some].max())
+        return some.tolist(), float(found[some].max())
+
+    def one(p: int) -> tuple[int, list[int], float]:
+        colour = (p * 37 % 256, p * 91 % 256, p * 53 % 256)
+        if colour not in known:
+            if len(known) >= KEPT:
+                known.clear()
+            known[colour] = described(colour)
+        return p, *known[colour]
 
     return _each(adapters.table(spark, d, "part").select("p_partkey"), "id long, places array<long>, value double", one)
 
