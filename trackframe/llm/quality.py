@@ -4,8 +4,10 @@ A document's grade is quality + (1 - toxic), 0 to 2. P(grade <= k) = logistic(th
 vector over hashed features and ordered thresholds. Features are the presence of each lower-cased word, word beginning
 or run of signs in the whole text, hashed to 2**HASH_BITS places, and a few shape features (share of capitals, repetition by length).
 Features without a significant relation to the grade are screened out and the weights are fitted by AdaGrad with an L1
-step, so words without information stay at 0 and long texts aren't drowned in noise. The fit takes at most SAMPLE labelled documents, the first by a hash of the id (a documented bound); scoring takes
-all documents, whole.
+step, so words without information stay at 0 and long texts aren't drowned in noise. All labelled documents take part in the
+screening, by counts, and in the fit: they are dealt by a hash of the id to parts of about PART documents, each part is
+fitted in a task of its own on the features that passed, and weights and thresholds are the mean of the parts' by their
+number of documents (up to PART documents are one part). Scoring takes all documents, whole.
 
 Results per row: expected grade, tail probability P(grade >= 2), and keep, which is tail >= KEEP.
 
@@ -24,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import BYTE_CODES, LOWER, SIGN_KINDS, Chunk, Rolling, chunks, mix
+from trackframe.llm.common import BYTE_CODES, LOWER, SIGN_KINDS, Chunk, Rolling, chunks, cut as write, discard, mix
 
-HASH_BITS, SAMPLE, KEEP, GRADES = 20, 20_000, 0.5, 3
+HASH_BITS, PART, KEEP, GRADES = 20, 20_000, 0.5, 3
+#: Labels up to which they are broadcast to the texts; beyond, both are joined by id.
+FEW_LABELS = 200_000
 EPOCHS, BATCH, RATE, L1, SCREEN, SEED = 30, 256, 0.3, 1e-3, 4.5, 5
 #: Lengths in bytes of word beginnings that are features too, for words that share a stem.
 PREFIXES = (4, 5)
@@ -62,19 +66,27 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(grade: np.ndarray, places: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places with a weight, their weights, and the ordered thresholds. row tells the document of each place, in order."""
+def screen(grade: np.ndarray, places: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether each place's documents have a mean grade SCREEN standard errors off the mean of all."""
     n = len(grade)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0), np.array([-1.0, 0.0])
-    # Only features whose documents' mean grade is SCREEN standard errors off the mean of all take part.
     centred, often, off = grade - grade.mean(), np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
     for at in range(0, len(places), 1 << 20):
         part = places[at : at + (1 << 20)]
         often += np.bincount(part, minlength=len(often))
         off += np.bincount(part, weights=centred[row[at : at + (1 << 20)]], minlength=len(off))
     spread = max(grade.std(), 1e-9) * np.sqrt(often * np.maximum(1 - often / n, 1e-9))
-    good = (often > 0) & (np.abs(off) > SCREEN * spread)
+    return (often > 0) & (np.abs(off) > SCREEN * spread)
+
+
+def fit(grade: np.ndarray, places: np.ndarray, row: np.ndarray, good: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places with a weight, their weights, and the ordered thresholds. row tells the document of each place, in order.
+
+    good: the places that take part, if they have been screened before.
+    """
+    n = len(grade)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0), np.array([-1.0, 0.0])
+    good = screen(grade, places, row) if good is None else good
     held = good[places]
     column, row = (np.cumsum(good) - 1)[places[held]], row[held]
     used = np.flatnonzero(good)
@@ -115,8 +127,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Weights by place (dense, 2**HASH_BITS) and thresholds, from docs (doc_id, text) and labels (doc_id, quality, toxic)."""
     grade = (F.col("quality").cast("int") + 1 - F.col("toxic").cast("int")).alias("grade")
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade).filter("doc_id IS NOT NULL AND grade BETWEEN 0 AND 2").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    rated = rated.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = docs.join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text")  # at most SAMPLE rows of two numbers
+    rated = write(rated, "labels")
+    known = F.broadcast(rated) if rated.count() <= FEW_LABELS else rated
+    labelled = docs.join(known, "doc_id").select("doc_id", "grade", "text")
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,20 +139,60 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(places.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, len(c)), b.column(1).slice(c.first, len(c)), lists], ["doc_id", "grade", "places"])
 
-    def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending")]).combine_chunks()
+    rows = write(labelled.mapInArrow(read, "doc_id long, grade int, places array<int>"), "features", drop=[rated])
+    often = {r.grade: r.n for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # at most GRADES rows
+    n, dense = sum(often.values()), np.zeros(1 << HASH_BITS)
+    if not n:
+        discard(rows)
+        return dense.astype(np.float32), np.array([-1.0, 0.0])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(GRADES << HASH_BITS, np.int64)
+        for b in batches:
+            lists = b.column(1)
+            grade = np.repeat(b.column(0).to_numpy().astype(np.int64), lists.value_lengths().to_numpy())
+            keys, times = np.unique(grade << HASH_BITS | lists.flatten().to_numpy(), return_counts=True)
+            total[keys] += times
+        total = total.reshape(GRADES, -1)
+        some = np.flatnonzero(total.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(t[some]) for t in total)], ["place", *(f"n{k}" for k in range(GRADES))])
+
+    mean = sum(g * k for g, k in often.items()) / n
+    deviation = max(np.sqrt(sum(k * (g - mean) ** 2 for g, k in often.items()) / n), 1e-9)
+    grades = [f"n{k}" for k in range(GRADES)]
+    places = rows.select("grade", "places").mapInArrow(count, "place long, " + ", ".join(f"{g} long" for g in grades)).groupBy("place").agg(*(F.sum(g).alias(g) for g in grades))
+    all_, off = sum(F.col(g) for g in grades), sum(F.col(g) * (k - mean) for k, g in enumerate(grades))
+    passed = F.abs(off) > SCREEN * float(deviation) * F.sqrt(all_ * F.greatest(1 - all_ / n, F.lit(1e-9)))
+    good = np.zeros(1 << HASH_BITS, bool)
+    good[places.filter(passed).select("place").toArrow().column("place").to_numpy()] = True  # at most 2**HASH_BITS rows
+
+    def screened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            flat = lists.flatten()
+            held = good[flat.to_numpy()]
+            at = np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat.filter(pa.array(held)))], b.schema.names)
+
+    def learn(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.select(["doc_id", "grade", "places"]).sort_by([("doc_id", "ascending")]).combine_chunks()
         lists = table.column("places").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         row = np.repeat(np.arange(len(table), dtype=np.int32), lists.value_lengths().to_numpy())
-        places, w, cut = fit(table.column("grade").to_numpy().astype(np.int64), lists.flatten().to_numpy(), row)
-        return pa.table({"place": pa.array([places.tolist()], pa.list_(pa.int64())), "w": pa.array([w.tolist()], pa.list_(pa.float64())), "cut": pa.array([cut.tolist()], pa.list_(pa.float64()))})
-
-    found = sample.mapInArrow(read, "doc_id long, grade int, places array<int>").groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: learn(t.select(["doc_id", "grade", "places"])), "place array<long>, w array<double>, cut array<double>").collect()
-    dense = np.zeros(1 << HASH_BITS, np.float32)
-    if not found:
-        return dense, np.array([-1.0, 0.0])
-    dense[np.array(found[0]["place"], np.int64)] = found[0]["w"]
-    return dense, np.array(found[0]["cut"])
+        places, w, cut = fit(table.column("grade").to_numpy().astype(np.int64), lists.flatten().to_numpy(), row, good)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(table)], pa.int64()), "place": pa.array([places.tolist()], pa.list_(pa.int64())), "w": pa.array([w.tolist()], pa.list_(pa.float64())), "cut": pa.array([cut.tolist()], pa.list_(pa.float64()))})
+
+    parts = -(-n // PART)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    # A fixed number of tasks: parts are few bytes and long to fit, and would else be put together in one task.
+    dealt = rows.mapInArrow(screened, rows.schema).withColumn("part", part).repartition(4 * parts, "part")
+    fitted = write(dealt.groupBy("part").applyInArrow(learn, "part int, n long, place array<long>, w array<double>, cut array<double>"), "parts", drop=[rows])
+    cuts = np.zeros(GRADES - 1)
+    for r in fitted.orderBy("part").toLocalIterator():
+        dense[np.array(r.place, np.int64)] += np.array(r.w) * (r.n / n)
+        cuts += np.array(r.cut) * (r.n / n)
+    discard(fitted)
+    return dense.astype(np.float32), cuts
 
 
 def score(docs: DataFrame, weights: np.ndarray, cut: np.ndarray, keep_columns: bool = False) -> DataFrame:
