@@ -5,11 +5,13 @@ Links between people mean similar visible appearance in this batch only, never i
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import html
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -17,8 +19,9 @@ from pyspark.sql.types import StructType
 from trackframe.functions import tracks as T
 from trackframe.functions.numbers import rounded
 from trackframe.operators.components import components
-from trackframe.operators.pairwise import similar
+from trackframe.operators.pairwise import chunks
 from trackframe.operators.tracklets import public
+from trackframe.sources import sinks
 from trackframe.sources.shared import cut
 
 DECISIONS = ("same", "different", "unsure")
@@ -37,57 +40,154 @@ def items(tracklets: DataFrame) -> DataFrame:
 
 
 #: Tracklets of a class that are compared with as many others in one task.
-BLOCK = 4096
+BLOCK = 8192
 
 
-def pairs(tracklets: DataFrame, reviews: DataFrame | None = None, least: float = 0.0) -> DataFrame:
-    """Each pair of one class once, in the graph's order, that is reviewed or has a similarity of least or more.
+def _narrow(c: str, kind: str) -> tuple[Column, Column]:
+    """The numbers of an array as floats if they are floats (half the bytes to move), else as they are; one of both is null."""
+    floats = F.col(c).cast(kind.replace("double", "float"))
+    lossless = floats.cast(kind).eqNullSafe(F.col(c))
+    return F.when(lossless, floats), F.when(~lossless, F.col(c))
 
-    class_id, l_key, r_key, l_label, p0 to p2 (the right one's place), similarity (null if there is none) and decision. Pairs
-    within a video count only if a review says same. A class is dealt to blocks by hash, and each pair of blocks is one
-    task's: it compares all pairs in numpy, see operators.pairwise. So a tracklet moves once for each block of its class, and
-    no pair moves that isn't part of the result. Reviews are joined with the keys of both ends, never with pairs.
-    """
+
+def _dealt(tracklets: DataFrame, reviews: DataFrame | None) -> tuple[DataFrame, dict[str, str]]:
+    """Tracklets and reviews once for each pair of blocks (class_id, i, j) that they belong to; types by column."""
     rows = items(tracklets).filter("class_id IS NOT NULL").select(
         "class_id", "key", "video", "label", F.col("place.label").alias("p0"), F.col("place.video").alias("p1"), F.col("place.local_track_id").alias("p2"),
         F.col("descriptor").cast("array<double>").alias("descriptor"), F.coalesce("gallery", F.array()).cast("array<array<double>>").alias("gallery"),
     )
-    large = rows.groupBy("class_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1")  # at most 1/BLOCK of the rows
-    rows = rows.join(F.broadcast(large), "class_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    kinds = dict(rows.dtypes)
+    for c, kind in (("descriptor", "array<double>"), ("gallery", "array<array<double>>")):
+        floats, doubles = _narrow(c, kind)
+        rows = rows.withColumns({f"{c}_floats": floats, c: doubles})
+    # Counted with those that have no descriptor, so that no descriptor is read. At most 1/BLOCK of the rows.
+    large = tracklets.groupBy("class_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1 AND class_id IS NOT NULL")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(large), "class_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        return rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+
+    rows = placed(rows)
     dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with"), "first": F.col("block") <= F.col("with")}).drop("blocks", "block", "with")
     if reviews is not None:
-        ends = rows.select("class_id", "key", "block").distinct()
+        ends = placed(tracklets.filter("class_id IS NOT NULL").select("class_id", T.tracklet_key(F.col("video"), F.col("local_track_id")).alias("key"))).select("class_id", "key", "block").distinct()
         known = reviews.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "decision")
         known = known.join(ends.select(F.col("key").alias("lo"), "class_id", F.col("block").alias("a")), "lo").join(ends.select(F.col("key").alias("hi"), "class_id", F.col("block").alias("b")), ["hi", "class_id"])
         dealt = dealt.unionByName(known.select("class_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "lo", "hi", "decision"), allowMissingColumns=True)
     else:
         dealt = dealt.withColumns({c: F.lit(None).cast("string") for c in ("lo", "hi", "decision")})
+    # The groups are few and large: with more partitions than groups few of them share a task.
+    spark = tracklets.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    return dealt.repartition(parts, "class_id", "i", "j"), kinds
+
+
+def _group(batches: Iterable[pa.RecordBatch]) -> tuple[pa.Table, pa.Table, int, int]:
+    """What was dealt to one task: tracklets, reviews, and the numbers of the two blocks."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    told = table.column("first").is_null()
+    mine = table.filter(pc.invert(told)).combine_chunks()
+    for c, kind in (("descriptor", pa.list_(pa.float64())), ("gallery", pa.list_(pa.list_(pa.float64())))):
+        floats, doubles = (pa.chunked_array(mine.column(x).chunks, mine.column(x).type).cast(kind) for x in (f"{c}_floats", c))
+        at = pc.if_else(pc.is_valid(floats), pa.array(range(len(mine)), pa.int64()), pa.array(range(len(mine), 2 * len(mine)), pa.int64()))
+        whole = floats if not floats.null_count else pa.chunked_array(floats.chunks + doubles.chunks, kind).combine_chunks().take(at)
+        mine = mine.set_column(mine.schema.get_field_index(c), c, whole)
+    return mine, table.filter(told), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+
+
+def pairs(tracklets: DataFrame, reviews: DataFrame | None = None, least: float = 0.0, only: Sequence[str] | None = None, digits: int | None = None, near: tuple[float, ...] = ()) -> DataFrame:
+    """Each pair of one class once, in the graph's order, that is reviewed or has a similarity of least or more.
+
+    class_id, l_key, r_key, l_label, p0 to p2 (the right one's place), similarity (null if there is none) and decision. Pairs
+    within a video count only if a review says same. A class is dealt to blocks by hash, and each pair of blocks is one
+    task's: it compares all pairs in numpy, see operators.pairwise. So a tracklet moves once for each block of its class, and
+    no pair moves that isn't part of the result. Reviews are joined with the keys of both ends, never with pairs.
 
-    def compare(table: pa.Table) -> pa.Table:
-        told = table.column("first").is_null()
-        mine = table.filter(pc.invert(told))
+    only: the columns that are made at all. digits: similarities are right when rounded to so many digits and when compared
+    with least and near, which takes far less than exact ones.
+    """
+    dealt, kind = _dealt(tracklets, reviews)
+    source = {"class_id": ("class_id", 0), "l_key": ("key", 0), "r_key": ("key", 1), "l_label": ("label", 0), "p0": ("p0", 1), "p1": ("p1", 1), "p2": ("p2", 1)}
+    names = list(only or (*source, "similarity", "decision"))
+    kinds = {"class_id": kind["class_id"], "p2": kind["p2"], "similarity": "double"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, told, i, j = _group(batches)
         if not len(mine):
-            return shape.empty_table()
-        inner = mine.column("i")[0].as_py() == mine.column("j")[0].as_py()
-        left, right, values, decisions = similar(mine, table.filter(told), inner, least)
-        take = lambda c, at: mine.column(c).take(pa.array(at))
-        columns = [take("class_id", left), take("key", left), take("key", right), take("label", left), *(take(c, right) for c in ("p0", "p1", "p2")), pa.array(values, from_pandas=True), pa.array(decisions, pa.string())]
-        return pa.table(columns, names=shape.names)
-
-    kind = dict(rows.dtypes)
-    schema = f"class_id {kind['class_id']}, l_key string, r_key string, l_label string, p0 string, p1 string, p2 {kind['p2']}, similarity double, decision string"
-    shape = to_arrow_schema(StructType.fromDDL(schema))
+            return
+        ends = {c: mine.column(source[c][0]).combine_chunks() for c in names if c in source}
+        for left, right, values, decisions in chunks(mine, told, i == j, least, digits, near):
+            if len(left):
+                at = (pa.array(left), pa.array(right))
+                made = {c: v.take(at[source[c][1]]) for c, v in ends.items()}
+                made |= {"similarity": pa.array(values, from_pandas=True), "decision": pa.array(decisions, pa.string()) if decisions else pa.nulls(len(left), pa.string())}
+                yield pa.RecordBatch.from_arrays([made[c] for c in names], names)
+
     return dealt.groupBy("class_id", "i", "j").applyInArrow(compare, schema)
 
 
-def edges(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE, strong: float = STRONG) -> DataFrame:
-    """left, right, label, similarity (6 digits), strength, relation, review_decision; in no order, see ordered()."""
+#: The columns of edges, and what of pairs each needs.
+EDGES = {"left": "l_key", "right": "r_key", "label": "l_label", "similarity": "similarity", "strength": "similarity decision", "relation": "l_label", "review_decision": "decision"}
+
+
+def edges(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE, strong: float = STRONG, only: Sequence[str] = tuple(EDGES)) -> DataFrame:
+    """left, right, label, similarity (6 digits), strength, relation, review_decision, or only some; in no order, see ordered()."""
+    check_thresholds(candidate, strong)
+    needs = dict.fromkeys(c for name in only for c in EDGES[name].split() if c != "decision" or reviews is not None)
+    shown = pairs(tracklets, reviews, candidate, list(needs), 6, (strong,))
+    decision = F.col("decision") if reviews is not None else F.lit(None).cast("string")
+    strength = F.when(decision.isin("same", "different"), "manual").when(F.col("similarity") >= strong, "strong").otherwise("review")
+    made = {"left": F.col("l_key"), "right": F.col("r_key"), "label": F.col("l_label"), "similarity": rounded(F.col("similarity"), 6), "strength": strength, "relation": T.relation(F.col("l_label")), "review_decision": decision}
+    return shown.select(*(made[c].alias(c) for c in only))
+
+
+def edge_counts(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE) -> DataFrame:
+    """How many edges() there are, as a column edges whose sum it is, and how many of them a review decides (manual).
+
+    The same comparison of all pairs; each task counts what it finds, and no edge leaves it.
+    """
+    dealt, _ = _dealt(tracklets, reviews)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, told, i, j = _group(batches)
+        every = manual = 0
+        for left, _, _, decisions in chunks(mine, told, i == j, candidate, 0, ()) if len(mine) else ():
+            every += len(left)
+            manual += sum(d in ("same", "different") for d in decisions or ())
+        yield pa.RecordBatch.from_arrays([pa.array([every], pa.int64()), pa.array([manual], pa.int64())], ["edges", "manual"])
+
+    return dealt.groupBy("class_id", "i", "j").applyInArrow(count, "edges long, manual long")
+
+
+#: Cards of edges in one part of the page.
+CARDS = 20_000
+
+
+def edge_pages(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE, strong: float = STRONG) -> DataFrame:
+    """The cards of all edges() as the graph's page has them, in parts and in no order: edges and manual (counts of edges and of
+    those that a review decides) and cards (text). Cards are made where pairs are compared, so no edge is gathered or shuffled.
+    """
     check_thresholds(candidate, strong)
-    shown = pairs(tracklets, reviews, candidate)
-    strength = F.when(F.col("decision").isin("same", "different"), "manual").when(F.col("similarity") >= strong, "strong").otherwise("review")
-    return shown.select(F.col("l_key").alias("left"), F.col("r_key").alias("right"), F.col("l_label").alias("label"), rounded(F.col("similarity"), 6).alias("similarity"), strength.alias("strength"), T.relation(F.col("l_label")).alias("relation"), F.col("decision").alias("review_decision"))
+    dealt, _ = _dealt(tracklets, reviews)
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, told, i, j = _group(batches)
+        if not len(mine):
+            return
+        keys = pa.array([html.escape(str(k), quote=True) for k in mine.column("key").to_pylist()], pa.string())
+        relation = pa.array(["same_appearance_candidate" if label is not None and label.lower() in T.PERSON_LABELS else "same_object_candidate" for label in mine.column("label").to_pylist()])
+        for left, right, values, decisions in chunks(mine, told, i == j, candidate, 6, (strong,)):
+            for at in range(0, len(left), CARDS):
+                l, r, v = (x[at : at + CARDS] for x in (left, right, values))
+                manual = np.array([d in ("same", "different") for d in decisions[at : at + CARDS]]) if decisions else np.zeros(len(l), bool)
+                strength = pc.if_else(pa.array(manual), "manual", pc.if_else(pa.array(v >= strong), "strong", "review"))
+                cards = sinks.edge_cards(keys.take(pa.array(l)), keys.take(pa.array(r)), np.floor(v * 1e6 + 0.5) / 1e6, strength, relation.take(pa.array(l)))
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(cards)], pa.int32()), cards), "")
+                yield pa.RecordBatch.from_arrays([pa.array([len(l)], pa.int64()), pa.array([int(manual.sum())], pa.int64()), text], ["edges", "manual", "cards"])
+
+    return dealt.groupBy("class_id", "i", "j").applyInArrow(render, "edges long, manual long, cards string")
 
 
 def ordered(found: DataFrame) -> DataFrame:
@@ -106,6 +206,109 @@ def with_endpoints(found: DataFrame, tracklets: DataFrame) -> DataFrame:
 
 #: Tracklets and links up to which a class is folded whole; beyond, the fold goes by connected components of links.
 FEW = 200_000
+#: Joins of nodes up to which the driver finds the components and they are broadcast (16 bytes each); links that a task
+#: holds before it hands them on.
+KNOWN, HELD = 1_000_000, 1 << 21
+
+
+def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root with the sets of a[k] and b[k] joined; a set's root is one of its members, which is its own."""
+    while True:
+        l, r = root[a], root[b]
+        apart = l != r
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        root[np.maximum(l, r)[apart]] = np.minimum(l, r)[apart]
+        while (deeper := root[root] != root).any():
+            root[deeper] = root[root[deeper]]
+
+
+def _components(joins: DataFrame) -> DataFrame:
+    """components() of at most KNOWN joins (a, b), found on the driver."""
+    found = joins.toArrow()
+    nodes, at = np.unique(np.concatenate([found.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+    root = _roots(np.arange(len(nodes)), *np.split(at, 2))
+    return F.broadcast(joins.sparkSession.createDataFrame(pa.table({"node": nodes, "component": nodes[root]}), "node long, component long"))
+
+
+#: A row is a pair of linked nodes (own, star), a tracklet, or more links of one.
+JOIN, MEMBER, MORE = 0, 1, 2
+
+
+def links(tracklets: DataFrame, reviews: DataFrame | None, strong: float) -> DataFrame:
+    """The tracklets and, packed with the later end, the links that entities() folds: strong or reviewed pairs.
+
+    A tracklet is known in its class by a number, its block << 32 | its key's place in it: own. others: int32 places of keys
+    in block, passes: a double for each (-1: reviewed as different). Besides the links a task gives its own forest, rows that
+    link as few nodes as hold the same components together (without those reviewed as different).
+    """
+    dealt, kind = _dealt(tracklets, reviews)
+    fields = {"class_id": kind["class_id"], "p0": "string", "p1": "string", "p2": kind["p2"], "key": "string", "label": "string", "kind": "int", "own": "long", "block": "long", "others": "binary", "passes": "binary", "star": "long"}
+    schema = ", ".join(f"{c} {t}" for c, t in fields.items())
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def packed(values: np.ndarray, size: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(size * values.itemsize)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+    def rows_of(made: dict, n: int) -> Iterator[pa.RecordBatch]:
+        if n:
+            yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else pa.nulls(n, f.type) for f in shape], schema=shape)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, told, i, j = _group(batches)
+        if not len(mine):
+            return
+        n, first = len(mine), mine.column("first").to_numpy()
+        code = np.empty(n, np.int64)
+        keys = mine.column("key").to_pylist()
+        for side in (True, False):
+            rows = np.flatnonzero(first == side).tolist()
+            place = {k: p for p, k in enumerate(sorted({keys[x] for x in rows if keys[x] is not None}))}
+            code[rows] = [place.get(keys[x], len(place)) for x in rows]
+        block = np.where(first, i, j)
+        own, column = block << 32 | code, {c: mine.column(c).combine_chunks() for c in ("class_id", "p0", "p1", "p2", "key", "label")}
+        take = lambda at, names: {c: column[c].take(pa.array(at)) for c in names}
+        every = np.arange(n)
+        if i == j:
+            yield from rows_of(take(every, column) | {"kind": pa.array(np.full(n, MEMBER)), "own": pa.array(own)}, n)
+
+        def hand(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            l, r, passes = (np.concatenate([x[k] for x in found]) for k in range(3))
+            order = np.argsort(r, kind="stable")
+            l, passes = l[order], passes[order]
+            at, size = np.unique(r, return_counts=True)
+            ends, a = np.cumsum(size), 0
+            while a < len(at):  # about 1 MB a batch
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + 80_000)))
+                part = slice(ends[a] - size[a], ends[b - 1])
+                links = {"others": packed(code[l[part]].astype(np.int32), size[a:b]), "passes": packed(passes[part], size[a:b])}
+                links |= {"kind": pa.array(np.full(b - a, MORE)), "own": pa.array(own[at[a:b]]), "block": pa.array(np.full(b - a, i) if i == j else i + j - block[at[a:b]])}
+                yield from rows_of(take(at[a:b], ("class_id", "p0", "p1", "p2", "key")) | links, b - a)
+                a = b
+
+        held, many, root = [], 0, every.copy()
+        for l, r, passes, decisions in chunks(mine, told, i == j, strong):
+            if decisions:
+                said = np.array(decisions, dtype=object)
+                passes = np.where(said == "different", -1.0, np.where(said == "same", 1.0, np.where(passes >= strong, passes, np.nan)))
+                l, r, passes = (x[~np.isnan(passes)] for x in (l, r, passes))
+            joins = passes >= 0
+            root = _roots(root, l[joins], r[joins])
+            held.append((l, r, passes))
+            many += len(l)
+            if many >= HELD:
+                yield from hand(held)
+                held, many = [], 0
+        if many:
+            yield from hand(held)
+        at = np.flatnonzero(root != every)
+        yield from rows_of(take(at, ["class_id"]) | {"kind": pa.array(np.full(len(at), JOIN)), "own": pa.array(own[at]), "star": pa.array(own[root[at]])}, len(at))
+
+    found = dealt.groupBy("class_id", "i", "j").applyInArrow(compare, schema)
+    single = items(tracklets).filter("class_id IS NULL").select("class_id", F.col("place.label").alias("p0"), F.col("place.video").alias("p1"), F.col("place.local_track_id").alias("p2"), "key", "label", F.lit(MEMBER).alias("kind"), F.xxhash64("key").alias("own"))
+    return found.unionByName(single, allowMissingColumns=True)
 
 
 def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: float = STRONG) -> DataFrame:
@@ -113,22 +316,27 @@ def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: flo
 
     Complete linkage in the graph's order: a tracklet joins the entity whose least similar member is nearest to it, if all
     members are strong matches or reviewed as same, none is reviewed as different, and none is of the same video unless
-    reviewed as same. Only strong or reviewed pairs reach the fold. All members of an entity are linked to each other, so
-    where there are many, tracklets are parted by connected components first and each component is one task's. It reads the
-    component in the graph's order, holds its tracklets and the links of one of them, and looks only at entities that a link
-    leads to: the work grows with the links, not with the square of the tracklets.
+    reviewed as same. Only strong or reviewed pairs reach the fold, packed by tracklet. All members of an entity are linked to
+    each other, so where there are many, tracklets are parted by connected components first (found from the tasks' forests)
+    and each component is one task's. It reads the component in the graph's order, holds its tracklets and the links of one
+    of them, and looks only at entities that a link leads to: the work grows with the links, not with the square of the
+    tracklets.
     """
-    place = (F.col("place.label").alias("p0"), F.col("place.video").alias("p1"), F.col("place.local_track_id").alias("p2"))
-    members = items(tracklets).select("class_id", *place, "key", "label", F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("passes"))
-    passes = F.when(F.col("decision") == "different", -1.0).when(F.col("decision") == "same", 1.0).when(F.col("similarity") >= strong, F.col("similarity"))
-    links = pairs(tracklets, reviews, strong).select("class_id", "p0", "p1", "p2", F.col("r_key").alias("key"), F.lit(None).cast("string").alias("label"), F.col("l_key").alias("other"), passes.alias("passes"))
-    rows = cut(members.unionByName(links.filter("passes IS NOT NULL")), "entity-rows")
-    if rows.count() <= FEW:
-        rows = rows.withColumn("component", F.lit(0).cast("long"))
+    rows = cut(links(tracklets, reviews, strong), "entity-rows")
+    used = [rows]
+    many = F.when(F.col("kind") == MEMBER, 1).when(F.col("kind") == MORE, F.length("others") / 4)
+    size, joined = rows.agg(F.coalesce(F.sum(many), F.lit(0)), F.count_if(F.col("kind") == JOIN)).first()
+    parts = rows.filter(F.col("kind") != JOIN)
+    if size <= FEW:
+        parts = parts.withColumn("component", F.lit(0).cast("long"))
     else:
-        joins = rows.filter("passes >= 0")
-        known = components(joins.select(F.xxhash64("key").alias("a"), F.xxhash64("other").alias("b")))
-        rows = rows.withColumn("node", F.xxhash64("key")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+        node = lambda c: F.xxhash64("class_id", c)
+        joins = rows.filter(F.col("kind") == JOIN).select(node("own").alias("a"), node("star").alias("b"))
+        if joined <= KNOWN:
+            known = _components(joins)
+        else:
+            used.append(known := components(joins))
+        parts = parts.withColumn("node", node("own")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, now, near = None, None, {}
@@ -136,7 +344,7 @@ def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: flo
 
         def settle() -> Iterator[tuple]:
             """The tracklet whose links have all been read (all of them, if a key is repeated) finds its entity."""
-            for key, label in waiting:
+            for key, label, own in waiting:
                 met: dict[int, list[float]] = {}
                 for other, passes in near.items():
                     for g in homes.get(other, ()) if passes >= 0 else ():
@@ -146,11 +354,11 @@ def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: flo
                 if not whole:
                     heads.append((key, label))
                     sizes.append(0)
-                placed.append((key, home))
+                placed.append((own, home))
                 yield (key, label, *heads[home], sizes[home])
                 sizes[home] += 1
-            for key, home in placed:
-                homes.setdefault(key, []).append(home)
+            for own, home in placed:
+                homes.setdefault(own, []).append(home)
             waiting.clear()
             placed.clear()
             near.clear()
@@ -158,7 +366,7 @@ def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: flo
         placed: list[tuple] = []
         for b in batches:
             out = []
-            for class_id, component, p0, p1, p2, key, label, other, passes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for class_id, component, p0, p1, p2, key, label, kind, own, block, others, links in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (class_id, component, p0, p1, p2, key) != now:
                     out += settle()
                     now = (class_id, component, p0, p1, p2, key)
@@ -166,9 +374,10 @@ def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: flo
                         part = now[:2]
                         for held in (heads, sizes, homes):
                             held.clear()
-                if other is None:
-                    waiting.append((key, label))
-                else:
+                if kind == MEMBER:
+                    waiting.append((key, label, own))
+                    continue
+                for other, passes in zip((np.frombuffer(others, np.int32).astype(np.int64) + (block << 32)).tolist(), np.frombuffer(links).tolist(), strict=True):
                     before = near.get(other, passes)
                     near[other] = min(before, passes) if min(before, passes) < 0 else max(before, passes)
             yield table(out)
@@ -176,10 +385,10 @@ def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: flo
 
     names = ("member", "member_label", "head", "label", "position")
     table = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string() if k < 4 else pa.int32()) for k in range(5)], names)
-    order = ["class_id", "component", "p0", "p1", "p2", "key", F.col("other").asc_nulls_first()]
-    dealt = rows.repartition("class_id", "component").sortWithinPartitions(*order).select("class_id", "component", "p0", "p1", "p2", "key", "label", "other", "passes")
+    order = ["class_id", "component", "p0", "p1", "p2", "key"]
+    dealt = parts.repartition("class_id", "component").sortWithinPartitions(*order, "kind").select(*order, "label", "kind", "own", "block", "others", "passes")
     folded = dealt.mapInArrow(fold, "member string, member_label string, head string, label string, position int")
-    folded = cut(folded, "entities")
+    folded = cut(folded, "entities", drop=used)
     heads = folded.filter("position = 0").join(items(tracklets).select(F.col("key").alias("head"), "place"), "head")
     number = F.row_number().over(Window.partitionBy("prefix").orderBy("place"))
     named = heads.withColumn("prefix", T.entity_prefix(F.col("label"))).select("head", F.format_string("%s_%03d", "prefix", number).alias("entity_id"))
@@ -187,7 +396,7 @@ def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: flo
 
 
 def document(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE, strong: float = STRONG) -> dict:
-    """The graph as one document, gathered on the driver: for reports of a reviewable size."""
+    """The graph as one document, gathered on the driver: for reports of a reviewable size; see edge_pages() for others."""
     found = [r.asDict(True) for r in ordered(edges(tracklets, reviews, candidate, strong)).collect()]
     seen = {r["key"]: r.asDict(True) for r in public(items(tracklets).orderBy("place").drop("place", "key")).collect()}
     groups: dict[str, dict] = {}

@@ -2,17 +2,20 @@
 
 The values are those of trackframe.functions.numbers (cosine, gallery_similarity, tracklet_similarity): sums go element by
 element in the same order. A pair is left out only if its bound lies below the threshold by more than SLACK, which is far
-above what matrix products round away; vectors with very large or no finite numbers have the bound 1.
+above what matrix products round away; vectors with very large or no finite numbers have the bound 1. Where only rounded
+values are asked for, the product stands for the value if nothing within SLACK of it rounds or compares otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Room for rounding in a bound; magnitude from which matrix products aren't trusted; numbers that are held at once.
-SLACK, LARGE, AT_ONCE = 1e-9, 1e150, 1 << 20
+SLACK, LARGE, AT_ONCE = 1e-9, 1e150, 1 << 18
 
 
 class Vectors:
@@ -40,30 +43,41 @@ class Vectors:
                 self.odd[rows] = ~(np.abs(columns).max(axis=0) < LARGE)
             self.place[rows], self.norm[rows], self.columns[d] = np.arange(len(rows)), np.sqrt(squares), columns
         self.length[self.norm <= 1e-12] = 0
+        self.units: dict[int, np.ndarray] = {}
+
+    def _unit(self, d: int, rows: np.ndarray) -> np.ndarray:
+        """The vectors of length d of some rows, one after the other, at length 1."""
+        if d not in self.units:
+            held = np.flatnonzero(self.length == d)
+            self.units[d] = np.zeros(self.columns[d].shape[::-1])
+            with np.errstate(all="ignore"):
+                self.units[d][self.place[held]] = (self.columns[d][:, self.place[held]] / self.norm[held]).T
+        return self.units[d][self.place[rows]]
 
     def bound(self, some: np.ndarray, other: Vectors, theirs: np.ndarray) -> np.ndarray:
         """For each pair of the rows some and the other's rows theirs about its cosine, 1 where that isn't sure, -inf without one."""
-        out = np.full((len(some), len(theirs)), -np.inf)
+        out = None
         for d in self.columns.keys() & other.columns.keys():
             a, b = np.flatnonzero(self.length[some] == d), np.flatnonzero(other.length[theirs] == d)
             if len(a) and len(b):
-                left, right = self.columns[d][:, self.place[some[a]]], other.columns[d][:, other.place[theirs[b]]]
                 with np.errstate(all="ignore"):
-                    found = np.clip((left / self.norm[some[a]]).T @ (right / other.norm[theirs[b]]), 0.0, 1.0)
+                    found = self._unit(d, some[a]) @ other._unit(d, theirs[b]).T
+                    np.clip(found, 0.0, 1.0, out=found)
                 found[self.odd[some[a]]] = 1.0
                 found[:, other.odd[theirs[b]]] = 1.0
-                if found.shape == out.shape:
+                if len(a) == len(some) and len(b) == len(theirs):
                     return found
+                out = np.full((len(some), len(theirs)), -np.inf) if out is None else out
                 out[np.ix_(a, b)] = found
-        return out
+        return np.full((len(some), len(theirs)), -np.inf) if out is None else out
 
     def cosine(self, some: np.ndarray, other: Vectors, theirs: np.ndarray) -> np.ndarray:
         """Of the pairs (some[k], theirs[k]): the cosine within 0 and 1, nan without one."""
         out = np.full(len(some), np.nan)
         for d in self.columns.keys() & other.columns.keys():
             fit = np.flatnonzero((self.length[some] == d) & (other.length[theirs] == d))
-            for at in range(0, len(fit), 1 << 15):
-                part = fit[at : at + (1 << 15)]
+            for at in range(0, len(fit), 1 << 12):
+                part = fit[at : at + (1 << 12)]
                 l, r = some[part], theirs[part]
                 inner = np.zeros(len(part))
                 with np.errstate(all="ignore"):
@@ -86,14 +100,47 @@ class Galleries:
         many = self.size[rows]
         return np.arange(many.sum()) + np.repeat(self.first[rows] - np.cumsum(many) + many, many)
 
-    def bound(self, some: np.ndarray, theirs: np.ndarray) -> np.ndarray:
-        """At least the similarity of each pair of rows, all of which have galleries; -inf without one."""
-        each = self.vectors.bound(self._every(some), self.vectors, self._every(theirs))
-        starts = lambda rows: np.cumsum(self.size[rows]) - self.size[rows]
-        return np.maximum.reduceat(np.maximum.reduceat(each, starts(some), axis=0), starts(theirs), axis=1)
+    def cosines(self, some: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """About the cosine of every vector of the galleries of some rows with every one of theirs, see Vectors.bound."""
+        return self.vectors.bound(self._every(some), self.vectors, self._every(theirs))
+
+    def bound(self, each: np.ndarray, some: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """From their cosines at least the similarity of each pair of rows, all of which have galleries; -inf without one."""
+        for rows, axis in ((some, 0), (theirs, 1)):
+            size = self.size[rows]
+            if (size == size[0]).all():  # far quicker than reduceat
+                each = np.moveaxis(each, axis, 0)
+                best = each[:: size[0]].copy()
+                for k in range(1, size[0]):
+                    np.maximum(best, each[k :: size[0]], out=best)
+                each = np.moveaxis(best, 0, axis)
+            else:
+                each = np.maximum.reduceat(each, np.cumsum(size) - size, axis=axis)
+        return each
+
+    def odd(self) -> np.ndarray:
+        """The rows whose galleries hold a vector with very large or no finite numbers."""
+        total = np.concatenate([[0], np.cumsum(self.vectors.odd)])
+        return total[self.first + self.size] > total[self.first]
 
     def similarity(self, some: np.ndarray, theirs: np.ndarray) -> np.ndarray:
         """Of the pairs (some[k], theirs[k]): the mean of the best min(3, sizes, cosines) cosines, nan without one."""
+        return self._means(some, theirs, lambda a, x, b, y: self.vectors.cosine(self.first[a] + x, self.vectors, self.first[b] + y))
+
+    def about(self, some: np.ndarray, theirs: np.ndarray, each: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """The similarity of the same pairs from the cosines() of rows and columns, among which they are."""
+        at = [np.zeros(len(self.size), np.int64) for _ in range(2)]
+        for place, those in zip(at, (rows, columns), strict=True):
+            place[those] = np.cumsum(self.size[those]) - self.size[those]
+
+        def look(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+            found = each[at[0][a] + x, at[1][b] + y]
+            return np.where(np.isneginf(found), np.nan, found)
+
+        return self._means(some, theirs, look)
+
+    def _means(self, some: np.ndarray, theirs: np.ndarray, look: Callable[..., np.ndarray]) -> np.ndarray:
+        """look: gives the cosines of row a's vectors number x with row b's vectors number y."""
         many, out = self.size[some] * self.size[theirs], np.full(len(some), np.nan)
         at = 0
         while at < len(some):
@@ -104,7 +151,7 @@ class Galleries:
                 pair, k = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 wide = self.size[b][pair]
                 table = np.full((len(n), n.max()), np.nan)
-                table[pair, k] = self.vectors.cosine(self.first[a][pair] + k // wide, self.vectors, self.first[b][pair] + k % wide)
+                table[pair, k] = look(a[pair], k // wide, b[pair], k % wide)
                 scored = (~np.isnan(table)).sum(axis=1)
                 best = -np.sort(-table, axis=1)  # nan last
                 count = np.minimum(np.minimum(3, scored), np.minimum(self.size[a], self.size[b]))
@@ -138,26 +185,41 @@ def _whole(table: pa.Table, name: str) -> pa.Array:
     return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
 
 
-def similar(rows: pa.Table, reviews: pa.Table, inner: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Left row, right row, similarity (nan without one) and decision of each pair that is reviewed or reaches least.
+def _settled(value: np.ndarray, digits: int, near: tuple[float, ...]) -> np.ndarray:
+    """Whether all numbers within SLACK of a value round to the same and compare the same with the thresholds near."""
+    power = float(10**digits)
+    with np.errstate(invalid="ignore"):
+        place = value * power + 0.5
+        place -= np.floor(place)
+        sure = (place > SLACK * power) & (place < 1.0 - SLACK * power)
+        for t in near:
+            sure &= np.abs(value - t) > SLACK
+    return sure
 
-    rows: key, video, p0 to p2 (the place in the graph's order), descriptor, gallery, and first, which tells the two blocks
-    apart; inner: all rows are one block, each of its pairs counts once. reviews: lo, hi (keys) and decision.
+
+def chunks(rows: pa.Table, reviews: pa.Table, inner: bool, least: float, digits: int | None = None, near: tuple[float, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list | None]]:
+    """What similar() returns, in parts: first the reviewed pairs with their decisions, then the others, with None for those.
+
+    digits: the values need only be right when rounded to so many digits and when compared with least and the thresholds near.
     """
     rank, video = _ranks(rows, ("p0", "p1", "p2")), _codes(_whole(rows, "video"))
     vectors, galleries = Vectors(_whole(rows, "descriptor")), Galleries(_whole(rows, "gallery"))
     first = _whole(rows, "first").to_numpy(zero_copy_only=False)
-    mine = np.arange(len(rows)) if inner else np.flatnonzero(first)
-    theirs = mine if inner else np.flatnonzero(~first)
+    order = np.argsort(rank, kind="stable")
+    mine = order if inner else order[first[order]]
+    theirs = mine if inner else order[~first[order]]
 
-    def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        value = vectors.cosine(a, vectors, b)
-        both = np.flatnonzero((galleries.size[a] > 0) & (galleries.size[b] > 0))
-        seen, base = galleries.similarity(a[both], b[both]), value[both]
+    def joined(value: np.ndarray, both: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        base = value[both]
         mixed = np.clip(seen * 0.7 + base * 0.3, 0.0, 1.0)
         value[both] = np.where(np.isnan(seen), base, np.where(np.isnan(base), seen, mixed))
         return value
 
+    def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = np.flatnonzero(shows[a] & shows[b])
+        return joined(vectors.cosine(a, vectors, b), both, galleries.similarity(a[both], b[both]))
+
+    shows, odd = galleries.size > 0, vectors.odd | galleries.odd()
     at: dict[str, list[int]] = {}
     if len(reviews):
         for k, key in enumerate(rows.column("key").to_pylist()):
@@ -169,35 +231,51 @@ def similar(rows: pa.Table, reviews: pa.Table, inner: bool, least: float) -> tup
     apart = (video[l] >= 0) & (video[r] >= 0) & (video[l] != video[r])
     value = exact(l, r)
     shown = (apart | np.array([d == "same" for *_, d in told], bool)) & (decided | (value >= least))
-    left, right, values, decisions = [l[shown]], [r[shown]], [value[shown]], [told[k][2] for k in np.flatnonzero(shown)]
+    yield l[shown], r[shown], value[shown], [told[k][2] for k in np.flatnonzero(shown)]
     known = np.unique(l * len(rows) + r)
 
-    theirs_shown = np.flatnonzero(galleries.size[theirs] > 0)
     wide = max(1, len(theirs), int(galleries.size[mine].max(initial=0) * galleries.size[theirs].sum()))
     step = max(1, AT_ONCE // wide)
     for k in range(0, len(mine), step):
-        part = mine[k : k + step]
-        bound = vectors.bound(part, vectors, theirs)
-        shown = np.flatnonzero(galleries.size[part] > 0)
-        if len(shown) and len(theirs_shown):
-            place = np.ix_(shown, theirs_shown)
-            seen, base = galleries.bound(part[shown], theirs[theirs_shown]), bound[place]
+        part, others = mine[k : k + step], theirs[k:] if inner else theirs  # of a block the later ones, in the graph's order
+        about = bound = vectors.bound(part, vectors, others)
+        some, those = np.flatnonzero(shows[part]), np.flatnonzero(shows[others])
+        if mixed := len(some) > 0 and len(those) > 0:
+            place, bound = np.ix_(some, those), about.copy()
+            each = galleries.cosines(part[some], others[those])
+            seen, base = galleries.bound(each, part[some], others[those]), about[place]
             with np.errstate(invalid="ignore"):
                 bound[place] = np.where(np.isneginf(seen), base, np.where(np.isneginf(base), seen, seen * 0.7 + base * 0.3))
-        open_ = (video[part][:, None] != video[theirs][None, :]) & (bound >= least - SLACK) & ~np.isneginf(bound)
-        open_ &= rank[part][:, None] < rank[theirs][None, :] if inner else rank[part][:, None] != rank[theirs][None, :]
-        open_[video[part] < 0] = False
-        open_[:, video[theirs] < 0] = False
-        x, y = np.nonzero(open_)
-        x, y = part[x], theirs[y]
-        l, r = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
+        open_ = np.flatnonzero(bound.ravel() >= max(least - SLACK, -1.0))
+        x, y = np.divmod(open_, len(others))
+        x, y = part[x], others[y]
+        keep = (video[x] != video[y]) & (rank[x] < rank[y] if inner else rank[x] != rank[y])
+        if (video < 0).any():
+            keep &= (video[x] >= 0) & (video[y] >= 0)
+        x, y, open_ = x[keep], y[keep], open_[keep]
+        l, r = (x, y) if inner else (np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x))
         if len(known):
             new = ~np.isin(l * len(rows) + r, known)
-            l, r = l[new], r[new]
-        value = exact(l, r)
+            l, r, x, y, open_ = l[new], r[new], x[new], y[new], open_[new]
+        if digits is None:
+            value = exact(l, r)
+        else:
+            value = about.ravel()[open_]
+            if mixed:
+                value[np.isneginf(value)] = np.nan
+                both = np.flatnonzero(shows[x] & shows[y])
+                value = joined(value, both, galleries.about(x[both], y[both], each, part[some], others[those]))
+            open_ = np.flatnonzero(odd[l] | odd[r] | ~_settled(value, digits, (least, *near)))
+            value[open_] = exact(l[open_], r[open_])
         ok = value >= least
-        left.append(l[ok])
-        right.append(r[ok])
-        values.append(value[ok])
-        decisions += [None] * int(ok.sum())
-    return np.concatenate(left), np.concatenate(right), np.concatenate(values), decisions
+        yield l[ok], r[ok], value[ok], None
+
+
+def similar(rows: pa.Table, reviews: pa.Table, inner: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Left row, right row, similarity (nan without one) and decision of each pair that is reviewed or reaches least.
+
+    rows: key, video, p0 to p2 (the place in the graph's order), descriptor, gallery, and first, which tells the two blocks
+    apart; inner: all rows are one block, each of its pairs counts once. reviews: lo, hi (keys) and decision.
+    """
+    left, right, values, decisions = zip(*chunks(rows, reviews, inner, least), strict=True)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(values), [d for v, told in zip(values, decisions, strict=True) for d in (told or [None] * len(v))]

@@ -31,7 +31,7 @@ def tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return rows.select(
         F.concat(F.lit("v"), (F.col("vec_id") % 5).cast("string")).alias("video"), F.col("vec_id").cast("int").alias("local_track_id"), F.col("label").alias("class_id"), F.concat(F.lit("class "), F.col("label").cast("string")).alias("label"),
-        F.transform("embedding", lambda x: x.cast("double")).alias("descriptor"), F.lit(None).cast("array<array<double>>").alias("gallery"), F.lit(1).cast("bigint").alias("first_frame"), (F.col("vec_id") + 1).alias("last_frame"), F.lit(30.0).alias("fps"),
+        F.col("embedding").cast("array<double>").alias("descriptor"), F.lit(None).cast("array<array<double>>").alias("gallery"), F.lit(1).cast("bigint").alias("first_frame"), (F.col("vec_id") + 1).alias("last_frame"), F.lit(30.0).alias("fps"),
     )
 
 

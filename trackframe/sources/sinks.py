@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import html
 import json
+import math
+import re
+from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -57,12 +64,40 @@ def review_document(reviews: DataFrame) -> dict:
     return {"version": 1, "decisions": [{"left": r.lo, "right": r.hi, "decision": r.decision} for r in reviews.orderBy("lo", "hi").collect()]}
 
 
+#: The cards of the graph's page, and the places that are filled in.
+ENTITY, MEMBER = "<section class=entity><h3>{0}</h3><p>{1}</p><ul>{2}</ul></section>", "<li>{0} track {1}</li>"
+EDGE = "<section class=edge data-left='{0}' data-right='{1}'><b>{0}</b> and <b>{1}</b>: {2} ({3}, {4}) <select>" + "".join(f"<option>{d}</option>" for d in ("", "same", "different", "unsure")) + "</select></section>"
+
+
+def _filled(template: str, values: list, literal: Callable) -> list:
+    """The template's pieces in order, literal ones and values."""
+    return [values[int(x)] if k % 2 else literal(x) for k, x in enumerate(re.split(r"\{(\d)\}", template)) if x]
+
+
+def edge_cards(left: pa.Array, right: pa.Array, similarity: np.ndarray, strength: pa.Array, relation: pa.Array) -> pa.Array:
+    """The cards of many edges, whose keys are escaped already; a similarity has at most 6 digits, or is nan where there is none."""
+    text = pc.cast(pa.array(similarity), pa.string())
+    own = ~((similarity >= 1e-4) & (similarity < 1.0))  # of these Arrow's text isn't Python's
+    if own.any():
+        text = pc.replace_with_mask(text, pa.array(own), pa.array(["None" if math.isnan(x) else repr(x) for x in similarity[own].tolist()], pa.string()))
+    return pc.binary_join_element_wise(*_filled(EDGE, [left, right, text, strength, relation], lambda x: pa.scalar(x)), "")
+
+
+def entity_cards(entities: DataFrame, tracklets: DataFrame) -> DataFrame:
+    """entity_id and its card; tracklets: key, video, local_track_id."""
+    escaped = lambda c: reduce(lambda x, y: F.replace(x, F.lit(y[0]), F.lit(y[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")), c)
+    fill = lambda template, *values: F.concat(*_filled(template, values, F.lit))
+    one = tracklets.select(F.col("key").alias("member"), "video", "local_track_id").dropDuplicates(["member"])
+    item = F.struct("position", fill(MEMBER, escaped(F.col("video")), F.col("local_track_id").cast("string")).alias("text"))
+    grouped = entities.join(one, "member").groupBy("entity_id").agg(F.max("semantics").alias("semantics"), F.sort_array(F.collect_list(item)).alias("items"))
+    return grouped.select("entity_id", fill(ENTITY, escaped(F.col("entity_id")), escaped(F.col("semantics")), F.array_join("items.text", "")).alias("card"))
+
+
 def graph_html(document: dict) -> str:
     """A page with a card for each entity and edge, and controls that export reviews; all text is escaped."""
     e = lambda x: html.escape(str(x), quote=True)
-    entities = "".join(f"<section class=entity><h3>{e(g['entity_id'])}</h3><p>{e(g['semantics'])}</p><ul>" + "".join(f"<li>{e(m['video'])} track {e(m['local_track_id'])}</li>" for m in g["members"]) + "</ul></section>" for g in document["entities"])
-    options = "".join(f"<option>{d}</option>" for d in ("", "same", "different", "unsure"))
-    edges = "".join(f"<section class=edge data-left='{e(x['left'])}' data-right='{e(x['right'])}'><b>{e(x['left'])}</b> and <b>{e(x['right'])}</b>: {e(x['similarity'])} ({e(x['strength'])}, {e(x['relation'])}) <select>{options}</select></section>" for x in document["edges"])
+    entities = "".join(ENTITY.format(e(g["entity_id"]), e(g["semantics"]), "".join(MEMBER.format(e(m["video"]), e(m["local_track_id"])) for m in g["members"])) for g in document["entities"])
+    edges = "".join(EDGE.format(*(e(x[c]) for c in ("left", "right", "similarity", "strength", "relation"))) for x in document["edges"])
     script = "function exportReview(){const d=[...document.querySelectorAll('.edge')].map(x=>({left:x.dataset.left,right:x.dataset.right,decision:x.querySelector('select').value})).filter(x=>x.decision);const a=document.createElement('a');a.href=URL.createObjectURL(new Blob([JSON.stringify({version:1,decisions:d})]));a.download='review.json';a.click()}"
     return f"<!doctype html><meta charset=utf-8><title>Similarity graph</title><p>Links between people mean similar visible appearance in this batch only, not identity.</p><button onclick=exportReview()>Export review</button><h2>Entities</h2>{entities}<h2>Edges</h2>{edges}<script>{script}</script>"
 
