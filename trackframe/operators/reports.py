@@ -93,8 +93,8 @@ def session_report(rows: DataFrame, flat: DataFrame) -> DataFrame:
 
 
 def run_summary(videos: DataFrame, tracklets: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row of counts; videos has a column failed."""
-    one = lambda df, name: df.agg(F.count("*").alias(name))
+    """One row of counts; videos has a column failed. edges: a row each, or counts in a column edges (graph.edge_counts)."""
+    one = lambda df, name: df.agg((F.coalesce(F.sum(name), F.lit(0)) if name in df.columns else F.count("*")).alias(name))
     seen = videos.agg(F.count("*").alias("videos_seen"), F.count_if("failed").alias("videos_failed"))
     parts = [one(tracklets, "tracklets"), one(entities.select("entity_id").distinct(), "entities"), one(edges, "edges")]
     for part in parts:
