@@ -165,9 +165,11 @@ def edge_counts(tracklets: DataFrame, reviews: DataFrame | None = None, candidat
 CARDS = 20_000
 
 
-def edge_pages(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE, strong: float = STRONG) -> DataFrame:
+def edge_pages(tracklets: DataFrame, reviews: DataFrame | None = None, candidate: float = CANDIDATE, strong: float = STRONG, mark: str | None = None) -> DataFrame:
     """The cards of all edges() as the graph's page has them, in parts and in no order: edges and manual (counts of edges and of
     those that a review decides) and cards (text). Cards are made where pairs are compared, so no edge is gathered or shuffled.
+
+    With a mark the text stays where it is made, and found tells how often it holds the mark.
     """
     check_thresholds(candidate, strong)
     dealt, _ = _dealt(tracklets, reviews)
@@ -185,9 +187,10 @@ def edge_pages(tracklets: DataFrame, reviews: DataFrame | None = None, candidate
                 strength = pc.if_else(pa.array(manual), "manual", pc.if_else(pa.array(v >= strong), "strong", "review"))
                 cards = sinks.edge_cards(keys.take(pa.array(l)), keys.take(pa.array(r)), np.floor(v * 1e6 + 0.5) / 1e6, strength, relation.take(pa.array(l)))
                 text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(cards)], pa.int32()), cards), "")
-                yield pa.RecordBatch.from_arrays([pa.array([len(l)], pa.int64()), pa.array([int(manual.sum())], pa.int64()), text], ["edges", "manual", "cards"])
+                yield pa.RecordBatch.from_arrays([pa.array([len(l)], pa.int64()), pa.array([int(manual.sum())], pa.int64()), text if mark is None else pc.count_substring(text, mark).cast(pa.int64())], ["edges", "manual", last])
 
-    return dealt.groupBy("class_id", "i", "j").applyInArrow(render, "edges long, manual long, cards string")
+    last = "cards" if mark is None else "found"
+    return dealt.groupBy("class_id", "i", "j").applyInArrow(render, f"edges long, manual long, {last} {'string' if mark is None else 'long'}")
 
 
 def ordered(found: DataFrame) -> DataFrame:
