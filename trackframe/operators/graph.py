@@ -6,7 +6,9 @@ Links between people mean similar visible appearance in this batch only, never i
 from __future__ import annotations
 
 import html
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql.types import StructType
 from trackframe.functions import tracks as T
 from trackframe.functions.numbers import rounded
 from trackframe.operators.components import components
-from trackframe.operators.pairwise import chunks
+from trackframe.operators.pairwise import Grown, chunks, ordinary
 from trackframe.operators.tracklets import public
 from trackframe.sources import sinks
 from trackframe.sources.shared import cut
@@ -50,10 +52,13 @@ def _narrow(c: str, kind: str) -> tuple[Column, Column]:
     return F.when(lossless, floats), F.when(~lossless, F.col(c))
 
 
-def _dealt(tracklets: DataFrame, reviews: DataFrame | None) -> tuple[DataFrame, dict[str, str]]:
-    """Tracklets and reviews once for each pair of blocks (class_id, i, j) that they belong to; types by column."""
+def _dealt(tracklets: DataFrame, reviews: DataFrame | None, apart: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """Tracklets and reviews once for each pair of blocks (class_id, i, j) that they belong to; types by column.
+
+    apart: only the pairs of blocks so far apart, the last one being the first one's neighbour; a tracklet belongs to two at most.
+    """
     rows = items(tracklets).filter("class_id IS NOT NULL").select(
-        "class_id", "key", "video", "label", F.col("place.label").alias("p0"), F.col("place.video").alias("p1"), F.col("place.local_track_id").alias("p2"),
+        "class_id", "key", "video", "label", F.col("place.local_track_id").alias("p2"),
         F.col("descriptor").cast("array<double>").alias("descriptor"), F.coalesce("gallery", F.array()).cast("array<array<double>>").alias("gallery"),
     )
     kinds = dict(rows.dtypes)
@@ -68,19 +73,22 @@ def _dealt(tracklets: DataFrame, reviews: DataFrame | None) -> tuple[DataFrame,
         return rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
 
     rows = placed(rows)
-    dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with"), "first": F.col("block") <= F.col("with")}).drop("blocks", "block", "with")
+    ahead = F.least(F.pmod(F.col("with") - F.col("block"), F.col("blocks")), F.pmod(F.col("block") - F.col("with"), F.col("blocks")))
+    dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("true" if apart is None else ahead == apart)
+    dealt = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with"), "first": F.col("block") <= F.col("with")}).drop("blocks", "block", "with", "key")
     if reviews is not None:
-        ends = placed(tracklets.filter("class_id IS NOT NULL").select("class_id", T.tracklet_key(F.col("video"), F.col("local_track_id")).alias("key"))).select("class_id", "key", "block").distinct()
+        ends = placed(tracklets.filter("class_id IS NOT NULL").select("class_id", T.tracklet_key(F.col("video"), F.col("local_track_id")).alias("key"))).select("class_id", "key", "blocks", "block").distinct()
         known = reviews.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "decision")
-        known = known.join(ends.select(F.col("key").alias("lo"), "class_id", F.col("block").alias("a")), "lo").join(ends.select(F.col("key").alias("hi"), "class_id", F.col("block").alias("b")), ["hi", "class_id"])
-        dealt = dealt.unionByName(known.select("class_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "lo", "hi", "decision"), allowMissingColumns=True)
+        known = known.join(ends.select(F.col("key").alias("lo"), "class_id", "blocks", "block"), "lo").join(ends.select(F.col("key").alias("hi"), "class_id", F.col("block").alias("with")), ["hi", "class_id"])
+        known = known.filter("true" if apart is None else ahead == apart)
+        dealt = dealt.unionByName(known.select("class_id", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "lo", "hi", "decision"), allowMissingColumns=True)
     else:
         dealt = dealt.withColumns({c: F.lit(None).cast("string") for c in ("lo", "hi", "decision")})
     # The groups are few and large: with more partitions than groups few of them share a task.
     spark = tracklets.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
-    return dealt.repartition(parts, "class_id", "i", "j"), kinds
+    dealt = dealt.repartition(parts, "class_id", "i", "j")  # what follows from other columns is made again where they arrive
+    return dealt.withColumns({"key": T.tracklet_key(F.col("video"), F.col("p2")), "p0": F.lower("label"), "p1": F.lower("video")}), kinds
 
 
 def _group(batches: Iterable[pa.RecordBatch]) -> tuple[pa.Table, pa.Table, int, int]:
@@ -235,18 +243,45 @@ def _components(joins: DataFrame) -> DataFrame:
     return F.broadcast(joins.sparkSession.createDataFrame(pa.table({"node": nodes, "component": nodes[root]}), "node long, component long"))
 
 
-#: A row is a pair of linked nodes (own, star), a tracklet, or more links of one.
-JOIN, MEMBER, MORE = 0, 1, 2
+#: A row is a pair of linked nodes (own, star), a tracklet, more links of one, or its descriptor.
+JOIN, MEMBER, MORE, VECTOR = 0, 1, 2, 3
+
+
+def steps(places: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending places, list after list, as bytes: 255 for so many places without one, then the rest to the next. And bytes by list."""
+    step = np.diff(places, prepend=0)
+    first = np.cumsum(size) - size
+    step[first] = places[first]
+    ends = np.cumsum(step // 255 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = step % 255
+    return out, np.add.reduceat(step // 255 + 1, first) if len(first) else size
+
+
+def places(steps: bytes) -> np.ndarray:
+    """The places of one list of steps()."""
+    found = np.frombuffer(steps, np.uint8)
+    return np.cumsum(found, dtype=np.int64)[found != 255]
 
 
-def links(tracklets: DataFrame, reviews: DataFrame | None, strong: float) -> DataFrame:
+def _node(key: str = "key") -> Column:
+    """The number by which the components of links know a tracklet."""
+    return F.xxhash64("class_id", key)
+
+
+def links(tracklets: DataFrame, reviews: DataFrame | None, strong: float, lean: bool = False, apart: int | None = None) -> DataFrame:
     """The tracklets and, packed with the later end, the links that entities() folds: strong or reviewed pairs.
 
     A tracklet is known in its class by a number, its block << 32 | its key's place in it: own. others: int32 places of keys
     in block, passes: a double for each (-1: reviewed as different). Besides the links a task gives its own forest, rows that
-    link as few nodes as hold the same components together (without those reviewed as different).
+    link as few nodes as hold the same components together (without those reviewed as different); own and star are _node()
+    there.
+
+    lean: links that aren't reviewed, between ordinary() tracklets, have null passes, which the descriptors tell, and their
+    others are steps(), one or two bytes a link where there are many. apart: only what blocks so far apart give, see _dealt().
     """
-    dealt, kind = _dealt(tracklets, reviews)
+    dealt, kind = _dealt(tracklets, reviews, apart)
+    dealt = dealt.withColumn("node", _node())
     fields = {"class_id": kind["class_id"], "p0": "string", "p1": "string", "p2": kind["p2"], "key": "string", "label": "string", "kind": "int", "own": "long", "block": "long", "others": "binary", "passes": "binary", "star": "long"}
     schema = ", ".join(f"{c} {t}" for c, t in fields.items())
     shape = to_arrow_schema(StructType.fromDDL(schema))
@@ -271,26 +306,33 @@ def links(tracklets: DataFrame, reviews: DataFrame | None, strong: float) -> Dat
             place = {k: p for p, k in enumerate(sorted({keys[x] for x in rows if keys[x] is not None}))}
             code[rows] = [place.get(keys[x], len(place)) for x in rows]
         block = np.where(first, i, j)
-        own, column = block << 32 | code, {c: mine.column(c).combine_chunks() for c in ("class_id", "p0", "p1", "p2", "key", "label")}
+        own, node = block << 32 | code, mine.column("node").to_numpy()
+        column = {c: mine.column(c).combine_chunks() for c in ("class_id", "p0", "p1", "p2", "key", "label")}
         take = lambda at, names: {c: column[c].take(pa.array(at)) for c in names}
         every = np.arange(n)
         if i == j:
             yield from rows_of(take(every, column) | {"kind": pa.array(np.full(n, MEMBER)), "own": pa.array(own)}, n)
 
-        def hand(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            l, r, passes = (np.concatenate([x[k] for x in found]) for k in range(3))
-            order = np.argsort(r, kind="stable")
+        def hand(l: np.ndarray, r: np.ndarray, passes: np.ndarray, told: bool) -> Iterator[pa.RecordBatch]:
+            order = np.lexsort((code[l], r))
             l, passes = l[order], passes[order]
             at, size = np.unique(r, return_counts=True)
             ends, a = np.cumsum(size), 0
             while a < len(at):  # about 1 MB a batch
                 b = max(a + 1, int(np.searchsorted(ends, ends[a] + 80_000)))
                 part = slice(ends[a] - size[a], ends[b - 1])
-                links = {"others": packed(code[l[part]].astype(np.int32), size[a:b]), "passes": packed(passes[part], size[a:b])}
+                links = {"others": packed(code[l[part]].astype(np.int32), size[a:b]), "passes": packed(passes[part], size[a:b])} if told else {"others": packed(*steps(code[l[part]], size[a:b]))}
                 links |= {"kind": pa.array(np.full(b - a, MORE)), "own": pa.array(own[at[a:b]]), "block": pa.array(np.full(b - a, i) if i == j else i + j - block[at[a:b]])}
                 yield from rows_of(take(at[a:b], ("class_id", "p0", "p1", "p2", "key")) | links, b - a)
                 a = b
 
+        def hand_all() -> Iterator[pa.RecordBatch]:
+            l, r, passes, told = (np.concatenate([x[k] for x in held]) for k in range(4))
+            for some in (True, False):
+                if (told == some).any():
+                    yield from hand(l[told == some], r[told == some], passes[told == some], some)
+
+        plain = ordinary(mine) if lean else np.zeros(n, bool)
         held, many, root = [], 0, every.copy()
         for l, r, passes, decisions in chunks(mine, told, i == j, strong):
             if decisions:
@@ -299,17 +341,19 @@ def links(tracklets: DataFrame, reviews: DataFrame | None, strong: float) -> Dat
                 l, r, passes = (x[~np.isnan(passes)] for x in (l, r, passes))
             joins = passes >= 0
             root = _roots(root, l[joins], r[joins])
-            held.append((l, r, passes))
+            held.append((l, r, passes, np.ones(len(l), bool) if decisions is not None else ~(plain[l] & plain[r])))
             many += len(l)
             if many >= HELD:
-                yield from hand(held)
+                yield from hand_all()
                 held, many = [], 0
         if many:
-            yield from hand(held)
+            yield from hand_all()
         at = np.flatnonzero(root != every)
-        yield from rows_of(take(at, ["class_id"]) | {"kind": pa.array(np.full(len(at), JOIN)), "own": pa.array(own[at]), "star": pa.array(own[root[at]])}, len(at))
+        yield from rows_of(take(at, ["class_id"]) | {"kind": pa.array(np.full(len(at), JOIN)), "own": pa.array(node[at]), "star": pa.array(node[root[at]])}, len(at))
 
     found = dealt.groupBy("class_id", "i", "j").applyInArrow(compare, schema)
+    if apart:
+        return found
     single = items(tracklets).filter("class_id IS NULL").select("class_id", F.col("place.label").alias("p0"), F.col("place.video").alias("p1"), F.col("place.local_track_id").alias("p2"), "key", "label", F.lit(MEMBER).alias("kind"), F.xxhash64("key").alias("own"))
     return found.unionByName(single, allowMissingColumns=True)
 
@@ -321,75 +365,119 @@ def entities(tracklets: DataFrame, reviews: DataFrame | None = None, strong: flo
     members are strong matches or reviewed as same, none is reviewed as different, and none is of the same video unless
     reviewed as same. Only strong or reviewed pairs reach the fold, packed by tracklet. All members of an entity are linked to
     each other, so where there are many, tracklets are parted by connected components first (found from the tasks' forests)
-    and each component is one task's. It reads the component in the graph's order, holds its tracklets and the links of one
-    of them, and looks only at entities that a link leads to: the work grows with the links, not with the square of the
-    tracklets.
+    and each component is one task's. It reads the component in the graph's order, holds its tracklets with their descriptors
+    and the links of one of them, and looks only at entities that a link leads to: the work grows with the links, not with
+    the square of the tracklets. A similarity that descriptors alone tell doesn't move with its link: the fold makes it again,
+    to the last bit, where a tracklet could join more than one entity.
     """
-    rows = cut(links(tracklets, reviews, strong), "entity-rows")
-    used = [rows]
-    many = F.when(F.col("kind") == MEMBER, 1).when(F.col("kind") == MORE, F.length("others") / 4)
-    size, joined = rows.agg(F.coalesce(F.sum(many), F.lit(0)), F.count_if(F.col("kind") == JOIN)).first()
-    parts = rows.filter(F.col("kind") != JOIN)
+    largest = tracklets.filter("class_id IS NOT NULL").groupBy("class_id").count().agg(F.max("count")).first()[0] or 0
+    blocks = -(-largest // BLOCK)
+    # Where there are many blocks, pairs of them that are as far apart are dealt at once: on disk are two copies of the tracklets at most.
+    used = [cut(links(tracklets, reviews, strong, True, apart), "entity-rows") for apart in (range(blocks // 2 + 1) if blocks > 2 else [None])]
+    rows = reduce(DataFrame.unionByName, used)
+    bare = (F.col("kind") == MORE) & F.col("passes").isNull()
+    many = F.when(F.col("kind") == MEMBER, 1).when(bare, F.length("others")).when(F.col("kind") == MORE, F.length("others") / 4)
+    size, joined, untold = rows.agg(F.coalesce(F.sum(many), F.lit(0)), F.count_if(F.col("kind") == JOIN), F.count_if(bare)).first()
+    parts = rows.filter(F.col("kind") != JOIN).withColumn("node", _node())
+    floats, doubles = _narrow("descriptor", "array<double>")
+    place = {f"p{k}": F.col(f"place.{c}") for k, c in enumerate(("label", "video", "local_track_id"))}
+    vectors = items(tracklets).filter("class_id IS NOT NULL" if untold else "false").withColumns({"descriptor": F.col("descriptor").cast("array<double>"), **place})
+    vectors = vectors.select("class_id", *place, "key", F.lit(VECTOR).alias("kind"), _node().alias("node"), floats.alias("floats"), doubles.alias("doubles"))
     if size <= FEW:
-        parts = parts.withColumn("component", F.lit(0).cast("long"))
+        parts, vectors = (x.withColumn("component", F.lit(0).cast("long")) for x in (parts, vectors))
     else:
-        node = lambda c: F.xxhash64("class_id", c)
-        joins = rows.filter(F.col("kind") == JOIN).select(node("own").alias("a"), node("star").alias("b"))
+        joins = rows.filter(F.col("kind") == JOIN).select(F.col("own").alias("a"), F.col("star").alias("b"))
         if joined <= KNOWN:
-            known = _components(joins)
+            linked = known = _components(joins)
         else:
             used.append(known := components(joins))
-        parts = parts.withColumn("node", node("own")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+            linked = known.unionByName(known.select(F.col("component").alias("node"), "component").distinct())
+        parts = parts.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        vectors = vectors.join(linked, "node")  # others have no links
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, now, near = None, None, {}
-        waiting, heads, sizes, homes = [], [], [], {}
+        part, now = None, None
+        heads, sizes, homes, near = [], [], {}, {}
+        waiting, placed, plain, vector = [], [], [], None
+        # For links without passes, where there are descriptors: a number in the component by block and place of a key, and by
+        # that number the entity and the place of the descriptor.
+        seats: dict[int, np.ndarray] = {}
+        home, row, seated, vectors = np.empty(0, np.int64), np.empty(0, np.int64), 0, Grown()
+
+        def put(values: np.ndarray, k: int, value: int) -> np.ndarray:
+            if k >= len(values):
+                values = np.concatenate([values, np.full(max(k + 1 - len(values), len(values)), -1)])
+            values[k] = value
+            return values
 
         def settle() -> Iterator[tuple]:
             """The tracklet whose links have all been read (all of them, if a key is repeated) finds its entity."""
+            nonlocal home, row, seated, vector
+            mine = -1 if vector is None else vectors.add(vector)
+            others = np.concatenate([seats[b][at] for b, at in plain]) if plain else np.empty(0, np.int64)
+            theirs = home[others].tolist()
             for key, label, own in waiting:
                 met: dict[int, list[float]] = {}
                 for other, passes in near.items():
                     for g in homes.get(other, ()) if passes >= 0 else ():
                         met.setdefault(g, []).append(passes)
-                whole = [(-min(s), g) for g, s in met.items() if len(s) == sizes[g]]
-                home = min(whole)[1] if whole else len(heads)
+                found = Counter(theirs)
+                found.update({g: len(s) for g, s in met.items()})
+                whole = [g for g, n in found.items() if n == sizes[g]]
+                if len(whole) > 1:  # only then similarities matter
+                    least = {g: min(met.get(g, (2.0,))) for g in whole}
+                    if asked := [k for k, g in enumerate(theirs) if g in least]:
+                        for k, s in zip(asked, vectors.cosines(mine, row[others[asked]], len(vector)).tolist(), strict=True):
+                            least[theirs[k]] = min(least[theirs[k]], s)
+                    whole = [min((-s, g) for g, s in least.items())[1]]
+                mate = whole[0] if whole else len(heads)
                 if not whole:
                     heads.append((key, label))
                     sizes.append(0)
-                placed.append((own, home))
-                yield (key, label, *heads[home], sizes[home])
-                sizes[home] += 1
-            for own, home in placed:
-                homes.setdefault(own, []).append(home)
-            waiting.clear()
-            placed.clear()
-            near.clear()
-
-        placed: list[tuple] = []
+                placed.append((own, mate))
+                yield (key, label, *heads[mate], sizes[mate])
+                sizes[mate] += 1
+            for own, mate in placed:
+                homes.setdefault(own, []).append(mate)
+                if mine >= 0:
+                    seats[own >> 32] = put(seats.get(own >> 32, np.empty(0, np.int64)), own & 0xFFFFFFFF, seated)
+                    home, row, seated = put(home, seated, mate), put(row, seated, mine), seated + 1
+            vector = None
+            for held in (waiting, placed, plain, near):
+                held.clear()
+
         for b in batches:
             out = []
-            for class_id, component, p0, p1, p2, key, label, kind, own, block, others, links in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            numbers = {c: (pc.fill_null(b.column(c).values, 0.0).to_numpy(zero_copy_only=False).astype(np.float64), b.column(c).offsets.to_numpy()) for c in ("floats", "doubles")}
+            short = b.column("floats").is_valid().to_pylist()
+            for k, (class_id, component, p0, p1, p2, key, label, kind, own, block, others, links) in enumerate(zip(*(c.to_pylist() for c in b.columns[:12]), strict=True)):
                 if (class_id, component, p0, p1, p2, key) != now:
                     out += settle()
                     now = (class_id, component, p0, p1, p2, key)
                     if now[:2] != part:
                         part = now[:2]
-                        for held in (heads, sizes, homes):
+                        for held in (heads, sizes, homes, seats):
                             held.clear()
+                        home, row, seated, vectors = np.empty(0, np.int64), np.empty(0, np.int64), 0, Grown()
                 if kind == MEMBER:
                     waiting.append((key, label, own))
-                    continue
-                for other, passes in zip((np.frombuffer(others, np.int32).astype(np.int64) + (block << 32)).tolist(), np.frombuffer(links).tolist(), strict=True):
-                    before = near.get(other, passes)
-                    near[other] = min(before, passes) if min(before, passes) < 0 else max(before, passes)
+                elif kind == VECTOR:
+                    values, ends = numbers["floats" if short[k] else "doubles"]
+                    vector = values[ends[k] : ends[k + 1]]
+                elif links is None:
+                    plain.append((block, places(others)))
+                else:
+                    for other, passes in zip((np.frombuffer(others, np.int32).astype(np.int64) + (block << 32)).tolist(), np.frombuffer(links).tolist(), strict=True):
+                        before = near.get(other, passes)
+                        near[other] = min(before, passes) if min(before, passes) < 0 else max(before, passes)
             yield table(out)
         yield table(list(settle()))
 
     names = ("member", "member_label", "head", "label", "position")
     table = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string() if k < 4 else pa.int32()) for k in range(5)], names)
     order = ["class_id", "component", "p0", "p1", "p2", "key"]
-    dealt = parts.repartition("class_id", "component").sortWithinPartitions(*order, "kind").select(*order, "label", "kind", "own", "block", "others", "passes")
+    every = parts.unionByName(vectors, allowMissingColumns=True).repartition("class_id", "component").sortWithinPartitions(*order, "kind")
+    dealt = every.select(*order, "label", "kind", "own", "block", "others", "passes", "floats", "doubles")
     folded = dealt.mapInArrow(fold, "member string, member_label string, head string, label string, position int")
     folded = cut(folded, "entities", drop=used)
     heads = folded.filter("position = 0").join(items(tracklets).select(F.col("key").alias("head"), "place"), "head")

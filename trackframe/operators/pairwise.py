@@ -163,6 +163,47 @@ class Galleries:
         return out
 
 
+class Grown:
+    """Ordinary vectors that come one after the other, by their lengths. Their cosines are those of Vectors, to the last bit."""
+
+    def __init__(self) -> None:
+        self.rows: dict[int, np.ndarray] = {}
+        self.norms: dict[int, np.ndarray] = {}
+        self.many: dict[int, int] = {}
+
+    def add(self, vector: np.ndarray) -> int:
+        """The vector's number among those of its length."""
+        d = len(vector)
+        k = self.many[d] = self.many.get(d, -1) + 1
+        if d not in self.rows:
+            self.rows[d], self.norms[d] = np.empty((16, d)), np.empty(16)
+        elif k == len(self.norms[d]):
+            self.rows[d], self.norms[d] = (np.concatenate([x, np.empty_like(x)]) for x in (self.rows[d], self.norms[d]))
+        self.rows[d][k] = vector
+        with np.errstate(all="ignore"):
+            self.norms[d][k] = np.sqrt(np.cumsum(vector * vector)[-1]) if d else 0.0
+        return k
+
+    def cosines(self, k: int, others: np.ndarray, d: int) -> np.ndarray:
+        """Of the vector number k with others of its length d."""
+        inner = np.cumsum(self.rows[d][others] * self.rows[d][k], axis=1)[:, -1]  # element by element, as Vectors adds
+        return np.clip(inner / (self.norms[d][others] * self.norms[d][k]), 0.0, 1.0) + 0.0
+
+
+def ordinary(rows: pa.Table) -> np.ndarray:
+    """The rows whose similarity to each other, where they have one, is the cosine of two vectors that Grown can hold, and whose
+    key is no other row's. rows: key, descriptor, gallery."""
+    lists, keys = _whole(rows, "descriptor"), _codes(_whole(rows, "key"))
+    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = pc.list_flatten(lists)
+    with np.errstate(all="ignore"):
+        wrong = ~(np.abs(pc.fill_null(values, np.nan).to_numpy(zero_copy_only=False)) < LARGE)
+    out = (keys >= 0) & (np.bincount(keys + 1)[keys + 1] == 1)
+    out &= pc.fill_null(pc.list_value_length(_whole(rows, "gallery")), 0).to_numpy(zero_copy_only=False) == 0
+    out[np.repeat(np.arange(len(lists)), length)[wrong]] = False
+    return out
+
+
 def _codes(column: pa.Array) -> np.ndarray:
     """A number for each distinct value, -1 for null."""
     return pc.fill_null(pc.dictionary_encode(column).indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
